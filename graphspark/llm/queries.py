@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec
+from . import bpe_codec, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_byte_bpe": bpe_codec.op6_byte_bpe}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op6_byte_bpe": bpe_codec.op6_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
