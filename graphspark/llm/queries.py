@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, simhash
+from . import bpe_codec, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op6_byte_bpe": bpe_codec.op6_byte_bpe,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
