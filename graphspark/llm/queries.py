@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, simhash, toxicity
+from . import bpe_codec, packing, simhash, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op6_byte_bpe": bpe_codec.op6_byte_bpe,
+        "op7_token_store": token_store.op7_token_store,
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,
     }
