@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, line_quality, packing, simhash, token_store, toxicity
+from . import bpe_codec, kd_sharding, line_quality, packing, simhash, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op4_line_quality": line_quality.op4_line_quality,
+        "op5_kd_sharding": kd_sharding.op5_kd_sharding,
         "op6_byte_bpe": bpe_codec.op6_byte_bpe,
         "op7_token_store": token_store.op7_token_store,
         "op9_packing": packing.op9_packing,
