@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, kd_sharding, line_quality, media, packing, simhash, token_store, toxicity
+from . import bpe_codec, kd_sharding, line_quality, media, packing, secret_scan, simhash, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_media": media.op2_media,
+        "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_line_quality": line_quality.op4_line_quality,
         "op5_kd_sharding": kd_sharding.op5_kd_sharding,
         "op6_byte_bpe": bpe_codec.op6_byte_bpe,
