@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, kd_sharding, line_quality, media, packing, secret_scan, simhash, token_store, toxicity
+from . import bpe_codec, kd_sharding, line_quality, media, packing, secret_scan, simhash, surrogates, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_kd_sharding": kd_sharding.op5_kd_sharding,
         "op6_byte_bpe": bpe_codec.op6_byte_bpe,
         "op7_token_store": token_store.op7_token_store,
+        "op8_surrogates": surrogates.op8_surrogates,
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,
     }
