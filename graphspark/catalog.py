@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph_queries  # noqa: F401
+from .plans import graph_queries, session_queries, text_queries  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 
