@@ -221,8 +221,8 @@ def write_store(
 
 
 def _objects(spark: SparkSession, path: str, kind: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(f"{path}/objects").where(F.col("kind") == kind)
+    schema = schema or T._parse_datatype_string("hash binary, n long, data binary, kind string")  # an empty store has no files
+    return spark.read.schema(schema).parquet(f"{path}/objects").where(F.col("kind") == kind)
 
 
 def _manifest(recipes: DataFrame, id_column: str) -> DataFrame:
