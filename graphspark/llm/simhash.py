@@ -8,7 +8,7 @@
 4. Rows of a key are compared where they meet. A task gives back a spanning
    forest of the links it has verified, never all pairs of a group: within a
    large group a search goes from each linked row to the rows not yet reached.
-   A group too large for that is dealt again by combinations of its other bits.
+   A group too large for that is dealt in chunks, and pairs of chunks are compared.
 5. Components come from alternating large and small stars over these links.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero,
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import LOWER, Words, cut, documents, in_batches, text_bytes
 
-#: Rows of a key that one task compares; beyond, a key is dealt again by more bits.
+#: Rows of a key that are compared in one place; a larger group is dealt in chunks.
 GROUP_ROWS = 20_000
 #: Groups up to this size are compared pair by pair, all groups of a batch at once.
 SMALL_GROUP = 48
@@ -96,11 +96,10 @@ def blocks_for(classes: int, distance: int) -> int:
     return 64
 
 
-def block_masks(blocks: int, distance: int, bits: list[int] | None = None) -> list[int]:
+def block_masks(blocks: int, distance: int) -> list[int]:
     """A mask of bits for every combination of blocks - distance blocks."""
-    bits = list(range(64)) if bits is None else bits
-    edges = [len(bits) * k // blocks for k in range(blocks + 1)]
-    parts = [sum(1 << b for b in bits[edges[k] : edges[k + 1]]) for k in range(blocks)]
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    parts = [sum(1 << b for b in range(edges[k], edges[k + 1])) for k in range(blocks)]
     return [sum(c) for c in combinations(parts, blocks - distance)]
 
 
@@ -198,38 +197,30 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
 
 def links(classes: DataFrame, distance: int = 4, fp: str = "fp", group_rows: int = GROUP_ROWS) -> DataFrame:
     """Links (a, b) between different fingerprints that connect all that differ in at most ``distance`` bits."""
-    spark = classes.sparkSession
     masks = block_masks(blocks_for(classes.count(), distance), distance)
+    keyed = classes.select(F.col(fp).alias("v")).withColumn(
+        "m", F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in masks)))
+    ).select(F.xxhash64("m", F.col("v").bitwiseAND(F.col("m"))).alias("key"), "v")
     schema = "a long, b long"
-    found = None
-    todo = [(classes.select(F.col(fp).alias("v")), masks, 0)]
-    while todo:
-        rows, masks, depth = todo.pop()
-        prefix = ["group"] if depth else []
-        keyed = rows.withColumn("m", F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in masks)))).select(
-            F.xxhash64(*prefix, "m", F.col("v").bitwiseAND(F.col("m"))).alias("key"), "v"
-        )
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for key, value in _whole_groups(batches):
-                a, b = links_of_groups(key, value, distance)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]
-                    )
-
-        large = keyed.groupBy("key").count().where(F.col("count") > group_rows) if depth < 3 else None
-        large = cut(large, "large-keys") if large is not None else None
-        part = keyed
-        if large is not None and large.limit(1).count():
-            again = keyed.join(large.select("key"), "key", "left_semi").select(F.col("key").alias("group"), "v")
-            # other block borders than before, so that other bits stand in the keys
-            bits = [(b * 29 + 7 * (depth + 1)) % 64 for b in range(64)]
-            todo.append((again, block_masks(distance + 3 + depth, distance, bits), depth + 1))
-            part = keyed.join(large.select("key"), "key", "left_anti")
-        part = part.repartition("key").sortWithinPartitions("key", "v").mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, value in _whole_groups(batches):
+            a, b = links_of_groups(key, value, distance)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "v").mapInArrow(run, schema)
+
+    large = cut(keyed.groupBy("key").count().where(F.col("count") > group_rows), "large-keys")
+    if not large.limit(1).count():
+        return linked(keyed)
+    # a large group is dealt in chunks, and each pair of chunks is a group of its own
+    chunks = F.ceil(F.col("count") / group_rows).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(1), "v"), chunks).cast("int")
+    dealt = keyed.join(large, "key").select("key", "v", own.alias("s"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("t"))
+    pairs = dealt.select(F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t")).alias("key"), "v")
+    return linked(keyed.join(large, "key", "left_anti")).unionByName(linked(pairs))
 
 
 def components(edges: DataFrame, name: str = "links") -> DataFrame:

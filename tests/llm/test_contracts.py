@@ -55,7 +55,7 @@ def test_simhash_links_large_groups(spark):
     values = {int(center)}
     while len(values) < 400:  # a dense group of near copies
         v = int(center)
-        for b in rng.choice(12, rng.integers(1, 4), replace=False):
+        for b in rng.choice(16, rng.integers(1, 5), replace=False):
             v ^= 1 << int(b)
         values.add(v)
     values |= {int(x) for x in rng.integers(0, 1 << 62, 300)}
