@@ -14,9 +14,15 @@ def ngrams(c: Column, low: int, high: int) -> Column:
     return F.flatten(F.array(*(one(n) for n in range(low, high + 1))))
 
 
-def tfidf_fit(names: DataFrame, key: str, text: str, low: int = 2, high: int = 4) -> tuple[DataFrame, DataFrame]:
+def word_ngrams(c: Column, low: int, high: int) -> Column:
+    """Character n-grams inside words, each word with a blank on either side."""
+    words = F.filter(F.split(c, " "), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w: ngrams(F.concat(F.lit(" "), w, F.lit(" ")), low, high)))
+
+
+def tfidf_fit(names: DataFrame, key: str, text: str, low: int = 2, high: int = 4, grams_of=ngrams) -> tuple[DataFrame, DataFrame]:
     """(gram, idf) and (key, gram, w): idf = ln((1 + n) / (1 + df)) + 1, rows of length one."""
-    grams = names.select(key, F.explode(ngrams(F.col(text), low, high)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+    grams = names.select(key, F.explode(grams_of(F.col(text), low, high)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
     n = names.select(F.count("*").alias("n"))
     idf = grams.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(n).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
     return idf, _weigh(grams, idf, key)
@@ -29,14 +35,22 @@ def _weigh(grams: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return w.select(key, "gram", (F.col("w") / norm).alias("w"))
 
 
-def tfidf_score(mentions: DataFrame, mention_key: str, text: str, fitted: tuple[DataFrame, DataFrame], key: str, low: int = 2, high: int = 4) -> DataFrame:
+def tfidf_score(mentions: DataFrame, mention_key: str, text: str, fitted: tuple[DataFrame, DataFrame], key: str, low: int = 2, high: int = 4, grams_of=ngrams) -> DataFrame:
     """(mention_key, key, score): cosines above zero, by a join on grams."""
     idf, names = fitted
-    grams = mentions.select(mention_key, F.explode(ngrams(F.col(text), low, high)).alias("gram")).groupBy(mention_key, "gram").agg(F.count("*").alias("tf"))
+    grams = mentions.select(mention_key, F.explode(grams_of(F.col(text), low, high)).alias("gram")).groupBy(mention_key, "gram").agg(F.count("*").alias("tf"))
     m = _weigh(grams, idf, mention_key).withColumnRenamed("w", "v")
     return m.join(names, "gram").groupBy(mention_key, key).agg(F.round(F.sum(F.col("v") * F.col("w")), 5).alias("score"))
 
 
+def string_similarity(strings: DataFrame, text: str, one: str) -> DataFrame:
+    """(text, score): cosines above zero of one string with every other, fitted on all of them."""
+    asked = strings.sparkSession.range(1).select(F.lit(one).alias("_one"))
+    every = strings.select(text).unionAll(asked.select(F.col("_one").alias(text))).distinct()
+    scores = tfidf_score(asked, "_one", "_one", tfidf_fit(every, text, text, grams_of=word_ngrams), text, grams_of=word_ngrams)
+    return scores.where(F.col(text) != F.col("_one")).select(text, "score")
+
+
 def top_matches(scores: DataFrame, by: str, key: str, nmax: int, least: float = 0.0) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc("score"), key)
     return scores.where(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= nmax)

@@ -54,14 +54,36 @@ def _(spark, d):
     return g.edge_counts(moa_edges(spark, d)).select("htype", "relation", "ttype", "n", g.share("n", F.col("htype")).alias("p"))
 
 
-@query("drug_connections", f"{MOA} SELECT DISTINCT head AS node, relation, ttype AS other, 'out' AS way FROM moa_edge WHERE htype = 'Customer' UNION SELECT DISTINCT tail, relation, htype, 'in' FROM moa_edge WHERE ttype = 'Customer'")
-def _(spark, d):
+def _connections(spark, d, kind):
     e = moa_edges(spark, d)
-    out = e.where("htype = 'Customer'").select(F.col("head").alias("node"), "relation", F.col("ttype").alias("other"), F.lit("out").alias("way"))
-    back = e.where("ttype = 'Customer'").select(F.col("tail").alias("node"), "relation", F.col("htype").alias("other"), F.lit("in").alias("way"))
+    out = e.where(F.col("htype") == kind).select(F.col("head").alias("node"), "relation", F.col("ttype").alias("other"), F.lit("out").alias("way"))
+    back = e.where(F.col("ttype") == kind).select(F.col("tail").alias("node"), "relation", F.col("htype").alias("other"), F.lit("in").alias("way"))
     return out.unionAll(back).distinct()
 
 
+def _connections_sql(kind):
+    return f"{MOA} SELECT DISTINCT head AS node, relation, ttype AS other, 'out' AS way FROM moa_edge WHERE htype = '{kind}' UNION SELECT DISTINCT tail, relation, htype, 'in' FROM moa_edge WHERE ttype = '{kind}'"
+
+
+@query("drug_connections", _connections_sql("Customer"))
+def _(spark, d):
+    return _connections(spark, d, "Customer")
+
+
+@query("disease_connections", _connections_sql("Priority"))
+def _(spark, d):
+    return _connections(spark, d, "Priority")
+
+
+@query("in_out_summary_outer", f"{MOA}, o AS (SELECT ttype AS other, count(*) AS edges, count(DISTINCT head) AS nodes FROM moa_edge WHERE htype = 'Part' GROUP BY 1), i AS (SELECT htype AS other, count(*) AS edges, count(DISTINCT tail) AS nodes FROM moa_edge WHERE ttype = 'Part' GROUP BY 1) SELECT coalesce(o.other, i.other) AS other, o.edges AS edges_out, o.nodes AS nodes_out, i.edges AS edges_in, i.nodes AS nodes_in FROM o FULL OUTER JOIN i ON o.other = i.other")
+def _(spark, d):
+    """Edges and nodes of a type by the type at the other end, out and in side by side."""
+    e = moa_edges(spark, d)
+    each = lambda rows, other, node, way: rows.groupBy(F.col(other).alias("other")).agg(F.count("*").alias(f"edges_{way}"), F.count_distinct(node).alias(f"nodes_{way}"))
+    out, back = each(e.where("htype = 'Part'"), "ttype", "head", "out"), each(e.where("ttype = 'Part'"), "htype", "tail", "in")
+    return out.join(back, "other", "full_outer")
+
+
 @query("disease_neighbors", f"{MOA}, e AS (SELECT tail AS node, htype AS type, head AS other FROM moa_edge WHERE ttype = 'Priority' UNION SELECT head, ttype, tail FROM moa_edge WHERE htype = 'Priority') SELECT node, type, count(DISTINCT other) AS n, string_agg(DISTINCT other, ',' ORDER BY other) AS others FROM e GROUP BY 1, 2")
 def _(spark, d):
     e = moa_edges(spark, d)

@@ -139,6 +139,14 @@ def _(spark, d):
     return m.top_matches(_type_scores(spark, d), "q", "k", 1, 0.4).drop("rank")
 
 
+ONE = "small polished copper"
+
+
+@query("string_similarity", f"WITH s AS (SELECT lower(p_type) AS k FROM part UNION SELECT '{ONE}'), w AS (SELECT k, ' ' || unnest(string_split(k, ' ')) || ' ' AS w FROM s), ng AS (SELECT k, substr(w, i, n) AS gram, count(*) AS tf FROM w, (SELECT unnest([2, 3, 4]) AS n) l, unnest(range(1, 40)) r(i) WHERE i + n - 1 <= length(w) GROUP BY 1, 2), idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM s)) / (1 + count(*))) + 1 AS idf FROM ng GROUP BY 1), nw AS (SELECT k, gram, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS v FROM ng JOIN idf USING (gram)) SELECT b.k, round(sum(a.v * b.v), 5) AS score FROM nw a JOIN nw b USING (gram) WHERE a.k = '{ONE}' AND b.k <> a.k GROUP BY 1")
+def _(spark, d):
+    return m.string_similarity(table(spark, d, "part").select(F.lower("p_type").alias("k")), "k", ONE)
+
+
 @query("node_match_greedy")
 def _(spark, d):
     """A greedy mapping of part types to their mutilated names, within the first word."""
