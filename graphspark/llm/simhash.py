@@ -51,7 +51,8 @@ def _weigh(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprint_batch(column: pa.Array, words: int, seed: int) -> np.ndarray:
+def shingle_hashes(column: pa.Array, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 values of the texts' word shingles one after another, and the bounds of each text's run."""
     import xxhash
 
     data, offsets = text_bytes(column)
@@ -67,7 +68,11 @@ def fingerprint_batch(column: pa.Array, words: int, seed: int) -> np.ndarray:
     hashes = np.fromiter(
         (digest(text[a:b], seed) for a, b in zip(w.start[begin].tolist(), w.end[last].tolist())), np.uint64, total
     )
-    return _weigh(hashes, np.concatenate([[0], ends]))
+    return hashes, np.concatenate([[0], ends])
+
+
+def fingerprint_batch(column: pa.Array, words: int, seed: int) -> np.ndarray:
+    return _weigh(*shingle_hashes(column, words, seed))
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", words: int = 4, seed: int = 42) -> DataFrame:
@@ -269,22 +274,6 @@ def near_duplicates(
     return marked.join(of_class, "fp").select(id_column, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """One row of each component stays: the least id, then the least hash of the text.
-
-    Rows that repeat both are one row.
-    """
-    columns = df.columns
-    tagged = df.select(id_column, text, F.xxhash64(text).alias("_h"))
-    marked = cut(fingerprints(tagged, text, words=words), "fingerprints")
-    classes = cut(marked.groupBy("fp").agg(F.min(F.struct(id_column, "_h")).alias("least")), "classes")
-    kept = class_roots(classes, distance).groupBy("root").agg(F.min("least").alias("least"))
-    kept = cut(kept.select(F.col(f"least.{id_column}").alias("_id"), F.col("least._h").alias("_k")), "kept")
-    here = df.withColumn("_h", F.xxhash64(text))
-    joined = here.join(kept, here[id_column].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left_semi")
-    return joined.dropDuplicates([id_column, "_h"]).select(*columns)
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(documents(spark, sf_dir)).select(
