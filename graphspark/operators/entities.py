@@ -2,20 +2,47 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 
-def resolve(records: DataFrame, key: str, names: str, rounds: int = 8) -> DataFrame:
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Write a round's rows in the folder of ``spark.checkpoint.dir`` (one of our own where that is unset) and read them again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="graphspark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def resolve(records: DataFrame, key: str, names: str) -> DataFrame:
     """(key, entity): the least key that shared names reach. ``names`` is an array of normalised names.
 
-    Each round takes the least entity over a name's records, then over a record's names; it reaches chains of ``rounds`` names.
+    Each record is linked to the least record of each of its names; large and small
+    stars in turn, until nothing changes, find the least key of chains of any length.
     """
-    pairs = records.select(key, F.explode(names).alias("name")).where("name <> ''").distinct()
-    now = records.select(key, F.col(key).alias("entity"))
-    for _ in range(rounds):
-        of_name = pairs.join(now, key).groupBy("name").agg(F.min("entity").alias("low"))
-        now = pairs.join(of_name, "name").groupBy(key).agg(F.min("low").alias("entity"))
-    return records.select(key).join(now, key, "left").select(key, F.coalesce("entity", key).alias("entity"))
+    pairs = records.select(F.col(key).alias("a"), F.explode(names).alias("name")).where("name <> ''").distinct()
+    least = pairs.groupBy("name").agg(F.min("a").alias("b"))
+    now = _written(pairs.join(least, "name").where("a <> b").select("a", "b").distinct(), "names")
+    while True:
+        both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        ends = F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")
+        small = large.join(least, "a").select(ends).select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
+        now = _written(small, "names")
+        # stars only: no entity has an entity of its own
+        deep = now.select(F.col("b").alias("a")).distinct().join(now.select("a"), "a", "left_semi").limit(1).count()
+        if not deep and not now.groupBy("a").count().where("count > 1").limit(1).count():
+            break
+    found = now.select(F.col("a").alias(key), F.col("b").alias("entity"))
+    return records.select(key).distinct().join(found, key, "left").select(key, F.coalesce("entity", key).alias("entity"))
 
 
 def merged(records: DataFrame, resolved: DataFrame, key: str, name: str, alternates: str, short: int = 7) -> DataFrame:
