@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions import text as t
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -58,3 +60,66 @@ def rewired(interactions: DataFrame, resolved: DataFrame, key: str, *ends: str)
     for e in ends:
         interactions = interactions.join(resolved.select(F.col(key).alias(e), F.col("entity").alias(f"{e}_entity")), e).drop(e).withColumnRenamed(f"{e}_entity", e)
     return interactions.where(F.col(ends[0]) != F.col(ends[1])).distinct()
+
+
+def _first_of(items: Column, *excluded: Column) -> Column:
+    """Names of ``items`` without those whose normalised form stands in ``excluded`` (arrays) or earlier in ``items``."""
+    items = F.filter(items, lambda x: x.isNotNull() & (x != ""))
+    norms = F.transform(items, t.normalize_name)
+    out = F.transform(F.filter(F.flatten(F.array(*excluded)), lambda x: x.isNotNull()), t.normalize_name)
+    kept = lambda x, i: (F.array_position(norms, t.normalize_name(x)) == i + 1) & ~F.array_contains(out, t.normalize_name(x))
+    return F.filter(items, kept)
+
+
+def family_members(families: DataFrame, key: str, name: str, alternates: str, examples: str) -> DataFrame:
+    """(key, pos, name, alternates, families): the drugs of each drug or family.
+
+    Examples stand in the name ("(e.g. A, B)"), in ``examples``, or in an alternate
+    "A (for B, C)"; very long ones are alternates. Without examples the row is one
+    drug of no family; else each example is a drug, and the row's own names are its families.
+    """
+    none = F.array().cast("array<string>")
+    given = lambda c: F.coalesce(F.col(c), none)
+    parsed = families.select(key, t.parse_name(F.col(name)).alias("x"), given(alternates).alias("_a"), given(examples).alias("_e"))
+    main = F.array("x.main")
+    r = parsed.select(
+        key, F.col("x.main").alias("main"), _first_of(F.concat("x.alternates", "_a"), main).alias("alt"),
+        _first_of(F.concat("x.examples", "_e"), main, F.col("x.alternates"), F.col("_a")).alias("ex"),
+    )
+    long = lambda x: (F.length(x) >= 50) & (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= 3)
+    r = r.select(key, "main", F.concat("alt", F.filter("ex", long)).alias("alt"), F.filter("ex", lambda x: ~long(x)).alias("ex"))
+    pattern = "^([^(]+)\\s+\\(for ([^)]+)\\)"
+    # examples among the alternates count for families only
+    named = F.flatten(F.transform(F.filter("alt", lambda x: x.rlike(pattern)), lambda x: F.concat(
+        F.array(F.trim(F.regexp_extract(x, pattern, 1))), F.transform(F.split(F.regexp_extract(x, pattern, 2), ","), lambda y: F.trim(y))
+    )))
+    own = F.concat(F.array("main"), F.filter("alt", lambda x: ~x.rlike(pattern)))
+    drug = F.array(F.struct(F.col("main").alias("name"), F.col("alt").alias("alternates"), none.alias("families")))
+    each = F.transform(F.concat("ex", named), lambda x: F.struct(
+        t.parse_name(x)["main"].alias("name"), t.parse_name(x)["alternates"].alias("alternates"), own.alias("families")
+    ))
+    return r.select(key, F.posexplode(F.when(F.size("ex") == 0, drug).otherwise(each)).alias("pos", "d")).select(key, "pos", "d.*")
+
+
+def expand_families(families: DataFrame, key: str, name: str, alternates: str, examples: str) -> tuple[DataFrame, DataFrame]:
+    """Drugs of all families, merged by connected names: (entity, name, alternates, families), and (key, entity) for ``rewired``.
+
+    An interaction of a family is one of each of its drugs.
+    """
+    members = family_members(families, key, name, alternates, examples).withColumn("_id", F.struct(key, "pos"))
+    members = _written(members.withColumn("_names", F.transform(F.concat(F.array("name"), "alternates"), t.normalize_name)), "members")
+    resolved = _written(resolve(members, "_id", "_names"), "entities")
+    of = members.join(resolved, "_id")
+    groups = of.groupBy("entity").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"))
+    return merged(members, resolved, "_id", "name", "alternates").join(groups, "entity"), of.select(key, "entity").distinct()
+
+
+def lookup(mentions: DataFrame, mention: str, entities: DataFrame, key: str, name: str, alternates: str, families: str | None = None, substring: bool = False) -> DataFrame:
+    """Mentions with the ``key`` of every entity of that normalised name or alternate (or family, where asked); with ``substring``, of every name that holds the mention."""
+    none = F.array().cast("array<string>")
+    names = F.concat(F.array(name), F.coalesce(alternates, none), F.coalesce(families, none) if families else none)
+    index = entities.select(F.col(key).alias("_key"), F.explode(F.transform(names, t.normalize_name)).alias("_name")).where("_name IS NOT NULL").distinct()
+    asked = mentions.withColumn("_asked", t.normalize_name(F.col(mention)))
+    distinct = asked.select("_asked").distinct()
+    found = distinct.join(index, F.contains("_name", "_asked") if substring else F.col("_name") == F.col("_asked")).select("_asked", F.col("_key").alias(key)).distinct()
+    return asked.join(found, "_asked").drop("_asked")

@@ -176,8 +176,10 @@ def _(spark, d):
 
 @query("name_lookup", "SELECT s_suppkey, n_nationkey FROM supplier, nation WHERE contains(lower(s_name) || lower(n_name), lower(n_name)) AND s_nationkey = n_nationkey")
 def _(spark, d):
-    s, n = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), table(spark, d, "nation").select("n_nationkey", "n_name")
-    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).where(F.contains(F.lower(F.concat("s_name", "n_name")), F.lower("n_name"))).select("s_suppkey", "n_nationkey")
+    """Each supplier's nation, looked up by its name."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", F.array("n_name").alias("alternates"))
+    mentions = table(spark, d, "supplier").join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("mention")), "s_nationkey").select("s_suppkey", "mention")
+    return entities.lookup(mentions, "mention", n, "n_nationkey", "n_name", "alternates").select("s_suppkey", "n_nationkey")
 
 
 RECORD_SQL = "rec AS (SELECT c_custkey AS id, unnest([c_nationkey::VARCHAR || c_mktsegment, floor(c_acctbal / 10)::BIGINT::VARCHAR]) AS name FROM customer)"
@@ -196,8 +198,13 @@ def _(spark, d):
 
 @query("family_expand", "SELECT p_brand, unnest([p_brand || '.a', p_brand || '.b']) AS member, count(*) AS parts FROM part GROUP BY 1, 2")
 def _(spark, d):
-    members = F.explode(F.array(F.concat("p_brand", F.lit(".a")), F.concat("p_brand", F.lit(".b"))))
-    return table(spark, d, "part").select("p_brand", members.alias("member")).groupBy("p_brand", "member").agg(F.count("*").alias("parts"))
+    """Each part as a family with two examples in its name; members of one name merge."""
+    name = F.concat("p_brand", F.lit(" (e.g. "), "p_brand", F.lit(".a, "), "p_brand", F.lit(".b)"))
+    none = F.array().cast("array<string>")
+    parts = table(spark, d, "part").select("p_partkey", name.alias("family"), none.alias("alternates"), none.alias("examples"))
+    members, origin = entities.expand_families(parts, "p_partkey", "family", "alternates", "examples")
+    n = origin.groupBy("entity").agg(F.count("*").alias("parts"))
+    return members.join(n, "entity").select(F.element_at("families", 1).alias("p_brand"), F.col("name").alias("member"), "parts")
 
 
 @query("interaction_rewire", "WITH m AS (SELECT s_suppkey AS id, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS e FROM supplier), i AS (SELECT DISTINCT a.l_suppkey AS x, b.l_suppkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber) SELECT DISTINCT a.e AS x, b.e AS y FROM i JOIN m a ON x = a.id JOIN m b ON y = b.id WHERE a.e <> b.e")

@@ -7,3 +7,34 @@ def test_resolve_follows_chains_of_any_length(spark):
     rows = [(k, [f"n{k}", f"n{k + 1}"]) for k in range(n)] + [(100, ["x"]), (101, [""]), (102, ["y", "x"])]
     got = {r.id: r.entity for r in entities.resolve(spark.createDataFrame(rows, "id long, names array<string>").repartition(3), "id", "names").collect()}
     assert got == {k: 0 for k in range(n)} | {100: 100, 101: 101, 102: 100}
+
+
+FAMILIES = [
+    (1, "Statins (STN) (e.g. Simvastatin, Lovastatin)", ["HMG-CoA inhibitors", "Old name (for Rosuvastatin, Pravastatin)"], ["simvastatin", "Atorvastatin (ATV)"]),
+    (2, "Lipitor", ["ATORVASTATIN"], []),
+    (3, "Aspirin", None, None),
+]
+SCHEMA = "id long, name string, alternates array<string>, examples array<string>"
+
+
+def test_families_become_drugs_that_merge(spark):
+    drugs, origin = entities.expand_families(spark.createDataFrame(FAMILIES, SCHEMA), "id", "name", "alternates", "examples")
+    rows = {r.entity: r for r in drugs.collect()}
+    own = ["HMG-CoA inhibitors", "STN", "Statins"]
+    names = {frozenset([r.name, *r.alternates]): r.families for r in rows.values()}
+    assert names == {
+        frozenset(["Atorvastatin", "ATV", "ATORVASTATIN", "Lipitor"]): own, frozenset(["Simvastatin"]): own, frozenset(["Lovastatin"]): own,
+        frozenset(["Old name"]): own, frozenset(["Rosuvastatin"]): own, frozenset(["Pravastatin"]): own, frozenset(["Aspirin"]): [],
+    }
+    ixn = spark.createDataFrame([(1, 3)], "x long, y long")
+    assert entities.rewired(ixn, origin, "id", "x", "y").count() == 6
+
+
+def test_lookup_by_name_alternate_and_family(spark):
+    e = spark.createDataFrame([(1, "Crème Statin", ["ATV-1"], ["Lipid drugs"]), (2, "Other", [], ["Lipid drugs"])], "id long, name string, alternates array<string>, families array<string>")
+    asked = spark.createDataFrame([("creme statin",), ("atv 1",), ("statin",), ("lipid-drugs",), ("absent",)], "mention string")
+    get = lambda **k: sorted((r.mention, r.id) for r in entities.lookup(asked, "mention", e, "id", "name", "alternates", **k).collect())
+    exact = [("atv 1", 1), ("creme statin", 1)]
+    assert get() == exact
+    assert get(substring=True) == sorted([*exact, ("statin", 1)])
+    assert get(families="families") == sorted([*exact, ("lipid-drugs", 1), ("lipid-drugs", 2)])
