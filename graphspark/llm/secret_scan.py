@@ -26,13 +26,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import documents
 
-# The pattern of candidates (a run with a digit, or what a quote or an equals sign opens),
-# words beside secrets and beside other findings, parts of paths of tests and of generated files.
+# Words beside secrets and beside other findings, parts of paths of tests and of generated files, and the pattern
+# of candidates (what follows a secret word and a mark or a blank, a password in an address, a run with a digit, or what a
+# quote or an equals sign opens). Short tests come first in it: a lookbehind for words is slow.
+SECRET_WORDS = "token|secret|passw|pwd|api.?key|auth|bearer|credential|private.?key|access.?key|client.?key|signature"
+_WORD = r"(?i:" + SECRET_WORDS + r")[A-Za-z0-9_]{0,10}"
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/=\-.])(?=[A-Za-z_+/\-.]*[0-9])[A-Za-z0-9_+/\-.]{12,}={0,2}"
+    r"(?<=[ \t:=\"'])(?=[^\s\"']{6})(?<=" + _WORD + r"(?:[\"']?[ \t]{0,2}[:=][ \t]{0,2}|[ \t]{1,2})[\"']?)"
+    r"[^\s\"'=:][^\s\"']{4,}?[^\s\"',;.)\]}](?=[,;.)\]}]*(?:[\s\"']|$|[&;,|][A-Za-z0-9_.\-]{1,40}=))"
+    r"|(?<=:)(?=[^\s/@]{3,128}@)(?<=://[^\s/:@]{0,64}:)[^\s/@]{3,128}(?=@)"
+    r"|(?<![A-Za-z0-9_+/=\-.])(?=[A-Za-z_+/\-.]*[0-9])[A-Za-z0-9_+/\-.]{12,}={0,2}"
     r"|(?<=[\"'=])[^\s\"'=,;|&<>]{8,}"
 )
-SECRET_WORDS = "token|secret|passw|pwd|api.?key|auth|bearer|credential|private.?key|access.?key|client.?key|signature"
 OTHER_WORDS = "example|sample|dummy|placeholder|changeme|your|commit|sha|checksum|md5|digest|uuid|hash|version|revision|build|order|isbn|phone|card|image|base64|integrity"
 OTHER_PATHS = "test|example|sample|doc|lock|vendor|node_modules|min\\.js"
 DICTIONARY = (
@@ -153,11 +158,18 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
                 lambda: some(alnum, r.randint(20, 44)), lambda: some(alnum + "+/", 40), lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16),
                 lambda: "ghp_" + some(alnum, 36), lambda: "sk_live_" + some(alnum, 24), lambda: "eyJ" + some(alnum + "_-", r.randint(40, 90)),
                 lambda: some(alnum + "!@#$%^*", r.randint(10, 18)) + str(r.randint(0, 9)),
+                lambda: word() + some(string.digits, r.randint(4, 6)) + r.choice("!@#$%^*&"), lambda: some(string.ascii_letters, r.randint(16, 30)),
+                lambda: word().capitalize().replace("o", "0").replace("e", "3") + r.choice("!@#$%^*&") + some(string.digits, 1) + word() + r.choice("!@#$%^*&"),
             ))()
+            if r.random() < 0.08:
+                address = r.choice(("postgres", "mysql", "https", "amqp")) + "://" + r.choice(("admin", "root", word())) + ":"
+                value = some(alnum + "!$%^*", r.randint(6, 16))
+                out.append((lead + address, value, "@" + word() + ".example.com/" + word(), path, 1))
+                continue
             q = r.choice(('"', '"', "'", ""))
             out.append((lead + r.choice(names) + r.choice((" = ", "=", ": ", " ")) + q, value, q + tail, path, 1))
             continue
-        kind = r.randrange(12)
+        kind = r.randrange(15)
         if kind == 0:
             left, value = lead, some(string.digits, r.choice((13, 15, 16, 16, 19)))
         elif kind == 1:
@@ -181,6 +193,10 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
             path = r.choice(("package-lock.json", "yarn.lock"))
         elif kind == 10:
             left, value = lead, r.choice(("v", "release-", "version-")) + ".".join(str(r.randint(0, 30)) for _ in range(5)) + "-beta1"
+        elif kind > 11:  # prose after a secret word
+            left = lead + r.choice(("token", "secret", "Secret", "password", "auth", "author", "authority", "signature", "credentials", "API key")) + r.choice((" ", " ", ": ", ' "', ' = "'))
+            value = "".join(word() for _ in range(3)) + r.choice(("", "", "###", "!!", "."))
+            value = r.choice((value, value.capitalize(), value.upper()))
         else:
             left, value = lead, word() + word() + str(r.randint(10, 99)) + "." + word() + r.randint(1, 9).__str__() + ".example.com"
         out.append((left, value, tail, path, 0))
