@@ -8,9 +8,13 @@ asks for the fewest sequences whose patterns cover the histogram.
    price under the capacity comes from a knapsack dynamic program; it is used,
    and the prices of the lengths that it covers fall exponentially in the part
    of their count that it covers.
-2. Rounding: patterns are used a whole number of times, the fullest first,
-   never beyond what is left of a length; what remains is filled by best fit
-   over the histogram (the longest piece, then the longest that still fits).
+2. Rounding: patterns are used a whole number of times, never beyond what is
+   left of a length; what remains is filled by best fit over the histogram (the
+   longest piece, then the longest that still fits). Patterns that fill a
+   sequence exactly come first. Where these alone don't reach the lower bound
+   (few lengths), the plan of fewest sequences stays of: these, all patterns,
+   the patterns of a simplex method with at most ``PIVOTS`` pivots (new patterns
+   from the same knapsack at its dual prices), and plain best fit.
 3. Pieces of a length are numbered without gaps from partition counts, and the
    plan turns (length, number) into a sequence and an offset.
 
@@ -36,6 +40,8 @@ from .common import cut, documents, in_batches
 CAPACITY = 2048
 #: Rounds of the multiplicative weights method, and the rate at which prices fall.
 ROUNDS, RATE = 240, 4.0
+#: Pivots of the simplex method that follows where these patterns leave a gap.
+PIVOTS = 400
 
 # --------------------------------------------------------------------------
 # The plan
@@ -104,6 +110,51 @@ class Plan:
         return self.sequence[at] + rest // self.each[at], self.offset[at] + rest % self.each[at] * length
 
 
+def _generated(length: np.ndarray, count: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
+    """(pattern, weight) of the program by column generation: a basis of one pattern for each length, and its weights."""
+    n = len(length)
+    basis = np.diag(capacity // length)
+    inverse = np.diag(1.0 / np.diag(basis))
+    weight = inverse @ count
+    for _ in range(PIVOTS):
+        price = inverse.sum(0)
+        pattern = _knapsack(length, price, np.full(n, capacity), capacity)
+        if price @ pattern <= 1 + 1e-9:
+            break
+        step = inverse @ pattern
+        k = int(np.argmin(np.where(step > 1e-9, np.maximum(weight, 0) / np.maximum(step, 1e-9), np.inf)))
+        inverse[k] /= step[k]
+        weight[k] /= step[k]
+        others = np.arange(n) != k
+        inverse[others] -= np.outer(step[others], inverse[k])
+        weight[others] -= step[others] * weight[k]
+        basis[:, k] = pattern
+    # a weight just below a whole number is that number; _rounded never takes more than is left
+    return sorted(((basis[:, k], float(weight[k]) + 1e-6) for k in range(n) if weight[k] > 0), key=lambda p: (-p[1], p[0].tobytes()))
+
+
+def _rounded(length: np.ndarray, count: np.ndarray, patterns: list, scale: float, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """(pattern, times): patterns in their order, by their scaled weight; best fit for the rest."""
+    left = count.copy()
+    runs: list[tuple[np.ndarray, int]] = []
+    for pattern, x in patterns:
+        used = np.flatnonzero(pattern)
+        times = int(min(np.floor(x * scale), (left[used] // pattern[used]).min()))
+        if times:
+            left -= times * pattern
+            runs.append((pattern, times))
+    while left.any():
+        top = int(np.flatnonzero(left)[-1])
+        pattern = np.zeros(len(length), np.int64)
+        pattern[top] = 1
+        pattern = _fill(length, left, pattern, capacity)
+        used = np.flatnonzero(pattern)
+        times = max(1, int((left[used] // pattern[used]).min()))
+        left -= times * pattern
+        runs.append((pattern, times))
+    return runs
+
+
 def solve(length: np.ndarray, count: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
     """A plan for a histogram of lengths."""
     order = np.argsort(length)
@@ -121,24 +172,15 @@ def solve(length: np.ndarray, count: np.ndarray, capacity: int = CAPACITY, round
             covered[used] += share * pattern[used] / count[used]
             key = pattern.tobytes()
             patterns[key] = (pattern, patterns.get(key, (pattern, 0.0))[1] + share)
-    left = count.copy()
-    runs: list[tuple[np.ndarray, int]] = []
     scale = 1 / max(1.0, float(np.average(covered, weights=length * count))) if len(length) else 1.0
-    for pattern, x in sorted(patterns.values(), key=lambda p: (-int(length @ p[0]), -p[1], p[0].tobytes())):
-        used = np.flatnonzero(pattern)
-        times = int(min(np.floor(x * scale), (left[used] // pattern[used]).min()))
-        if times and int(length @ pattern) == capacity:
-            left -= times * pattern
-            runs.append((pattern, times))
-    while left.any():
-        top = int(np.flatnonzero(left)[-1])
-        pattern = np.zeros(len(length), np.int64)
-        pattern[top] = 1
-        pattern = _fill(length, left, pattern, capacity)
-        used = np.flatnonzero(pattern)
-        times = max(1, int((left[used] // pattern[used]).min()))
-        left -= times * pattern
-        runs.append((pattern, times))
+    fullest = sorted(patterns.values(), key=lambda p: (-int(length @ p[0]), -p[1], p[0].tobytes()))
+    least = -(-int(length @ count) // capacity)
+    runs = _rounded(length, count, [p for p in fullest if int(length @ p[0]) == capacity], scale, capacity)
+    # exact fills reach the lower bound where there are many lengths; else every pattern counts, and the best plan stays
+    sequences = lambda r: sum(times for _, times in r)
+    for order, times in ((lambda: fullest, scale), (lambda: _generated(length, count, capacity), 1.0), (lambda: [], 1.0)):
+        if sequences(runs) > least:
+            runs = min(runs, _rounded(length, count, order(), times, capacity), key=sequences)
     rows = []
     given = np.zeros(len(length), np.int64)
     at = 0
