@@ -23,9 +23,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of its own; a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="graphspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -40,7 +42,16 @@ def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a table in the shared folder and read it again: later steps survive lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing reads them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -101,7 +112,3 @@ class Words:
             pa.large_binary(), len(self.start), [None, pa.py_buffer(bounds), pa.py_buffer(self.joined)]
         ).dictionary_encode()
         return coded.indices.to_numpy(), coded.dictionary
-
-
-def empty_text(column):
-    return F.coalesce(F.col(column), F.lit(""))
