@@ -4,22 +4,27 @@ Only the histogram of lengths (at most ``capacity`` counts) reaches the driver.
 A pattern says how many pieces of each length one sequence holds; the program
 asks for the fewest sequences whose patterns cover the histogram.
 
-1. Multiplicative weights: every length has a price; the pattern of the highest
-   price under the capacity comes from a knapsack dynamic program; it is used,
-   and the prices of the lengths that it covers fall exponentially in the part
-   of their count that it covers.
-2. Rounding: patterns are used a whole number of times, never beyond what is
-   left of a length; what remains is filled by best fit over the histogram (the
-   longest piece, then the longest that still fits). Patterns that fill a
-   sequence exactly come first. Where these alone don't reach the lower bound
-   (few lengths), the plan of fewest sequences stays of: these, all patterns,
-   the patterns of a simplex method with at most ``PIVOTS`` pivots (new patterns
-   from the same knapsack at its dual prices), and plain best fit.
-3. Pieces of a length are numbered without gaps from partition counts, and the
+1. Multiplicative weights: every length has a price, at first its length (more
+   for long ones by ``lean``, as they are harder to place), which falls
+   exponentially in the covered part of its count. In each round a bounded
+   knapsack dynamic program prices the patterns, and one table of it gives, for
+   every length from the longest down, the best pattern that holds this length.
+2. Rounding goes along: a pattern is used a whole number of times, as often as
+   what is left of its lengths allows, and the next round prices what remains.
+   What is left after ``ROUNDS`` rounds is filled by best fit (the longest
+   piece, then the longest that still fits).
+3. The prices of a round, over the best pattern's price, are a dual solution: a
+   lower bound. Where the plan is above it by more than ``GAP``, the next of
+   ``WEIGHTS`` is tried, and at last a simplex method over patterns of the same
+   knapsack (at most ``PIVOTS`` pivots), rounded down, best fit for the rest;
+   the plan of fewest sequences stays.
+4. Pieces of a length are numbered without gaps from partition counts, and the
    plan turns (length, number) into a sequence and an offset.
 
 Defined cases: an empty table gives an empty plan; lengths outside
-1..capacity are an error of the caller; repeated rows are pieces of their own.
+1..capacity are an error of the caller; repeated rows are pieces of their own;
+null and empty texts are pieces of the end id alone; columns of the caller that
+are named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -35,43 +40,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .bpe_codec import library_encoder, rank_file
-from .common import cut, documents, in_batches
+from .common import cut, documents, in_batches, unused
 
 CAPACITY = 2048
-#: Rounds of the multiplicative weights method, and the rate at which prices fall.
-ROUNDS, RATE = 240, 4.0
-#: Pivots of the simplex method that follows where these patterns leave a gap.
-PIVOTS = 400
+#: Rounds of the multiplicative weights method; the lean of first prices towards long pieces, and the rate at which prices fall.
+ROUNDS, WEIGHTS = 300, ((1.0, 0.05), (0.0, 0.05), (0.0, 4.0))
+#: The part of the lower bound that a plan may exceed it by before more is tried, and pivots of the simplex method then.
+GAP, PIVOTS = 0.005, 400
 
 # --------------------------------------------------------------------------
 # The plan
 
 
-def _knapsack(length: np.ndarray, price: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of each length in a pattern of the highest price.
-
-    Dynamic program over what is filled; a length is taken as often as it
-    pays, and then no more than ``most`` times.
-    """
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    for room in range(int(length[0]), capacity + 1):
-        n = int(np.searchsorted(length, room, "right"))
-        value = best[room - length[:n]] + price[:n]
-        k = int(np.argmax(value))
-        if value[k] > best[room - 1]:
-            best[room], took[room] = value[k], k
-        else:
-            best[room] = best[room - 1]
-    count = np.zeros(len(length), np.int64)
-    room = capacity
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-            continue
-        count[took[room]] += 1
-        room -= int(length[took[room]])
-    return np.minimum(count, most)
+class Knapsack:
+    """Patterns of the highest price that hold each length no more than ``most`` times, for every room up to ``capacity``."""
+
+    def __init__(self, length: np.ndarray, price: np.ndarray, most: np.ndarray, capacity: int):
+        self.length = length
+        # a length's pieces as items of 1, 2, 4, ... pieces; the longest first, so that they win ties
+        items = []
+        for k in range(len(length) - 1, -1, -1):
+            left, n = int(min(most[k], capacity // length[k])), 1
+            while left > 0:
+                items.append((k, min(n, left)))
+                left -= n
+                n *= 2
+        self.item, self.pieces = np.array(items, np.int64).reshape(-1, 2).T
+        self.best = np.zeros(capacity + 1)
+        took = np.zeros((len(items), capacity + 1), bool)
+        for i, (k, n) in enumerate(items):
+            size = int(length[k]) * n
+            with_it, without = self.best[: capacity + 1 - size] + price[k] * n, self.best[size:]
+            np.greater(with_it, without + 1e-9, out=took[i, size:])
+            np.maximum(with_it, without, out=without)
+        self.took = np.ascontiguousarray(took.T)
+
+    def pattern(self, room: int) -> dict[int, int]:
+        """Pieces of each length (by place) in the best pattern for this room."""
+        out: dict[int, int] = {}
+        before = len(self.item)
+        while room > 0 and before:
+            taken = self.took[room, :before][::-1]
+            back = int(taken.argmax())
+            if not taken[back]:
+                break
+            before -= 1 + back
+            k, n = int(self.item[before]), int(self.pieces[before])
+            out[k] = out.get(k, 0) + n
+            room -= int(self.length[k]) * n
+        return out
 
 
 def _fill(length: np.ndarray, left: np.ndarray, count: np.ndarray, capacity: int) -> np.ndarray:
@@ -91,10 +108,51 @@ def _fill(length: np.ndarray, left: np.ndarray, count: np.ndarray, capacity: int
     return count
 
 
+Runs = list[tuple[dict[int, int], int]]
+
+
+def _weighted(length: np.ndarray, count: np.ndarray, capacity: int, rounds: int, lean: float, rate: float) -> tuple[Runs, np.ndarray, float]:
+    """(pattern, times) by multiplicative weights, what is left of the counts, and the best lower bound that the prices give."""
+    left, runs, bound = count.copy(), [], 0.0
+
+    def use(pattern: dict[int, int], live: np.ndarray) -> bool:
+        at, n = live[list(pattern)], np.array(list(pattern.values()))
+        times = int((left[at] // n).min())
+        if not times:
+            return False
+        left[at] -= n * times
+        runs.append((dict(zip(at.tolist(), n.tolist())), times))
+        return True
+
+    for _ in range(rounds):
+        live = np.flatnonzero(left)
+        if not len(live):
+            break
+        here = length[live]
+        price = here * (1 + lean * here / capacity) * np.exp(-rate * (1 - left[live] / count[live]))
+        sack = Knapsack(here, price, left[live], capacity)
+        if len(live) == len(length):  # prices of all lengths; bounded patterns only lower the price of the best
+            free = (Knapsack(here, price, count, capacity) if runs else sack).best[capacity]
+            bound = max(bound, float(price @ count) / float(free))
+        used = False
+        for k in range(len(live) - 1, -1, -1):
+            if left[live[k]]:
+                pattern = sack.pattern(capacity - int(here[k]))
+                pattern[k] = pattern.get(k, 0) + 1
+                used |= use(pattern, live)
+        if not used:  # every such pattern holds more of its length than there is
+            use(sack.pattern(capacity), live)
+    return runs, left, bound
+
+
 @dataclass
 class Plan:
     """Runs of pieces: from number ``first`` on, pieces of ``length`` go to sequences
-    from ``sequence`` on, ``each`` to one, the first of these at ``offset``."""
+    from ``sequence`` on, ``each`` to one, the first of these at ``offset``.
+
+    of_program: sequences that come from the program's patterns, the others from
+    best fit; bound: no plan has fewer sequences.
+    """
 
     length: np.ndarray
     first: np.ndarray
@@ -102,6 +160,8 @@ class Plan:
     each: np.ndarray
     offset: np.ndarray
     sequences: int
+    of_program: int = 0
+    bound: int = 0
 
     def place(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = self.length.astype(np.int64) << 44 | self.first
@@ -110,17 +170,22 @@ class Plan:
         return self.sequence[at] + rest // self.each[at], self.offset[at] + rest % self.each[at] * length
 
 
-def _generated(length: np.ndarray, count: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """(pattern, weight) of the program by column generation: a basis of one pattern for each length, and its weights."""
+def _generated(length: np.ndarray, count: np.ndarray, capacity: int) -> tuple[Runs, np.ndarray, float]:
+    """The same by column generation: a basis of one pattern for each length, its weights rounded down, and the program's value."""
     n = len(length)
     basis = np.diag(capacity // length)
     inverse = np.diag(1.0 / np.diag(basis))
     weight = inverse @ count
+    bound = 0.0
     for _ in range(PIVOTS):
-        price = inverse.sum(0)
-        pattern = _knapsack(length, price, np.full(n, capacity), capacity)
-        if price @ pattern <= 1 + 1e-9:
+        price = np.maximum(inverse.sum(0), 0)
+        sack = Knapsack(length, price, np.full(n, capacity), capacity)
+        bound = max(bound, float(price @ count) / float(sack.best[capacity]))
+        if sack.best[capacity] <= 1 + 1e-9:
             break
+        pattern = np.zeros(n)
+        for k, times in sack.pattern(capacity).items():
+            pattern[k] = times
         step = inverse @ pattern
         k = int(np.argmin(np.where(step > 1e-9, np.maximum(weight, 0) / np.maximum(step, 1e-9), np.inf)))
         inverse[k] /= step[k]
@@ -129,20 +194,21 @@ def _generated(length: np.ndarray, count: np.ndarray, capacity: int) -> list[tup
         inverse[others] -= np.outer(step[others], inverse[k])
         weight[others] -= step[others] * weight[k]
         basis[:, k] = pattern
-    # a weight just below a whole number is that number; _rounded never takes more than is left
-    return sorted(((basis[:, k], float(weight[k]) + 1e-6) for k in range(n) if weight[k] > 0), key=lambda p: (-p[1], p[0].tobytes()))
+    left, runs = count.copy(), []
+    # a weight just below a whole number is that number; no pattern takes more than is left
+    for negative, pattern in sorted((-w, tuple(p.tolist())) for w, p in zip(weight + 1e-6, basis.T) if w >= 1):
+        column = np.array(pattern, np.int64)
+        used = np.flatnonzero(column)
+        times = int(min(-negative, (left[used] // column[used]).min()))
+        if times:
+            left -= times * column
+            runs.append((dict(zip(used.tolist(), column[used].tolist())), times))
+    return runs, left, bound
 
 
-def _rounded(length: np.ndarray, count: np.ndarray, patterns: list, scale: float, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """(pattern, times): patterns in their order, by their scaled weight; best fit for the rest."""
-    left = count.copy()
-    runs: list[tuple[np.ndarray, int]] = []
-    for pattern, x in patterns:
-        used = np.flatnonzero(pattern)
-        times = int(min(np.floor(x * scale), (left[used] // pattern[used]).min()))
-        if times:
-            left -= times * pattern
-            runs.append((pattern, times))
+def _best_fit(length: np.ndarray, left: np.ndarray, capacity: int) -> Runs:
+    """Sequences for what is left: the longest piece, then the longest that still fits."""
+    left, runs = left.copy(), []
     while left.any():
         top = int(np.flatnonzero(left)[-1])
         pattern = np.zeros(len(length), np.int64)
@@ -151,7 +217,7 @@ def _rounded(length: np.ndarray, count: np.ndarray, patterns: list, scale: float
         used = np.flatnonzero(pattern)
         times = max(1, int((left[used] // pattern[used]).min()))
         left -= times * pattern
-        runs.append((pattern, times))
+        runs.append((dict(zip(used.tolist(), pattern[used].tolist())), times))
     return runs
 
 
@@ -159,41 +225,31 @@ def solve(length: np.ndarray, count: np.ndarray, capacity: int = CAPACITY, round
     """A plan for a histogram of lengths."""
     order = np.argsort(length)
     length, count = np.asarray(length, np.int64)[order], np.asarray(count, np.int64)[order]
-    patterns: dict[bytes, tuple[np.ndarray, float]] = {}
-    covered = np.zeros(len(length))
-    if len(length):
-        for _ in range(rounds):
-            # what a length still wants counts for more, what is over-covered for less
-            price = length * np.exp(-RATE * (covered - covered.min()))
-            pattern = _knapsack(length, price, count, capacity)
-            pattern = _fill(length, count, pattern, capacity)
-            used = np.flatnonzero(pattern)
-            share = (count[used] / pattern[used]).min() / 2
-            covered[used] += share * pattern[used] / count[used]
-            key = pattern.tobytes()
-            patterns[key] = (pattern, patterns.get(key, (pattern, 0.0))[1] + share)
-    scale = 1 / max(1.0, float(np.average(covered, weights=length * count))) if len(length) else 1.0
-    fullest = sorted(patterns.values(), key=lambda p: (-int(length @ p[0]), -p[1], p[0].tobytes()))
-    least = -(-int(length @ count) // capacity)
-    runs = _rounded(length, count, [p for p in fullest if int(length @ p[0]) == capacity], scale, capacity)
-    # exact fills reach the lower bound where there are many lengths; else every pattern counts, and the best plan stays
     sequences = lambda r: sum(times for _, times in r)
-    for order, times in ((lambda: fullest, scale), (lambda: _generated(length, count, capacity), 1.0), (lambda: [], 1.0)):
-        if sequences(runs) > least:
-            runs = min(runs, _rounded(length, count, order(), times, capacity), key=sequences)
+    runs: Runs = []
+    rest: Runs = []
+    bound = float(max(-(-int(length @ count) // capacity), count[2 * length > capacity].sum()))
+    tries = [lambda w=weights: _weighted(length, count, capacity, rounds, *w) for weights in WEIGHTS] + [lambda: _generated(length, count, capacity)]
+    for attempt in tries if len(length) else []:
+        new, left, low = attempt()
+        new_rest = _best_fit(length, left, capacity)
+        bound = max(bound, low)
+        if not runs or sequences(new) + sequences(new_rest) < sequences(runs) + sequences(rest):
+            runs, rest = new, new_rest
+        if sequences(runs) + sequences(rest) <= np.ceil(bound * (1 + GAP) - 1e-6):
+            break
     rows = []
     given = np.zeros(len(length), np.int64)
     at = 0
-    for pattern, times in runs:
+    for pattern, times in runs + rest:
         offset = 0
-        for k in np.flatnonzero(pattern)[::-1].tolist():
-            each = int(pattern[k])
-            rows.append((int(length[k]), int(given[k]), at, each, offset))
-            given[k] += each * times
-            offset += each * int(length[k])
+        for k in sorted(pattern, reverse=True):
+            rows.append((int(length[k]), int(given[k]), at, pattern[k], offset))
+            given[k] += pattern[k] * times
+            offset += pattern[k] * int(length[k])
         at += times
     table = np.array(sorted(rows), np.int64).reshape(-1, 5)
-    return Plan(*table.T.copy(), sequences=at)
+    return Plan(*table.T.copy(), sequences=at, of_program=sequences(runs), bound=int(np.ceil(bound - 1e-6)))
 
 
 # --------------------------------------------------------------------------
@@ -205,8 +261,8 @@ PIECES = T.StructType(
         T.StructField("start", T.LongType(), False),
         T.StructField("length", T.LongType(), False),
         T.StructField("ids_crc32", T.LongType(), False),
-        T.StructField("pid", T.IntegerType(), False),
-        T.StructField("local", T.LongType(), False),
+        T.StructField("_task", T.IntegerType(), False),
+        T.StructField("_nth", T.LongType(), False),
     ]
 )
 
@@ -265,26 +321,31 @@ def cut_pieces(
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Give pieces (a written table with ``length``, ``pid``, ``local``) a ``sequence_id`` and an ``offset``."""
-    counts = cut(pieces.groupBy("pid", "length").agg(F.count("*").alias("n")), "lengths")
+    """Give pieces (a written table with ``length``, and ``_task``, ``_nth`` as ``cut_pieces`` gives them) a ``sequence_id`` and an ``offset``.
+
+    An empty table gives no rows; a null length is an error.
+    """
+    counts = cut(pieces.groupBy("_task", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most ``capacity`` rows
     plan = solve(np.array([r.length for r in histogram], np.int64), np.array([r.n for r in histogram], np.int64), capacity)
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("pid", "length", F.coalesce(before, F.lit(0)).alias("base"))
-    names = [c for c in pieces.columns if c not in ("pid", "local")]
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    # a row for each length of a task: it grows with the input, so it is joined by a shuffle of both sides, never broadcast
+    base = counts.select("_task", "length", F.coalesce(before, F.lit(0)).alias("_base")).hint("merge")
+    names = [c for c in pieces.columns if c not in ("_task", "_nth", "sequence_id", "offset")]
     schema = T.StructType(
         [pieces.schema[c] for c in names] + [T.StructField(c, T.LongType(), False) for c in ("sequence_id", "offset")]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = plan.place(batch.column("length").to_numpy(), batch.column("_number").to_numpy())
+            sequence, offset = plan.place(batch.column("length").to_numpy(), batch.column(number).to_numpy())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"]
             )
 
-    joined = pieces.join(base, ["pid", "length"]).withColumn("_number", F.col("local") + F.col("base"))
-    return joined.select(*names, "_number").mapInArrow(run, schema)
+    (number,) = unused(pieces, "_number")
+    joined = pieces.join(base, ["_task", "length"]).select(*names, (F.col("_nth") + F.col("_base")).alias(number))
+    return joined.mapInArrow(run, schema)
 
 
 def pack_texts(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

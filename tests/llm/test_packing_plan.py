@@ -19,3 +19,27 @@ def test_few_lengths_reach_the_optimum(length, count, optimum):
         np.add.at(used, sequence, one)
         assert len(set(zip(sequence.tolist(), offset.tolist()))) == n
     assert used.max() <= 2048
+
+
+def test_the_program_carries_the_plan():
+    """Dense histograms: the lower bound within half a percent, and nine in ten sequences from patterns."""
+    rng = np.random.default_rng(1)
+    for size, high in ((12_000, 2048), (300_000, 2048), (5_000, 700)):
+        length, count = np.unique(rng.integers(1, high + 1, size), return_counts=True)
+        plan = packing.solve(length, count)
+        assert plan.of_program >= 0.9 * plan.sequences
+        assert plan.bound <= plan.sequences <= 1.005 * plan.bound + 1
+
+
+def test_knapsack_finds_the_best_admissible_pattern():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        n = int(rng.integers(1, 5))
+        length = np.sort(rng.choice(np.arange(1, 25), n, replace=False))
+        price, most, capacity = rng.random(n) * length, rng.integers(1, 5, n), 30
+        sack = packing.Knapsack(length, price, most, capacity)
+        for room in (7, capacity):
+            best = max(price @ c for c in np.ndindex(*(most + 1)) if length @ c <= room)
+            found = sack.pattern(room)
+            assert abs(sack.best[room] - best) < 1e-6 and abs(sum(price[k] * m for k, m in found.items()) - best) < 1e-6
+            assert all(m <= most[k] for k, m in found.items()) and sum(length[k] * m for k, m in found.items()) <= room
