@@ -6,17 +6,22 @@ Three Parquet tables under one path:
   so; every unique chunk once, its ids little-endian (two bytes each, four where
   an id needs them), under the BLAKE2b hash of these bytes. ``kind=recipe`` has
   what the ordered recipes are made from.
-* ``recipes`` (range, doc_id, ..., start, n_tokens, root, chunks): in ascending
-  id order, a document's chunks, the ids of all documents before it, and the
-  Merkle root of its chunk hashes.
-* ``manifest`` (range, rows, n_tokens, root): for each range of the id order
-  the Merkle root of its documents' roots.
-
-``read_digests`` reads the files back: the hash of a chunk is computed anew from
-its bytes and must match a recipe, roots and totals must match the manifest.
-
+* ``recipes`` (range, place, doc_id, row, start, n_tokens, root, chunks, sizes):
+  in ascending id order, a document's chunks, the ids of all documents before
+  it, and the Merkle root of its chunk hashes.
+* ``manifest`` (range, block, rows, n_tokens, root): for each ``BLOCK`` documents
+  of a range of the id order the Merkle root over their ids, starts, lengths and
+  roots; in the row with block -1 the root over the roots of the range's blocks.
+
+Reading verifies every step: a chunk's hash is computed anew from its bytes, a
+document's root from its list of chunks, the blocks' and ranges' roots from the
+documents. Whatever doesn't agree is an error (``Damaged``, or an error of the
+query where Spark finds it).
+
+The references to a chunk that many documents share are dealt in ``SALTS`` parts.
 Defined cases: null and empty texts are documents of the end id alone; repeated
-ids are documents of their own, ordered by their row; null ids come first.
+ids are documents of their own, ordered by their row; null ids come first; other
+columns are not stored; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -28,14 +33,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .bpe_codec import library_encoder, rank_file
-from .common import cut, documents, in_batches, scratch
+from .common import cut, documents, drop, in_batches, scratch
 
 #: A chunk ends where the low bits of the rolling hash are zero, within these bounds.
 MASK_BITS, LEAST, MOST, WINDOW = 8, 64, 2048, 8
+#: Documents under one root of the manifest, and parts that references to one chunk are dealt in.
+BLOCK, SALTS = 4096, 64
+
+
+class Damaged(ValueError):
+    """The files don't fit together."""
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -209,14 +221,14 @@ def write_store(
     totals = ranged.groupBy("range").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     base = totals.select("range", F.coalesce(before, F.lit(0)).alias("base"))  # a row for each range
-    inside = F.sum("n_tokens").over(
-        Window.partitionBy("range").orderBy(id_column, "row").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = ranged.withColumn("inside", F.coalesce(inside, F.lit(0))).join(base, "range")
+    order = Window.partitionBy("range").orderBy(id_column, "row")
+    inside = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranged.select("*", F.coalesce(inside, F.lit(0)).alias("inside"), (F.row_number().over(order) - 1).cast("long").alias("place")).join(base, "range")
     placed = placed.select(
-        "range", id_column, "row", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "root", "chunks", "sizes"
+        "range", "place", id_column, "row", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "root", "chunks", "sizes"
     )
-    placed.sortWithinPartitions("range", id_column, "row").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    placed.sortWithinPartitions("range", "place").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    drop(ranged)
     _manifest(spark.read.schema(placed.schema).parquet(f"{path}/recipes"), id_column).write.parquet(f"{path}/manifest")
 
 
@@ -226,81 +238,123 @@ def _objects(spark: SparkSession, path: str, kind: str, schema: T.StructType | N
 
 
 def _manifest(recipes: DataFrame, id_column: str) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(id_column, "row", "root"))), lambda x: x["root"])
-    rows = recipes.groupBy("range").agg(
-        F.count("*").alias("rows"), F.sum("n_tokens").alias("n_tokens"), ordered.alias("roots")
-    )
-    schema = "range int, rows long, n_tokens long, root binary"
+    """Roots of blocks, at most ``BLOCK`` documents each, and of ranges, over their blocks."""
+    bound = [F.col(id_column).cast("string"), F.col("start"), F.col("n_tokens"), F.hex("root")]
+    leaf = F.unhex(F.sha2(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("?")) for c in bound)), 256))
+    listed = lambda by, what: F.transform(F.array_sort(F.collect_list(F.struct(by, what))), lambda x: x["what"]).alias("roots")
+    schema = "range int, block long, rows long, n_tokens long, root binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            roots = [merkle(r) for r in batch.column("roots").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("range", "rows", "n_tokens")), pa.array(roots, pa.binary())],
-                names=["range", "rows", "n_tokens", "root"],
-            )
+            roots = pa.array([merkle(r) for r in batch.column("roots").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], roots], names=["range", "block", "rows", "n_tokens", "root"])
+
+    def sums(df: DataFrame, keys: list[str], rows, by: str, what) -> DataFrame:
+        return df.groupBy(*keys).agg(rows.alias("rows"), F.sum("n_tokens").alias("n_tokens"), listed(F.col(by).alias("by"), what.alias("what")))
 
-    return rows.mapInArrow(run, schema)
+    block = F.expr(f"place div {BLOCK}").cast("long").alias("block")
+    leaves = recipes.select("range", block, "place", "n_tokens", leaf.alias("leaf"))
+    blocks = sums(leaves, ["range", "block"], F.count("*"), "place", F.col("leaf")).mapInArrow(run, schema)
+    ranges = sums(blocks, ["range"], F.sum("rows"), "block", F.col("root"))
+    return blocks.unionByName(ranges.select("range", F.lit(-1).cast("long").alias("block"), "rows", "n_tokens", "roots").mapInArrow(run, schema))
 
 
 # --------------------------------------------------------------------------
 # Reading
 
 
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    if not n or len(data) not in (2 * n, 4 * n):
+        raise Damaged("a chunk doesn't have the length that the store says")
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4")
+
+
 def _open(chunks: DataFrame) -> DataFrame:
-    """(hash, crc): the hash and the checksum of 32-bit ids, both computed from a chunk's bytes."""
+    """(hash, crc, size): the hash, the checksum of 32-bit ids and their number, all computed from a chunk's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, crc = [], []
-            for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist()):
-                hashes.append(address(data))
-                crc.append(zlib.crc32(np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(crc, pa.int64())], names=["hash", "crc"])
+            data, n = batch.column("data").to_pylist(), batch.column("n")
+            crc = [zlib.crc32(_numbers(d, k).tobytes()) for d, k in zip(data, n.to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([address(d) for d in data], pa.binary()), pa.array(crc, pa.int64()), n], names=["hash", "crc", "size"])
 
-    return chunks.mapInArrow(run, "hash binary, crc long")
+    return chunks.select("n", "data").mapInArrow(run, "hash binary, crc long, size long")
 
 
-def read_ids(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
-    """The documents' ids, put together from the files: (id, row, start, ids)."""
-    recipes, chunks = spark.read.parquet(f"{path}/recipes"), _objects(spark, path, "chunk").select("hash", "n", "data")
-    parts = recipes.select(id_column, "row", "start", F.posexplode("chunks").alias("k", "hash")).join(chunks, "hash")
-    listed = parts.groupBy(id_column, "row", "start").agg(F.array_sort(F.collect_list(F.struct("k", "n", "data"))).alias("parts"))
-    schema = T.StructType([*listed.schema.fields[:3], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+def _references(recipes: DataFrame, id_column: str) -> DataFrame:
+    """A row for each chunk of each document, with the ids that follow it there; the document's root is verified."""
+    kept = [recipes.schema[c] for c in (id_column, "row", "start")]
+    schema = T.StructType([*kept, *(T.StructField(c, t) for c, t in (("parts", T.IntegerType()), ("k", T.IntegerType()), ("hash", T.BinaryType()), ("n", T.LongType()), ("after", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [
-                np.concatenate([np.frombuffer(p["data"], "<u2" if len(p["data"]) == 2 * p["n"] else "<u4").astype(np.int32) for p in parts])
-                for parts in batch.column("parts").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], names=schema.names)
+            chunks, sizes = batch.column("chunks"), batch.column("sizes")
+            parts, n = pc.list_value_length(chunks).to_numpy(), sizes.flatten().to_numpy().astype(np.int64)
+            ends = np.cumsum(parts)
+            total = np.concatenate([[0], np.cumsum(n)])
+            whole = total[ends] - total[ends - parts]
+            roots = [merkle(c) for c in chunks.to_pylist()]
+            if roots != batch.column("root").to_pylist() or len(n) != parts.sum() or (whole != batch.column("n_tokens").to_numpy()).any():
+                raise Damaged("a document's chunks don't fit its root")
+            row = np.repeat(np.arange(batch.num_rows), parts)
+            columns = [
+                *(batch.column(f.name).take(pa.array(row)) for f in kept), pa.array(parts[row].astype(np.int32)),
+                pa.array((np.arange(len(row)) - (ends - parts)[row]).astype(np.int32)), chunks.flatten(), pa.array(n), pa.array(total[ends][row] - total[1:]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return listed.mapInArrow(run, schema)
+    return recipes.select(id_column, "row", "start", "n_tokens", "root", "chunks", "sizes").mapInArrow(run, schema)
 
 
-def read_digests(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) from the files, verified against recipes and manifest."""
+def _verified(spark: SparkSession, path: str, id_column: str) -> DataFrame:
+    """The references of all recipes, once recipes and manifest agree."""
     recipes = spark.read.parquet(f"{path}/recipes")
     wrong = (
         _manifest(recipes, id_column)
         .alias("a")
-        .join(spark.read.parquet(f"{path}/manifest").alias("b"), "range", "full")
+        .join(spark.read.parquet(f"{path}/manifest").alias("b"), ["range", "block"], "full")
         .where("not (a.root <=> b.root and a.rows <=> b.rows and a.n_tokens <=> b.n_tokens)")
     )
     if wrong.limit(1).count():
-        raise ValueError("the recipes don't fit the manifest")
-    parts = recipes.select(
-        id_column, "row", "start", F.size("chunks").alias("parts"), F.posexplode(F.arrays_zip("chunks", "sizes")).alias("k", "c"), "sizes"
-    ).select(
-        id_column, "row", "start", "parts", F.col("c.chunks").alias("hash"), F.col("c.sizes").alias("n"),
-        F.expr("aggregate(slice(sizes, k + 2, size(sizes)), 0L, (s, x) -> s + x)").alias("after"),
-    )
-    joined = parts.join(_open(_objects(spark, path, "chunk").select("n", "data")), "hash")
+        raise Damaged("the recipes don't fit the manifest")
+    return _references(recipes, id_column)
+
+
+def read_ids(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
+    """The documents' ids, put together from the files and verified: (id, row, start, ids).
+
+    A document's ids are put together in one row; an empty store gives no rows.
+    """
+    references, chunks = _verified(spark, path, id_column), _objects(spark, path, "chunk").select("hash", F.col("n").alias("size"), "data")
+    parts = references.join(chunks, "hash", "left")
+    listed = parts.groupBy(id_column, "row", "start").agg(F.array_sort(F.collect_list(F.struct("k", "size", "data", "hash"))).alias("parts"))
+    schema = T.StructType([*listed.schema.fields[:3], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def ids(parts: list[dict]) -> np.ndarray:
+        if any(p["data"] is None or address(p["data"]) != p["hash"] for p in parts):
+            raise Damaged("a chunk is missing or doesn't have its hash")
+        return np.concatenate([_numbers(p["data"], p["size"]).astype(np.int32) for p in parts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [ids(parts) for parts in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(whole, pa.list_(pa.int32()))], names=schema.names)
+
+    return listed.mapInArrow(run, schema)
+
+
+def read_digests(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) from the files, verified against recipes and manifest."""
+    references = _verified(spark, path, id_column).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    # a chunk goes to each part of its references that there is, so no part holds all references of a shared chunk
+    wanted = references.select("hash", "salt").distinct().join(_open(_objects(spark, path, "chunk")), "hash")
+    joined = references.join(wanted, ["hash", "salt"], "left").select(id_column, "row", "start", "parts", "n", "after", "crc", "size")
     schema = T.StructType([joined.schema[c] for c in (id_column, "row", "start", "parts", "n")] + [T.StructField("crc", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.column("crc").null_count or not batch.column("size").equals(batch.column("n")):
+                raise Damaged("a chunk is missing or doesn't have its hash")
             crc = shift_crc(batch.column("crc").to_numpy(), batch.column("after").to_numpy() * 4)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in schema.names[:-1]), pa.array(crc.astype(np.int64))], names=schema.names
@@ -309,9 +363,7 @@ def read_digests(spark: SparkSession, path: str, id_column: str = "doc_id") -> D
     whole = joined.mapInArrow(run, schema).groupBy(id_column, "row", "start", "parts").agg(
         F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.count("*").alias("found")
     )
-    checked = F.when(F.col("found") == F.col("parts"), F.col("n_tokens")).otherwise(
-        F.raise_error(F.lit("a chunk is missing or doesn't have its hash"))
-    )
+    checked = F.when(F.col("found") == F.col("parts"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a chunk is there twice")))
     return whole.select(id_column, "start", checked.alias("n_tokens"), "ids_crc32")
 
 
