@@ -166,11 +166,16 @@ def _encode(df: DataFrame, tokenizer_path: str, id_column: str, text: str, end_i
             ids = np.insert(found, np.cumsum(count), end_id)
             first = np.concatenate([[0], np.cumsum(count + 1)])
             chunks, sizes, roots, new = [], [], [], {}
+            small = ids.max(initial=0) < 1 << 16
+            short = ids.astype("<u2").tobytes() if small else b""
             for a, ends in zip(first.tolist(), chunk_ends(ids, first)):
                 parts, last = [], 0
                 for e in ends.tolist():
-                    part = ids[a + last : a + e]
-                    data = part.astype("<u2" if part.max() < 1 << 16 else "<u4").tobytes()
+                    if small:
+                        data = short[2 * (a + last) : 2 * (a + e)]
+                    else:
+                        part = ids[a + last : a + e]
+                        data = part.astype("<u2" if part.max() < 1 << 16 else "<u4").tobytes()
                     h = address(data)
                     parts.append(h)
                     if h not in given:
@@ -202,9 +207,11 @@ def write_store(
     """Encode ``text`` and write the three tables under ``path``."""
     spark = df.sparkSession
     coded = _encode(df, tokenizer_path, id_column, text, end_id)
-    # one pass over the texts and one shuffle make chunks unique; recipes go along, each under its row
+    # one pass over the texts and one shuffle make chunks unique (a task gives each chunk once, so nothing is left to
+    # merge before it); recipes, a tenth of the bytes, go along, each under its row: a pass of their own would cost more
     (
         coded.withColumn("once", F.coalesce(F.col("row").cast("string").cast("binary"), "hash"))
+        .repartition("once")
         .dropDuplicates(["kind", "once"])
         .drop("once")
         .write.partitionBy("kind")
@@ -275,7 +282,13 @@ def _open(chunks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, n = batch.column("data").to_pylist(), batch.column("n")
-            crc = [zlib.crc32(_numbers(d, k).tobytes()) for d, k in zip(data, n.to_pylist())]
+            size = n.to_numpy()
+            if (pc.binary_length(batch.column("data")).to_numpy() == 2 * size).all() and size.all():
+                wide = np.frombuffer(b"".join(data), "<u2").astype("<u4").tobytes()
+                ends = (4 * np.cumsum(size)).tolist()
+                crc = [zlib.crc32(wide[a:b]) for a, b in zip([0, *ends], ends)]
+            else:
+                crc = [zlib.crc32(_numbers(d, k).tobytes()) for d, k in zip(data, size.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([address(d) for d in data], pa.binary()), pa.array(crc, pa.int64()), n], names=["hash", "crc", "size"])
 
     return chunks.select("n", "data").mapInArrow(run, "hash binary, crc long, size long")
@@ -307,7 +320,7 @@ def _references(recipes: DataFrame, id_column: str) -> DataFrame:
 
 
 def _verified(spark: SparkSession, path: str, id_column: str) -> DataFrame:
-    """The references of all recipes, once recipes and manifest agree."""
+    """The recipes, once they agree with the manifest."""
     recipes = spark.read.parquet(f"{path}/recipes")
     wrong = (
         _manifest(recipes, id_column)
@@ -317,7 +330,7 @@ def _verified(spark: SparkSession, path: str, id_column: str) -> DataFrame:
     )
     if wrong.limit(1).count():
         raise Damaged("the recipes don't fit the manifest")
-    return _references(recipes, id_column)
+    return recipes
 
 
 def read_ids(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
@@ -325,7 +338,7 @@ def read_ids(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataF
 
     A document's ids are put together in one row; an empty store gives no rows.
     """
-    references, chunks = _verified(spark, path, id_column), _objects(spark, path, "chunk").select("hash", F.col("n").alias("size"), "data")
+    references, chunks = _references(_verified(spark, path, id_column), id_column), _objects(spark, path, "chunk").select("hash", F.col("n").alias("size"), "data")
     parts = references.join(chunks, "hash", "left")
     listed = parts.groupBy(id_column, "row", "start").agg(F.array_sort(F.collect_list(F.struct("k", "size", "data", "hash"))).alias("parts"))
     schema = T.StructType([*listed.schema.fields[:3], T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -345,9 +358,11 @@ def read_ids(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataF
 
 def read_digests(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) from the files, verified against recipes and manifest."""
-    references = _verified(spark, path, id_column).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    recipes = _verified(spark, path, id_column)
+    salt = F.pmod("row", F.lit(SALTS)).cast("int").alias("salt")
+    references = _references(recipes, id_column).select("*", salt)
     # a chunk goes to each part of its references that there is, so no part holds all references of a shared chunk
-    wanted = references.select("hash", "salt").distinct().join(_open(_objects(spark, path, "chunk")), "hash")
+    wanted = recipes.select(F.explode("chunks").alias("hash"), salt).distinct().join(_open(_objects(spark, path, "chunk")), "hash")
     joined = references.join(wanted, ["hash", "salt"], "left").select(id_column, "row", "start", "parts", "n", "after", "crc", "size")
     schema = T.StructType([joined.schema[c] for c in (id_column, "row", "start", "parts", "n")] + [T.StructField("crc", T.LongType())])
 
