@@ -91,7 +91,7 @@ def test_surrogates_keep_type_and_stay_distinct(spark):
     rows = [(k, f"Dear Mrs. {r.choice('ABCDE')}{r.choice(('nna', 'lma'))} Name{chr(97 + k % 26)}x, {k % 97:03d}-55-{k:04d} ip 10.0.{k % 5}.{k % 200}. Mr Name{chr(97 + k % 26)}x") for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for bound in (20_000, 0):
-        new = {x.doc_id: x.text for x in surrogates.pseudonymise(df, closure_rows=bound).collect()}
+        new = {x.doc_id: x.text for x in surrogates.pseudonymise(df, b"key", closure_rows=bound).collect()}
         pairs = {}
         for i, t in rows:
             a, b = list(surrogates.entities(t)), list(surrogates.entities(new[i]))
