@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.views import pick
+from .kernels import between, closure, cut_edges, longest_layers, reduced_pairs, shortest_paths, simple_paths, simulate, topological_order  # noqa: F401
 
 
 def edge_counts(edges: DataFrame, unique: bool = False) -> DataFrame:
@@ -56,124 +57,20 @@ def bridge(edges: DataFrame, dropped: Column) -> DataFrame:
     return kept.unionByName(new).distinct()
 
 
-def reduced_pairs(edges: DataFrame, keep_types: list[str], depth: int) -> DataFrame:
-    """(moa_id, head, tail): kept nodes joined by a path whose inner nodes are all dropped."""
-    steps = edges.select("moa_id", "head", "htype", "tail", "ttype").distinct()
-    now = steps.where(F.col("htype").isin(keep_types))
-    found = now.where(F.col("ttype").isin(keep_types)).select("moa_id", "head", "tail")
-    for _ in range(depth - 1):
-        now = (
-            now.where(~F.col("ttype").isin(keep_types)).alias("a")
-            .join(steps.alias("b"), (F.col("a.moa_id") == F.col("b.moa_id")) & (F.col("a.tail") == F.col("b.head")))
-            .select("a.moa_id", "a.head", "a.htype", "b.tail", "b.ttype").distinct()
-        )
-        found = found.unionByName(now.where(F.col("ttype").isin(keep_types)).select("moa_id", "head", "tail"))
-    return found.distinct()
-
-
-def closure(edges: DataFrame, depth: int) -> DataFrame:
-    """(moa_id, head, tail, distance): all pairs joined by a path of at most ``depth`` edges, with its least length."""
-    steps = edges.select("moa_id", "head", "tail").distinct()
-    now, found = steps.withColumn("distance", F.lit(1)), steps.withColumn("distance", F.lit(1))
-    for d in range(2, depth + 1):
-        now = now.alias("a").join(
-            steps.alias("b"), (F.col("a.moa_id") == F.col("b.moa_id")) & (F.col("a.tail") == F.col("b.head"))
-        ).select("a.moa_id", "a.head", "b.tail").distinct().withColumn("distance", F.lit(d))
-        found = found.unionByName(now)
-    return found.groupBy("moa_id", "head", "tail").agg(F.min("distance").alias("distance"))
-
-
-def paths(edges: DataFrame, depth: int, start: Column) -> DataFrame:
-    """(moa_id, path, types): simple paths of at most ``depth`` edges from nodes that fulfil ``start``, extended while they can be."""
-    steps = edges.select("moa_id", "head", "htype", "tail", "ttype").distinct()
-    now = steps.where(start).select(
-        "moa_id", F.array("head", "tail").alias("path"), F.array("htype", "ttype").alias("types"), F.col("tail").alias("end")
-    )
-    found = now
-    for _ in range(depth - 1):
-        now = now.join(steps.select("moa_id", F.col("head").alias("end"), "tail", "ttype"), ["moa_id", "end"]).where(
-            ~F.array_contains("path", F.col("tail"))
-        ).select("moa_id", F.array_append("path", F.col("tail")).alias("path"), F.array_append("types", F.col("ttype")).alias("types"), F.col("tail").alias("end"))
-        found = found.unionByName(now)
-    return found.select("moa_id", "path", "types")
-
-
-def path_counts(edges: DataFrame, depth: int, from_type: str, backwards: bool = False) -> DataFrame:
-    """(moa_id, node, ways): number of node paths from nodes of a type (or to them, backwards), that nodes included."""
-    a, b, ta = ("tail", "head", "ttype") if backwards else ("head", "tail", "htype")
-    steps = edges.select("moa_id", F.col(a).alias("near"), F.col(b).alias("far"), F.col(ta).alias("type")).distinct()
-    now = steps.where(F.col("type") == from_type).select("moa_id", F.col("near").alias("node")).distinct().withColumn("ways", F.lit(1).cast("long"))
-    found = now
-    for _ in range(depth):
-        now = steps.join(now.withColumnRenamed("node", "near"), ["moa_id", "near"]).groupBy("moa_id", F.col("far").alias("node")).agg(F.sum("ways").alias("ways"))
-        found = found.unionByName(now)
-    return found.groupBy("moa_id", "node").agg(F.sum("ways").alias("ways"))
-
-
-def cut_edges(edges: DataFrame, depth: int, root_type: str, sink_type: str) -> DataFrame:
-    """(moa_id, head, htype, tail, ttype): pairs on every path from the root to the sink."""
-    pairs = edges.select("moa_id", "head", "htype", "tail", "ttype").distinct()
-    down = path_counts(edges, depth, root_type)
-    up = path_counts(edges, depth, sink_type, backwards=True)
-    total = down.join(nodes_of(edges, "moa_id").where(F.col("type") == sink_type).select("moa_id", "node"), ["moa_id", "node"]).groupBy("moa_id").agg(F.sum("ways").alias("all"))
-    return (
-        pairs.join(down.select("moa_id", F.col("node").alias("head"), F.col("ways").alias("d")), ["moa_id", "head"])
-        .join(up.select("moa_id", F.col("node").alias("tail"), F.col("ways").alias("u")), ["moa_id", "tail"])
-        .join(total, "moa_id").where(F.col("d") * F.col("u") == F.col("all"))
-        .select("moa_id", "head", "htype", "tail", "ttype")
-    )
-
-
-def simulate(edges: DataFrame, signs: dict[str, int], root_type: str, depth: int) -> DataFrame:
-    """(moa_id, node, type, level): the root is +1; every other node is the clamped sum of its signed in-levels.
-
-    All nodes are computed anew in each of ``depth`` rounds; after k rounds those at most k steps down are final.
-    Other nodes without a way in are 0.
-    """
-    signed = edges.select("moa_id", "head", "tail", pick(signs, F.col("relation")).cast("long").alias("sign"))
-    nodes = nodes_of(edges, "moa_id")
-    level = nodes.where(F.col("type") == root_type).select("moa_id", "node", F.lit(1).cast("long").alias("level"))
-    roots = level
-    for _ in range(depth):
-        new = signed.join(level.withColumnRenamed("node", "head"), ["moa_id", "head"]).groupBy("moa_id", F.col("tail").alias("node")).agg(
-            F.signum(F.sum(F.col("sign") * F.col("level"))).cast("long").alias("level")
-        )
-        level = new.unionByName(roots)
-    return nodes.join(level, ["moa_id", "node"], "left").select("moa_id", "node", "type", F.coalesce("level", F.lit(0)).alias("level"))
-
-
 def simulatable(edges: DataFrame, signs: dict[str, int]) -> DataFrame:
     """Graphs all of whose relations have a known sign."""
     return edges.groupBy("moa_id").agg(F.bool_and(F.coalesce(pick(signs, F.col("relation")), F.lit(0)) != 0).alias("ok")).where("ok").select("moa_id")
 
 
-def editable(edges: DataFrame, depth: int, root_type: str, sink_type: str, inverse: dict[str, str], types: list[str]) -> DataFrame:
+def editable(edges: DataFrame, root_type: str, sink_type: str, inverse: dict[str, str], types: list[str]) -> DataFrame:
     """Cut edges between given types with exactly one relation, which has an inverse."""
     one = edges.groupBy("moa_id", "head", "tail").agg(F.count("*").alias("n"), F.first("relation").alias("relation")).where("n = 1").drop("n")
-    return cut_edges(edges, depth, root_type, sink_type).where(F.col("htype").isin(types) & F.col("ttype").isin(types) & (F.col("ttype") != root_type)).join(
+    return cut_edges(edges, root_type, sink_type).where(F.col("htype").isin(types) & F.col("ttype").isin(types) & (F.col("ttype") != root_type)).join(
         one.where(F.col("relation").isin(list(inverse))), ["moa_id", "head", "tail"]
     ).select("moa_id", "head", "htype", "relation", "tail", "ttype", pick(inverse, F.col("relation")).alias("new_relation"))
 
 
-def between(edges: DataFrame, reach: DataFrame, start: DataFrame, end: DataFrame) -> DataFrame:
-    """Edges on paths from ``start`` to ``end`` (moa_id, node), by two semi-joins with the closure ``reach``."""
-    down = reach.join(start.withColumnRenamed("node", "head"), ["moa_id", "head"], "left_semi").select("moa_id", F.col("tail").alias("node")).unionByName(start).distinct()
-    up = reach.join(end.withColumnRenamed("node", "tail"), ["moa_id", "tail"], "left_semi").select("moa_id", F.col("head").alias("node")).unionByName(end).distinct()
-    return edges.join(down.withColumnRenamed("node", "head"), ["moa_id", "head"], "left_semi").join(up.withColumnRenamed("node", "tail"), ["moa_id", "tail"], "left_semi").select(*edges.columns)
-
-
 def share(n: str, over: Column | None = None, digits: int = 6) -> Column:
     """n over its sum (within a window's partition)."""
     w = Window.partitionBy() if over is None else Window.partitionBy(over)
     return F.round(F.col(n) / F.sum(n).over(w), digits)
-
-
-def topological_order(edges: DataFrame, depth: int) -> DataFrame:
-    """(moa_id, node, layer): longest distance from a node without a way in."""
-    steps = edges.select("moa_id", "head", "tail").distinct()
-    now = nodes_of(edges, "moa_id").select("moa_id", "node").withColumn("layer", F.lit(0))
-    found = now
-    for d in range(1, depth + 1):
-        now = steps.join(now.select("moa_id", F.col("node").alias("head")), ["moa_id", "head"]).select("moa_id", F.col("tail").alias("node")).distinct().withColumn("layer", F.lit(d))
-        found = found.unionByName(now)
-    return found.groupBy("moa_id", "node").agg(F.max("layer").alias("layer"))

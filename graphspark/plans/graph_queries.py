@@ -8,7 +8,6 @@ from ..operators import graphs as g
 from ..sources.views import INVERSE, KG_SQL, MOA_SQL, SIGNS, kg_edges, moa_edges, pick, table
 from .registry import query
 
-DEPTH = 4
 MOA, KG, RMOA = f"WITH {MOA_SQL}", f"WITH {KG_SQL}", f"WITH RECURSIVE {MOA_SQL}"
 NODE_SQL = "node AS (SELECT DISTINCT moa_id, head AS node, htype AS type FROM moa_edge UNION SELECT DISTINCT moa_id, tail, ttype FROM moa_edge)"
 COUNTS = "SELECT relation, htype, ttype, count(*) AS n FROM moa_edge GROUP BY ALL"
@@ -259,7 +258,7 @@ def _(spark, d):
 
 @query("reduced_graph", f"{MOA} SELECT DISTINCT a.moa_id, a.head, d.tail FROM moa_edge a JOIN moa_edge b ON a.moa_id = b.moa_id AND a.tail = b.head JOIN moa_edge c ON b.moa_id = c.moa_id AND b.tail = c.head JOIN moa_edge d ON c.moa_id = d.moa_id AND c.tail = d.head UNION SELECT DISTINCT moa_id, head, tail FROM moa_edge WHERE false")
 def _(spark, d):
-    return g.reduced_pairs(moa_edges(spark, d), ["Customer", "Priority"], DEPTH)
+    return g.reduced_pairs(moa_edges(spark, d), ["Customer", "Priority"])
 
 
 PATH_SQL = "step AS (SELECT DISTINCT moa_id, head, htype, tail, ttype FROM moa_edge), p AS (SELECT moa_id, [head, tail] AS path, [htype, ttype] AS types, tail AS last FROM step WHERE htype = 'Customer' UNION ALL SELECT p.moa_id, list_append(path, s.tail), list_append(types, s.ttype), s.tail FROM p JOIN step s ON p.moa_id = s.moa_id AND p.last = s.head WHERE NOT list_contains(path, s.tail))"
@@ -267,24 +266,22 @@ PATH_SQL = "step AS (SELECT DISTINCT moa_id, head, htype, tail, ttype FROM moa_e
 
 @query("simple_paths", f"{RMOA}, {PATH_SQL} SELECT moa_id, array_to_string(path, ' -> ') AS path FROM p WHERE types[-1] = 'Priority'")
 def _(spark, d):
-    p = g.paths(moa_edges(spark, d), DEPTH, F.col("htype") == "Customer").where(F.element_at("types", -1) == "Priority")
-    return p.select("moa_id", F.array_join("path", " -> ").alias("path"))
+    return g.simple_paths(moa_edges(spark, d), "Customer", "Priority").select("moa_id", F.array_join("path", " -> ").alias("path"))
 
 
-@query("top_schemata", f"{RMOA}, {PATH_SQL}, c AS (SELECT array_to_string(types, '>') AS schema, count(*) AS n FROM p GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, schema LIMIT 3) SELECT schema, n, round(100.0 * sum(n) OVER (ORDER BY n DESC, schema) / (SELECT sum(n) FROM c), 6) AS running_pct FROM t")
+@query("top_schemata", f"{RMOA}, {PATH_SQL}, c AS (SELECT array_to_string(types, '>') AS schema, count(*) AS n FROM p WHERE types[-1] = 'Priority' GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, schema LIMIT 3) SELECT schema, n, round(100.0 * sum(n) OVER (ORDER BY n DESC, schema) / (SELECT sum(n) FROM c), 6) AS running_pct FROM t")
 def _(spark, d):
-    c = g.paths(moa_edges(spark, d), DEPTH, F.col("htype") == "Customer").groupBy(F.array_join("types", ">").alias("schema")).agg(F.count("*").alias("n"))
+    c = g.simple_paths(moa_edges(spark, d), "Customer", "Priority").groupBy(F.array_join("types", ">").alias("schema")).agg(F.count("*").alias("n"))
     c = c.withColumn("all", F.sum("n").over(Window.partitionBy()))
     t = c.orderBy(F.desc("n"), "schema").limit(3)
     w = Window.orderBy(F.desc("n"), "schema").rowsBetween(Window.unboundedPreceding, 0)
     return t.select("schema", "n", F.round(100.0 * F.sum("n").over(w) / F.col("all"), 6).alias("running_pct"))
 
 
-@query("schema_constrained", f"{RMOA}, {PATH_SQL} SELECT array_to_string(types, '>') AS schema, count(*) AS n FROM p WHERE len(types) > 2 AND len(list_filter(types, lambda x: NOT list_contains(['Customer', 'Part', 'Supplier', 'Nation'], x))) = 0 GROUP BY 1")
+@query("schema_constrained", f"{RMOA}, {PATH_SQL} SELECT array_to_string(types, '>') AS schema, count(*) AS n FROM p WHERE len(types) > 2 AND types[-1] = 'Nation' AND len(list_filter(types, lambda x: NOT list_contains(['Customer', 'Part', 'Supplier', 'Nation'], x))) = 0 GROUP BY 1")
 def _(spark, d):
-    p = g.paths(moa_edges(spark, d), DEPTH, F.col("htype") == "Customer")
-    ok = (F.size("types") > 2) & F.forall("types", lambda t: t.isin("Customer", "Part", "Supplier", "Nation"))
-    return p.where(ok).groupBy(F.array_join("types", ">").alias("schema")).agg(F.count("*").alias("n"))
+    p = g.simple_paths(moa_edges(spark, d), "Customer", "Nation", through=["Customer", "Part", "Supplier", "Nation"])
+    return p.where(F.size("types") > 2).groupBy(F.array_join("types", ">").alias("schema")).agg(F.count("*").alias("n"))
 
 
 CLOSURE_SQL = "step AS (SELECT DISTINCT moa_id, head, tail FROM moa_edge), r AS (SELECT moa_id, head, tail, 1 AS distance FROM step UNION SELECT r.moa_id, r.head, s.tail, distance + 1 FROM r JOIN step s ON r.moa_id = s.moa_id AND r.tail = s.head), reach AS (SELECT moa_id, head, tail, min(distance) AS distance FROM r GROUP BY 1, 2, 3)"
@@ -292,26 +289,24 @@ CLOSURE_SQL = "step AS (SELECT DISTINCT moa_id, head, tail FROM moa_edge), r AS
 
 @query("transitive_closure", f"{RMOA}, {CLOSURE_SQL} SELECT moa_id, head, tail FROM reach")
 def _(spark, d):
-    return g.closure(moa_edges(spark, d), DEPTH).select("moa_id", "head", "tail")
+    return g.closure(moa_edges(spark, d)).select("moa_id", "head", "tail")
 
 
 @query("shortest_paths", f"{RMOA}, {CLOSURE_SQL} SELECT moa_id, head, tail, distance FROM reach WHERE head LIKE 'C:%' AND tail LIKE 'Y:%'")
 def _(spark, d):
-    return g.closure(moa_edges(spark, d), DEPTH).where(F.col("head").startswith("C:") & F.col("tail").startswith("Y:"))
+    return g.closure(moa_edges(spark, d)).where(F.col("head").startswith("C:") & F.col("tail").startswith("Y:"))
 
 
 @query("distance_dilution", f"{RMOA}, {CLOSURE_SQL} SELECT moa_id, head, distance, count(*) AS at_distance, round(1.0 / sum(count(*)) OVER (PARTITION BY moa_id, head ORDER BY distance), 6) AS dilution FROM reach WHERE head LIKE 'C:%' GROUP BY 1, 2, 3")
 def _(spark, d):
-    c = g.closure(moa_edges(spark, d), DEPTH).where(F.col("head").startswith("C:")).groupBy("moa_id", "head", "distance").agg(F.count("*").alias("at_distance"))
+    c = g.closure(moa_edges(spark, d)).where(F.col("head").startswith("C:")).groupBy("moa_id", "head", "distance").agg(F.count("*").alias("at_distance"))
     w = Window.partitionBy("moa_id", "head").orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)
     return c.withColumn("dilution", F.round(1 / F.sum("at_distance").over(w), 6))
 
 
 @query("subgraph_between", f"{RMOA}, {CLOSURE_SQL}, b AS (SELECT DISTINCT moa_id, tail AS node FROM moa_edge WHERE ttype = 'Part'), z AS (SELECT DISTINCT moa_id, tail AS node FROM moa_edge WHERE ttype = 'Nation'), dn AS (SELECT moa_id, tail AS node FROM reach SEMI JOIN b ON reach.moa_id = b.moa_id AND reach.head = b.node UNION SELECT * FROM b), up AS (SELECT moa_id, head AS node FROM reach SEMI JOIN z ON reach.moa_id = z.moa_id AND reach.tail = z.node UNION SELECT * FROM z) SELECT moa_id, head, htype, relation, tail, ttype FROM moa_edge e WHERE EXISTS (SELECT 1 FROM dn WHERE dn.moa_id = e.moa_id AND dn.node = e.head) AND EXISTS (SELECT 1 FROM up WHERE up.moa_id = e.moa_id AND up.node = e.tail)")
 def _(spark, d):
-    e = moa_edges(spark, d)
-    of = lambda t: e.where(F.col("ttype") == t).select("moa_id", F.col("tail").alias("node")).distinct()
-    return g.between(e, g.closure(e, DEPTH), of("Part"), of("Nation"))
+    return g.between(moa_edges(spark, d), "Part", "Nation")
 
 
 LEVEL_SQL = f"""{NODE_SQL}, se AS (SELECT moa_id, head, htype, tail, sign FROM moa_edge JOIN sign USING (relation)),
@@ -324,13 +319,13 @@ LEVEL_SQL = f"""{NODE_SQL}, se AS (SELECT moa_id, head, htype, tail, sign FROM m
 
 @query("simulate_levels", f"{MOA}, {LEVEL_SQL} SELECT * FROM lv")
 def _(spark, d):
-    return g.simulate(moa_edges(spark, d), SIGNS, "Customer", DEPTH)
+    return g.simulate(moa_edges(spark, d), SIGNS, "Customer")
 
 
 @query("valid_simulatable", f"{MOA}, {LEVEL_SQL}, ok AS (SELECT moa_id FROM moa_edge JOIN sign USING (relation) GROUP BY 1 HAVING bool_and(sign <> 0)) SELECT count(DISTINCT lv.moa_id) AS graphs, count(DISTINCT ok.moa_id) AS simulatable, count(DISTINCT ok.moa_id) FILTER (type = 'Priority' AND level < 0) AS valid FROM lv LEFT JOIN ok ON lv.moa_id = ok.moa_id")
 def _(spark, d):
     e = moa_edges(spark, d)
-    lv = g.simulate(e, SIGNS, "Customer", DEPTH).where("type = 'Priority'").groupBy("moa_id").agg(F.min("level").alias("level"))
+    lv = g.simulate(e, SIGNS, "Customer").where("type = 'Priority'").groupBy("moa_id").agg(F.min("level").alias("level"))
     ok = g.simulatable(e, SIGNS).withColumn("ok", F.lit(True))
     return lv.join(ok, "moa_id", "left").agg(F.count("*").alias("graphs"), F.count_if("ok").alias("simulatable"), F.count_if(F.col("ok") & (F.col("level") < 0)).alias("valid"))
 
@@ -347,11 +342,11 @@ EDITABLE_TYPES = ["Customer", "Part", "Supplier"]
 
 @query("cut_edges", f"{MOA}, {CUT_SQL} SELECT * FROM cut")
 def _(spark, d):
-    return g.cut_edges(moa_edges(spark, d), DEPTH, "Customer", "Priority")
+    return g.cut_edges(moa_edges(spark, d), "Customer", "Priority")
 
 
 def _editable(spark, d):
-    return g.editable(moa_edges(spark, d), DEPTH, "Customer", "Priority", INVERSE, EDITABLE_TYPES)
+    return g.editable(moa_edges(spark, d), "Customer", "Priority", INVERSE, EDITABLE_TYPES)
 
 
 @query("editable_links", f"{MOA}, {EDITABLE_SQL} SELECT * FROM ed")
@@ -372,7 +367,7 @@ def _(spark, d):
 
 @query("add_link_relation", f"{MOA}, {LEVEL_SQL}, t AS (SELECT moa_id, node, level, lead(node) OVER w AS target, lead(level) OVER w AS target_level FROM lv WHERE type = 'Part' AND level <> 0 WINDOW w AS (PARTITION BY moa_id ORDER BY node)) SELECT moa_id, node AS source, target, CASE WHEN level * target_level > 0 THEN 'increases activity of' ELSE 'decreases activity of' END AS relation FROM t WHERE target IS NOT NULL AND target_level <> 0")
 def _(spark, d):
-    lv = g.simulate(moa_edges(spark, d), SIGNS, "Customer", DEPTH).where("type = 'Part' AND level <> 0")
+    lv = g.simulate(moa_edges(spark, d), SIGNS, "Customer").where("type = 'Part' AND level <> 0")
     w = Window.partitionBy("moa_id").orderBy("node")
     t = lv.select("moa_id", F.col("node").alias("source"), "level", F.lead("node").over(w).alias("target"), F.lead("level").over(w).alias("target_level")).where("target IS NOT NULL")
     return t.select("moa_id", "source", "target", F.when(F.col("level") * F.col("target_level") > 0, "increases activity of").otherwise("decreases activity of").alias("relation"))
@@ -383,13 +378,19 @@ def _(spark, d):
     return moa_edges(spark, d).groupBy("moa_id", "head", "tail").agg(F.array_join(F.sort_array(F.collect_list("relation")), " || ").alias("label"), F.count("*").alias("n"))
 
 
-@query("topological_text", f"{MOA}, lay(type, k) AS (VALUES ('Customer', 0), ('Part', 1), ('Supplier', 2), ('Nation', 3)) SELECT moa_id, string_agg(head || ' | ' || relation || ' | ' || tail, chr(10) ORDER BY k, head, relation, tail) AS text FROM moa_edge JOIN lay ON htype = type GROUP BY 1")
+TOPO_SQL = f"""{NODE_SQL}, pair AS (SELECT DISTINCT moa_id, head, tail FROM moa_edge),
+  inn AS (SELECT n.moa_id, n.node, list(p.head) FILTER (p.head IS NOT NULL) AS before FROM node n LEFT JOIN pair p ON p.moa_id = n.moa_id AND p.tail = n.node GROUP BY 1, 2),
+  whole AS (SELECT moa_id, list(struct_pack(node := node, before := coalesce(before, []::VARCHAR[])) ORDER BY node) AS nodes FROM inn GROUP BY 1),
+  kahn AS (SELECT moa_id, nodes, []::VARCHAR[] AS done FROM whole
+    UNION ALL SELECT moa_id, nodes, list_append(done, list_filter(nodes, lambda x: NOT list_contains(done, x.node) AND len(list_filter(x.before, lambda b: NOT list_contains(done, b))) = 0)[1].node) FROM kahn WHERE len(done) < len(nodes)),
+  topo AS (SELECT moa_id, done FROM kahn WHERE len(done) = len(nodes))"""
+
+
+@query("topological_text", f"{RMOA}, {TOPO_SQL} SELECT moa_id, string_agg(head || ' | ' || relation || ' | ' || tail, chr(10) ORDER BY list_position(done, head), relation, tail) AS text FROM moa_edge JOIN topo USING (moa_id) GROUP BY 1")
 def _(spark, d):
     e = moa_edges(spark, d)
-    o = g.topological_order(e, DEPTH)
-    j = e.join(o.withColumnRenamed("node", "head"), ["moa_id", "head"])
-    line = F.struct("layer", "head", "relation", "tail")
-    rows = F.sort_array(F.collect_list(line))
+    j = e.join(g.topological_order(e).withColumnRenamed("node", "head"), ["moa_id", "head"])
+    rows = F.sort_array(F.collect_list(F.struct("position", "relation", "head", "tail")))
     return j.groupBy("moa_id").agg(F.array_join(F.transform(rows, lambda x: F.concat_ws(" | ", x["head"], x["relation"], x["tail"])), "\n").alias("text"))
 
 

@@ -163,7 +163,7 @@ def _(spark, d):
     pair = o.select(F.col("o_orderkey").alias("ref_id"), F.lead("o_orderkey").over(w).alias("target_id")).where("target_id IS NOT NULL")
     keys = ["ref_id", "target_id"]
     ref = e.select(F.col("moa_id").alias("ref_id"), "head", "tail").join(pair, "ref_id").select(*keys, "head", "tail")
-    reach = g.closure(e, 4).select(F.col("moa_id").alias("target_id"), "head", "tail").join(pair, "target_id").select(*keys, "head", "tail")
+    reach = g.closure(e).select(F.col("moa_id").alias("target_id"), "head", "tail").join(pair, "target_id").select(*keys, "head", "tail")
     nodes = lambda x: x.select(*keys, F.explode(F.array("head", "tail")).alias("node")).distinct()
     mapping = nodes(ref).join(nodes(reach), [*keys, "node"]).select(*keys, F.col("node").alias("ref"), F.col("node").alias("target"))
     return m.graph_match(ref, reach, mapping, keys)

@@ -60,7 +60,7 @@ def moa_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge(s, "Supplier", F.lit("located in"), n, "Nation"),
         edge(n, "Nation", F.lit("manifestation of"), y, "Priority"),
     )
-    return rows.select(F.col("o_orderkey").alias("moa_id"), F.explode(edges).alias("e")).select("moa_id", "e.*").distinct()
+    return rows.select(F.col("o_orderkey").alias("moa_id"), F.explode(edges).alias("e")).select("moa_id", "e.*").repartition("moa_id").distinct()
 
 
 MOA_SQL = """

@@ -16,7 +16,7 @@ def edges(spark, *rows):
 
 
 def levels(spark, *rows):
-    return {r.node: r.level for r in g.simulate(edges(spark, *rows), SIGNS, "Drug", 4).collect()}
+    return {r.node: r.level for r in g.simulate(edges(spark, *rows), SIGNS, "Drug").collect()}
 
 
 @pytest.mark.parametrize(
@@ -34,21 +34,23 @@ def test_simulate(spark, rows, want):
 
 
 def test_cut_edges(spark):
-    cut = lambda *rows: {(r.head, r.tail) for r in g.cut_edges(edges(spark, *rows), 6, "Drug", "Disease").collect()}
+    cut = lambda *rows: {(r.head, r.tail) for r in g.cut_edges(edges(spark, *rows), "Drug", "Disease").collect()}
     assert cut(("D", DOWN, "P"), ("P", "causes", "X")) == {("D", "P"), ("P", "X")}
     assert cut(("D", UP, "1"), ("D", UP, "2"), ("1", UP, "3"), ("2", UP, "X"), ("3", UP, "4"), ("4", UP, "X")) == set()
 
 
 def test_editable_needs_one_relation(spark):
     e = edges(spark, ("D", UP, "P"), ("D", "causes", "P"), ("P", DOWN, "Q"), ("Q", "causes", "X"))
-    got = g.editable(e, 4, "Drug", "Disease", {UP: DOWN, DOWN: UP}, ["Drug", "Protein"]).collect()
+    got = g.editable(e, "Drug", "Disease", {UP: DOWN, DOWN: UP}, ["Drug", "Protein"]).collect()
     assert [(r.head, r.tail, r.new_relation) for r in got] == [("P", "Q", UP)]
 
 
 def test_closure_of_a_cycle(spark):
     e = edges(spark, ("A", UP, "B"), ("B", UP, "C"), ("C", UP, "A"))
-    assert g.closure(e, 6).count() == 9
-    assert {tuple(r.path) for r in g.paths(e, 5, F.col("head") == "A").collect()} == {("A", "B"), ("A", "B", "C")}
+    assert g.closure(e).count() == 9
+    start = e.withColumn("htype", F.when(F.col("head") == "A", "Start").otherwise(F.col("htype")))
+    start = start.withColumn("ttype", F.when(F.col("tail") == "A", "Start").otherwise(F.col("ttype")))
+    assert [tuple(r.path) for r in g.simple_paths(start, "Start").collect()] == [("A", "B", "C")]
 
 
 def test_bridge(spark):
@@ -64,5 +66,44 @@ def test_unknown_relation_is_not_simulatable(spark):
 
 def test_empty(spark):
     e = edges(spark, ("D", UP, "X")).limit(0)
-    for out in (g.closure(e, 3), g.simulate(e, SIGNS, "Drug", 3), g.cut_edges(e, 3, "Drug", "Disease"), g.roots_and_sinks(e)):
+    for out in (g.closure(e), g.simulate(e, SIGNS, "Drug"), g.cut_edges(e, "Drug", "Disease"), g.topological_order(e), g.shortest_paths(e, ["Drug"]), g.simple_paths(e, "Drug"), g.between(e, "Drug", "Disease"), g.roots_and_sinks(e)):
         assert out.count() == 0
+
+
+def test_relation_without_a_sign_is_an_error(spark):
+    with pytest.raises(Exception, match="without a sign"):
+        levels(spark, ("D", "sings to", "P"))
+
+
+def test_cut_edges_of_a_graph_with_a_cycle(spark):
+    e = edges(spark, ("D", UP, "A"), ("A", UP, "B"), ("B", UP, "A"), ("B", UP, "X"))
+    assert {(r.head, r.tail) for r in g.cut_edges(e, "Drug", "Disease").collect()} == {("D", "A"), ("A", "B"), ("B", "X")}
+
+
+def test_long_and_wide_graphs(spark):
+    """No bound on depth, and more paths than a long can count."""
+    rows, last = [], "D"
+    for k in range(90):
+        rows += [(last, UP, f"a{k}"), (last, UP, f"b{k}"), (f"a{k}", UP, f"c{k}"), (f"b{k}", UP, f"c{k}")]
+        last = f"c{k}"
+    e = edges(spark, *rows, (last, DOWN, "X"))
+    assert [(r.head, r.tail) for r in g.cut_edges(e, "Drug", "Disease").collect()] == [("c89", "X")]
+    assert {r.node: r.level for r in g.simulate(e, SIGNS, "Drug").collect()}["X"] == -1
+    assert g.closure(e).where("head = 'D' AND tail = 'X'").first().distance == 181
+
+
+def test_order_takes_the_least_free_node(spark):
+    e = edges(spark, ("b", UP, "c"), ("a", UP, "d"), ("d", UP, "c"), ("z", UP, "a"))
+    assert [r.node for r in g.topological_order(e).orderBy("position").collect()] == ["b", "z", "a", "d", "c"]
+
+
+def test_shortest_paths_name_their_nodes(spark):
+    e = edges(spark, ("D", UP, "b"), ("D", UP, "a"), ("a", UP, "X"), ("b", UP, "X"), ("X", UP, "D"))
+    got = {tuple(r.path) for r in g.shortest_paths(e, ["Drug"]).collect()}
+    assert got == {("D", "a"), ("D", "b"), ("D", "a", "X"), ("D", "a", "X", "D")}
+    assert [tuple(r.path) for r in g.shortest_paths(e, ["Drug"], ["Disease"], least=2).collect()] == [("D", "a", "X")]
+
+
+def test_reduced_graph_passes_dropped_nodes_only(spark):
+    e = edges(spark, ("D", UP, "a"), ("a", UP, "b"), ("b", UP, "X"), ("D", UP, "X"), (None, UP, "X"), ("D", UP, "a"))
+    assert [(r.head, r.tail) for r in g.reduced_pairs(e, ["Drug", "Disease"]).collect()] == [("D", "X")]
