@@ -115,3 +115,13 @@ def longest(items: Column) -> Column:
 
 def compound_ids(c: Column, width: int = 7) -> Column:
     return F.transform(F.split(c, "_"), lambda x: F.lpad(x, width, F.lit("0")))
+
+
+def qualified_node(kind: Column, name: Column, node: Column) -> Column:
+    """"Type: Name (id)"; null where a part is."""
+    return F.concat(kind, F.lit(": "), name, F.lit(" ("), node, F.lit(")"))
+
+
+def edge_text(head: Column, relation: Column, tail: Column) -> Column:
+    """"head | relation | tail"."""
+    return F.concat_ws(" | ", head, relation, tail)

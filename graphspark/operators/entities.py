@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as t
+from ..sources.files import scratch_path
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     """Write a round's rows in the folder of ``spark.checkpoint.dir`` (one of our own where that is unset) and read them again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="graphspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def resolve(records: DataFrame, key: str, names: str) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import asdict, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 GRAPH = "graph struct<_id string, disease string, disease_mesh string, drug string, drug_mesh string, drugbank string>, nodes array<struct<id string, label string, name string>>, links array<struct<source string, target string, key string>>"
 KG = "relation string, display_relation string, x_index long, x_id string, x_type string, x_name string, x_source string, y_index long, y_id string, y_type string, y_name string, y_source string"
@@ -120,6 +123,46 @@ def write_session(df: DataFrame, path: str, args: dict) -> None:
     df.sparkSession.createDataFrame([(json.dumps(args, sort_keys=True),)], "args string").coalesce(1).write.mode("overwrite").text(f"{path}/args")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; a local session where it is unset gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="graphspark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def write_session_files(df: DataFrame, path: str, dataset: str, model: str, run: str) -> None:
+    """Answers as JSON lines under <path>/<dataset>/<model>/run<n>: what a reader needs to know stands in the path.
+
+    Characters of names that paths can't have are escaped by Spark; null models and runs have a folder of their own.
+    """
+    marked = df.withColumns({"model": F.col(model), "run": F.col(run), "dataset": F.lit(dataset)})
+    marked.write.mode("overwrite").partitionBy("dataset", "model", "run").json(path)
+
+
+def read_session_files(spark: SparkSession, path: str, schema: str, pattern: str = "dataset=([^/]+)/model=([^/]+)/run=([^/]+)/") -> DataFrame:
+    """The rows of all session files below ``path``, with ``dataset``, ``model``, ``run`` and ``file`` from each file's path.
+
+    A file whose path doesn't fit has nulls there; a folder without files is an error of Spark.
+    """
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    part = lambda k: F.nullif(F.regexp_extract("file", pattern, k), F.lit(""))
+    return df.withColumns({n: F.url_decode(part(k)) for k, n in enumerate(("dataset", "model", "run"), 1)})
+
+
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """Rows as CSV with a header; ``one_file`` for results that one task can hold."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of CSV files with a header, typed; a value that doesn't fit is an error."""
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
 def cached(spark: SparkSession, path: str, options: dict, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
     """A table built with these options: read if it is there with equal ones, else built and written."""
     want = json.dumps(options, sort_keys=True)
@@ -147,10 +190,69 @@ def runs_to_do(spark: SparkSession, path: str, expected: dict[str, int]) -> Data
     return left.select("task", F.greatest(F.col("expected") - F.coalesce("done", F.lit(0)), F.lit(0)).alias("remaining"))
 
 
-def render(df: DataFrame, style: str = "markdown", rows: int = 1000) -> str:
-    """A small result as a Markdown or tab-separated table."""
-    data = [tuple("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) for r in df.limit(rows).collect()]
+def _cells(df: DataFrame, rows: int) -> tuple[list[tuple[str, ...]], int]:
+    """The first rows as text, and how many there are at all."""
+    data = [tuple("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) for r in df.limit(rows + 1).collect()]
+    return data[:rows], df.count() if len(data) > rows else len(data)
+
+
+def render(df: DataFrame, style: str = "markdown", rows: int = 1000, caption: str | None = None) -> str:
+    """A small result as a table: "markdown", "tsv" or "fixed" width. Where it has more rows, the last line says how many are left out."""
+    data, total = _cells(df, rows)
+    head = tuple(df.columns)
     if style == "tsv":
-        return "\n".join("\t".join(r) for r in [tuple(df.columns), *data])
-    line = lambda r: "| " + " | ".join(r) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, data)])
+        out = ["\t".join(r) for r in [head, *data]]
+    elif style == "fixed":
+        width = [max(len(r[k]) for r in [head, *data]) for k in range(len(head))]
+        numbers = [bool(data) and all(r[k] == "" or r[k].lstrip("-").replace(".", "", 1).isdigit() for r in data) for k in range(len(head))]
+        line = lambda r: "  ".join(v.rjust(w) if n else v.ljust(w) for v, w, n in zip(r, width, numbers)).rstrip()
+        out = [line(head), "  ".join("-" * w for w in width), *map(line, data)]
+    else:
+        line = lambda r: "| " + " | ".join(x.replace("|", "\\|") for x in r) + " |"
+        out = [line(head), line(["---"] * len(head)), *map(line, data)]
+    if caption:
+        out = [caption, "=" * len(caption), *out]
+    return "\n".join(out + ([f"... {total - rows} more rows"] if total > rows else []))
+
+
+def counts_table(df: DataFrame, count: str, order: list | None = None, running: bool = False) -> DataFrame:
+    """A small table of counts with ``pct``, on request the running total and ``running_pct``, and a row "SUM".
+
+    Rows come by descending count, then by the other columns, or in ``order``. The first column is text.
+    """
+    first, others = df.columns[0], [c for c in df.columns[1:] if c != count]
+    every = Window.partitionBy()
+    by = order or [F.desc(count), *(c for c in df.columns if c != count)]
+    share = lambda c: F.round(100.0 * c / F.sum(count).over(every), 6)
+    so_far = F.sum(count).over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))  # a few rows
+    extra = {"pct": share(F.col(count))} | ({"running": so_far, "running_pct": share(so_far)} if running else {})
+    body = df.withColumn(first, F.col(first).cast("string")).withColumns(extra)
+    total = df.agg(F.sum(count).alias(count))
+    last = total.select(F.lit("SUM").alias(first), *(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in others), count, F.lit(100.0).alias("pct"), *((F.lit(None).cast(body.schema[c].dataType).alias(c)) for c in extra if c != "pct"))
+    return body.select(*last.columns).unionByName(last)
+
+
+def keyed_rows(rows: dict[str, dict[str, object]], spark: SparkSession, key: str = "key") -> DataFrame:
+    """A small dict of dicts as a table: a row for each outer key, a column for each inner one, null where it is missing."""
+    columns = sorted({c for r in rows.values() for c in r})
+    return spark.createDataFrame([(k, *(None if r.get(c) is None else str(r[c]) for c in columns)) for k, r in rows.items()], ", ".join(f"`{c}` string" for c in (key, *columns)))
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """(json): every row as JSON, NaN and nulls kept as they are written by Spark."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def read_options(kind: type, path: str):
+    """An options dataclass from a JSON file: unknown names are an error, missing ones take their defaults."""
+    with open(path) as f:
+        given = json.load(f)
+    unknown = set(given) - {f.name for f in fields(kind)}
+    if unknown:
+        raise ValueError(f"unknown options: {sorted(unknown)}")
+    return kind(**given)
+
+
+def write_options(options, path: str) -> None:
+    with open(path, "w") as f:
+        json.dump(asdict(options), f, sort_keys=True, indent=1)

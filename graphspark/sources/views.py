@@ -131,3 +131,33 @@ SESSION_SQL = """
   session AS (SELECT *, is_positive = predicted AS correct FROM (
     SELECT event_id, 'm' || (user_id % 5) AS model, user_id % 7 AS run, event_type AS option, value AS score, event_id % 3 <> 0 AS is_positive,
       event_type IN ('click', 'purchase', 'signup') AS predicted, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id FROM events))"""
+
+
+# The options of edited links by their event type (null: no option was found).
+EVENT_OPTION = {"click": "Fully Blocked", "purchase": "Partially Blocked", "signup": "No Effect", "view": "Contra-indicated"}
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored answers from the events: option, score, graph sizes and matches, distances of the link."""
+    e = table(spark, sf_dir, "events")
+    u, i = F.col("user_id"), F.col("event_id")
+    long = lambda c: c.cast("long")
+    return e.select(
+        "event_id", F.concat(F.lit("m"), (u % 5).cast("string")).alias("model"), long(u % 3).alias("session"),
+        F.when(i % 2 == 0, "DELETE_LINK").otherwise("CHANGE_LINK").alias("query_type"), pick(EVENT_OPTION, F.col("event_type")).alias("option_key"),
+        F.when(F.col("event_type") != "error", (u % 100) / 100).alias("match_score"), (i % 3 != 0).alias("is_positive"),
+        (i % 3 != 0).alias("has_ref_graph"), (u % 6 != 0).alias("has_target_graph"),
+        long(3 + u % 5).alias("n_nodes_ref"), long(u % 6).alias("n_nodes_target"), long(u % 3).alias("n_prompt_ref_nodes"),
+        long(F.least(3 + u % 5, i % 5)).alias("n_nodes_matched_ref"), long(F.least(u % 6, i % 5)).alias("n_nodes_matched_target"), long(F.least(u % 3, i % 2)).alias("n_prompt_ref_nodes_matched"),
+        F.when(i % 11 != 0, (i % 7) / 7).alias("interior_node_match_score"), ((i % 9) / 9).alias("edge_match_score_reduced"),
+        long(u % 4).alias("from_root"), long(i % 5).alias("from_sink"), pick({0: "Drug", 1: "Protein", 2: "GeneFamily"}, u % 3).alias("source_type"),
+    )
+
+
+ANSWER_SQL = """
+  answer AS (SELECT event_id, 'm' || (user_id % 5) AS model, user_id % 3 AS session, CASE WHEN event_id % 2 = 0 THEN 'DELETE_LINK' ELSE 'CHANGE_LINK' END AS query_type,
+    CASE event_type WHEN 'click' THEN 'Fully Blocked' WHEN 'purchase' THEN 'Partially Blocked' WHEN 'signup' THEN 'No Effect' WHEN 'view' THEN 'Contra-indicated' END AS option_key,
+    CASE WHEN event_type <> 'error' THEN (user_id % 100) / 100 END AS match_score, event_id % 3 <> 0 AS is_positive, event_id % 3 <> 0 AS has_ref_graph, user_id % 6 <> 0 AS has_target_graph,
+    3 + user_id % 5 AS n_nodes_ref, user_id % 6 AS n_nodes_target, user_id % 3 AS n_prompt_ref_nodes, least(3 + user_id % 5, event_id % 5) AS n_nodes_matched_ref,
+    least(user_id % 6, event_id % 5) AS n_nodes_matched_target, least(user_id % 3, event_id % 2) AS n_prompt_ref_nodes_matched, CASE WHEN event_id % 11 <> 0 THEN (event_id % 7) / 7 END AS interior_node_match_score,
+    (event_id % 9) / 9 AS edge_match_score_reduced, user_id % 4 AS from_root, event_id % 5 AS from_sink, CASE user_id % 3 WHEN 0 THEN 'Drug' WHEN 1 THEN 'Protein' ELSE 'GeneFamily' END AS source_type FROM events)"""
