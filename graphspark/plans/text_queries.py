@@ -38,7 +38,7 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(t.tokenize(F.concat("p_name", F.lit("-"), "p_brand")), ",").alias("tokens"))
 
 
-@query("normalize_names", "SELECT item_id, trim(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS name FROM benchmark")
+@query("normalize_names", "SELECT item_id, trim(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS name FROM benchmark")
 def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", t.normalize_name(F.col("text")).alias("name"))
 
@@ -95,10 +95,14 @@ def _(spark, d):
     return p.select("p_partkey", "x.main", F.array_join("x.alternates", "|").alias("alternates"), F.array_join("x.examples", "|").alias("examples"))
 
 
-@query("hyphen_variants", "SELECT DISTINCT p_brand, array_to_string([p_brand || '-x', p_brand || ' x', p_brand || 'x'], '|') AS variants FROM (SELECT DISTINCT replace(p_brand, '#', '') AS p_brand FROM part)")
+_SMALL = "CASE WHEN regexp_matches({a}[-1], '[a-z]') THEN lower({b}[1]) || {b}[2:] ELSE {b} END"
+
+
+@query("hyphen_variants", f"WITH p AS (SELECT DISTINCT replace(p_brand, '#', '') AS a, split_part(p_type, ' ', 1) AS b FROM part), j AS (SELECT 1 AS k, '-' AS h UNION ALL SELECT 2, ' ' UNION ALL SELECT 3, ''), v AS (SELECT a, b, x.k * 10 + y.k AS k, a || x.h || CASE WHEN x.h = '' THEN {_SMALL.format(a='a', b='b')} ELSE b END || y.h || CASE WHEN y.h = '' THEN {_SMALL.format(a='b', b='a')} ELSE a END AS name FROM p, j x, j y) SELECT a || '-' || b || '-' || a AS name, array_to_string(list(name ORDER BY k) FILTER (k > 11), '|') AS variants FROM v GROUP BY a, b")
 def _(spark, d):
-    b = table(spark, d, "part").select(F.replace("p_brand", F.lit("#"), F.lit("")).alias("p_brand")).distinct()
-    return b.select("p_brand", F.array_join(t.hyphen_variants(F.concat("p_brand", F.lit("-x"))), "|").alias("variants"))
+    p = table(spark, d, "part").select(F.replace("p_brand", F.lit("#"), F.lit("")).alias("a"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("b")).distinct()
+    name = F.concat_ws("-", "a", "b", "a")
+    return p.select(name.alias("name"), F.array_join(t.hyphen_variants(name), "|").alias("variants"))
 
 
 @query("text_graph", "WITH l AS (SELECT o_orderkey AS g, 'C' || o_custkey AS head, 'P' || l_partkey AS tail FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT DISTINCT * FROM l) SELECT g, count(*) AS edges, count(DISTINCT head) + count(DISTINCT tail) AS nodes, min(head) AS root FROM e GROUP BY 1")
