@@ -116,3 +116,12 @@ def lookup(mentions: DataFrame, mention: str, entities: DataFrame, key: str, nam
     distinct = asked.select("_asked").distinct()
     found = distinct.join(index, F.contains("_name", "_asked") if substring else F.col("_name") == F.col("_asked")).select("_asked", F.col("_key").alias(key)).distinct()
     return asked.join(found, "_asked").drop("_asked")
+
+
+def upserted(rows: DataFrame, name: Column, order: str, values: dict[str, Column]) -> DataFrame:
+    """(name, values, n): one entity for each name, with the first known (not null) value of each kind by ``order``, and its number of rows.
+
+    A null name is an entity of its own.
+    """
+    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col(order)))
+    return rows.groupBy(name.alias("name")).agg(*(first(c).alias(k) for k, c in values.items()), F.count("*").alias("n"))

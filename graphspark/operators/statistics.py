@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
@@ -49,9 +51,12 @@ def stratified_bootstrap(df: DataFrame, correct: Column, stratum: str, replicate
     Only the strata's counts reach the driver; replicates are rows.
     """
     spark = df.sparkSession
-    counts = df.groupBy(stratum).agg(F.count("*").alias("n"), F.sum(correct.cast("long")).alias("s")).orderBy(stratum).collect()
+    counts = df.where(correct.isNotNull()).groupBy(stratum).agg(F.count("*").alias("n"), F.sum(correct.cast("long")).alias("s")).orderBy(stratum).collect()
     strata = [(r.n, r.s / r.n) for r in counts]
     n, s = sum(r.n for r in counts), sum(r.s for r in counts)
+    if n < 2:  # no jackknife
+        value = F.lit(float(s) if n else None).cast("double")
+        return spark.range(1).select(*(value.alias(c) for c in ("mean", "low", "high", "percentile_low", "percentile_high")), F.lit(None).cast("double").alias("stderr"), F.lit(n).alias("n"))
     mean = s / n
     draws = spark.range(replicates).withColumnRenamed("id", "b").mapInPandas(_draws(strata, replicates, seed), "b long, mean double")
     r = draws.agg(F.count_if(F.col("mean") < mean).alias("below"), F.count_if(F.col("mean") == mean).alias("same"), F.stddev_samp("mean").alias("se"))
@@ -80,6 +85,8 @@ def permutation_test(df: DataFrame, value: Column, group: Column, replicates: in
     spark = df.sparkSession
     c = df.agg(F.count_if(group).alias("n1"), F.count_if(~group).alias("n2"), F.count_if(group & value).alias("s1"), F.count_if(~group & value).alias("s2")).first()
     n1, n2, s1, s2 = c.n1, c.n2, c.s1, c.s2
+    if not n1 or not n2:  # nothing to compare
+        return spark.range(1).select(F.lit(None).cast("double").alias("difference"), F.lit(None).cast("double").alias("p"), F.lit(0).cast("long").alias("replicates"))
     seen = s1 / n1 - s2 / n2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,6 +102,8 @@ def permutation_test(df: DataFrame, value: Column, group: Column, replicates: in
 def monte_carlo_test(df: DataFrame, correct: Column, chance: float, replicates: int = 999, seed: int = 5) -> DataFrame:
     """One row: how often as many right answers come by chance."""
     c = df.agg(F.count("*").alias("n"), F.count_if(correct).alias("s")).first()
+    if not c.n:
+        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("p"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -105,7 +114,7 @@ def monte_carlo_test(df: DataFrame, correct: Column, chance: float, replicates:
     return hits.agg(F.lit(c.s / c.n).alias("share"), ((F.count_if("extreme") + 1) / (F.count("*") + 1)).alias("p"))
 
 
-def logistic_depth(df: DataFrame, features: list[str], label: str, splits: int = 20, seed: int = 9) -> DataFrame:
+def logistic_depth(df: DataFrame, features: list[str], label: str, splits: int = 100, seed: int = 9) -> DataFrame:
     """Accuracy and coefficients over random halves: sufficient counts are grouped first, so each split fits on few rows."""
     cells = df.groupBy(*features, label, (F.abs(F.xxhash64("key")) % 64).alias("part")).agg(F.count("*").alias("n"))
 
@@ -126,3 +135,208 @@ def logistic_depth(df: DataFrame, features: list[str], label: str, splits: int =
     each = cells.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).groupBy("split").applyInPandas(run, schema)
     names = ["accuracy", "intercept", *(f"coef_{f}" for f in features)]
     return each.agg(*(f(n).alias(f"{n}_{k}") for n in names for k, f in (("mean", F.avg), ("sd", F.stddev_pop))))
+
+
+# --------------------------------------------------------------------------
+# Any statistic of any values: resampling of counted values
+
+#: Distinct (stratum, value) pairs that are resampled; more is an error that asks for rounded values.
+MOST_VALUES = 100_000
+
+
+def mean_of(values: np.ndarray, counts: np.ndarray) -> float:
+    """The statistic that is used unless another is given: f(values, how often each was drawn)."""
+    return float((values * counts).sum() / counts.sum())
+
+
+def counted(df: DataFrame, value: Column, *keys: Column) -> pd.DataFrame:
+    """Distinct values with their counts, at most ``MOST_VALUES``; null and NaN values go."""
+    v = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    names = [f"k{n}" for n in range(len(keys))]
+    rows = df.select(*(k.cast("string").alias(n) for n, k in zip(names, keys)), v.alias("v")).where("v IS NOT NULL").groupBy(*names, "v").agg(F.count("*").alias("n"))
+    out = rows.limit(MOST_VALUES + 1).toPandas()
+    if len(out) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} distinct values: round them before")
+    return out.sort_values([*names, "v"], na_position="first").reset_index(drop=True)
+
+
+def _resampled(c: pd.DataFrame, statistic, replicates: int, seed: int, spark) -> DataFrame:
+    """(b, value): the statistic of draws with replacement within each stratum (k0); draws of equal values are counted together."""
+    groups = [g.index.to_numpy() for _, g in c.groupby("k0", dropna=False, sort=True)] if "k0" in c else [c.index.to_numpy()]
+    v, n = c.v.to_numpy(float), c.n.to_numpy(np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for b in pdf.b:
+                rng, drawn = np.random.default_rng([seed, int(b)]), np.zeros(len(v), np.int64)
+                for at in groups:
+                    drawn[at] = rng.multinomial(n[at].sum(), n[at] / n[at].sum())
+                out.append(statistic(v, drawn))
+            yield pd.DataFrame({"b": pdf.b, "value": out})
+
+    return spark.range(replicates).withColumnRenamed("id", "b").mapInPandas(run, "b long, value double")
+
+
+def bootstrap(df: DataFrame, value: Column, stratum: Column | None = None, statistic: Callable[[np.ndarray, np.ndarray], float] = mean_of, method: str = "bca", alternative: str = "two-sided", replicates: int = 9999, level: float = 0.9, seed: int = 1) -> DataFrame:
+    """One row: value, low, high, stderr, n of a statistic of any numbers, resampled within strata.
+
+    method: "bca", "percentile" or "basic"; alternative: "two-sided", "less" (from minus infinity) or "greater" (to
+    infinity). The jackknife of "bca" leaves out one value of all. Without values all is null; with one value the limits are it.
+    """
+    spark = df.sparkSession
+    c = counted(df, value, *([stratum] if stratum is not None else []))
+    n = int(c.n.sum()) if len(c) else 0
+    if not n:
+        return spark.range(1).select(*(F.lit(None).cast("double").alias(x) for x in ("value", "low", "high", "stderr")), F.lit(0).cast("long").alias("n"))
+    v, k = c.v.to_numpy(float), c.n.to_numpy(np.int64)
+    seen = statistic(v, k)
+    draws = _resampled(c, statistic, replicates, seed, spark).toPandas().value.to_numpy()  # one number for each replicate
+    alpha = (1 - level) / 2 if alternative == "two-sided" else 1 - level
+    low, high = alpha, 1 - alpha
+    if method == "bca" and len(v) > 1:
+        normal = NormalDist()
+        share = min(max(((draws < seen).sum() + (draws == seen).sum() / 2) / replicates, 0.5 / replicates), 1 - 0.5 / replicates)
+        z0 = normal.inv_cdf(share)
+        left = np.array([statistic(v, k - (np.arange(len(v)) == j)) for j in range(len(v))])
+        away = np.average(left, weights=k) - left
+        squares = float((k * away**2).sum())
+        a = float((k * away**3).sum()) / (6 * squares**1.5) if squares else 0.0
+        low, high = (normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))) for z in map(normal.inv_cdf, (low, high)))
+    limits = np.quantile(draws, [low, high])
+    if method == "basic":
+        limits = 2 * seen - limits[::-1]
+    bounds = [-np.inf if alternative == "less" else float(limits[0]), np.inf if alternative == "greater" else float(limits[1])]
+    row = [(float(seen), *map(float, bounds), float(draws.std(ddof=1)), n)]
+    return spark.createDataFrame(row, "value double, low double, high double, stderr double, n long")
+
+
+def group_intervals(df: DataFrame, correct: Column, stratum: str, groups: dict[str, Column], keys: list[str] = (), upsample: dict[str, int] | None = None, replicates: int = 999, level: float = 0.9, seed: int = 1) -> DataFrame:
+    """(keys, group, value, low, high, stderr, n): a table of named filters, each resampled within strata.
+
+    All groups are counted in one pass; only their counts of right and wrong answers reach the driver, and the replicates
+    are drawn by tasks. ``upsample`` counts the rows of some strata several times. Groups without rows are left out.
+    """
+    spark = df.sparkSession
+    times = F.lit(1)
+    for s, m in (upsample or {}).items():
+        times = F.when(F.col(stratum) == s, m).otherwise(times)
+    flags = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in groups.items()))
+    each = df.withColumn("group", F.explode(F.filter(flags, lambda x: x.isNotNull()))).where(correct.isNotNull())
+    counts = each.groupBy(*keys, "group", stratum).agg(F.sum(times.cast("long")).alias("n"), F.sum(F.when(correct, times).otherwise(0).cast("long")).alias("s"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(stratum)
+        n, s = pdf.n.to_numpy(np.int64), pdf.s.to_numpy(np.int64)
+        rng = np.random.default_rng([seed, *pdf.group.iloc[0].encode()])
+        draws = sum(rng.binomial(a, b / a, replicates) for a, b in zip(n, s)) / n.sum()
+        alpha = (1 - level) / 2
+        low, high = np.quantile(draws, [alpha, 1 - alpha])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "group": [pdf.group.iloc[0]], "value": [s.sum() / n.sum()], "low": [low], "high": [high], "stderr": [draws.std(ddof=1)], "n": [n.sum()]})
+
+    schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys) + "group string, value double, low double, high double, stderr double, n long"
+    return counts.groupBy(*keys, "group").applyInPandas(run, schema)
+
+
+def monte_carlo(df: DataFrame, value: Column, draw: Callable[[np.random.Generator, int], np.ndarray], statistic: Callable[[np.ndarray, np.ndarray], float] = mean_of, alternative: str = "greater", replicates: int = 9999, seed: int = 5) -> DataFrame:
+    """One row: the statistic and how often one of ``n`` values drawn by ``draw(rng, n)`` is as extreme; (hits + 1) / (replicates + 1).
+
+    A draw is held by one task. Without values both are null.
+    """
+    spark = df.sparkSession
+    c = counted(df, value)
+    n = int(c.n.sum()) if len(c) else 0
+    if not n:
+        return spark.range(1).select(F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("p"))
+    seen = statistic(c.v.to_numpy(float), c.n.to_numpy(np.int64))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for b in pdf.b:
+                x = draw(np.random.default_rng([seed, int(b)]), n)
+                out.append(statistic(x, np.ones(len(x), np.int64)))
+            yield pd.DataFrame({"value": out})
+
+    hits = spark.range(replicates).withColumnRenamed("id", "b").mapInPandas(run, "value double")
+    return hits.select(_extreme(F.col("value"), seen, alternative).alias("e")).agg(F.lit(seen).alias("value"), ((F.count_if("e") + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def _extreme(value: Column, seen: float, alternative: str) -> Column:
+    """Ties within 100 units of rounding count as extreme."""
+    near = abs(seen) * 100 * float(np.finfo(float).eps)
+    if alternative == "greater":
+        return value >= seen - near
+    if alternative == "less":
+        return value <= seen + near
+    return F.abs(value) >= abs(seen) - near
+
+
+def permutation(df: DataFrame, value: Column, by: Column, kind: str = "independent", alternative: str = "two-sided", replicates: int = 9999, seed: int = 3) -> DataFrame:
+    """One row: a statistic, its p, how many permutations were looked at, and whether these are all.
+
+    "independent": ``by`` parts the values in two groups, the statistic is the difference of their means. "samples":
+    ``value`` and ``by`` are paired numbers, which change places within pairs; the mean difference. "pairings": they are
+    paired anew; the correlation. All permutations are looked at where they are no more than ``replicates``; then p is
+    their share, else (hits + 1) / (replicates + 1). Rows with a null go; without two rows all is null.
+    """
+    spark = df.sparkSession
+    null = spark.range(1).select(*(F.lit(None).cast("double").alias(x) for x in ("statistic", "p")), F.lit(0).cast("long").alias("permutations"), F.lit(False).alias("exact"))
+    if kind == "independent":
+        c = counted(df.where(by.isNotNull()), value, by.cast("boolean"))
+        first = c.k0.to_numpy(str) == "true" if len(c) else np.zeros(0, bool)
+        n, n1 = int(c.n.sum()) if len(c) else 0, int(c.n[first].sum()) if len(c) else 0
+        if not n1 or n1 == n:
+            return null
+        v, k = np.unique(c.v.to_numpy(float), return_inverse=True)
+        total, own = np.bincount(k, c.n).astype(np.int64), np.bincount(k, c.n * first).astype(np.int64)
+        difference = lambda x: float((x * v).sum() / n1 - ((total - x) * v).sum() / (n - n1))
+        seen, every = difference(own), math.comb(n, n1)
+        exact = every <= replicates
+        flat = np.repeat(np.arange(len(v)), total)
+        one = lambda rng: difference(rng.multivariate_hypergeometric(total, n1, method="marginals"))
+        whole = lambda: [difference(np.bincount(flat[list(at)], minlength=len(v))) for at in itertools.combinations(range(n), n1)]
+    else:
+        pairs = df.select(value.cast("double").alias("a"), by.cast("double").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").limit(MOST_VALUES + 1).toPandas().sort_values(["a", "b"])
+        if len(pairs) > MOST_VALUES:
+            raise ValueError(f"more than {MOST_VALUES} pairs")
+        a, b, n = pairs.a.to_numpy(), pairs.b.to_numpy(), len(pairs)
+        if n < 2:
+            return null
+        if kind == "samples":
+            gap = a - b
+            seen, every = float(gap.mean()), 2**n
+            exact = every <= replicates
+            one = lambda rng: float((gap * rng.choice((-1, 1), n)).mean())
+            whole = lambda: [float((gap * np.array(s)).mean()) for s in itertools.product((1, -1), repeat=n)]
+        else:
+            scale = lambda x: (x - x.mean()) / (x.std() or 1.0)
+            x, y = scale(a), scale(b)
+            seen, every = float((x * y).mean()), math.factorial(min(n, 20))
+            exact = n < 20 and every <= replicates
+            one = lambda rng: float((x * rng.permutation(y)).mean())
+            whole = lambda: [float((x * y[list(at)]).mean()) for at in itertools.permutations(range(n))]
+    if exact:
+        near, all_ = abs(seen) * 100 * np.finfo(float).eps, np.array(whole())
+        hits = (np.abs(all_) >= abs(seen) - near) if alternative == "two-sided" else (all_ >= seen - near) if alternative == "greater" else (all_ <= seen + near)
+        return spark.createDataFrame([(seen, float(hits.mean()), len(all_), True)], "statistic double, p double, permutations long, exact boolean")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"value": [one(np.random.default_rng([seed, int(b)])) for b in pdf.b]})
+
+    drawn = spark.range(replicates).withColumnRenamed("id", "b").mapInPandas(run, "value double")
+    counted_hits = drawn.select(_extreme(F.col("value"), seen, alternative).alias("e"))
+    return counted_hits.agg(F.lit(seen).alias("statistic"), ((F.count_if("e") + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("permutations"), F.lit(False).alias("exact"))
+
+
+def accumulated(df: DataFrame, keys: list[str], metrics: dict[str, Column]) -> DataFrame:
+    """(keys, a column for each metric): a list of aggregate expressions over each group, whatever they are."""
+    return df.groupBy(*keys).agg(*(m.alias(n) for n, m in metrics.items()))
+
+
+def run_statistics(runs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """(keys, metric, mean, sd, low, high, runs) over runs, NaN and null left out of the numbers."""
+    long = runs.unpivot(keys, metrics, "metric", "v")
+    v = F.nanvl(F.col("v").cast("double"), F.lit(None).cast("double"))
+    return long.groupBy(*keys, "metric").agg(*(F.round(f(v), 6).alias(n) for n, f in (("mean", F.avg), ("sd", F.stddev_pop), ("low", F.min), ("high", F.max))), F.count("*").alias("runs"))

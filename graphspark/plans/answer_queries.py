@@ -137,3 +137,81 @@ def _(spark, d):
     files.write_csv(answers(spark, d).select(ok, "from_root", "from_sink"), path)
     read = files.read_csv(spark, path, "response_is_correct int, from_root long, from_sink long")
     return read.groupBy("response_is_correct", "from_root", "from_sink").agg(F.count("*").alias("n"))
+
+
+# --------------------------------------------------------------------------
+# Intervals and tests
+
+
+def _correct():
+    return a.edit_link_correct(F.col("option_key"), F.col("query_type"), F.col("is_positive"))
+
+
+CORRECT_SQL = f"(CASE WHEN is_positive THEN {STRICT_SQL} ELSE {NO_EFFECT_SQL} END)"
+# (name, SQL of the filter): groups by kind of question, sample, source and distance
+GROUPS = {
+    "all": "true", "positive": "is_positive", "negative": "NOT is_positive", "delete": "query_type = 'DELETE_LINK'", "change": "query_type = 'CHANGE_LINK'",
+    "delete positive": "query_type = 'DELETE_LINK' AND is_positive", "delete negative": "query_type = 'DELETE_LINK' AND NOT is_positive",
+    "change positive": "query_type = 'CHANGE_LINK' AND is_positive", "change negative": "query_type = 'CHANGE_LINK' AND NOT is_positive",
+    "drug": "source_type = 'Drug'", "protein": "source_type = 'Protein'", "family": "source_type = 'GeneFamily'", "drug positive": "source_type = 'Drug' AND is_positive",
+    "protein positive": "source_type = 'Protein' AND is_positive", "near root": "from_root <= 1", "near sink": "from_sink <= 1", "far": "from_root > 1 AND from_sink > 1",
+}
+GROUP_SQL = f"WITH {ANSWER_SQL}, grps AS ({' UNION ALL '.join(f"SELECT '{n}' AS grp, model, session, {CORRECT_SQL} AS ok FROM answer WHERE {w}" for n, w in GROUPS.items())})"
+
+
+@query("group_accuracy", f"""{GROUP_SQL} SELECT grp, round(sum(CASE WHEN session = 1 THEN 4 ELSE 1 END * ok::INT) / sum(CASE WHEN session = 1 THEN 4 ELSE 1 END), 6) AS value, sum(CASE WHEN session = 1 THEN 4 ELSE 1 END)::BIGINT AS n, true AS inside FROM grps GROUP BY 1""")
+def _(spark, d):
+    """Seventeen groups with intervals, resampled within sessions; rows of one session count four times."""
+    g = s.group_intervals(answers(spark, d), _correct(), "session", {n: F.expr(w) for n, w in GROUPS.items()}, upsample={1: 4})
+    return g.select(F.col("group").alias("grp"), F.round("value", 6).alias("value"), "n", ((F.col("low") <= F.col("value") + 1e-9) & (F.col("value") <= F.col("high") + 1e-9) & (F.col("stderr") >= 0)).alias("inside"))
+
+
+@query("group_accuracy_by_model", f"""{GROUP_SQL}, p AS (SELECT grp, model, round(avg(ok::INT), 6) AS v FROM grps GROUP BY 1, 2) SELECT grp, {', '.join(f"max(v) FILTER (model = '{m}') AS {m}" for m in M5)} FROM p GROUP BY 1""")
+def _(spark, d):
+    """One table of the groups for each model, side by side."""
+    g = s.group_intervals(answers(spark, d), _correct(), "session", {n: F.expr(w) for n, w in GROUPS.items()}, keys=["model"], replicates=199)
+    return g.groupBy(F.col("group").alias("grp")).pivot("model", M5).agg(F.round(F.first("value"), 6))
+
+
+@query("pooled_bootstrap", f"{AN} SELECT round(avg(match_score), 6) AS value, count(match_score) AS n, true AS inside FROM answer")
+def _(spark, d):
+    """A plain bootstrap of the mean score of all sessions together."""
+    b = s.bootstrap(answers(spark, d), F.col("match_score"), method="percentile", replicates=999)
+    return b.select(F.round("value", 6).alias("value"), "n", F.col("value").between(F.col("low"), F.col("high")).alias("inside"))
+
+
+@query("permutation_kinds", f"{AN} SELECT 'independent' AS kind, round(avg(match_score) FILTER (is_positive) - avg(match_score) FILTER (NOT is_positive), 6) AS statistic FROM answer UNION ALL SELECT 'samples', round(avg(a - b), 6) FROM (SELECT model, avg(from_root) FILTER (is_positive) AS a, avg(from_sink) FILTER (is_positive) AS b FROM answer GROUP BY 1) UNION ALL SELECT 'pairings', round(corr(a, b), 6) FROM (SELECT model, avg(from_root) AS a, avg(from_sink) AS b FROM answer GROUP BY 1)")
+def _(spark, d):
+    """Two groups, changed places within pairs, and new pairs."""
+    x = answers(spark, d)
+    by_model = x.groupBy("model").agg(*(F.avg(F.when(F.col("is_positive"), F.col(c))).alias(f"{c}_p") for c in ("from_root", "from_sink")), F.avg("from_root").alias("a"), F.avg("from_sink").alias("b"))
+    tests = {
+        "independent": s.permutation(x, F.col("match_score"), F.col("is_positive"), replicates=199),
+        "samples": s.permutation(by_model, F.col("from_root_p"), F.col("from_sink_p"), "samples"),
+        "pairings": s.permutation(by_model, F.col("a"), F.col("b"), "pairings"),
+    }
+    rows = [t.where("p BETWEEN 0 AND 1").select(F.lit(k).alias("kind"), F.round("statistic", 6).alias("statistic")) for k, t in tests.items()]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
+
+
+@query("monte_carlo_mean", f"{AN} SELECT round(avg(match_score), 6) AS value FROM answer")
+def _(spark, d):
+    """The mean score against uniform ones."""
+    return s.monte_carlo(answers(spark, d), F.col("match_score"), lambda rng, n: rng.random(n), replicates=99).where("p BETWEEN 0 AND 1").select(F.round("value", 6).alias("value"))
+
+
+@query("run_statistics", f"{AN}, {RUN_SQL}, l AS (SELECT model, 'accuracy' AS metric, accuracy AS v FROM run UNION ALL SELECT model, 'edge', edge FROM run) SELECT model, metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS low, round(max(v), 6) AS high, count(*) AS runs FROM l GROUP BY 1, 2")
+def _(spark, d):
+    """Metrics of several runs of a task."""
+    return s.run_statistics(_runs(spark, d), ["model"], ["accuracy", "edge"])
+
+
+@query("accumulated_metrics", f"{AN} SELECT model, query_type, sum(n_nodes_ref)::BIGINT AS nodes, round(max(match_score), 6) AS best FROM answer GROUP BY 1, 2")
+def _(spark, d):
+    return s.accumulated(answers(spark, d), ["model", "query_type"], {"nodes": F.sum("n_nodes_ref"), "best": F.round(F.max("match_score"), 6)})
+
+
+@query("counts_table", f"{AN}, c AS (SELECT option_key, count(*) AS n FROM answer GROUP BY 1), r AS (SELECT option_key, n, round(100.0 * n / sum(n) OVER (), 6) AS pct, sum(n) OVER w::BIGINT AS running, round(100.0 * sum(n) OVER w / sum(n) OVER (), 6) AS running_pct FROM c WINDOW w AS (ORDER BY n DESC, option_key NULLS FIRST ROWS UNBOUNDED PRECEDING)) SELECT * FROM r UNION ALL SELECT 'SUM', sum(n)::BIGINT, 100.0, NULL, NULL FROM c")
+def _(spark, d):
+    """Counts with shares, running totals and their sum, as reports show them."""
+    return files.counts_table(answers(spark, d).groupBy("option_key").agg(F.count("*").alias("n")), "n", running=True)

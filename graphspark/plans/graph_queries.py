@@ -400,10 +400,10 @@ def _(spark, d):
     return u.select("type", "node", F.dense_rank().over(Window.partitionBy("type").orderBy("first", "node")).cast("long").alias("idx"))
 
 
-@query("required_types", f"{MOA}, {NODE_SQL} SELECT moa_id FROM node GROUP BY 1 HAVING bool_or(type = 'Supplier') AND bool_or(type = 'Nation') AND count(*) FILTER (type = 'Part') >= 2 ORDER BY moa_id LIMIT 50")
+@query("required_types", f"{MOA}, {NODE_SQL} SELECT moa_id FROM node GROUP BY 1 HAVING bool_or(type = 'Supplier') AND bool_or(type = 'Nation') AND count(*) FILTER (type = 'Part') >= 2")
 def _(spark, d):
     n = g.nodes_of(moa_edges(spark, d), "moa_id").groupBy("moa_id").agg(F.collect_set("type").alias("t"), F.count_if(F.col("type") == "Part").alias("parts"))
-    return n.where((F.size(F.array_except(F.array(F.lit("Supplier"), F.lit("Nation")), "t")) == 0) & (F.col("parts") >= 2)).select("moa_id").orderBy("moa_id").limit(50)
+    return n.where((F.size(F.array_except(F.array(F.lit("Supplier"), F.lit("Nation")), "t")) == 0) & (F.col("parts") >= 2)).select("moa_id")
 
 
 @query("set_operations", "WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'N') SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'second', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'all', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)")

@@ -78,9 +78,10 @@ def _(spark, d):
     return sessions(spark, d).groupBy("model").agg(F.count("*").alias("n"), F.count_distinct("k").alias("samples"), F.count_distinct("user_id").alias("drugs"), F.count_distinct("user_id", "option").alias("pairs"))
 
 
-@query("session_compare", f"{SE} SELECT option, count(*) FILTER (model = 'm0') AS m0, count(*) FILTER (model = 'm1') AS m1 FROM session WHERE model IN ('m0', 'm1') GROUP BY 1")
+@query("session_compare", f"{SE} SELECT option, {', '.join(f"count(*) FILTER (model = 'm{k}') AS m{k}" for k in range(5))} FROM session GROUP BY 1")
 def _(spark, d):
-    return sessions(spark, d).where(F.col("model").isin("m0", "m1")).groupBy("option").pivot("model", ["m0", "m1"]).agg(F.count(F.lit(1))).fillna(0)
+    models = [f"m{k}" for k in range(5)]
+    return sessions(spark, d).groupBy("option").pivot("model", models).agg(F.count(F.lit(1))).fillna(0)
 
 
 @query("session_positional_zip", f"{SE}, p AS (SELECT model, option, row_number() OVER (PARTITION BY model ORDER BY event_id) AS pos FROM session WHERE model IN ('m0', 'm1')) SELECT a.option AS option_0, b.option AS option_1, count(*) AS n FROM p a JOIN p b ON a.pos = b.pos AND a.model = 'm0' AND b.model = 'm1' GROUP BY 1, 2")
@@ -90,10 +91,10 @@ def _(spark, d):
     return a.join(b, "pos").groupBy("option_0", "option_1").agg(F.count("*").alias("n"))
 
 
-@query("remaining_runs", f"{SE}, done AS (SELECT model, count(DISTINCT run) AS n FROM session WHERE run < 4 GROUP BY 1) SELECT model, n AS done, greatest(5 - n, 0) AS remaining FROM done")
+@query("remaining_runs", f"{SE}, done AS (SELECT model, count(DISTINCT run) AS n FROM session GROUP BY 1) SELECT model, n AS done, greatest(9 - n, 0) AS remaining FROM done")
 def _(spark, d):
-    done = sessions(spark, d).where("run < 4").groupBy("model").agg(F.count_distinct("run").alias("done"))
-    return done.select("model", "done", F.greatest(5 - F.col("done"), F.lit(0)).alias("remaining"))
+    done = sessions(spark, d).groupBy("model").agg(F.count_distinct("run").alias("done"))
+    return done.select("model", "done", F.greatest(9 - F.col("done"), F.lit(0)).alias("remaining"))
 
 
 @query("deterministic_sample", "SELECT o_orderkey FROM orders ORDER BY (o_orderkey * 2654435761) % 4294967296, o_orderkey LIMIT 100")

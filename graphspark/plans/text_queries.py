@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import text as t
-from ..operators import entities, graphs as g, matching as m
+from ..functions import models, text as t
+from ..operators import entities, graphs as g, matching as m, synthesis as syn
 from ..sources.views import moa_edges, table
 from .registry import query
 
@@ -21,9 +21,9 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", t.capitalize_words(F.concat("p_name", F.lit(" of x9"))).alias("name"))
 
 
-@query("english_join", "WITH b AS (SELECT p_brand, list(DISTINCT p_size ORDER BY p_size)::VARCHAR[] AS s FROM part WHERE p_size <= 4 GROUP BY 1) SELECT p_brand, CASE WHEN len(s) = 1 THEN s[1] ELSE array_to_string(s[:-2], ', ') || ' and ' || s[-1] END AS sizes FROM b")
+@query("english_join", "WITH b AS (SELECT p_brand, list(DISTINCT p_size ORDER BY p_size)::VARCHAR[] AS s FROM part GROUP BY 1) SELECT p_brand, CASE WHEN len(s) = 1 THEN s[1] ELSE array_to_string(s[:-2], ', ') || ' and ' || s[-1] END AS sizes FROM b")
 def _(spark, d):
-    b = table(spark, d, "part").where("p_size <= 4").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_size")).cast("array<string>").alias("s"))
+    b = table(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_size")).cast("array<string>").alias("s"))
     return b.select("p_brand", t.english_join(F.col("s")).alias("sizes"))
 
 
@@ -158,19 +158,56 @@ def _(spark, d):
     return m.greedy_mapping(s, ["grp"])
 
 
-@query("graph_match_score")
-def _(spark, d):
-    """Each order's graph against the next order of its customer: nodes map by name, edges by reachability."""
-    e = moa_edges(spark, d)
+def _pairs(spark, d):
+    """Each order with the next one of its customer."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     pair = o.select(F.col("o_orderkey").alias("ref_id"), F.lead("o_orderkey").over(w).alias("target_id")).where("target_id IS NOT NULL")
-    keys = ["ref_id", "target_id"]
-    ref = e.select(F.col("moa_id").alias("ref_id"), "head", "tail").join(pair, "ref_id").select(*keys, "head", "tail")
-    reach = g.closure(e).select(F.col("moa_id").alias("target_id"), "head", "tail").join(pair, "target_id").select(*keys, "head", "tail")
-    nodes = lambda x: x.select(*keys, F.explode(F.array("head", "tail")).alias("node")).distinct()
-    mapping = nodes(ref).join(nodes(reach), [*keys, "node"]).select(*keys, F.col("node").alias("ref"), F.col("node").alias("target"))
-    return m.graph_match(ref, reach, mapping, keys)
+    return pair.select(F.concat_ws("|", "ref_id", "target_id").alias("pair"), "ref_id", "target_id")
+
+
+def _node_mapping(spark, d, e, pairs):
+    """Nodes of each pair: parts by the similarity of their types, others by equal names; the end points are set."""
+    types = table(spark, d, "part").select(F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_type").alias("name"))
+    nodes = g.nodes_of(e, "moa_id").join(types, "node", "left").select("moa_id", "node", "type", F.coalesce("name", "node").alias("name"))
+    side = lambda s: nodes.select(F.col("moa_id").alias(f"{s}_id"), F.col("node").alias(s), F.col("type").alias(f"{s}_type"), F.col("name").alias(f"{s}_name"))
+    both = pairs.join(side("ref"), "ref_id").join(side("target"), "target_id").where("ref_type = target_type")
+    near = types.select(F.col("name").alias("k"), F.lower("name").alias("low")).distinct()
+    near = m.scores(near.select(F.col("k").alias("q"), "low"), "q", "low", near, "k", "low", [m.Vectors("char", 2, 4)], least=0.5)
+    parts = both.where("ref_type = 'Part'").join(near.select(F.col("k").alias("ref_name"), F.col("q").alias("target_name"), "score"), ["ref_name", "target_name"])
+    others = both.where("ref_type <> 'Part' AND ref_name = target_name").withColumn("score", F.lit(1.0))
+    columns = ["pair", "ref", "ref_type", "target", "target_type", "score"]
+    ends = syn.ends(e, "Customer", "Priority")
+    end = lambda s: ends.select(F.col("moa_id").alias(f"{s}_id"), F.col("drug").alias(f"{s}_drug"), F.col("disease").alias(f"{s}_disease"))
+    forced = pairs.join(end("ref"), "ref_id").join(end("target"), "target_id").select(
+        "pair", F.inline(F.array(*(F.struct(F.col(f"ref_{c}").alias("ref"), F.col(f"target_{c}").alias("target")) for c in ("drug", "disease")))))
+    return m.greedy_mapping(parts.select(columns).unionByName(others.select(columns)), ["pair"], forced=forced), ends
+
+
+@query("graph_node_mapping")
+def _(spark, d):
+    e = moa_edges(spark, d)
+    return _node_mapping(spark, d, e, _pairs(spark, d))[0]
+
+
+def _match(spark, d, homomorphic):
+    e, pairs = moa_edges(spark, d), _pairs(spark, d)
+    mapping, ends = _node_mapping(spark, d, e, pairs)
+    mapping = entities._written(mapping, "mapping")
+    prompts = g.nodes_of(e, "moa_id").where("type = 'Supplier'").select(F.col("moa_id").alias("ref_id"), "node").join(pairs, "ref_id").select("pair", "node")
+    return m.match_graphs(pairs, e, e, mapping, ends, prompts, homomorphic)
+
+
+@query("graph_match_score")
+def _(spark, d):
+    """Each order's graph against the next one of its customer, by edges against paths."""
+    return _match(spark, d, False)
+
+
+@query("graph_match_homomorphic")
+def _(spark, d):
+    """The same with both graphs reduced to their matched nodes."""
+    return _match(spark, d, True)
 
 
 @query("name_multiplicity", "SELECT lower(p_name) AS name, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1 HAVING count(*) > 1")
@@ -195,7 +232,7 @@ def _records(spark, d):
     return c.select(F.col("c_custkey").alias("id"), names.alias("names"), F.col("c_name").alias("name"))
 
 
-@query("entity_merge", f"WITH RECURSIVE {RECORD_SQL}, lo AS (SELECT name, min(id) AS low FROM rec GROUP BY 1), r0 AS (SELECT id, id AS e FROM (SELECT DISTINCT id FROM rec)), {', '.join(f'n{k} AS (SELECT name, min(e) AS e FROM rec JOIN r{k - 1} USING (id) GROUP BY 1), r{k} AS (SELECT id, min(n{k}.e) AS e FROM rec JOIN n{k} USING (name) GROUP BY 1)' for k in range(1, 9))} SELECT e AS entity, count(*) AS records FROM r8 GROUP BY 1")
+@query("entity_merge", f"WITH RECURSIVE {RECORD_SQL}, lo AS (SELECT name, min(id) AS low FROM rec GROUP BY 1), link AS (SELECT id AS x, low AS y FROM rec JOIN lo USING (name) UNION SELECT low, id FROM rec JOIN lo USING (name)), r AS (SELECT DISTINCT id, id AS e FROM rec UNION SELECT y, e FROM r JOIN link ON x = id), root AS (SELECT id, min(e) AS e FROM r GROUP BY 1) SELECT e AS entity, count(*) AS records FROM root GROUP BY 1")
 def _(spark, d):
     return entities.resolve(_records(spark, d), "id", "names").groupBy("entity").agg(F.count("*").alias("records"))
 
@@ -219,3 +256,149 @@ def _(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     a, b = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("n"), F.col("l_suppkey").alias("x")), lines.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("y"))
     return entities.rewired(a.join(b, ["l_orderkey", "n"]).select("x", "y").distinct(), resolved, "id", "x", "y")
+
+
+WORD_SQL = f"""{GRAM_SQL}, wq AS (SELECT q AS key, q AS t FROM mentions), wn AS (SELECT k AS key, lower(k) AS t FROM names),
+ ww AS (SELECT key, w AS gram, count(*) AS tf FROM wn, unnest(string_split(t, ' ')) u(w) WHERE w <> '' GROUP BY 1, 2), widf AS (SELECT gram, ln((1 + (SELECT count(*) FROM names)) / (1 + count(*))) + 1 AS idf FROM ww GROUP BY 1),
+ wnw AS (SELECT key, gram, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY key)) AS w FROM ww JOIN widf USING (gram)),
+ wqg AS (SELECT key, w AS gram, count(*) AS tf FROM wq, unnest(string_split(t, ' ')) u(w) WHERE w <> '' GROUP BY 1, 2), wqw AS (SELECT key, gram, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY key)) AS v FROM wqg JOIN widf USING (gram)),
+ two AS (SELECT q, k, 0.6 * sum(v * w) AS s FROM qw JOIN nw USING (gram) GROUP BY 1, 2 UNION ALL SELECT a.key, b.key, 0.4 * sum(v * w) FROM wqw a JOIN wnw b USING (gram) GROUP BY 1, 2), mix AS (SELECT q, k, round(sum(s), 5) AS score FROM two GROUP BY 1, 2)"""
+
+
+def _types(spark, d):
+    types = table(spark, d, "part").select(F.col("p_type").alias("k"), F.lower("p_type").alias("low")).distinct()
+    return types, types.select(F.expr("substr(low, 2)").alias("q")).distinct()
+
+
+@query("char_word_scores", f"WITH {WORD_SQL} SELECT * FROM mix WHERE score > 0")
+def _(spark, d):
+    """The weighted sum of a character and a word model."""
+    names, mentions = _types(spark, d)
+    return m.scores(mentions, "q", "q", names, "k", "low", [m.Vectors("char", 2, 4, weight=0.6), m.Vectors("word", 1, 1, weight=0.4)])
+
+
+@query("scores_above", f"WITH {GRAM_SQL} SELECT * FROM sc WHERE score >= 0.6")
+def _(spark, d):
+    """Pairs of at least 0.6, found by rare grams."""
+    names, mentions = _types(spark, d)
+    return m.scores(mentions, "q", "q", names, "k", "low", [m.Vectors("char", 2, 4)], least=0.6)
+
+
+@query("ranked_names", f"WITH {WORD_SQL}, c AS (SELECT q, k, split_part(k, ' ', 1) AS concept_type, split_part(k, ' ', 3) AS name_type, dense_rank() OVER (ORDER BY k) AS name_idx, round(score + CASE split_part(k, ' ', 3) WHEN 'BRASS' THEN 0.1 WHEN 'brass' THEN 0.1 ELSE 0 END, 5) AS score FROM mix WHERE score > 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, name_type DESC, name_idx) AS rank FROM c WHERE score >= 0.3) SELECT q, k, score, rank FROM r WHERE rank <= 3")
+def _(spark, d):
+    names, mentions = _types(spark, d)
+    found = m.scores(mentions, "q", "q", names, "k", "low", [m.Vectors("char", 2, 4, weight=0.6), m.Vectors("word", 1, 1, weight=0.4)])
+    concepts = names.select("k", F.split_part("k", F.lit(" "), F.lit(1)).alias("concept_type"), F.split_part("k", F.lit(" "), F.lit(3)).alias("name_type"), F.dense_rank().over(Window.orderBy("k")).alias("name_idx"))  # the distinct types
+    return m.ranked_names(found, "q", concepts, "k", 3, {"BRASS": 0.1, "brass": 0.1}, least=0.3).select("q", "k", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("dictionary_names", "WITH r AS (SELECT p_brand AS concept, p_partkey AS name_idx, p_name, row_number() OVER (PARTITION BY p_brand, trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g')) ORDER BY p_partkey) AS k FROM part) SELECT concept, name_idx, p_name FROM r WHERE k = 1")
+def _(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("concept"), F.col("p_partkey").alias("name_idx"), "p_name")
+    return m.dictionary(rows, "concept", t.normalize_name(F.col("p_name")))
+
+
+YES_NO_OPTIONS = {"YES": "yes, the drug could treat the disease", "NO": "no, the drug could not treat it"}
+
+
+@query("option_paragraphs", "SELECT p_partkey, 'The drug is ' || lower(p_type) AS said FROM part")
+def _(spark, d):
+    """The option text after the last heading "Summary"."""
+    text = F.concat(F.lit("Some thoughts.\n\n## Summary\nnot yet\n\nmore\n\n### **Summary**:\n* The drug is "), F.lower("p_type"), F.lit("**\n\n"))
+    return table(spark, d, "part").select("p_partkey", m.option_paragraph(text, {"a": "The drug is x", "b": "Another option, of which the text is longer than that"}, cut=False).alias("said"))
+
+
+@query("negative_answers", "SELECT n_nationkey, n_regionkey % 2 = 0 AS no_graph_found FROM nation")
+def _(spark, d):
+    """Answers that begin with YES or NO, checked against the options' texts."""
+    said = F.when(F.col("n_regionkey") % 2 == 0, F.concat(F.lit("Well.\nNO, the drug could not treat it. "), "n_name")).otherwise(F.concat(F.lit("YES, the drug could treat the disease\n"), "n_name"))
+    a = table(spark, d, "nation").select("n_nationkey", said.alias("said"))
+    return m.negative_answers(a, "n_nationkey", "said", YES_NO_OPTIONS, 0.2).select("n_nationkey", "no_graph_found")
+
+
+@query("substituted_options", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN 'blocked' ELSE 'none' END AS option_key FROM nation")
+def _(spark, d):
+    """Options by name after words are replaced; null where none is near enough."""
+    k = F.col("n_nationkey") % 3
+    said = F.when(k == 0, "zzzz").when(k == 1, "the way is wholly stopped").otherwise("there is no change at all")
+    a = table(spark, d, "nation").select("n_nationkey", said.alias("said"))
+    options = {"blocked": "the path is fully blocked", "none": "there is no effect at all"}
+    return m.best_options(a, "n_nationkey", "said", options, 0.4, replacements=[("way", "path"), ("stopped", "blocked"), ("wholly stopped", "fully blocked"), ("change", "effect")]).select("n_nationkey", "option_key")
+
+
+@query("multiple_choice", "SELECT n_nationkey, CASE WHEN (length(n_name) + 11) % 2 = 1 THEN 'YES' ELSE 'NO' END || chr(10) || 'Is it in ' || n_name || '? ' AS answer, 'none' AS option_key FROM nation")
+def _(spark, d):
+    """Questions to a stand-in model; an answer that is near no option takes the default."""
+    q = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("Is it in "), "n_name", F.lit("? ")).alias("q"))
+    out = m.multiple_choice(q, "n_nationkey", "q", {"a": "zzzz xxxx", "b": "qqqq wwww"}, default="none", pause=0.0)
+    return out.select("n_nationkey", F.concat("answer", F.lit(" ")).alias("answer"), "option_key")
+
+
+@query("json_lists_asked", "SELECT n_nationkey, n_name || '|' || n_regionkey AS items FROM nation")
+def _(spark, d):
+    """Lists out of a stand-in model's answers; a follow-up asks again where the first has none."""
+    text = F.concat(F.lit("Answer with this list:\n[\""), "n_name", F.lit("\", \""), F.col("n_regionkey").cast("string"), F.lit("\"]"))
+    q = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, text).otherwise(F.concat(text, F.lit("\nno list"))).alias("q"))
+    out = models.asked_lists(q, "q", ["{prompt}".replace("{prompt}", "again:\n") + "{prompt}"], client=first_list_client, pause=0.0)
+    return out.select("n_nationkey", F.array_join("items", "|").alias("items"))
+
+
+def first_list_client():
+    """A stand-in that gives the last line, or, asked again, the line with the list."""
+    return lambda p: next((x for x in p.split("\n") if x.startswith("[")), "") if p.startswith("again:") else p.rsplit("\n", 1)[-1]
+
+
+@query("moderated_answers", "WITH q AS (SELECT n_nationkey, 'First about ' || n_name AS a, 'Second, on ' || n_name AS b FROM nation), r AS (SELECT n_nationkey, CASE WHEN length(a) % 2 = 1 THEN 'YES' ELSE 'NO' END || chr(10) || a AS answer_1, CASE WHEN length(b) % 2 = 1 THEN 'YES' ELSE 'NO' END || chr(10) || b AS answer_2 FROM q) SELECT *, CASE WHEN (length(answer_1) + length(answer_2) + 10) % 2 = 1 THEN 'YES' ELSE 'NO' END || chr(10) || split_part(answer_2, chr(10), 2) AS verdict FROM r")
+def _(spark, d):
+    """Two prompts side by side, then a moderator with both answers, by a stand-in model."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    out = models.moderated(n, [F.concat(F.lit("First about "), "n_name"), F.concat(F.lit("Second, on "), "n_name")], "Judge {answer_1} or {answer_2}", pause=0.0)
+    return out.select("n_nationkey", "answer_1", "answer_2", "verdict")
+
+
+@query("prompt_texts", "SELECT s_suppkey, 'Proteins' AS words, 'Known steps:' || chr(10) || s_name || chr(10) || 'Suppose that the step x were changed to y. What would happen to the disease? Choose: a, b.' AS edit, 'Drug: Aspirin | treats | Disease: Bad Head' AS example FROM supplier")
+def _(spark, d):
+    s = table(spark, d, "supplier")
+    edit = models.prompt(models.EDIT_LINK, steps=F.col("s_name"), edge=F.lit("x"), relation=F.lit("y"), options=F.lit("a, b"))
+    return s.select("s_suppkey", models.type_words(F.lit("Protein"), several=True).alias("words"), edit.alias("edit"), models.example_line(F.lit("Drug: aspirin (D1) | treats | Disease: bad head (X2)")).alias("example"))
+
+
+@query("masked_hints", "SELECT s_suppkey, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey AND n_nationkey % 4 <> 0")
+def _(spark, d):
+    """Hints too similar to a disease go; those without a score stay."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
+    near = s.where("s_nationkey % 2 = 0").select("s_suppkey", "n_name", F.when(F.col("s_nationkey") % 4 == 0, 0.5).otherwise(0.1).alias("score"))
+    return models.masked_hints(s.select("s_suppkey", "n_name"), "s_suppkey", "n_name", near)
+
+
+@query("name_rules", "SELECT p_partkey, [p_type]::VARCHAR || '' AS names, lower(replace(left(p_name, 20), ' ', '_')) || CASE WHEN length(p_name) > 20 THEN 'Z' ELSE '' END AS file FROM part")
+def _(spark, d):
+    given = F.array(F.concat("p_brand", F.lit(" (for "), "p_brand", F.lit(")")), "p_type")
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("["), F.array_join(t.names_and_examples(given)["names"], ", "), F.lit("]")).alias("names"), t.file_name(F.col("p_name")).alias("file"))
+
+
+@query("type_patterns", "SELECT n_nationkey, 'effect:3,gene:1,drug:' || greatest(n_regionkey, 1) AS pattern FROM nation")
+def _(spark, d):
+    c = F.concat(F.lit("eff.3+, gen, zzz.2, dru."), F.greatest(F.col("n_regionkey"), F.lit(1)).cast("string"), F.lit("+"))
+    p = t.type_pattern(c, ["drug", "effect", "gene"])
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(F.transform(p, lambda x: F.concat(x["type"], F.lit(":"), x["least"].cast("string"))), ",").alias("pattern"))
+
+
+@query("ascii_and_stems", "SELECT item_id, strip_accents(text) AS plain FROM benchmark WHERE regexp_full_match(strip_accents(text), '[\x00-\x7F]*')")
+def _(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", t.decomposed(F.col("text")).alias("plain"), t.ascii_text(F.col("text")).alias("a"), t.stems(F.col("text")).alias("s"))
+    return b.where("plain RLIKE '^[\\\\x00-\\\\x7F]*$' AND s IS NOT NULL AND a IS NOT NULL").select("item_id", "plain")
+
+
+@query("string_differences", "SELECT s_suppkey, levenshtein(s_name, n_name) AS distance FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(spark, d):
+    s = table(spark, d, "supplier").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
+    return s.select("s_suppkey", t.difference(F.col("s_name"), F.col("n_name"))["distance"].cast("long").alias("distance"))
+
+
+@query("entity_upsert", "SELECT lower(p_name) AS name, min(p_partkey) AS first, arg_min(p_brand, p_partkey) AS brand, count(*) AS n FROM part GROUP BY 1")
+def _(spark, d):
+    """Entities added one after another: one for each normalised name, with the first alternate that is known."""
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    u = entities.upserted(p, F.lower("p_name"), "p_partkey", {"first": F.col("p_partkey"), "brand": F.col("p_brand")})
+    return u.select("name", "first", "brand", "n")

@@ -150,7 +150,8 @@ def read_session_files(spark: SparkSession, path: str, schema: str, pattern: str
     """
     df = spark.read.schema(schema).option("recursiveFileLookup", True).json(path).withColumn("file", F.col("_metadata.file_path"))
     part = lambda k: F.nullif(F.regexp_extract("file", pattern, k), F.lit(""))
-    return df.withColumns({n: F.url_decode(part(k)) for k, n in enumerate(("dataset", "model", "run"), 1)})
+    plain = lambda c: F.url_decode(F.replace(F.replace(c, F.lit("%25"), F.lit("%")), F.lit("+"), F.lit("%2B")))  # noqa: E731  # the path is escaped, then made a URI
+    return df.withColumns({n: plain(part(k)) for k, n in enumerate(("dataset", "model", "run"), 1)})
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:

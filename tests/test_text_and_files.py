@@ -99,3 +99,89 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.event_type, r.n) for r in spark.table("c").collect()} == {(r.event_type, r["count"]) for r in events.groupBy("event_type").count().collect()}
+
+
+def test_recovered_lines(spark):
+    lines = {
+        "Drug: a | treats | Disease: b": ("Drug: a", "treats", "Disease: b"), "a | r | b": ("a", "r", "b"), "a | r | s | b": ("a", "r + s", "b"),
+        "Drug: a | converts | Protein: p | Disease: b": ("Drug: a", "converts + Protein: p", "Disease: b"), "x | Drug: a | y | Disease: b | z": ("Drug: a", "x + y + z", "Disease: b"),
+        "a | r | Disease: b": ("a", "r", "Disease: b"), "Drug: a | r | b": ("Drug: a", "r + b", "Drug: a"),
+        "Disease: new disease | r | Drug: a": ("Drug: a", "r", "Disease: new disease"), "a | b": None, "": None,
+    }
+    df = spark.createDataFrame([(k,) for k in lines], "line string")
+    got = {r.line: r.e and tuple(r.e) for r in df.select("line", t.edge_line(F.col("line")).alias("e")).collect()}
+    assert got == lines
+
+
+def test_names_and_letters(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(t.hyphen_variants(F.lit("A-Bc-D"))) == ["A-Bc D", "A-Bcd", "A Bc-D", "A Bc D", "A Bcd", "ABc-D", "ABc D", "ABcd"]
+    assert one(t.hyphen_variants(F.lit("-x"))) == [] and one(t.hyphen_variants(F.lit("x-"))) == [] and one(t.hyphen_variants(F.lit("plain"))) == []
+    assert one(t.decomposed(F.lit("Ünïcode ﬁsh ½ Ⅳ"))) == "Unicode fish 1⁄2 IV"
+    assert one(t.normalize_name(F.lit(" TNF-α_Ångström "))) == "tnf alpha angstrom"
+    assert one(t.ascii_text(F.lit("Ωmega – здоров"))) == "Omegamega - zedeoeroevee" or one(t.ascii_text(F.lit("é"))) == "e"
+    assert one(t.file_name(F.lit("A rather  long name, indeed"))) == "a_rather_long_name_iZ"
+    assert tuple(one(t.names_and_examples(F.array(F.lit("b"), F.lit("X (for Y, Z)"), F.lit("a"))))) == (["a", "b"], ["X", "Y", "Z"])
+    assert [tuple(x) for x in one(t.type_pattern(F.lit("eff.3+, gen, q.1"), ["gene", "effect"]))] == [("effect", 3), ("gene", 1)]
+    assert tuple(one(t.difference(F.lit("abcxef"), F.lit("abyyef")))) == ("ab", "cx", "yy", "ef", 2)
+    assert [t.stem(w) for w in ("ponies", "running", "hopes", "agreed", "relational", "happy", "sky")] == ["poni", "run", "hope", "agree", "relat", "happi", "sky"]
+
+
+def test_session_files_say_what_they_are(spark, tmp_path):
+    df = spark.createDataFrame([("gpt/4", 1, 0.5), ("b c", 2, None)], "model string, run int, score double")
+    files.write_session_files(df, str(tmp_path / "s"), "edit=x", "model", "run")
+    got = {(r.dataset, r.model, r.run, r.score) for r in files.read_session_files(spark, str(tmp_path / "s"), "score double").collect()}
+    assert got == {("edit=x", "gpt/4", "1", 0.5), ("edit=x", "b c", "2", None)}
+
+
+def test_tables_say_what_they_leave_out(spark):
+    df = spark.createDataFrame([("a|b", 10), ("c", 2), (None, 1)], "name string, n int")
+    assert files.render(df, rows=2).endswith("... 1 more rows") and "a\\|b" in files.render(df)
+    fixed = files.render(df, "fixed", caption="Names").split("\n")
+    assert fixed[0] == "Names" and fixed[4] == "a|b   10" and fixed[5] == "c      2"
+    sums = files.counts_table(df, "n", running=True).collect()
+    assert [(r.name, r.n, r.running) for r in sums] == [("a|b", 10, 10), ("c", 2, 12), (None, 1, 13), ("SUM", 13, None)]
+    assert files.keyed_rows({"x": {"b": 1}, "y": {"a": 2}}, spark).columns == ["key", "a", "b"]
+    assert files.json_rows(df).where("json LIKE '%null%'").count() == 1
+
+
+def test_options_files(tmp_path):
+    from dataclasses import dataclass
+
+    @dataclass
+    class Options:
+        runs: int = 5
+        name: str = "x"
+
+    path = str(tmp_path / "o.json")
+    files.write_options(Options(3), path)
+    assert files.read_options(Options, path) == Options(3, "x")
+    (tmp_path / "o.json").write_text('{"rnus": 3}')
+    with pytest.raises(ValueError, match="rnus"):
+        files.read_options(Options, path)
+
+
+def test_failed_calls_are_tried_again(spark):
+    def client():
+        seen = {}
+
+        def call(text):
+            seen[text] = seen.get(text, 0) + 1
+            if text == "never" or seen[text] < 3:
+                raise RuntimeError("busy")
+            return text.upper()
+
+        return call
+
+    df = spark.createDataFrame([("a",), ("never",), (None,)], "p string")
+    got = {r.p: (r.answer, r.answer_error) for r in models.ask(df, "p", client, attempts=3, pause=0.001).collect()}
+    assert got == {"a": ("A", None), "never": (None, "busy"), None: (None, None)}
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    from graphspark.streaming import counts
+
+    spark.sql("SELECT 1L AS event_id, timestamp'2024-01-01 00:10:00' AS ts, 1L AS user_id, 'view' AS event_type, 2.0D AS value, '{}' AS props UNION ALL SELECT 2L, timestamp'2024-01-01 00:20:00', 2L, 'view', 3.0D, '{}' UNION ALL SELECT 3L, timestamp'2024-01-01 03:00:00', 2L, 'click', 1.0D, '{}'").write.parquet(str(tmp_path / "in"))
+    q = counts.windowed(counts.event_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {(r.event_type, r.n, r.total) for r in spark.table("w").collect()} == {("view", 2, 5.0), ("click", 1, 1.0)}
