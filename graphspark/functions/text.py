@@ -324,3 +324,27 @@ SUFFIXES = {
 def stems(c: Column) -> Column:
     """Every word of a text (parted by blanks) without its ending."""
     return _stemmed(c)
+
+
+# Functions for SQL texts: name, signature and body.
+SQL_FUNCTIONS = {
+    "qualified_node": ("(kind STRING, name STRING, id STRING) RETURNS STRING", "kind || ': ' || name || ' (' || id || ')'"),
+    "yes_no": ("(line STRING) RETURNS STRING", "nullif(upper(regexp_extract(line, '(?i)^(yes|no)', 1)), '')"),
+    "compound_ids": ("(ids STRING) RETURNS ARRAY<STRING>", "transform(split(ids, '_'), x -> lpad(x, 7, '0'))"),
+}
+
+
+def register(spark) -> list[str]:
+    """Make the functions of ``SQL_FUNCTIONS``, and the table function ``graph_lines(text)`` (pos, head, relation, tail), known to the session's SQL."""
+    for name, (signature, body) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{signature} RETURN {body}")
+
+    class GraphLines:
+        def eval(self, text: str):
+            for pos, line in enumerate((text or "").split("\n")):
+                parts = [p.strip() for p in line.split("|")]
+                if len(parts) >= 3:
+                    yield pos, parts[0], " + ".join(parts[1:-1]), parts[-1]
+
+    spark.udtf.register("graph_lines", F.udtf(GraphLines, returnType="pos int, head string, relation string, tail string"))
+    return [*SQL_FUNCTIONS, "graph_lines"]

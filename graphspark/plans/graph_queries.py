@@ -140,6 +140,16 @@ def _(spark, d):
     return _degrees(spark, d).rollup("ytype").agg(F.min("n").alias("lo"), F.round(F.percentile("n", F.lit(0.5)), 6).alias("mid"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("hi")).withColumn("ytype", F.coalesce("ytype", F.lit("ALL")))
 
 
+@query("degree_buckets_all", f"{KG}, {DEGREE_SQL}, s AS (SELECT DISTINCT x FROM kg_edge WHERE xtype IN ('Supplier', 'Nation')), ty AS (SELECT unnest(['Part', 'Region', 'Part+Region', 'ALL']) AS kind), m AS (SELECT kind, s.x, coalesce(sum(n) FILTER (kind = 'ALL' OR list_contains(string_split(kind, '+'), ytype)), 0) AS n FROM s CROSS JOIN ty LEFT JOIN deg ON s.x = deg.x GROUP BY 1, 2) SELECT kind, count(*) FILTER (n = 0) AS none, count(*) FILTER (n = 1) AS one, count(*) FILTER (n >= 2) AS more FROM m GROUP BY 1")
+def _(spark, d):
+    """Nodes with no, one and more neighbours, by type, by a group of types and by all."""
+    nodes = kg_edges(spark, d).where(F.col("xtype").isin("Supplier", "Nation")).select("x").distinct()
+    kinds = {"Part": ["Part"], "Region": ["Region"], "Part+Region": ["Part", "Region"], "ALL": None}
+    n = _degrees(spark, d).groupBy("x").agg(*(F.sum(F.when(F.col("ytype").isin(k) if k else F.lit(True), F.col("n")).otherwise(0)).alias(c) for c, k in kinds.items()))
+    long = nodes.join(n, "x", "left").fillna(0, list(kinds)).unpivot("x", list(kinds), "kind", "n")
+    return long.groupBy("kind").agg(F.count_if(F.col("n") == 0).alias("none"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") >= 2).alias("more"))
+
+
 @query("degree_buckets", f"{KG}, {DEGREE_SQL}, s AS (SELECT 'S:' || s_suppkey AS x FROM supplier), m AS (SELECT s.x, coalesce(sum(n), 0) AS n FROM s LEFT JOIN deg ON s.x = deg.x AND ytype = 'Part' GROUP BY 1) SELECT count(*) FILTER (n = 0) AS none, count(*) FILTER (n = 1) AS one, count(*) FILTER (n >= 2) AS more FROM m")
 def _(spark, d):
     s = table(spark, d, "supplier").select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("x"))

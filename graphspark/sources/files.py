@@ -71,23 +71,53 @@ def repaired(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.select("moa_id", "head", "htype", "relation", "tail", "ttype")
 
 
-def read_kg(spark: SparkSession, path: str) -> DataFrame:
-    """Knowledge graph rows of a (gzipped) CSV file with a header; ids stay strings."""
-    return spark.read.schema(KG).option("header", True).csv(path)
+def read_kg(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
+    """Knowledge graph rows of a CSV file with a header; ids stay strings. A gzipped file is one task's: its rows are dealt anew, in ``parts`` or as many as shuffles have."""
+    rows = spark.read.schema(KG).option("header", True).csv(path)
+    return rows.repartition(parts) if parts else rows.repartition("x_index")
 
 
-def kg_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): nodes with all their names; relations named by the types of their ends, ``rev-`` where swapped."""
+# The types of nodes that the parts of a relation's name stand for.
+RELATION_TYPES = {
+    "anatomy": "anatomy", "bioprocess": "biological_process", "cellcomp": "cellular_component", "disease": "disease", "drug": "drug", "effect": "effect/phenotype",
+    "exposure": "exposure", "molfunc": "molecular_function", "pathway": "pathway", "phenotype": "effect/phenotype", "protein": "gene/protein",
+}
+
+
+def kg_tables(rows: DataFrame, xrefs: DataFrame | None = None, parents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): nodes with all their names; distinct edges, their relation named by the types of their ends, ``rev-`` where swapped.
+
+    A relation's first two parts name its end types (one part alone: drug and disease); a row whose types fit neither way
+    is an error when it is read. xrefs (id, xrefs): cross-references of terms, joined to nodes by their compound ids.
+    parents (child, parent): with it, edges between diseases point from parent to child, and a pair that it doesn't know
+    is an error; without it they stay as they are.
+    """
     side = lambda s: rows.select(*(F.col(f"{s}_{c}").alias(c) for c in ("index", "id", "type", "name", "source")))
     nodes = side("x").unionByName(side("y")).groupBy("index", "id", "type", "source").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    if xrefs is not None:
+        known = nodes.select("index", F.explode(F.transform(F.split("id", "_"), lambda x: F.lpad(x, 7, F.lit("0")))).alias("part")).join(xrefs.select(F.col("id").alias("part"), "xrefs"), "part")
+        known = known.groupBy("index").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("xrefs")))).alias("xrefs"))
+        nodes = nodes.join(known, "index", "left")
     parts = F.split("relation", "_")
-    known = {"protein": "gene/protein", "anatomy": "anatomy", "drug": "drug", "disease": "disease", "phenotype": "effect/phenotype"}
-    kind = lambda p: F.coalesce(*(F.when(p == k, v) for k, v in known.items()), p)
-    first = F.when(F.size(parts) >= 2, kind(parts[0])).otherwise("drug")
-    second = F.when(F.size(parts) >= 2, kind(parts[1])).otherwise("disease")
-    swapped = (first == F.col("y_type")) & (second == F.col("x_type")) & (F.col("x_type") != F.col("y_type"))
-    name = lambda c: F.when(swapped, F.concat(F.lit("rev-"), c)).otherwise(F.col(c)).alias(c)
-    edges = rows.select("x_index", "x_type", name("relation"), name("display_relation"), "y_index", "y_type")
+    table = F.create_map(*(F.lit(x) for kv in RELATION_TYPES.items() for x in kv))
+    first = F.when(F.size(parts) >= 2, F.element_at(table, parts[0])).otherwise("drug")
+    second = F.when(F.size(parts) >= 2, F.element_at(table, parts[1])).otherwise("disease")
+    fits = (first == F.col("x_type")) & (second == F.col("y_type"))
+    swapped = (first == F.col("y_type")) & (second == F.col("x_type"))
+    way = F.when(fits, False).when(swapped, True)
+    if parents is not None:
+        own = rows.where((F.col("x_type") == "disease") & (F.col("y_type") == "disease")).select("x_id", "y_id").distinct()
+        split = lambda c, n: F.explode(F.transform(F.split(c, "_"), lambda x: F.lpad(x, 7, F.lit("0")))).alias(n)
+        each = own.select("x_id", "y_id", split("x_id", "a")).select("*", split("y_id", "b"))
+        p = parents.select("child", "parent").distinct()
+        down = each.join(p, (p.parent == each.a) & (p.child == each.b)).select("x_id", "y_id").distinct().withColumn("_down", F.lit(True))
+        up = each.join(p, (p.parent == each.b) & (p.child == each.a)).select("x_id", "y_id").distinct().withColumn("_up", F.lit(True))
+        rows = rows.join(down, ["x_id", "y_id"], "left").join(up, ["x_id", "y_id"], "left")
+        both = (first == "disease") & (second == "disease")
+        way = F.when(both, F.when(F.col("_down"), False).when(F.col("_up"), True)).otherwise(way)
+    checked = F.coalesce(way, F.raise_error(F.concat(F.lit("unrecognised types in a row of relation "), F.col("relation"))).cast("boolean"))
+    name = lambda c: F.when(checked, F.concat(F.lit("rev-"), c)).otherwise(F.col(c)).alias(c)
+    edges = rows.select("x_index", "x_type", name("relation"), name("display_relation"), "y_index", "y_type").distinct()
     return nodes, edges
 
 

@@ -185,3 +185,33 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     q = counts.windowed(counts.event_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.event_type, r.n, r.total) for r in spark.table("w").collect()} == {("view", 2, 5.0), ("click", 1, 1.0)}
+
+
+def test_relations_between_types(spark):
+    from graphspark.sources.files import KG
+
+    row = lambda r, x, xt, y, yt: (r, r, x, f"{x:07d}", xt, f"n{x}", "S", y, f"{y:07d}", yt, f"n{y}", "S")
+    rows = lambda *r: spark.createDataFrame(list(r), KG)
+    dd = row("disease_disease", 1, "disease", 2, "disease"), row("disease_disease", 2, "disease", 1, "disease")
+    _, edges = files.kg_tables(rows(row("indication", 3, "drug", 1, "disease"), row("indication", 3, "drug", 1, "disease"), *dd))
+    assert sorted((r.relation, r.x_index) for r in edges.collect()) == [("disease_disease", 1), ("disease_disease", 2), ("indication", 3)]
+    parents = spark.createDataFrame([("0000002", "0000001")], "child string, parent string")
+    xrefs = spark.createDataFrame([("0000001", ["M:1"])], "id string, xrefs array<string>")
+    nodes, edges = files.kg_tables(rows(*dd), xrefs, parents)
+    assert sorted((r.relation, r.x_index) for r in edges.collect()) == [("disease_disease", 1), ("rev-disease_disease", 2)]
+    assert {r.index: r.xrefs for r in nodes.collect()} == {1: ["M:1"], 2: None}
+    with pytest.raises(Exception, match="unrecognised types"):
+        files.kg_tables(rows(row("anatomy_protein_present", 1, "drug", 2, "disease")))[1].collect()
+
+
+def test_graphs_from_answers(spark):
+    from graphspark.operators import entities
+
+    answers = [
+        (1, "Hm.\nYES\nDrug: a | r | Gene: p\nGene: p | s | Disease: x\nGene: p | s | Disease: y\nChemical: q | t | Gene: p", "A"),
+        (2, "NO\nDrug: a | r | Gene: p", "A"), (3, "maybe", "A"), (4, None, None), (5, "yes,\nDrug: a | r | Disease: new disease\nDrug: a | r | Gene: p", "b"),
+    ]
+    df = spark.createDataFrame(answers, "k int, text string, drug string")
+    edges, ends = entities.graphs_from_text(df, "k", "text", {"Gene": "Protein"}, F.col("drug"))
+    assert {tuple(r) for r in ends.collect()} == {(1, "Drug.1", "Disease.3"), (5, "Drug.1", "Disease.1")}
+    assert {(r.head, r.relation, r.tail) for r in edges.where("k = 1").collect()} == {("Drug.1", "r", "Protein.1"), ("Protein.1", "s", "Disease.1"), ("Protein.1", "s", "Disease.2"), ("Chemical.1", "t", "Protein.1"), ("Disease.1", "associated with", "Disease.3"), ("Disease.2", "associated with", "Disease.3")}
