@@ -199,7 +199,7 @@ def test_relations_between_types(spark):
     xrefs = spark.createDataFrame([("0000001", ["M:1"])], "id string, xrefs array<string>")
     nodes, edges = files.kg_tables(rows(*dd), xrefs, parents)
     assert sorted((r.relation, r.x_index) for r in edges.collect()) == [("disease_disease", 1), ("rev-disease_disease", 2)]
-    assert {r.index: r.xrefs for r in nodes.collect()} == {1: ["M:1"], 2: None}
+    assert {r["index"]: r.xrefs for r in nodes.collect()} == {1: ["M:1"], 2: None}
     with pytest.raises(Exception, match="unrecognised types"):
         files.kg_tables(rows(row("anatomy_protein_present", 1, "drug", 2, "disease")))[1].collect()
 
