@@ -65,6 +65,23 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named _c0, _c1, ..., so that no name clashes with an operator's own, and the new names by the old ones."""
+    new = [f"_c{k}" for k in range(len(df.columns))]
+    return df.toDF(*new), dict(zip(df.columns, new))
+
+
+def join_in_parts(rows: DataFrame, table: DataFrame, key: str, spread: str, parts: int = 64, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row for each key), the rows of a key dealt in parts by the hash of ``spread``.
+
+    The table's row of a key goes to each part that there is, so no task gets all rows of a hot key. Null keys match nothing.
+    """
+    (part,) = unused(rows, "_part")
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    wanted = dealt.select(key, part).distinct().join(table, key)
+    return dealt.join(wanted, [key, part], how).drop(part)
+
+
 def in_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Batches whose binary or text column holds about ``most`` bytes at most (or one row)."""
     for batch in batches:

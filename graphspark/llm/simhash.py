@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import LOWER, Words, cut, documents, in_batches, text_bytes
+from .common import LOWER, Words, cut, documents, drop, in_batches, join_in_parts, text_bytes
 
 #: Rows of a key that are compared in one place; a larger group is dealt in chunks.
 GROUP_ROWS = 20_000
@@ -232,22 +232,23 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) and the least node of its component.
 
     Large and small stars in turn until nothing changes; each round is written
-    in the shared folder.
+    in the shared folder, the one before it deleted. The edges of a hub are dealt in parts.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     while True:
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_in_parts(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(least, "a")
+            join_in_parts(large, least, "a", "b")
             .select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
             .select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))
             .where("a <> b")
             .distinct()
         )
         new = cut(small, name)
+        drop(now)
         # stars only: no root is a node with a root of its own
         deep = new.select(F.col("b").alias("a")).distinct().join(new.select("a"), "a", "left_semi").limit(1).count()
         twice = new.groupBy("a").count().where("count > 1").limit(1).count()
@@ -270,8 +271,8 @@ def near_duplicates(
     classes = cut(marked.groupBy("fp").agg(F.min(id_column).alias("least")), "classes")
     joined = class_roots(classes, distance)
     of_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = cut(joined.join(of_root, "root").select("fp", "component_id"), "components")
-    return marked.join(of_class, "fp").select(id_column, "fp", "component_id")
+    of_class = cut(join_in_parts(joined, of_root, "root", "fp").select("fp", "component_id"), "components")
+    return join_in_parts(marked, of_class, "fp", id_column).select(id_column, "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
