@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import Words, cut, documents, in_batches, text_bytes
+from .common import Words, documents, in_batches, plain_names, text_bytes
 
 SAMPLE_ROWS = 6000
 STEPS, RATE, RIDGE = 150, 0.5, 1e-3
@@ -281,6 +281,8 @@ def fit(
         .withColumnRenamed(id_column, "_id")
     )
     found = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("t")).join(F.broadcast(chosen), "_id")
+    # an id that several documents have counts once, by the text of the least hash: the bound holds for any table
+    one = found.groupBy("_id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "y")).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_batches(batches, "t", 4_000_000):
@@ -289,7 +291,7 @@ def fit(
             lines = [d.line_features[a:b].astype("<i2").tobytes() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), batch.column("y")], names=["lines", "y"])
 
-    rows = found.select("t", "y").mapInArrow(run, "lines binary, y int").collect()  # of a bounded sample
+    rows = one.select("x.t", "x.y").mapInArrow(run, "lines binary, y int").collect()  # of a bounded sample
     rows = sorted((bytes(r.lines), r.y) for r in rows)
     parts = [np.frombuffer(x, "<i2").reshape(-1, PER_LINE) for x, _ in rows]
     size = np.array([len(p) for p in parts], np.int64)
@@ -305,7 +307,7 @@ VERDICT = [*((c, T.LongType()) for c in COUNTS), ("base_failed", T.BooleanType()
 
 
 def judge(df: DataFrame, field: Field, text: str = "text", content_share: float = CONTENT_SHARE, keep_text: bool = False) -> DataFrame:
-    """Add counts, ``base_failed``, ``content_share`` and ``kept``; the text goes unless ``keep_text``."""
+    """Add counts, ``base_failed``, ``content_share`` and ``kept``, in place of columns of these names; the text goes unless ``keep_text``."""
     new = [c for c, _ in VERDICT]
     kept = [c for c in df.columns if c not in new and (keep_text or c != text)]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(c, t, False) for c, t in VERDICT])
@@ -333,5 +335,6 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(df: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """Rows that the rules keep."""
-    return judge(df, field, text, keep_text=True).where("kept").select(*df.columns)
+    """Rows that the rules keep, with all columns of the caller, whatever their names."""
+    plain, names = plain_names(df)
+    return judge(plain, field, names[text], keep_text=True).where("kept").select(*names.values()).toDF(*df.columns)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import Words, cut, documents, in_batches
+from .common import Words, cut, documents, in_batches, unused
 
 BUCKET_BITS = 20
 #: Labelled rows that a fit takes at most, and buckets that it chooses at most.
@@ -51,12 +51,11 @@ class Machine:
         """rows, inputs: pairs (row, position), rows ascending; n: rows in all."""
         z = np.full(n, self.bias)
         if len(rows):
-            total = np.zeros((n, self.factor.shape[1]))
-            square = np.zeros(n)
-            np.add.at(z, rows, self.weight[inputs])
-            np.add.at(total, rows, self.factor[inputs])
-            np.add.at(square, rows, (self.factor[inputs] ** 2).sum(1))
-            z += ((total**2).sum(1) - square) / 2
+            head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            factor = self.factor[inputs]
+            total = np.add.reduceat(factor, head, axis=0)
+            square = np.add.reduceat((factor**2).sum(1), head)
+            z[rows[head]] += np.add.reduceat(self.weight[inputs], head) + ((total**2).sum(1) - square) / 2
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -113,15 +112,13 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], bucket: np.ndarray, seed: in
             at = np.concatenate([rows[k][0] for k in some]).astype(np.int64)
             own = np.repeat(np.arange(len(some)), size)
             error = m.score(own, at, len(some)) - label[some]
-            total = np.zeros((len(some), FACTORS))
-            np.add.at(total, own, m.factor[at])
+            total = np.stack([np.bincount(own, m.factor[at, f], len(some)) for f in range(FACTORS)], axis=1)
             step_w = error[own] + DECAY * m.weight[at]
             step_v = error[own][:, None] * (total[own] - m.factor[at]) + DECAY * m.factor[at]
             uniq, inv = np.unique(at, return_inverse=True)
-            gw, gv = np.zeros(len(uniq)), np.zeros((len(uniq), FACTORS))
-            np.add.at(gw, inv, step_w)
-            np.add.at(gv, inv, step_v)
-            gw, gv, gb = gw / len(some), gv / len(some), error.mean()
+            gw = np.bincount(inv, step_w, len(uniq)) / len(some)
+            gv = np.stack([np.bincount(inv, step_v[:, f], len(uniq)) for f in range(FACTORS)], axis=1) / len(some)
+            gb = error.mean()
             g_weight[uniq] += gw**2
             g_factor[uniq] += gv**2
             g_bias += gb**2
@@ -132,13 +129,14 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], bucket: np.ndarray, seed: in
 
 
 def held_out(id_column: str = "doc_id"):
-    return F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2
+    """Whether an id is in the part that no labels are learnt from; a null id is not."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, rows: int) -> DataFrame:
     """Texts and labels of at most ``rows`` labelled rows outside the held-out part."""
     chosen = (
-        labels.where(F.col(label).isin(0, 1) & ~held_out(id_column))
+        labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_column))
         .groupBy(id_column)
         .agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64(id_column), id_column)
@@ -148,7 +146,9 @@ def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label
     found = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("t")).join(
         F.broadcast(chosen.withColumnRenamed(id_column, "_id")), "_id"
     )
-    return cut(found.select("t", "y"), "toxicity-sample")
+    # an id that several documents have counts once, by the text of the least hash: the bound holds for any table
+    one = found.groupBy("_id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "y")).alias("x"))
+    return cut(one.select("x.t", "x.y"), "toxicity-sample")
 
 
 def fit(
@@ -198,7 +198,7 @@ def fit(
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
-    """Add the score of each text."""
+    """Add the score of each text; a column of that name is replaced."""
     columns = [c for c in df.columns if c != out]
     schema = T.StructType([df.schema[c] for c in columns] + [T.StructField(out, T.DoubleType(), False)])
 
@@ -224,4 +224,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(df: DataFrame, machine: Machine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows that score below the threshold."""
-    return score(df, machine, text, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    (name,) = unused(df, "_toxicity")
+    return score(df, machine, text, name).where(F.col(name) < threshold).drop(name)
