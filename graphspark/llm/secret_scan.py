@@ -16,6 +16,7 @@ path counts as no path.
 
 from __future__ import annotations
 
+import hashlib
 import random
 import string
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import documents
+from .common import documents, plain_names
 
 # Words beside secrets and beside other findings, parts of paths of tests and of generated files, and the pattern
 # of candidates (what follows a secret word and a mark or a blank, a password in an address, a run with a digit, or what a
@@ -263,7 +264,9 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int = 5) -> list:
 
 def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None) -> Forest:
     """A forest from labelled findings (left, candidate, right, path, label)."""
-    findings = (labelled_findings() if findings is None else findings)[:MOST_FINDINGS]
+    findings = labelled_findings() if findings is None else findings
+    if len(findings) > MOST_FINDINGS:  # those of the least hashes, whatever their order
+        findings = sorted(findings, key=lambda f: hashlib.blake2b("\x1f".join(map(str, f)).encode("utf-8", "surrogatepass"), digest_size=8).digest())[:MOST_FINDINGS]
     transitions = learn_transitions([f[1] for f in findings if f[4]], [f[1] for f in findings if not f[4]])
     table = spark.createDataFrame(findings, "l string, c string, r string, p string, y int").coalesce(4)
     features = _features(F.col("c"), F.right("l", F.lit(LEFT)), F.left("r", F.lit(RIGHT)), F.col("p"), transitions)
@@ -317,13 +320,16 @@ def scan(
 
 
 def redact(df: DataFrame, forest: Forest, text: str = "text", path: str | None = "source", mask: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
-    """The same rows and columns, with ``mask`` for every secret in the text; a null text stays null."""
+    """The same rows and columns, whatever their names, with ``mask`` for every secret in the text; a null text stays null."""
+    columns = df.columns
+    df, names = plain_names(df)
+    text, path = names[text], names[path] if path else None
     where = F.coalesce(F.col(path), F.lit("")) if path else F.lit("")
     found = _scanned(df, forest, text, where)
     masked = F.zip_with("_found", "_scores", lambda c, s: F.when(s >= threshold, F.lit(mask)).otherwise(c))
     joined = F.array_join(F.zip_with("_parts", masked, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     clean = F.when(F.size("_found") > 0, joined).otherwise(F.col(text))
-    return found.withColumn(text, clean).select(*df.columns)
+    return found.withColumn(text, clean).select(*df.columns).toDF(*columns)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
