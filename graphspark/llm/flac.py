@@ -6,11 +6,14 @@ subframes at once: one step decodes the next residual of all of them. Constant,
 verbatim, fixed and linear predictors, wasted bits, and the stereo modes are
 read. The result is PCM blocks, each with the offset of its first sample.
 
-The encoder writes streams of one channel with a seek point for every frame.
+The encoder writes streams of one channel with a seek point for every frame,
+fixed predictors and, on request, linear ones that it fits to each block.
+``decode_range`` reads some samples by the seek table, and no other frames.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from dataclasses import dataclass
 
@@ -154,19 +157,18 @@ def _frame_at(data: bytes, at: int, info: Info) -> Frame:
     return Frame(at, pos + 1, number, block, mode, _WIDTHS.get(width, info.bits), bool(data[at + 1] & 1))
 
 
-def find_frames(data: bytes, info: Info, at: int) -> list[Frame]:
-    """Frames in order. A candidate counts if header checksum and number fit, and the frame before ends in its checksum."""
+def find_frames(data: bytes, info: Info, at: int, first: int = 0) -> list[Frame]:
+    """Frames in order, from number ``first`` on. A candidate counts if header checksum and number fit, and the frame before ends in its checksum."""
     raw = np.frombuffer(data, np.uint8)
     sync = np.flatnonzero((raw[at:-1] == 0xFF) & (raw[at + 1 :] & 0xFE == 0xF8)) + at if len(data) > at + 1 else np.zeros(0, int)
     frames: list[Frame] = []
     position = 0
-    held: list[tuple[Frame, int]] = []
     for s in sync.tolist():
         try:
             f = _frame_at(data, s, info)
         except (Corrupt, IndexError):
             continue
-        if f.number == (position if f.variable else len(frames)):
+        if f.number == first + (position if f.variable else len(frames)):
             if frames and f.number == 0:
                 continue
             frames.append(f)
@@ -178,26 +180,26 @@ def find_frames(data: bytes, info: Info, at: int) -> list[Frame]:
     return frames
 
 
-def frames_of(streams: list[bytes], infos: list[Info], begins: list[int]) -> list[list[Frame]]:
+def frames_of(streams: list[bytes], infos: list[Info], begins: list[int], first: int = 0) -> list[list[Frame]]:
     """Frames of every stream, the checksums of all verified together; one that fails is searched again frame by frame."""
-    found = [find_frames(d, i, b) for d, i, b in zip(streams, infos, begins)]
+    found = [find_frames(d, i, b, first) for d, i, b in zip(streams, infos, begins)]
     base = np.cumsum([0, *map(len, streams)])
     start = np.array([base[s] + f.start for s, fs in enumerate(found) for f in fs], np.int64)
     end = np.array([base[s] + e for s, fs in enumerate(found) for e in [*(f.start for f in fs[1:]), len(streams[s])][: len(fs)]], np.int64)
     owner = np.repeat(np.arange(len(streams)), [len(f) for f in found])
     raw = np.frombuffer(b"".join(streams), np.uint8)
     for s in np.unique(owner[crc16_many(raw, start, end) != 0]).tolist():  # a checksum over itself is zero
-        found[s] = _slow_frames(streams[s], np.frombuffer(streams[s], np.uint8), infos[s], begins[s])
+        found[s] = _slow_frames(streams[s], np.frombuffer(streams[s], np.uint8), infos[s], begins[s], first)
     return found
 
 
-def _slow_frames(data: bytes, raw: np.ndarray, info: Info, at: int) -> list[Frame]:
+def _slow_frames(data: bytes, raw: np.ndarray, info: Info, at: int, first: int = 0) -> list[Frame]:
     """Frame by frame: every possible end is tried until the checksum fits."""
     sync = [s for s in (np.flatnonzero((raw[at:-1] == 0xFF) & (raw[at + 1 :] & 0xFE == 0xF8)) + at).tolist()]
     frames, position = [], 0
     while at < len(data):
         f = _frame_at(data, at, info)
-        if f.number != (position if f.variable else len(frames)):
+        if f.number != first + (position if f.variable else len(frames)):
             raise Corrupt("frame number")
         ends = np.array([s for s in sync if s > at + 2] + [len(data)])
         for e in ends.tolist():
@@ -387,26 +389,63 @@ class Block:
 
 def decode_many(streams: list[bytes]) -> tuple[list[Info], list[list[Block]]]:
     """PCM blocks of every stream, frames of all streams decoded together."""
-    frames = []
-    base, at = [], 0
     heads = [stream_info(data) for data in streams]
     infos = [info for info, _ in heads]
-    for s, own in enumerate(frames_of(streams, infos, [begin for _, begin in heads])):
-        info, data = infos[s], streams[s]
-        position = 0
+    found = frames_of(streams, infos, [begin for _, begin in heads])
+    for info, own in zip(infos, found):
+        if info.samples and sum(f.block for f in own) != info.samples:
+            raise Corrupt("samples are missing")
+    return infos, _decoded(streams, found, 0)
+
+
+def seek_points(data: bytes) -> list[tuple[int, int]]:
+    """(first sample, byte from the first frame on) of every seek point, in order; placeholders are left out."""
+    at, last, out = 4, False, []
+    while not last:
+        last, kind, size = data[at] >> 7, data[at] & 127, int.from_bytes(data[at + 1 : at + 4], "big")
+        if kind == 3:
+            for p in range(at + 4, at + 4 + size, 18):
+                sample = int.from_bytes(data[p : p + 8], "big")
+                if sample < (1 << 64) - 1:
+                    out.append((sample, int.from_bytes(data[p + 8 : p + 16], "big")))
+        at += 4 + size
+    return sorted(out)
+
+
+def decode_range(data: bytes, first: int, count: int) -> np.ndarray:
+    """Samples (count, channels) from sample ``first`` on, fewer where the stream ends; only the frames between two seek points are read."""
+    info, begin = stream_info(data)
+    points = seek_points(data) or [(0, 0)]
+    starts = [p[0] for p in points]
+    low = max(0, bisect.bisect_right(starts, first) - 1)
+    high = bisect.bisect_left(starts, first + count)
+    if starts[low] > first:
+        points, low, high = [(0, 0), *points], 0, high + 1
+    piece = data[begin + points[low][1] : begin + points[high][1] if high < len(points) else len(data)]
+    if not piece or count <= 0:
+        return np.zeros((0, info.channels), np.int64)
+    frames = frames_of([piece], [info], [0], _frame_at(piece, 0, info).number)
+    pcm = np.concatenate([b.pcm for b in _decoded([piece], frames, points[low][0])[0]])
+    return pcm[first - points[low][0] :][:count]
+
+
+def _decoded(streams: list[bytes], found: list[list[Frame]], position: int) -> list[list[Block]]:
+    """PCM blocks of the frames found in each stream, the first at sample ``position``."""
+    frames, first = [], position
+    base, at = [], 0
+    for s, own in enumerate(found):
+        position = first
         for f in own:
             frames.append((s, position, f))
             position += f.block
-        if info.samples and position != info.samples:
-            raise Corrupt("samples are missing")
         base.append(at)
-        at += len(data)
+        at += len(streams[s])
     bits = _Bits(np.frombuffer(b"".join(streams), np.uint8))
     out: list[list[Block]] = [[] for _ in streams]
     groups: dict[tuple[int, int], list[int]] = {}
     for k, (s, _, f) in enumerate(frames):
         groups.setdefault((f.block, f.mode), []).append(k)
-    found: list[np.ndarray | None] = [None] * len(frames)
+    done: list[np.ndarray | None] = [None] * len(frames)
     for (block, mode), members in groups.items():
         pos = np.array([8 * (base[frames[k][0]] + frames[k][2].body) for k in members], np.int64)
         width = np.array([frames[k][2].bits for k in members], np.int64)
@@ -424,10 +463,10 @@ def decode_many(streams: list[bytes]) -> tuple[list[Info], list[list[Block]]]:
             channels = [(mid + side) >> 1, (mid - side) >> 1]
         pcm = np.stack(channels, axis=2)  # (block, frame, channel)
         for j, k in enumerate(members):
-            found[k] = pcm[:, j]
-    for (s, position, _), pcm in zip(frames, found):
+            done[k] = pcm[:, j]
+    for (s, position, _), pcm in zip(frames, done):
         out[s].append(Block(s, position, pcm))
-    return infos, out
+    return out
 
 
 def pcm_bytes(blocks: list[Block], bits: int) -> bytes:
@@ -453,8 +492,30 @@ def _rice_bits(folded_sum: np.ndarray, k: int, n: int) -> np.ndarray:
     return n * (k + 1) + (folded_sum >> k)
 
 
-def encode_many(payloads: list[np.ndarray]) -> list[bytes]:
-    """8-bit streams of payloads (signed samples, whole blocks), fixed predictors of the best order."""
+def _linear(x: np.ndarray, order: int, precision: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients (frames, order), shifts and residuals of linear predictors fitted to each row by its autocorrelation."""
+    w = x * np.hanning(BLOCK + 2)[1:-1]
+    r = np.stack([(w[:, lag:] * w[:, : BLOCK - lag]).sum(1) for lag in range(order + 1)], axis=1)
+    a, error = np.zeros((len(x), order)), r[:, 0] * (1 + 1e-9) + 1e-9
+    for i in range(order):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(1)) / error
+        a[:, :i] -= k[:, None] * a[:, :i][:, ::-1]
+        a[:, i] = k
+        error *= 1 - k**2
+    top = np.abs(a).max(1)
+    shift = np.clip(precision - 2 - np.floor(np.log2(np.maximum(top, 1e-9))).astype(np.int64), 0, 15)
+    limit = 1 << (precision - 1)
+    q = np.clip(np.rint(a * (1 << shift)[:, None]), -limit, limit - 1).astype(np.int64)
+    guess = sum(q[:, j : j + 1] * x[:, order - 1 - j : BLOCK - 1 - j] for j in range(order)) >> shift[:, None]
+    return q, shift, (x[:, order:] - guess).astype(np.int32)
+
+
+#: Bits of a linear predictor's coefficients.
+PRECISION = 7
+
+
+def encode_many(payloads: list[np.ndarray], linear: int = 0) -> list[bytes]:
+    """8-bit streams of payloads (signed samples, whole blocks): fixed predictors of the best order, or linear ones of order ``linear`` where they are shorter."""
     size = np.array([len(p) // BLOCK for p in payloads])
     owner = np.repeat(np.arange(len(payloads)), size)
     first = np.cumsum(size) - size
@@ -478,6 +539,19 @@ def encode_many(payloads: list[np.ndarray]) -> list[bytes]:
                 best_bits[better], order[better], rice[better] = estimate[better], o, k
         mine = order == o
         folded_best[mine, o:] = folded[mine]
+    coefficients = shift = None
+    if linear:
+        coefficients, shift, rest = _linear(x, linear, PRECISION)
+        folded = (rest << 1) ^ (rest >> 31)
+        total = folded.sum(1, dtype=np.int64)
+        mine = np.zeros(len(x), bool)
+        for k in range(15):
+            estimate = (8 + PRECISION) * linear + 9 + _rice_bits(total, k, BLOCK - linear)
+            better = estimate < best_bits
+            best_bits[better], rice[better] = estimate[better], k
+            mine |= better
+        order[mine] = 32 + linear
+        folded_best[mine, linear:] = folded[mine]
     constant = (x == x[:, :1]).all(1)
     order[constant] = -2
     out_frames: list[bytes] = [b""] * len(x)
@@ -489,7 +563,8 @@ def encode_many(payloads: list[np.ndarray]) -> list[bytes]:
         rows = np.flatnonzero(order == o)
         for a in range(0, len(rows), 2000):
             some = rows[a : a + 2000]
-            bodies = _bodies(x[some], folded_best[some], rice[some], o)
+            predictor = (coefficients[some], shift[some]) if o > 32 else None
+            bodies = _bodies(x[some], folded_best[some], rice[some], o - 32 if o > 32 else o, predictor)
             for r, body in zip(some.tolist(), bodies):
                 out_frames[r] = heads[r] + body
     length = np.array([len(f) for f in out_frames])
@@ -515,7 +590,7 @@ def encode_many(payloads: list[np.ndarray]) -> list[bytes]:
     return streams
 
 
-def _bodies(x: np.ndarray, folded: np.ndarray, rice: np.ndarray, order: int) -> list[bytes]:
+def _bodies(x: np.ndarray, folded: np.ndarray, rice: np.ndarray, order: int, predictor: tuple[np.ndarray, np.ndarray] | None = None) -> list[bytes]:
     """Subframes, padded to whole bytes, of frames with one kind of subframe."""
     if order == -2:
         return [bytes([0, v & 255]) for v in x[:, 0].tolist()]
@@ -525,11 +600,18 @@ def _bodies(x: np.ndarray, folded: np.ndarray, rice: np.ndarray, order: int) ->
     quotient = folded[:, order:] >> rice[:, None]
     width = quotient + 1 + rice[:, None]
     start = np.cumsum(width, axis=1) - width
-    lead = 8 + 8 * order + 6 + 4  # subframe header, warm-up, residual header
+    lead = 8 + 8 * order + (9 + PRECISION * order if predictor else 0) + 6 + 4  # subframe header, warm-up, predictor, residual header
     bits_used = lead + start[:, -1] + width[:, -1]
     row_bytes = -(-int(bits_used.max()) // 8)
     bits = np.zeros((len(x), row_bytes * 8), np.uint8)
-    bits[:, 1:7] = np.unpackbits(np.array([8 + order], np.uint8))[2:]
+    bits[:, 1:7] = np.unpackbits(np.array([31 + order if predictor else 8 + order], np.uint8))[2:]
+    if predictor:
+        at = 8 + 8 * order
+        bits[:, at : at + 4] = np.unpackbits(np.array([PRECISION - 1], np.uint8))[4:]
+        bits[:, at + 4 : at + 9] = np.unpackbits(predictor[1].astype(np.uint8)[:, None], axis=1)[:, 3:]
+        for j in range(order):
+            place = at + 9 + PRECISION * j
+            bits[:, place : place + PRECISION] = np.unpackbits(predictor[0][:, j].astype(np.int8).view(np.uint8)[:, None], axis=1)[:, 8 - PRECISION :]
     if order:
         bits[:, 8 : 8 + 8 * order] = np.unpackbits(x[:, :order].astype(np.int8).view(np.uint8), axis=1)
     bits[:, lead - 4 : lead] = np.unpackbits(rice.astype(np.uint8)[:, None], axis=1)[:, 4:]

@@ -5,7 +5,9 @@ UTF-8 bytes, padded by bytes 255 to whole blocks of 576, and each byte is one
 8-bit sample. A fixed table gives frequent bytes small samples, as companding
 does, so that Rice codes are short; the samples are otherwise the bytes.
 ``read_blocks`` decodes stored streams into PCM blocks with the offset of the
-first sample, ``read_features`` into digests and features.
+first sample, ``write_blocks`` keeps these as a table, ``read_samples`` reads
+some samples by a stream's seek table alone, and ``read_features`` gives digests,
+features and the offsets of the blocks.
 
 Defined cases: null and empty texts are one block of padding; equal texts have
 equal streams; a stream whose checksums don't fit is an error, naming the row.
@@ -93,6 +95,33 @@ def read_blocks(df: DataFrame, media: str = "media") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def write_blocks(df: DataFrame, path: str, media: str = "media") -> DataFrame:
+    """Write the PCM blocks of stored streams to ``path``, in the order of their offsets within each task; return them as read from there."""
+    blocks = read_blocks(df, media)
+    blocks.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(blocks.schema).parquet(path)
+
+
+def read_samples(df: DataFrame, first: str, count: str, media: str = "media", out: str = "pcm") -> DataFrame:
+    """Add the samples (little-endian, channels in turn) of ``count`` samples from ``first`` on, decoding only the frames that hold them.
+
+    Fewer where a stream ends; a null stream, offset or count gives null; a column of the name ``out`` is replaced.
+    """
+    kept = [c for c in df.columns if c != out]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_batches(batches, media, 1_500_000):
+            asked = zip(*(batch.column(c).to_pylist() for c in (media, first, count)))
+            found = [
+                None if None in row else flac.pcm_bytes([flac.Block(0, row[1], flac.decode_range(*row))], flac.stream_info(row[0])[0].bits)
+                for row in asked
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.binary())], names=schema.names)
+
+    return df.select(*dict.fromkeys([*kept, media])).mapInArrow(run, schema)
+
+
 def signal_features(samples: np.ndarray) -> str:
     """Samples, root mean square, peak, share of zero crossings, and mean step, as text."""
     x = samples.astype(np.int64)
@@ -106,7 +135,7 @@ def signal_features(samples: np.ndarray) -> str:
 def read_features(df: DataFrame, media: str = "media") -> DataFrame:
     """Digests and features of stored streams; the payload is put together from the decoded blocks."""
     kept = [c for c in df.columns if c != media]
-    new = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+    new = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("block_offsets", T.ArrayType(T.LongType(), False))]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(c, t, False) for c, t in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +147,10 @@ def read_features(df: DataFrame, media: str = "media") -> DataFrame:
                     raise flac.Corrupt("MD5 of the samples")
                 data = pcm.translate(TO_BYTE)
                 rows.append(
-                    (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), signal_features(np.frombuffer(pcm, np.int8)))
+                    (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), signal_features(np.frombuffer(pcm, np.int8)), [b.offset for b in own])
                 )
             columns = zip(*rows) if rows else [()] * len(new)
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(columns, types))], names=schema.names
             )
@@ -130,6 +159,6 @@ def read_features(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store every text as a FLAC stream, read the streams back, and return digests and features."""
+    """Store every text as a FLAC stream, read the streams back, and return digests, features and the blocks' sample offsets."""
     stored = store(documents(spark, sf_dir).select("doc_id", "text"), scratch(spark, "media"))
     return read_features(stored)
