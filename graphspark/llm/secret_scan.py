@@ -4,7 +4,8 @@ The whole scan is DataFrame expressions: a text is split at its candidates, and
 each candidate becomes a struct of features: its length and alphabet, the
 log-likelihood ratio of its character transitions (classes of characters, a
 chain learnt from secrets against one learnt from other findings), entropy,
-dictionary coverage, the path, and the neighbouring words. The forest is
+dictionary coverage (words of code, and on request those of a tokenizer's
+vocabulary, as one pattern of shared prefixes), the path, and the neighbouring words. The forest is
 learnt on the driver from labelled findings (at most ``MOST_FINDINGS``, a
 documented bound; by default the generated ones of ``labelled_findings``) and
 becomes an expression of nested conditions.
@@ -16,7 +17,10 @@ path counts as no path.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import itertools
+import json
 import random
 import string
 from dataclasses import dataclass
@@ -25,15 +29,17 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .bpe_codec import rank_file
 from .common import documents, plain_names
 
 # Words beside secrets and beside other findings, parts of paths of tests and of generated files, and the pattern
-# of candidates (what follows a secret word and a mark or a blank, a password in an address, a run with a digit, or what a
+# of candidates (the body of a private key, what follows a secret word and a mark or a blank, a password in an address, a run with a digit, or what a
 # quote or an equals sign opens). Short tests come first in it: a lookbehind for words is slow.
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|auth|bearer|credential|private.?key|access.?key|client.?key|signature"
 _WORD = r"(?i:" + SECRET_WORDS + r")[A-Za-z0-9_]{0,10}"
 CANDIDATE = (
-    r"(?<=[ \t:=\"'])(?=[^\s\"']{6})(?<=" + _WORD + r"(?:[\"']?[ \t]{0,2}[:=][ \t]{0,2}|[ \t]{1,2})[\"']?)"
+    r"(?<=PRIVATE KEY-----)\s[A-Za-z0-9+/=\s]{24,}(?=-----END)"
+    r"|(?<=[ \t:=\"'])(?=[^\s\"']{6})(?<=" + _WORD + r"(?:[\"']?[ \t]{0,2}[:=][ \t]{0,2}|[ \t]{1,2})[\"']?)"
     r"[^\s\"'=:][^\s\"']{4,}?[^\s\"',;.)\]}](?=[,;.)\]}]*(?:[\s\"']|$|[&;,|][A-Za-z0-9_.\-]{1,40}=))"
     r"|(?<=:)(?=[^\s/@]{3,128}@)(?<=://[^\s/:@]{0,64}:)[^\s/@]{3,128}(?=@)"
     r"|(?<![A-Za-z0-9_+/=\-.])(?=[A-Za-z_+/\-.]*[0-9])[A-Za-z0-9_+/\-.]{12,}={0,2}"
@@ -97,7 +103,38 @@ def _share(c: Column, characters: str) -> Column:
     return F.length(F.regexp_replace(c, f"[^{characters}]", "")) / F.length(c)
 
 
-def _features(c: Column, left: Column, right: Column, path: Column, transitions: list[float]) -> list[Column]:
+def vocabulary_words(path: str, most: int = 4000, least: int = 4, longest: int = 12) -> list[str]:
+    """The first ``most`` words of small letters that a byte-level vocabulary (JSON or ranks) holds after a blank: the most frequent ones of its texts."""
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            tokens = sorted((rank, token) for token, rank in json.load(f)["model"]["vocab"].items())
+        found = (t[1:] for _, t in tokens if t.startswith("\u0120"))
+    else:
+        with open(path, "rb") as f:
+            tokens = (base64.b64decode(line.split()[0]) for line in f if line.strip())
+            found = [t[1:].decode("latin-1") for t in tokens if t.startswith(b" ")]
+    words = (w for w in found if least <= len(w) <= longest and w.isascii() and w.isalpha() and w.islower())
+    return list(itertools.islice(words, most))
+
+
+def prefix_pattern(words: list[str]) -> str:
+    """A pattern that matches the longest of the words, each shared prefix written once."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [c + pattern(n) for c, n in sorted(node.items()) if c]
+        inner = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})" if ways else ""
+        return inner + ("?" if ways and "" in node else "")
+
+    return pattern(tree)
+
+
+def _features(c: Column, left: Column, right: Column, path: Column, transitions: list[float], words: list[str] = DICTIONARY) -> list[Column]:
     n = F.length(c)
     codes = F.regexp_replace(F.translate(c, _FROM, _TO), "[^0-4]", "5")
     ratio = F.array(*(F.lit(x) for x in transitions))
@@ -112,7 +149,7 @@ def _features(c: Column, left: Column, right: Column, path: Column, transitions:
             -((n - F.length(F.replace(c, x, F.lit("")))) / n) * F.log2((n - F.length(F.replace(c, x, F.lit("")))) / n)
         ),
     )
-    words = "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w)))
+    known = prefix_pattern([w for w in words if len(w) > 2])
     lower, before = F.lower(c), F.lower(left)
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     return [
@@ -121,7 +158,7 @@ def _features(c: Column, left: Column, right: Column, path: Column, transitions:
         flag(c.rlike("^[0-9a-fA-F]+$")), flag(c.rlike("^[0-9.\\-]+$")), entropy,
         F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / n,
         (F.length(F.regexp_replace(codes, "(.)\\1*", "$1")) - 1) / n,
-        1 - F.length(F.regexp_replace(lower, words, "")) / n,
+        1 - F.length(F.regexp_replace(lower, known, "")) / n,
         n - F.length(F.replace(c, F.lit("/"), F.lit(""))) + F.lit(0.0), n - F.length(F.replace(c, F.lit("."), F.lit(""))) + F.lit(0.0),
         flag(before.rlike("[=:]\\s*[\"']?$")), flag(before.rlike("[\"'`]$") & right.rlike("^[\"'`]")),
         flag(before.rlike(f"({SECRET_WORDS})[^\\n]{{0,20}}$") | lower.rlike("^(akia|ghp_|gho_|sk_|pk_|xox|eyj|glpat)")),
@@ -162,6 +199,11 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
                 lambda: word() + some(string.digits, r.randint(4, 6)) + r.choice("!@#$%^*&"), lambda: some(string.ascii_letters, r.randint(16, 30)),
                 lambda: word().capitalize().replace("o", "0").replace("e", "3") + r.choice("!@#$%^*&") + some(string.digits, 1) + word() + r.choice("!@#$%^*&"),
             ))()
+            if r.random() < 0.04:
+                kind = r.choice(("", "RSA ", "EC "))
+                value = "\n" + "\n".join(some(alnum + "+/", 64) for _ in range(r.randint(2, 8))) + "\n" + some(alnum + "+/", r.randint(4, 60)) + "==\n"
+                out.append((f"{lead}-----BEGIN {kind}PRIVATE KEY-----", value, f"-----END {kind}PRIVATE KEY-----" + tail, path, 1))
+                continue
             if r.random() < 0.08:
                 address = r.choice(("postgres", "mysql", "https", "amqp")) + "://" + r.choice(("admin", "root", word())) + ":"
                 value = some(alnum + "!$%^*", r.randint(6, 16))
@@ -214,6 +256,7 @@ class Forest:
 
     trees: list
     transitions: list[float]
+    words: list[str]
 
     def expression(self, feature) -> Column:
         def of(node) -> Column:
@@ -262,18 +305,19 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int = 5) -> list:
     return [node(rng.integers(0, len(y), len(y)), 0) for _ in range(TREES)]
 
 
-def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None) -> Forest:
-    """A forest from labelled findings (left, candidate, right, path, label)."""
+def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None, words: list[str] | None = None) -> Forest:
+    """A forest from labelled findings (left, candidate, right, path, label). words: a dictionary besides that of code words."""
+    words = sorted({*DICTIONARY, *(words or ())})
     findings = labelled_findings() if findings is None else findings
     if len(findings) > MOST_FINDINGS:  # those of the least hashes, whatever their order
         findings = sorted(findings, key=lambda f: hashlib.blake2b("\x1f".join(map(str, f)).encode("utf-8", "surrogatepass"), digest_size=8).digest())[:MOST_FINDINGS]
     transitions = learn_transitions([f[1] for f in findings if f[4]], [f[1] for f in findings if not f[4]])
     table = spark.createDataFrame(findings, "l string, c string, r string, p string, y int").coalesce(4)
-    features = _features(F.col("c"), F.right("l", F.lit(LEFT)), F.left("r", F.lit(RIGHT)), F.col("p"), transitions)
+    features = _features(F.col("c"), F.right("l", F.lit(LEFT)), F.left("r", F.lit(RIGHT)), F.col("p"), transitions, words)
     rows = table.select(*(f.alias(n) for f, n in zip(features, FEATURES)), "y").collect()
     data = np.array([tuple(r) for r in rows], float)
     data = data[np.lexsort(data.T)]  # one order, however Spark returns them
-    return Forest(grow(data[:, :-1], data[:, -1]), transitions)
+    return Forest(grow(data[:, :-1], data[:, -1]), transitions, words)
 
 
 # --------------------------------------------------------------------------
@@ -295,7 +339,7 @@ def _scanned(df: DataFrame, forest: Forest, text: str, path: Column) -> DataFram
             F.right(F.concat(F.get(F.col("_found"), i - 1), left), F.lit(LEFT)),
         ).otherwise(left)
         right = F.coalesce(F.left(F.get(F.col("_parts"), i + 1), F.lit(RIGHT)), F.lit(""))
-        return F.struct(*(f.alias(n) for f, n in zip(_features(c, left, right, path, forest.transitions), FEATURES)))
+        return F.struct(*(f.alias(n) for f, n in zip(_features(c, left, right, path, forest.transitions, forest.words), FEATURES)))
 
     df = df.withColumn("_features", F.transform("_found", struct))
     return df.withColumn("_scores", F.transform("_features", lambda x: forest.expression(lambda n: x[n]))).drop("_features", "_any")
@@ -334,4 +378,9 @@ def redact(df: DataFrame, forest: Forest, text: str = "text", path: str | None =
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in all documents with the forest's verdict."""
-    return scan(documents(spark, sf_dir), train(spark))
+    return scan(documents(spark, sf_dir), train(spark, words=known_words()))
+
+
+def known_words() -> list[str]:
+    """The dictionary of the query and the pipeline: frequent words of two public vocabularies, an English one and one of several languages."""
+    return [*vocabulary_words(rank_file("byte_bpe_50k.json")), *vocabulary_words(rank_file())]
