@@ -37,14 +37,21 @@ from .common import documents, plain_names
 # quote or an equals sign opens). Short tests come first in it: a lookbehind for words is slow.
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|auth|bearer|credential|private.?key|access.?key|client.?key|signature"
 _WORD = r"(?i:" + SECRET_WORDS + r")[A-Za-z0-9_]{0,10}"
-CANDIDATE = (
-    r"(?<=PRIVATE KEY-----)\s[A-Za-z0-9+/=\s]{24,}(?=-----END)"
-    r"|(?<=[ \t:=\"'])(?=[^\s\"']{6})(?<=" + _WORD + r"(?:[\"']?[ \t]{0,2}[:=][ \t]{0,2}|[ \t]{1,2})[\"']?)"
+_KEY = (
+    r"[\r\n](?<=PRIVATE KEY-----[\r\n])[A-Za-z0-9+/=\s]{24,}(?=-----END)"
+)
+_AFTER_WORD = (
+    r"(?<=[ \t:=\"'])(?=[^\s\"']{6})(?<=" + _WORD + r"(?:[\"']?[ \t]{0,2}[:=][ \t]{0,2}|[ \t]{1,2})[\"']?)"
     r"[^\s\"'=:][^\s\"']{4,}?[^\s\"',;.)\]}](?=[,;.)\]}]*(?:[\s\"']|$|[&;,|][A-Za-z0-9_.\-]{1,40}=))"
-    r"|(?<=:)(?=[^\s/@]{3,128}@)(?<=://[^\s/:@]{0,64}:)[^\s/@]{3,128}(?=@)"
+)
+_OTHERS = (
+    r"(?<=:)(?=[^\s/@]{3,128}@)(?<=://[^\s/:@]{0,64}:)[^\s/@]{3,128}(?=@)"
     r"|(?<![A-Za-z0-9_+/=\-.])(?=[A-Za-z_+/\-.]*[0-9])[A-Za-z0-9_+/\-.]{12,}={0,2}"
     r"|(?<=[\"'=])[^\s\"'=,;|&<>]{8,}"
 )
+CANDIDATE = "|".join((_KEY, _AFTER_WORD, _OTHERS))
+#: The same for texts without any of these parts of secret words, in small letters: nothing can follow such a word there.
+PLAIN_CANDIDATE, STEMS = "|".join((_KEY, _OTHERS)), ("token", "secret", "passw", "pwd", "key", "auth", "bearer", "credential", "signature")
 OTHER_WORDS = "example|sample|dummy|placeholder|changeme|your|commit|sha|checksum|md5|digest|uuid|hash|version|revision|build|order|isbn|phone|card|image|base64|integrity"
 OTHER_PATHS = "test|example|sample|doc|lock|vendor|node_modules|min\\.js"
 DICTIONARY = (
@@ -327,9 +334,13 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] |
 def _scanned(df: DataFrame, forest: Forest, text: str, path: Column) -> DataFrame:
     """Add ``_parts`` (the text between candidates), ``_found`` (candidates) and ``_scores``."""
     body = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_any", body.rlike(CANDIDATE))
-    df = df.withColumn("_parts", F.when(F.col("_any"), F.split(body, CANDIDATE, -1)).otherwise(F.array(body)))
-    df = df.withColumn("_found", F.when(F.col("_any"), F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    low = F.lower(body)
+    df = df.withColumn("_worded", reduce(lambda a, b: a | b, (F.contains(low, F.lit(s)) for s in STEMS)))
+    worded, any_ = F.col("_worded"), F.col("_any")
+    df = df.withColumn("_any", F.when(worded, body.rlike(CANDIDATE)).otherwise(body.rlike(PLAIN_CANDIDATE)))
+    df = df.withColumn("_parts", F.when(~any_, F.array(body)).when(worded, F.split(body, CANDIDATE, -1)).otherwise(F.split(body, PLAIN_CANDIDATE, -1)))
+    found = F.when(worded, F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(PLAIN_CANDIDATE), F.lit(0)))
+    df = df.withColumn("_found", F.when(any_, found).otherwise(F.array().cast("array<string>")))
 
     def struct(c: Column, i: Column) -> Column:
         left = F.right(F.get(F.col("_parts"), i), F.lit(LEFT))
@@ -342,7 +353,7 @@ def _scanned(df: DataFrame, forest: Forest, text: str, path: Column) -> DataFram
         return F.struct(*(f.alias(n) for f, n in zip(_features(c, left, right, path, forest.transitions, forest.words), FEATURES)))
 
     df = df.withColumn("_features", F.transform("_found", struct))
-    return df.withColumn("_scores", F.transform("_features", lambda x: forest.expression(lambda n: x[n]))).drop("_features", "_any")
+    return df.withColumn("_scores", F.transform("_features", lambda x: forest.expression(lambda n: x[n]))).drop("_features", "_any", "_worded")
 
 
 def scan(
