@@ -49,6 +49,20 @@ def source_statistics(edges: DataFrame, source: Column) -> DataFrame:
     return nodes(edges).groupBy("type", source.alias("source")).agg(F.count("*").alias("n"))
 
 
+def numbered(rows: DataFrame, by: str, order: list[str], out: str) -> DataFrame:
+    """Add ``out``: row numbers from 1 within each value of ``by``, in the order of columns that tell its rows apart.
+
+    Ranges of a global sort are written and counted, so no task holds all rows of a value; a null is a value of its own.
+    """
+    part = _written(rows.repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = part.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_by").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    base = sizes.select("_by", "_p", F.coalesce(before, F.lit(0)).alias("_base"))  # a row for each range of a value
+    inside = part.withColumn("_in", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order)))
+    joined = inside.join(base, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    return joined.select(*rows.columns, (F.col("_base") + F.col("_in")).cast("long").alias(out))
+
+
 def first_seen(rows: DataFrame, position: str, columns: list[str]) -> DataFrame:
     """(node, idx): nodes numbered from 0 in the order in which they first appear, by ``position`` and then by column.
 

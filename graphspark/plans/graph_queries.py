@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import graphs as g
+from ..operators import graphs as g, knowledge as kg
 from ..sources.views import INVERSE, KG_SQL, MOA_SQL, SIGNS, kg_edges, moa_edges, pick, table
 from .registry import query
 
@@ -407,7 +407,7 @@ def _(spark, d):
 @query("dense_index", f"{MOA}, {NODE_SQL}, u AS (SELECT type, node, min(moa_id) AS first FROM node GROUP BY 1, 2) SELECT type, node, dense_rank() OVER (PARTITION BY type ORDER BY first, node) AS idx FROM u")
 def _(spark, d):
     u = g.nodes_of(moa_edges(spark, d), "moa_id").groupBy("type", "node").agg(F.min("moa_id").alias("first"))
-    return u.select("type", "node", F.dense_rank().over(Window.partitionBy("type").orderBy("first", "node")).cast("long").alias("idx"))
+    return kg.numbered(u, "type", ["first", "node"], "idx").select("type", "node", "idx")
 
 
 @query("required_types", f"{MOA}, {NODE_SQL} SELECT moa_id FROM node GROUP BY 1 HAVING bool_or(type = 'Supplier') AND bool_or(type = 'Nation') AND count(*) FILTER (type = 'Part') >= 2")

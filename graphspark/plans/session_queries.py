@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import statistics as s
+from ..operators import knowledge as kg, statistics as s
 from ..sources.views import SESSION_SQL, sessions, table
 from .registry import query
 
@@ -86,7 +86,7 @@ def _(spark, d):
 
 @query("session_positional_zip", f"{SE}, p AS (SELECT model, option, row_number() OVER (PARTITION BY model ORDER BY event_id) AS pos FROM session WHERE model IN ('m0', 'm1')) SELECT a.option AS option_0, b.option AS option_1, count(*) AS n FROM p a JOIN p b ON a.pos = b.pos AND a.model = 'm0' AND b.model = 'm1' GROUP BY 1, 2")
 def _(spark, d):
-    p = sessions(spark, d).where(F.col("model").isin("m0", "m1")).withColumn("pos", F.row_number().over(Window.partitionBy("model").orderBy("event_id")))
+    p = kg.numbered(sessions(spark, d).where(F.col("model").isin("m0", "m1")).select("model", "option", "event_id"), "model", ["event_id"], "pos")
     a, b = (p.where(F.col("model") == k).select("pos", F.col("option").alias(f"option_{k[1]}")) for k in ("m0", "m1"))
     return a.join(b, "pos").groupBy("option_0", "option_1").agg(F.count("*").alias("n"))
 

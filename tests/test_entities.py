@@ -38,3 +38,23 @@ def test_lookup_by_name_alternate_and_family(spark):
     assert get() == exact
     assert get(substring=True) == sorted([*exact, ("statin", 1)])
     assert get(families="families") == sorted([*exact, ("lipid-drugs", 1), ("lipid-drugs", 2)])
+
+
+def test_numbers_within_a_value(spark):
+    from graphspark.operators import knowledge
+
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 9), (None, 5), (None, 4), ("a", 2)], "k string, v int").repartition(4)
+    got = {(r.k, r.v, r.at) for r in knowledge.numbered(df, "k", ["v"], "at").collect()}
+    assert got == {("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 9, 1), (None, 4, 1), (None, 5, 2)}
+    assert knowledge.numbered(df.limit(0), "k", ["v"], "at").count() == 0
+
+
+def test_paths_in_a_large_graph(spark):
+    from graphspark.operators import knowledge
+
+    e = spark.createDataFrame([("a", "T", "r", "b", "T"), ("b", "T", "r", "c", "U"), ("a", "T", "s", "d", "T"), ("d", "T", "r", "c", "U"), ("c", "U", "r", "a", "T"), (None, "T", "r", "a", "T")], "x string, xtype string, relation string, y string, ytype string")
+    start = spark.createDataFrame([("a",)], "node string")
+    assert {tuple(r.path) for r in knowledge.paths_from(e, start).collect()} == {("a", "b"), ("a", "d"), ("a", "b", "c")}
+    assert {tuple(r.path) for r in knowledge.paths_from(e, start, every=True).where("node = 'c'").collect()} == {("a", "b", "c"), ("a", "d", "c")}
+    assert {tuple(r.path) for r in knowledge.paths_from(e, start, most=1, back=True).where("size(path) > 1").collect()} == {("c", "a")}
+    assert knowledge.paths_from(e.limit(0), start).count() == 0
