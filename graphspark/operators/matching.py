@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.models import ask
+from .entities import _written
 from .kernels import closure, reduced_pairs
 
 
@@ -234,7 +235,8 @@ def match_graphs(pairs: DataFrame, ref: DataFrame, target: DataFrame, mapping: D
     disease) of graphs that have both; prompts: (pair, node) of the reference named in the prompt. An edge of the
     reference, reduced to its matched nodes, is consistent if its images are one node or joined: by a path in the target,
     or with ``homomorphic`` by an edge of the target reduced to its matched nodes. Edges are not looked at where at most
-    one node matches, or only the forced ends of a reference with inner nodes. Without nodes in the prompt its score is NaN.
+    one node matches, or only the forced ends of a reference with inner nodes. Without nodes in the prompt its score is NaN;
+    a reference without edges has null ratios.
     """
     count = lambda df, name: df.groupBy("pair").agg(F.count("*").alias(name))
     size = lambda e, name: e.select("moa_id", F.explode(F.array("head", "tail")).alias("v")).distinct().groupBy("moa_id").agg(F.count("*").alias(name))
@@ -253,12 +255,17 @@ def match_graphs(pairs: DataFrame, ref: DataFrame, target: DataFrame, mapping: D
     hit = named.join(m.select("pair", F.col("ref").alias("node")), ["pair", "node"], "left_semi")
     out = out.join(count(named.distinct(), "n_prompt_nodes"), "pair", "left").join(count(hit.distinct(), "n_prompt_matched"), "pair", "left")
     reduced = reduced_pairs(_of_pairs(ref, pairs, "ref_id", m, "ref"), ["M"]).withColumnRenamed("moa_id", "pair").distinct()
+    reduced = _written(reduced, "reduced")
     there = _of_pairs(target, pairs, "target_id", m, "target")
     joined = (reduced_pairs(there, ["M"]) if homomorphic else closure(there)).select(F.col("moa_id").alias("pair"), F.col("head").alias("a"), F.col("tail").alias("b"), F.lit(True).alias("joined")).distinct()
+    joined = _written(joined, "joined")
     image = lambda end, new: m.select("pair", F.col("ref").alias(end), F.col("target").alias(new))
     checked = reduced.join(image("head", "a"), ["pair", "head"]).join(image("tail", "b"), ["pair", "tail"]).join(joined, ["pair", "a", "b"], "left")
     consistent = checked.groupBy("pair").agg(F.count("*").alias("n_edges_ref_reduced"), F.count_if(F.coalesce("joined", F.lit(False)) | (F.col("a") == F.col("b"))).alias("n_edges_consistent"))
+    consistent = _written(consistent, "consistent")
+    out = _written(out, "sizes")
     out = out.join(consistent, "pair", "left").fillna(0, ["n_nodes_ref", "n_nodes_target", "n_edges_ref", "n_edges_target", "n_nodes_matched", "n_inner_matched", "n_prompt_nodes", "n_prompt_matched", "n_edges_ref_reduced", "n_edges_consistent"])
+    out = _written(out, "counts")
     has_ends = F.col("rd").isNotNull() & F.col("td").isNotNull()
     looked = F.col("n_nodes_matched") > 1
     if forced:
@@ -266,7 +273,7 @@ def match_graphs(pairs: DataFrame, ref: DataFrame, target: DataFrame, mapping: D
     part = lambda a, b: F.when(looked & (F.col(b) > 0), F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
     return out.select(
         "pair", "n_nodes_ref", "n_nodes_target", "n_edges_ref", "n_edges_target", "n_nodes_matched", "n_prompt_nodes", "n_prompt_matched",
-        F.round(F.col("n_nodes_target") / F.col("n_nodes_ref"), 6).alias("node_ratio"), F.round(F.col("n_nodes_matched") / F.col("n_nodes_ref"), 6).alias("node_match"),
+        F.round(F.try_divide("n_nodes_target", "n_nodes_ref"), 6).alias("node_ratio"), F.round(F.try_divide("n_nodes_matched", "n_nodes_ref"), 6).alias("node_match"),
         F.when(has_ends, F.when(F.col("n_nodes_ref") > 2, F.round(F.col("n_inner_matched") / (F.col("n_nodes_ref") - 2), 6)).otherwise(0.0)).alias("interior_match"),
         F.when(F.col("n_prompt_nodes") == 0, F.lit(float("nan"))).otherwise(F.round(F.col("n_prompt_matched") / F.col("n_prompt_nodes"), 6)).alias("prompt_match"),
         F.when(looked, F.col("n_edges_ref_reduced")).otherwise(0).alias("n_edges_ref_reduced"), F.when(looked, F.col("n_edges_consistent")).otherwise(0).alias("n_edges_consistent"),

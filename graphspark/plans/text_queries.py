@@ -191,9 +191,10 @@ def _(spark, d):
 
 
 def _match(spark, d, homomorphic):
-    e, pairs = moa_edges(spark, d), _pairs(spark, d)
+    # read many times: written once each
+    e, pairs = entities._written(moa_edges(spark, d), "edges"), entities._written(_pairs(spark, d), "pairs")
     mapping, ends = _node_mapping(spark, d, e, pairs)
-    mapping = entities._written(mapping, "mapping")
+    mapping, ends = entities._written(mapping, "mapping"), entities._written(ends, "ends")
     prompts = g.nodes_of(e, "moa_id").where("type = 'Supplier'").select(F.col("moa_id").alias("ref_id"), "node").join(pairs, "ref_id").select("pair", "node")
     return m.match_graphs(pairs, e, e, mapping, ends, prompts, homomorphic)
 
