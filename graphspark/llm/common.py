@@ -107,13 +107,14 @@ class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of texts, with one blank after each in ``joined``.
 
     start, end: bounds in ``joined``; first: bounds of each text's words;
-    at: where each word starts in the texts' own bytes.
+    at: where each word starts in the texts' own bytes. ``parting``: for each
+    byte, whether it parts words; white space unless given.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, parting: bytes = _IS_WHITE):
         n = len(data)
         white = np.ones(n + 1, bool)
-        white[:n] = np.frombuffer(data.tobytes().translate(_IS_WHITE), bool)
+        white[:n] = np.frombuffer(data.tobytes().translate(parting), bool)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         begins = ~white

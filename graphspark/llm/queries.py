@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, kd_sharding, line_quality, media, packing, secret_scan, simhash, surrogates, token_store, toxicity
+from . import bpe_codec, kd_sharding, line_quality, media, packing, secret_scan, simhash, surrogates, token_store, toxicity, word_table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_surrogates": surrogates.op8_surrogates,
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_word_table": word_table.op11_word_table,
     }
 
 
