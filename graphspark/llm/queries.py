@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, kd_sharding, late_sessions, line_quality, media, packing, secret_scan, simhash, surrogates, token_store, toxicity, word_table
+from . import bpe_codec, divergence, kd_sharding, late_sessions, line_quality, media, packing, secret_scan, simhash, surrogates, token_store, toxicity, word_table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_word_table": word_table.op11_word_table,
+        "op12_divergence": divergence.op12_divergence,
         "op13_late_sessions": late_sessions.op13_late_sessions,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_divergence": divergence.ORACLE_SQL}
