@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import answers as a, statistics as s
+from ..operators.quantiles import group_quantiles
 from ..sources import files
 from ..sources.views import ANSWER_SQL, EVENT_OPTION, answers
 from .registry import query
@@ -84,9 +85,10 @@ def _(spark, d):
 def _(spark, d):
     """True positives and false negatives by the source's type, with range, mean and median of the distance."""
     v = F.col("from_root")
-    return answers(spark, d).where("is_positive").groupBy(F.col("has_target_graph").alias("found"), "source_type").agg(
-        F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, F.lit(0.5)), 6).alias("mid")
-    )
+    rows = answers(spark, d).where("is_positive").select(F.col("has_target_graph").alias("found"), "source_type", v)
+    mids = group_quantiles(rows, ["found", "source_type"], v, {"mid": 0.5}).select(F.col("found").alias("f"), F.col("source_type").alias("s"), F.round("mid", 6).alias("mid"))
+    each = rows.groupBy("found", "source_type").agg(F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 6).alias("mean"))
+    return each.join(mids, each.found.eqNullSafe(mids.f) & each.source_type.eqNullSafe(mids.s), "left").drop("f", "s")
 
 
 MAIN = ["n_true", "n_false", "recall", "tp", "fp", "fn", "tn", "accuracy", "accuracy_true", "accuracy_false", "prop_very_different", "edge_match_score_reduced:mean"]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import graphs as g, knowledge as kg
+from ..operators import graphs as g, knowledge as kg, sampling
+from ..operators.quantiles import group_quantiles
 from ..sources.views import INVERSE, KG_SQL, MOA_SQL, SIGNS, kg_edges, moa_edges, pick, table
 from .registry import query
 
@@ -137,7 +138,9 @@ def _(spark, d):
 
 @query("degree_stats", f"{KG}, {DEGREE_SQL} SELECT coalesce(ytype, 'ALL') AS ytype, min(n) AS lo, round(quantile_cont(n, 0.5), 6) AS mid, round(avg(n), 6) AS mean, max(n) AS hi FROM deg GROUP BY ROLLUP (ytype)")
 def _(spark, d):
-    return _degrees(spark, d).rollup("ytype").agg(F.min("n").alias("lo"), F.round(F.percentile("n", F.lit(0.5)), 6).alias("mid"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("hi")).withColumn("ytype", F.coalesce("ytype", F.lit("ALL")))
+    each = _degrees(spark, d).select(F.explode(F.array("ytype", F.lit("ALL"))).alias("ytype"), "n")
+    mids = group_quantiles(each, ["ytype"], F.col("n"), {"mid": 0.5}).select("ytype", F.round("mid", 6).alias("mid"))
+    return each.groupBy("ytype").agg(F.min("n").alias("lo"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("hi")).join(mids, "ytype")
 
 
 @query("degree_buckets_all", f"{KG}, {DEGREE_SQL}, s AS (SELECT DISTINCT x FROM kg_edge WHERE xtype IN ('Supplier', 'Nation')), ty AS (SELECT unnest(['Part', 'Region', 'Part+Region', 'ALL']) AS kind), m AS (SELECT kind, s.x, coalesce(sum(n) FILTER (kind = 'ALL' OR list_contains(string_split(kind, '+'), ytype)), 0) AS n FROM s CROSS JOIN ty LEFT JOIN deg ON s.x = deg.x GROUP BY 1, 2) SELECT kind, count(*) FILTER (n = 0) AS none, count(*) FILTER (n = 1) AS one, count(*) FILTER (n >= 2) AS more FROM m GROUP BY 1")
@@ -214,13 +217,24 @@ def _(spark, d):
     return j.groupBy("o_custkey", "l_partkey").agg(F.bool_and(F.col("l_returnflag") == "R").alias("only")).where("only").select("o_custkey", "l_partkey")
 
 
-@query("negative_pairs", "WITH s AS (SELECT c_custkey, (c_custkey * 7919 + 13) % (SELECT max(p_partkey) + 1 FROM part) AS p_partkey FROM customer), u AS (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT c_custkey, p_partkey FROM s WHERE NOT EXISTS (SELECT 1 FROM u WHERE o_custkey = c_custkey AND l_partkey = p_partkey)")
+NEGATIVE_SEED, NEGATIVE_REJECTS = 11, 1000
+# the same draws in SQL: twice as many as there are customers hold all that are asked for, as few pairs are used
+NEGATIVE_SQL = f"""WITH n AS (SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM part) AS m),
+  p0 AS (SELECT r, r // m AS i, r % m AS j, n, m FROM range(2 * (SELECT count(*) FROM customer)) t(r), n), {sampling.permuted_sql("p0", NEGATIVE_SEED)},
+  l AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer), q AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS j FROM part),
+  u AS (SELECT DISTINCT o_custkey AS c_custkey, l_partkey AS p_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  d AS (SELECT r AS draw, c_custkey, p_partkey, EXISTS (SELECT 1 FROM u WHERE u.c_custkey = l.c_custkey AND u.p_partkey = q.p_partkey) AS used FROM p6 JOIN l USING (i) JOIN q USING (j)),
+  c AS (SELECT *, count(*) FILTER (NOT used) OVER w AS taken, count(*) FILTER (used) OVER w AS rejects FROM d WINDOW w AS (ORDER BY draw))
+  SELECT draw, c_custkey, p_partkey FROM c WHERE NOT used AND taken <= (SELECT n FROM n) AND rejects < {NEGATIVE_REJECTS}"""
+
+
+@query("negative_pairs", NEGATIVE_SQL)
 def _(spark, d):
-    top = table(spark, d, "part").agg((F.max("p_partkey") + 1).alias("top"))
-    s = table(spark, d, "customer").crossJoin(F.broadcast(top)).select("c_custkey", ((F.col("c_custkey") * 7919 + 13) % F.col("top")).alias("p_partkey"))  # one row
+    """As many pairs without an order line as there are customers, drawn without replacement; at most so many rejected ones."""
+    customers, parts = table(spark, d, "customer").select("c_custkey"), table(spark, d, "part").select("p_partkey")
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
     used = lines.join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey").select("c_custkey", "p_partkey")
-    return s.join(used, ["c_custkey", "p_partkey"], "left_anti")
+    return sampling.negative_pairs(customers, parts, used, customers.count(), NEGATIVE_SEED, NEGATIVE_REJECTS)
 
 
 @query("source_target_theta", f"{MOA}, t AS (SELECT htype, ttype, relation FROM ({COUNTS})) SELECT a.htype AS source, b.ttype AS target, count(*) AS pairs FROM t a JOIN t b ON a.relation <> b.relation AND a.htype <> b.ttype GROUP BY 1, 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators import knowledge as kg, statistics as s
+from ..operators.quantiles import group_quantiles
 from ..sources.views import SESSION_SQL, sessions, table
 from .registry import query
 
@@ -27,7 +28,10 @@ def _(spark, d):
 
 @query("option_counts", f"{SE} SELECT model, option, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY model), 6) AS pct, round(quantile_cont(score, 0.5), 6) AS mid FROM session GROUP BY 1, 2")
 def _(spark, d):
-    c = sessions(spark, d).groupBy("model", "option").agg(F.count("*").alias("n"), F.round(F.percentile("score", F.lit(0.5)), 6).alias("mid"))
+    rows = sessions(spark, d).select("model", "option", "score")
+    mids = group_quantiles(rows, ["model", "option"], F.col("score"), {"mid": 0.5}).select(F.col("model").alias("m"), F.col("option").alias("o"), F.round("mid", 6).alias("mid"))
+    c = rows.groupBy("model", "option").agg(F.count("*").alias("n"))
+    c = c.join(mids, c.model.eqNullSafe(mids.m) & c.option.eqNullSafe(mids.o), "left").drop("m", "o")
     return c.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("model")), 6))
 
 
@@ -58,9 +62,10 @@ def _(spark, d):
 
 @query("quartiles", f"{SE} SELECT option, round(quantile_cont(score, 0.25), 6) AS q1, round(quantile_cont(score, 0.5), 6) AS q2, round(quantile_cont(score, 0.75), 6) AS q3, round(avg(score), 6) AS mean FROM session WHERE correct GROUP BY 1")
 def _(spark, d):
-    q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    r = sessions(spark, d).where("correct").groupBy("option").agg(q.alias("q"), F.round(F.avg("score"), 6).alias("mean"))
-    return r.select("option", *(F.round(F.get("q", k), 6).alias(f"q{k + 1}") for k in range(3)), "mean")
+    rows = sessions(spark, d).where("correct").select("option", "score")
+    q = group_quantiles(rows, ["option"], F.col("score"), {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    mean = rows.groupBy(F.col("option").alias("o")).agg(F.round(F.avg("score"), 6).alias("mean"))
+    return mean.join(q, F.col("o").eqNullSafe(F.col("option")), "left").select(F.col("o").alias("option"), *(F.round(f"q{k}", 6).alias(f"q{k}") for k in (1, 2, 3)), "mean")
 
 
 @query("dataset_stats", f"{SE}, f AS (SELECT run, bool_and(option IN ('click', 'view', 'purchase')) AS surface, count(*) AS n, count(*) FILTER (is_positive) AS pos FROM session GROUP BY 1) SELECT * FROM f")
