@@ -76,7 +76,7 @@ def weight_sql(row: str, replicate: str, seed: int) -> str:
     """The same in SQL for another engine."""
     c, a, b, d, e, f, g, h, *_ = _constants(seed)
     x, y = f"(({row} % {PRIME} + {c}) % {PRIME} * {a} % {PRIME})", f"(({replicate} + {d}) % {PRIME} * {b} % {PRIME})"
-    step = lambda v, body: f"list_transform({v}, x -> {body})"
+    step = lambda v, body: f"list_transform({v}, lambda x: {body})"
     t = f"[({x} + {y} + {row} // {PRIME} % {PRIME} * {g}) % {PRIME}]"
     u = step(t, f"((x * x % {PRIME} * {e} + x * {f}) % {PRIME} + {h}) % {PRIME}")
     u = step(u, f"(x * x % {PRIME} * {a} + x * {b}) % {PRIME}")
@@ -96,7 +96,7 @@ def replicates_of(df: DataFrame, values: list[Column], row: Column, stratum: Col
     terms = rows.select("row", "stratum", *own)
     sizes = _written(terms.groupBy("stratum").agg(F.count("*").cast("double").alias("rows"), *(F.sum(n).alias(n) for n in names)), "strata")
     each = with_weight(terms.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))), "row", "b", seed)
-    drawn = each.where("w > 0").groupBy("b", "stratum").agg(F.sum("w").alias("w"), *(F.sum(F.col("w") * F.col(n)).alias(n) for n in names))
+    drawn = each.groupBy("b", "stratum").agg(F.sum("w").alias("w"), *(F.sum(F.col("w") * F.col(n)).alias(n) for n in names)).where("w > 0")
     # a stratum of which a replicate has nothing keeps its own sums, so strata's own sums are where the total starts
     s = sizes.select(F.col("stratum").alias("_s"), "rows", *(F.col(n).alias(f"_{n}") for n in names))
     joined = drawn.join(s, F.col("stratum").eqNullSafe(F.col("_s")))

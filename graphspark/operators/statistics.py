@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
@@ -11,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .resampling import MEAN, bootstrap as resampled_sums, monte_carlo, permutation  # noqa: F401
+
 
 def ratio(a: Column, b: Column, digits: int = 6) -> Column:
     """a / b, zero where b is."""
@@ -138,17 +138,12 @@ def logistic_depth(df: DataFrame, features: list[str], label: str, splits: int =
 
 
 # --------------------------------------------------------------------------
-# Any statistic of any values: resampling of counted values
+# Statistics that look at all values at once. Those that are sums, and permutations, are in ``resampling``: any number of values.
 
-#: Distinct (stratum, value) pairs that are resampled; more is an error that asks for rounded values.
+#: Distinct (stratum, value) pairs that a function of all values gets; more is an error that asks for ``resampling.Sums``.
 MOST_VALUES = 100_000
 
 
-def mean_of(values: np.ndarray, counts: np.ndarray) -> float:
-    """The statistic that is used unless another is given: f(values, how often each was drawn)."""
-    return float((values * counts).sum() / counts.sum())
-
-
 def counted(df: DataFrame, value: Column, *keys: Column) -> pd.DataFrame:
     """Distinct values with their counts, at most ``MOST_VALUES``; null and NaN values go."""
     v = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
@@ -156,7 +151,7 @@ def counted(df: DataFrame, value: Column, *keys: Column) -> pd.DataFrame:
     rows = df.select(*(k.cast("string").alias(n) for n, k in zip(names, keys)), v.alias("v")).where("v IS NOT NULL").groupBy(*names, "v").agg(F.count("*").alias("n"))
     out = rows.limit(MOST_VALUES + 1).toPandas()
     if len(out) > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} distinct values: round them before")
+        raise ValueError(f"more than {MOST_VALUES} distinct values for a function of all values: state it as resampling.Sums")
     return out.sort_values([*names, "v"], na_position="first").reset_index(drop=True)
 
 
@@ -178,12 +173,15 @@ def _resampled(c: pd.DataFrame, statistic, replicates: int, seed: int, spark) ->
     return spark.range(replicates).withColumnRenamed("id", "b").mapInPandas(run, "b long, value double")
 
 
-def bootstrap(df: DataFrame, value: Column, stratum: Column | None = None, statistic: Callable[[np.ndarray, np.ndarray], float] = mean_of, method: str = "bca", alternative: str = "two-sided", replicates: int = 9999, level: float = 0.9, seed: int = 1) -> DataFrame:
+def bootstrap(df: DataFrame, value: Column, stratum: Column | None = None, statistic: Callable[[np.ndarray, np.ndarray], float] | None = None, method: str = "bca", alternative: str = "two-sided", replicates: int = 9999, level: float = 0.9, seed: int = 1) -> DataFrame:
     """One row: value, low, high, stderr, n of a statistic of any numbers, resampled within strata.
 
     method: "bca", "percentile" or "basic"; alternative: "two-sided", "less" (from minus infinity) or "greater" (to
-    infinity). The jackknife of "bca" leaves out one value of all. Without values all is null; with one value the limits are it.
+    infinity). The jackknife of "bca" leaves out one value of all. Without values all is null; with one value the limits are
+    it. The mean is resampled as sums (``resampling.bootstrap``); another ``statistic`` is called with all distinct values.
     """
+    if statistic is None:
+        return resampled_sums(df, [value], None, stratum, MEAN, method, alternative, replicates, level, seed)
     spark = df.sparkSession
     c = counted(df, value, *([stratum] if stratum is not None else []))
     n = int(c.n.sum()) if len(c) else 0
@@ -238,98 +236,6 @@ def group_intervals(df: DataFrame, correct: Column, stratum: str, groups: dict[s
     return counts.groupBy(*keys, "group").applyInPandas(run, schema)
 
 
-def monte_carlo(df: DataFrame, value: Column, draw: Callable[[np.random.Generator, int], np.ndarray], statistic: Callable[[np.ndarray, np.ndarray], float] = mean_of, alternative: str = "greater", replicates: int = 9999, seed: int = 5) -> DataFrame:
-    """One row: the statistic and how often one of ``n`` values drawn by ``draw(rng, n)`` is as extreme; (hits + 1) / (replicates + 1).
-
-    A draw is held by one task. Without values both are null.
-    """
-    spark = df.sparkSession
-    c = counted(df, value)
-    n = int(c.n.sum()) if len(c) else 0
-    if not n:
-        return spark.range(1).select(F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("p"))
-    seen = statistic(c.v.to_numpy(float), c.n.to_numpy(np.int64))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for b in pdf.b:
-                x = draw(np.random.default_rng([seed, int(b)]), n)
-                out.append(statistic(x, np.ones(len(x), np.int64)))
-            yield pd.DataFrame({"value": out})
-
-    hits = spark.range(replicates).withColumnRenamed("id", "b").mapInPandas(run, "value double")
-    return hits.select(_extreme(F.col("value"), seen, alternative).alias("e")).agg(F.lit(seen).alias("value"), ((F.count_if("e") + 1) / (F.count("*") + 1)).alias("p"))
-
-
-def _extreme(value: Column, seen: float, alternative: str) -> Column:
-    """Ties within 100 units of rounding count as extreme."""
-    near = abs(seen) * 100 * float(np.finfo(float).eps)
-    if alternative == "greater":
-        return value >= seen - near
-    if alternative == "less":
-        return value <= seen + near
-    return F.abs(value) >= abs(seen) - near
-
-
-def permutation(df: DataFrame, value: Column, by: Column, kind: str = "independent", alternative: str = "two-sided", replicates: int = 9999, seed: int = 3) -> DataFrame:
-    """One row: a statistic, its p, how many permutations were looked at, and whether these are all.
-
-    "independent": ``by`` parts the values in two groups, the statistic is the difference of their means. "samples":
-    ``value`` and ``by`` are paired numbers, which change places within pairs; the mean difference. "pairings": they are
-    paired anew; the correlation. All permutations are looked at where they are no more than ``replicates``; then p is
-    their share, else (hits + 1) / (replicates + 1). Rows with a null go; without two rows all is null.
-    """
-    spark = df.sparkSession
-    null = spark.range(1).select(*(F.lit(None).cast("double").alias(x) for x in ("statistic", "p")), F.lit(0).cast("long").alias("permutations"), F.lit(False).alias("exact"))
-    if kind == "independent":
-        c = counted(df.where(by.isNotNull()), value, by.cast("boolean"))
-        first = c.k0.to_numpy(str) == "true" if len(c) else np.zeros(0, bool)
-        n, n1 = int(c.n.sum()) if len(c) else 0, int(c.n[first].sum()) if len(c) else 0
-        if not n1 or n1 == n:
-            return null
-        v, k = np.unique(c.v.to_numpy(float), return_inverse=True)
-        total, own = np.bincount(k, c.n).astype(np.int64), np.bincount(k, c.n * first).astype(np.int64)
-        difference = lambda x: float((x * v).sum() / n1 - ((total - x) * v).sum() / (n - n1))
-        seen, every = difference(own), math.comb(n, n1)
-        exact = every <= replicates
-        flat = np.repeat(np.arange(len(v)), total)
-        one = lambda rng: difference(rng.multivariate_hypergeometric(total, n1, method="marginals"))
-        whole = lambda: [difference(np.bincount(flat[list(at)], minlength=len(v))) for at in itertools.combinations(range(n), n1)]
-    else:
-        pairs = df.select(value.cast("double").alias("a"), by.cast("double").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").limit(MOST_VALUES + 1).toPandas().sort_values(["a", "b"])
-        if len(pairs) > MOST_VALUES:
-            raise ValueError(f"more than {MOST_VALUES} pairs")
-        a, b, n = pairs.a.to_numpy(), pairs.b.to_numpy(), len(pairs)
-        if n < 2:
-            return null
-        if kind == "samples":
-            gap = a - b
-            seen, every = float(gap.mean()), 2**n
-            exact = every <= replicates
-            one = lambda rng: float((gap * rng.choice((-1, 1), n)).mean())
-            whole = lambda: [float((gap * np.array(s)).mean()) for s in itertools.product((1, -1), repeat=n)]
-        else:
-            scale = lambda x: (x - x.mean()) / (x.std() or 1.0)
-            x, y = scale(a), scale(b)
-            seen, every = float((x * y).mean()), math.factorial(min(n, 20))
-            exact = n < 20 and every <= replicates
-            one = lambda rng: float((x * rng.permutation(y)).mean())
-            whole = lambda: [float((x * y[list(at)]).mean()) for at in itertools.permutations(range(n))]
-    if exact:
-        near, all_ = abs(seen) * 100 * np.finfo(float).eps, np.array(whole())
-        hits = (np.abs(all_) >= abs(seen) - near) if alternative == "two-sided" else (all_ >= seen - near) if alternative == "greater" else (all_ <= seen + near)
-        return spark.createDataFrame([(seen, float(hits.mean()), len(all_), True)], "statistic double, p double, permutations long, exact boolean")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"value": [one(np.random.default_rng([seed, int(b)])) for b in pdf.b]})
-
-    drawn = spark.range(replicates).withColumnRenamed("id", "b").mapInPandas(run, "value double")
-    counted_hits = drawn.select(_extreme(F.col("value"), seen, alternative).alias("e"))
-    return counted_hits.agg(F.lit(seen).alias("statistic"), ((F.count_if("e") + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("permutations"), F.lit(False).alias("exact"))
-
-
 def accumulated(df: DataFrame, keys: list[str], metrics: dict[str, Column]) -> DataFrame:
     """(keys, a column for each metric): a list of aggregate expressions over each group, whatever they are."""
     return df.groupBy(*keys).agg(*(m.alias(n) for n, m in metrics.items()))

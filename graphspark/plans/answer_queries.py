@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import answers as a, statistics as s
+from ..operators import answers as a, resampling as r, statistics as s
 from ..operators.quantiles import group_quantiles
 from ..sources import files
 from ..sources.views import ANSWER_SQL, EVENT_OPTION, answers
@@ -175,31 +175,63 @@ def _(spark, d):
     return g.groupBy(F.col("group").alias("grp")).pivot("model", M5).agg(F.round(F.first("value"), 6))
 
 
-@query("pooled_bootstrap", f"{AN} SELECT round(avg(match_score), 6) AS value, count(match_score) AS n, true AS inside FROM answer")
+BOOTSTRAP_SEED, REPLICATES = 17, 99
+BOOTSTRAP_SQL = f"""{AN}, v AS (SELECT event_id, session AS stratum, match_score AS v FROM answer WHERE match_score IS NOT NULL),
+  d AS (SELECT b, stratum, sum(w)::DOUBLE AS w, sum(w * v) AS t FROM (SELECT b, stratum, v, {r.weight_sql("event_id", "b", BOOTSTRAP_SEED)} AS w FROM v, range({REPLICATES}) x(b)) GROUP BY 1, 2),
+  n AS (SELECT stratum, count(*)::DOUBLE AS n FROM v GROUP BY 1), p AS (SELECT b, sum(t) / sum(w) AS plain FROM d GROUP BY 1),
+  s AS (SELECT b, sum(t * n / w) / sum(n) AS strata FROM d JOIN n USING (stratum) GROUP BY 1)"""
+
+
+@query("pooled_bootstrap", f"{BOOTSTRAP_SQL} SELECT (SELECT round(avg(v), 6) FROM v) AS value, (SELECT count(*) FROM v) AS n, round(quantile_cont(plain, 0.05), 6) AS low, round(quantile_cont(plain, 0.95), 6) AS high, round(stddev_samp(plain), 6) AS stderr FROM p")
+def _(spark, d):
+    """A plain bootstrap of the mean score of all sessions together, with its limits."""
+    b = r.bootstrap(answers(spark, d), [F.col("match_score")], F.col("event_id"), method="percentile", replicates=REPLICATES, seed=BOOTSTRAP_SEED)
+    return b.select("n", *(F.round(c, 6).alias(c) for c in ("value", "low", "high", "stderr")))
+
+
+@query("stratified_limits", f"{BOOTSTRAP_SQL} SELECT (SELECT round(avg(v), 6) FROM v) AS value, (SELECT count(*) FROM v) AS n, round(2 * (SELECT avg(v) FROM v) - quantile_cont(strata, 0.95), 6) AS low, round(2 * (SELECT avg(v) FROM v) - quantile_cont(strata, 0.05), 6) AS high, round(stddev_samp(strata), 6) AS stderr FROM s")
 def _(spark, d):
-    """A plain bootstrap of the mean score of all sessions together."""
-    b = s.bootstrap(answers(spark, d), F.col("match_score"), method="percentile", replicates=999)
-    return b.select(F.round("value", 6).alias("value"), "n", F.col("value").between(F.col("low"), F.col("high")).alias("inside"))
+    """The same resampled within sessions, with basic limits."""
+    b = r.bootstrap(answers(spark, d), [F.col("match_score")], F.col("event_id"), F.col("session"), method="basic", replicates=REPLICATES, seed=BOOTSTRAP_SEED)
+    return b.select("n", *(F.round(c, 6).alias(c) for c in ("value", "low", "high", "stderr")))
 
 
-@query("permutation_kinds", f"{AN} SELECT 'independent' AS kind, round(avg(match_score) FILTER (is_positive) - avg(match_score) FILTER (NOT is_positive), 6) AS statistic FROM answer UNION ALL SELECT 'samples', round(avg(a - b), 6) FROM (SELECT model, avg(from_root) FILTER (is_positive) AS a, avg(from_sink) FILTER (is_positive) AS b FROM answer GROUP BY 1) UNION ALL SELECT 'pairings', round(corr(a, b), 6) FROM (SELECT model, avg(from_root) AS a, avg(from_sink) AS b FROM answer GROUP BY 1)")
+KINDS_SQL = f"""{AN}, ind AS (SELECT avg(match_score) FILTER (is_positive) - avg(match_score) FILTER (NOT is_positive) AS s FROM answer),
+  m AS (SELECT row_number() OVER (ORDER BY model) - 1 AS i, avg(from_root) FILTER (is_positive) - avg(from_sink) FILTER (is_positive) AS gap, avg(from_root) AS a, avg(from_sink) AS b FROM answer GROUP BY model),
+  z AS (SELECT i, gap, (a - avg(a) OVER ()) / coalesce(nullif(stddev_pop(a) OVER (), 0), 1) AS a, (b - avg(b) OVER ()) / coalesce(nullif(stddev_pop(b) OVER (), 0), 1) AS b FROM m),
+  sam AS (SELECT k, avg(gap * (1 - 2 * ((k >> i) & 1))) AS s FROM z, range(32) t(k) GROUP BY k),
+  perm AS (SELECT row_number() OVER () AS k, [a, b, c, d, e] AS p FROM range(5) x1(a), range(5) x2(b), range(5) x3(c), range(5) x4(d), range(5) x5(e) WHERE len(list_distinct([a, b, c, d, e])) = 5),
+  pai AS (SELECT k, any_value(p) AS p, avg(x.a * y.b) AS s FROM perm JOIN z x ON true JOIN z y ON y.i = p[x.i + 1] GROUP BY k),
+  seen AS (SELECT (SELECT s FROM sam WHERE k = 0) AS sam, (SELECT s FROM pai WHERE p = [0, 1, 2, 3, 4]) AS pai)
+  SELECT 'independent' AS kind, round(s, 6) AS statistic, NULL::DOUBLE AS exact_p FROM ind
+  UNION ALL SELECT 'samples', round(any_value(seen.sam), 6), round(avg((abs(s) >= abs(seen.sam) - 1e-9)::INT), 6) FROM sam, seen
+  UNION ALL SELECT 'pairings', round(any_value(seen.pai), 6), round(avg((abs(s) >= abs(seen.pai) - 1e-9)::INT), 6) FROM pai, seen"""
+
+
+@query("permutation_kinds", KINDS_SQL)
 def _(spark, d):
-    """Two groups, changed places within pairs, and new pairs."""
+    """Two groups, changed places within pairs, and new pairs; p where all permutations are looked at."""
     x = answers(spark, d)
     by_model = x.groupBy("model").agg(*(F.avg(F.when(F.col("is_positive"), F.col(c))).alias(f"{c}_p") for c in ("from_root", "from_sink")), F.avg("from_root").alias("a"), F.avg("from_sink").alias("b"))
     tests = {
-        "independent": s.permutation(x, F.col("match_score"), F.col("is_positive"), replicates=199),
-        "samples": s.permutation(by_model, F.col("from_root_p"), F.col("from_sink_p"), "samples"),
-        "pairings": s.permutation(by_model, F.col("a"), F.col("b"), "pairings"),
+        "independent": r.permutation(x, F.col("match_score"), F.col("is_positive"), replicates=199),
+        "samples": r.permutation(by_model, F.col("from_root_p"), F.col("from_sink_p"), "samples"),
+        "pairings": r.permutation(by_model, F.col("a"), F.col("b"), "pairings"),
     }
-    rows = [t.where("p BETWEEN 0 AND 1").select(F.lit(k).alias("kind"), F.round("statistic", 6).alias("statistic")) for k, t in tests.items()]
+    rows = [t.select(F.lit(k).alias("kind"), F.round("statistic", 6).alias("statistic"), F.when(F.col("exact"), F.round("p", 6)).alias("exact_p")) for k, t in tests.items()]
     return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
+@query("permutation_draws")
+def _(spark, d):
+    """The p of drawn permutations: two groups' scores over all answers."""
+    return r.permutation(answers(spark, d), F.col("match_score"), F.col("is_positive"), replicates=499)
+
+
 @query("monte_carlo_mean", f"{AN} SELECT round(avg(match_score), 6) AS value FROM answer")
 def _(spark, d):
     """The mean score against uniform ones."""
-    return s.monte_carlo(answers(spark, d), F.col("match_score"), lambda rng, n: rng.random(n), replicates=99).where("p BETWEEN 0 AND 1").select(F.round("value", 6).alias("value"))
+    return r.monte_carlo(answers(spark, d), F.col("match_score"), lambda rng, n: rng.random(n), replicates=99).where("p BETWEEN 0 AND 1").select(F.round("value", 6).alias("value"))
 
 
 @query("run_statistics", f"{AN}, {RUN_SQL}, l AS (SELECT model, 'accuracy' AS metric, accuracy AS v FROM run UNION ALL SELECT model, 'edge', edge FROM run) SELECT model, metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS low, round(max(v), 6) AS high, count(*) AS runs FROM l GROUP BY 1, 2")
