@@ -3,16 +3,18 @@
 For tokenizers that drop white space between words (``word_bpe_49k.json``): the
 ids of a text are the ids of its words ``[^\\x20\\x09-\\x0D]+`` one after another.
 
-1. Texts are split in blocks of rows of about 8 MB. A block numbers its distinct
-   words, and keeps each text as the numbers of its words in their order.
-2. The blocks' words are made distinct over the corpus, and every distinct word
-   is encoded once, by the library: normalisation, contractions, added tokens
-   and merges are its own.
-3. Words and ids are joined (a word's rows dealt in parts, so that no task gets
-   every block that has a frequent word), and a block's numbers are replaced by
-   ids where the block's rows and the ids of its words meet.
-4. Decoding works alike: blocks number their distinct ids, which are joined with
-   the table of pieces, as large as the vocabulary whatever the corpus is.
+1. A task splits its texts in words. Blocks of about 16 MB of text number their
+   distinct words, frequent ones first, and keep each text as the numbers of its
+   words, in a table that is bucketed by block, so these sequences are never shuffled.
+2. The table of distinct words: each block sends its words to the words' groups
+   (by checksum), one row for each group; where the rows of a group stand
+   together, a distinct word is encoded once, by the library: normalisation,
+   contractions, added tokens and merges are its own.
+3. The ids go back to where the words stood (block, group, place in it), and are
+   joined there with the block's sequences; only words and ids are shuffled.
+4. Decoding numbers the distinct ids of a batch, joins them with the table of
+   pieces, as large as the vocabulary whatever the corpus is, and spells the
+   batch; all in one pass without a shuffle.
 
 Memory is bounded by a block (or one text, if that is longer). Between the steps
 stand written tables, so a lost executor costs its tasks only.
@@ -28,7 +30,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Iterator
+import uuid
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +41,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .bpe_codec import rank_file
-from .common import WHITE_BYTES, Words, cut, documents, in_batches, join_in_parts, plain_names, text_bytes
+from .common import WHITE_BYTES, Words, documents, in_batches, plain_names, scratch, text_bytes
 
-#: Bytes of text, and ids, of a block.
-BLOCK_BYTES, BLOCK_IDS = 8_000_000, 4_000_000
-#: Parts in which the rows of one word are dealt.
-PARTS = 64
+#: Bytes of text of a block, bytes split at once, ids of a batch, remembered words of a task.
+BLOCK_BYTES, SPLIT_BYTES, BATCH_IDS, MEMO_WORDS = 16_000_000, 4_000_000, 500_000, 1_000_000
+PLANES = ["plane0", "plane1", "plane2", "plane3"]
 IDS = T.ArrayType(T.IntegerType())
 
 _tokenizers: dict[str, object] = {}
@@ -68,95 +71,71 @@ def _refuse_others(path: str) -> None:
         raise ValueError(f"{path}: ids depend on white space, or there is a decoder")
 
 
-def _of_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Numbers of the texts' words, the bounds of each text, and the distinct words."""
-    words = Words(*text_bytes(column))
-    codes, distinct = words.codes()
-    return codes, words.first, pc.binary_slice(distinct.cast(pa.binary()), 0, -1).cast(pa.string())
-
-
-def _of_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """The same of lists of ids."""
-    column = column if not column.null_count else pa.array([x or [] for x in column.to_pylist()], pa.list_(pa.int32()))
-    distinct, codes = np.unique(column.flatten().to_numpy(), return_inverse=True)
-    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
-    return codes, bounds, pa.array(distinct, pa.int32())
-
-
-def _narrow(n: int) -> type:
-    return np.uint16 if n <= 1 << 16 else np.int32
-
-
-def _id_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_IDS) -> Iterator[pa.RecordBatch]:
-    """Batches whose lists hold about ``most`` ids at most (or one row)."""
-    for batch in batches:
-        part = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // most
-        at = 0
-        for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
-            if end > at:
-                yield batch.slice(at, end - at)
-            at = end
-
-
-def _blocks(df: DataFrame, column: str, split: Callable, key: T.DataType, name: str) -> DataFrame:
-    """Written rows: the other columns, ``block`` and ``codes`` of each row, and one row with the ``keys`` of each block."""
-    kept = [c for c in df.columns if c != column]
-    schema = T.StructType(
-        [T.StructField(c, df.schema[c].dataType) for c in kept]
-        + [T.StructField("block", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("keys", T.ArrayType(key, False))]
-    )
-    in_parts = in_batches if split is _of_words else _id_batches
-    most = BLOCK_BYTES if split is _of_words else BLOCK_IDS
+def _bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Write a table in the shared folder in buckets by ``column`` and read it again: joins on the column don't shuffle it."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", scratch(spark, name)).bucketBy(buckets, column).saveAsTable(table)
+    return spark.table(table)
+
+
+def word_blocks(df: DataFrame, text: str, groups: int) -> DataFrame:
+    """Rows of three kinds, all with ``block``: the other columns with their words' numbers (bytes in four planes); the
+    ``word_groups`` of the block's words in the order of numbers; and for each ``group`` its ``words``, in the same order."""
+    kept = [c for c in df.columns if c != text]
+    fields = [("block", T.LongType()), *((c, T.BinaryType()) for c in PLANES), ("word_groups", T.BinaryType()), ("group", T.IntegerType()), ("words", T.BinaryType())]
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in kept] + [T.StructField(c, t) for c, t in fields])
+
+    def rows(n: int, own: list[pa.Array], block: int, **given: pa.Array) -> pa.RecordBatch:
+        types = {"group": pa.int32()}
+        rest = [given.get(c, pa.nulls(n, types.get(c, pa.binary()))) for c, _ in fields[1:]]
+        return pa.RecordBatch.from_arrays([*own, pa.array(np.full(n, block)), *rest], names=schema.names)
+
+    def whole(block: int, parts: list, numbers: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        """A block, once all its texts are there: words are numbered anew, by how often they occur."""
+        times = sum((np.bincount(codes, minlength=len(numbers)) for _, codes, _ in parts), np.zeros(len(numbers), np.int64))
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        for own, codes, bounds in parts:
+            planes = rank[codes].view(np.uint8).reshape(-1, 4).T
+            coded = {c: pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(p.tobytes())]) for c, p in zip(PLANES, planes)}
+            yield rows(len(bounds) - 1, own, block, **coded)
+        words = list(numbers)
+        words = [words[k] for k in order.tolist()]
+        of = np.fromiter((zlib.crc32(w) % groups for w in words), np.uint16, len(words))
+        empty = [pa.nulls(1, a.type) for a in parts[0][0]]
+        yield rows(1, empty, block, word_groups=pa.array([of.tobytes()], pa.binary()))
+        sort = np.argsort(of, kind="stable")
+        there, head = np.unique(of[sort], return_index=True)
+        listed = [b" ".join(words[k] for k in sort[a:b].tolist()) for a, b in zip(head, [*head[1:], len(sort)])]
+        yield rows(len(there), [pa.nulls(len(there), a.type) for a in empty], block, group=pa.array(there, pa.int32()), words=pa.array(listed, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        for k, batch in enumerate(in_parts(batches, column, most)):
-            codes, bounds, keys = split(batch.column(column))
-            width = _narrow(len(keys))
-            data = pa.py_buffer(codes.astype(width).tobytes())
-            offsets = pa.py_buffer((bounds * width().itemsize).astype(np.int32))
-            coded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, data])
-            n, arrow = batch.num_rows, lambda c: batch.column(c).type
-            # the keys' row comes first: the other columns are null there
-            own = [pa.concat_arrays([pa.nulls(1, arrow(c)), batch.column(c)]) for c in kept]
-            block = pa.array(np.full(n + 1, first + k))
-            listed = pa.array([keys.to_pylist(), *[None] * n], pa.list_(keys.type))
-            yield pa.RecordBatch.from_arrays([*own, block, pa.concat_arrays([pa.nulls(1, pa.binary()), coded]), listed], names=schema.names)
-
-    return cut(df.select(*kept, column).mapInArrow(run, schema), name)
-
-
-def _keys(blocks: DataFrame) -> DataFrame:
-    """(block, code, key) of the blocks' keys."""
-    return blocks.where(F.col("keys").isNotNull()).select("block", F.posexplode("keys").alias("code", "key"))
-
-
-def _put_back(blocks: DataFrame, found: DataFrame, new: list[T.StructField], put: Callable) -> DataFrame:
-    """Each block's rows with what ``put`` makes of their numbers and of the block's ``found`` rows, one for each number."""
-    kept = [c for c in blocks.columns if c not in ("block", "codes", "keys")]
-    schema = T.StructType([*(blocks.schema[c] for c in kept), *new])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.take(pc.sort_indices(right, [("code", "ascending")])).combine_chunks()
-        if not np.array_equal(right.column("code").to_numpy(), np.arange(len(right))):
-            raise ValueError("a block's keys are not whole")
-        width, coded = _narrow(len(right)), left.column("codes").cast(pa.large_binary()).combine_chunks()
-        size = pc.binary_length(coded).to_numpy() // width().itemsize
-        codes = np.frombuffer(b"".join(coded.to_pylist()), width)
-        made = put(codes, size, right)
-        return pa.Table.from_arrays([*(left.column(c) for c in kept), *made], names=schema.names)
-
-    rows = blocks.where(F.col("codes").isNotNull()).select(*kept, "block", "codes")
-    # a name of its own: both sides descend from one table
-    found = found.select(F.col("block").alias("_of"), *(c for c in found.columns if c != "block"))
-    return rows.groupBy("block").cogroup(found.groupBy("_of")).applyInArrow(run, schema)
+        block, size, parts, numbers = TaskContext.get().partitionId() << 32, 0, [], {}
+        for batch in in_batches(batches, text, SPLIT_BYTES):
+            data, offsets = text_bytes(batch.column(text))
+            if parts and size + len(data) > BLOCK_BYTES:
+                yield from whole(block, parts, numbers)
+                block, size, parts, numbers = block + 1, 0, [], {}
+            size += len(data)
+            words = Words(data, offsets)
+            codes, distinct = words.codes()
+            of = [numbers.setdefault(w[:-1], len(numbers)) for w in distinct.to_pylist()]
+            parts.append(([batch.column(c) for c in kept], np.array(of, np.int32)[codes], words.first.astype(np.int32)))
+        if parts:
+            yield from whole(block, parts, numbers)
+
+    return _bucketed(df.select(*kept, text).mapInArrow(run, schema), "word_blocks", "block")
 
 
 def _gather(codes: np.ndarray, start: np.ndarray, count: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``values[start : start + count]`` of codes one after another, and where each run ends."""
     n = count[codes]
-    ends = np.cumsum(n)
-    where = np.repeat(start[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+    kind = np.int32 if n.sum(dtype=np.int64) < 1 << 31 else np.int64
+    ends = np.cumsum(n, dtype=kind)
+    where = np.repeat((start[codes] - (ends - n)).astype(kind), n)
+    where += np.arange(len(where), dtype=kind)
     return values[where], ends
 
 
@@ -165,36 +144,67 @@ def _bounds(size: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(size)])]
 
 
+def _id_type(path: str) -> type:
+    return np.dtype("<u2") if tokenizer_of(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+
+
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(key, ids) of the words in column ``key``, each encoded whole by the library."""
-    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("ids", IDS)])
+    """(of, group, counts, ids) of rows (block, group, words), the rows of a group dealt to one task: each distinct word is encoded once, whole, by the library.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(path)
-        for batch in in_batches(batches, "key", 200_000):
-            ids = [e.ids for e in tokenizer.encode_batch_fast(batch.column("key").to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.list_(pa.int32()))], names=schema.names)
+    A task that has more than ``MEMO_WORDS`` distinct words forgets them and goes on.
+    """
+    schema = T.StructType([T.StructField("of", T.LongType()), T.StructField("group", T.IntegerType()), T.StructField("counts", T.BinaryType()), T.StructField("ids", T.BinaryType())])
 
-    return words.select("key").mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, kind, known = tokenizer_of(path), _id_type(path), {}
+        for batch in batches:
+            rows = [w.split(b" ") for w in batch.column("words").to_pylist()]
+            if len(known) > MEMO_WORDS:
+                known = {}
+            new = [w for w in dict.fromkeys(w for ws in rows for w in ws) if w not in known]
+            for at in range(0, len(new), 10_000):
+                some = new[at : at + 10_000]
+                found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+                known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(some, found))
+            ids = [[known[w] for w in ws] for ws in rows]
+            counts = [np.fromiter(map(len, i), np.uint32, len(i)) // kind.itemsize for i in ids]
+            arrays = [batch.column("block"), batch.column("group"), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array([b"".join(i) for i in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return words.select("block", "group", "words").repartition("group").mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Replace the text column by the ids of its words."""
     _refuse_others(path)
     plain, names = plain_names(df)
-    blocks = _blocks(plain, names[text], _of_words, T.StringType(), "words-of-blocks")
-    keys = _keys(blocks)
-    table = cut(encode_words(keys.select("key").distinct(), path), "word-table")
-
-    def put(codes: np.ndarray, size: np.ndarray, right: pa.Table) -> list[pa.Array]:
-        column = right.column("ids").combine_chunks()
-        count = pc.list_value_length(column).to_numpy()
-        values, ends = _gather(codes, np.cumsum(count) - count, count, column.flatten().to_numpy())
-        return [pa.ListArray.from_arrays(pa.array(_bounds(size, ends).astype(np.int32)), pa.array(values, pa.int32()))]
-
-    (new,) = [f"_c{len(df.columns)}"]
-    found = join_in_parts(keys, table, "key", "block", PARTS).select("block", "code", "ids")
-    out = _put_back(blocks, found, [T.StructField(new, IDS)], put)
+    groups = min(1 << 16, max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    blocks = word_blocks(plain, names[text], groups)
+    own = [c for c in plain.columns if c != names[text]]
+    new, kind = f"_c{len(df.columns)}", _id_type(path)
+    schema = T.StructType([*(blocks.schema[c] for c in own), T.StructField(new, IDS)])
+
+    def put(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = np.frombuffer(b"".join(x for x in left.column("word_groups").to_pylist() if x is not None), np.uint16)
+        right = right.take(pc.sort_indices(right, [("group", "ascending")]))
+        counts = np.frombuffer(b"".join(right.column("counts").to_pylist()), np.uint32).astype(np.int32)
+        if len(counts) != len(of) or not np.array_equal(right.column("group").to_numpy(), np.unique(of)):
+            raise ValueError("a block's words are not whole")
+        values = np.frombuffer(b"".join(right.column("ids").to_pylist()), kind)
+        number = np.argsort(of, kind="stable")  # the words in the order in which their groups listed them
+        count, start = np.empty_like(counts), np.empty(len(counts), np.int32)
+        count[number], start[number] = counts, np.cumsum(counts) - counts
+        left = left.filter(left.column(PLANES[0]).is_valid())
+        planes = [np.frombuffer(b"".join(left.column(c).to_pylist()), np.uint8) for c in PLANES]
+        codes = np.stack(planes, axis=1).view("<u4").ravel()
+        size = pc.binary_length(left.column(PLANES[0])).to_numpy()
+        listed, ends = _gather(codes, start, count, values)
+        made = pa.ListArray.from_arrays(pa.array(_bounds(size, ends).astype(np.int32)), pa.array(listed.astype(np.int32)))
+        return pa.Table.from_arrays([*(left.column(c) for c in own), made], names=schema.names)
+
+    rows = blocks.where(F.col("words").isNull()).select(*own, "block", "word_groups", *PLANES)
+    found = encode_words(blocks.where(F.col("words").isNotNull()), path)
+    out = rows.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(put, schema)
     kept = [c for c in df.columns if c not in (text, ids)]
     return out.select(*(F.col(names[c]).alias(c) for c in kept), F.col(new).alias(ids))
 
@@ -213,6 +223,29 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.range(0, n, 1, 4).mapInArrow(run, schema)
 
 
+def _numbered(df: DataFrame, ids: str) -> DataFrame:
+    """Batches of rows: first a row for each distinct id of the batch (``key``), in the order of numbers, then the rows with their ids' numbers."""
+    kept = [c for c in df.columns if c != ids]
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in kept] + [T.StructField("key", T.IntegerType()), T.StructField("codes", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False)
+            part, at = np.cumsum(length) // BATCH_IDS, 0
+            for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
+                if end == at:
+                    continue
+                rows, column = batch.slice(at, end - at), pa.array(batch.column(ids).slice(at, end - at))
+                distinct, codes = np.unique(column.flatten().to_numpy(), return_inverse=True)
+                bounds = np.concatenate([[0], np.cumsum(length[at:end])]) * 4
+                coded = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(codes.astype("<u4").tobytes())])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(distinct), rows.column(c).type) for c in kept), pa.array(distinct, pa.int32()), pa.nulls(len(distinct), pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.nulls(len(column), pa.int32()), coded], names=schema.names)
+                at = end
+
+    return df.select(*kept, ids).mapInArrow(run, schema)
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", digests: bool = False) -> DataFrame:
     """Replace the ids by the text that they decode to: their pieces with a blank between, added tokens too.
 
@@ -221,30 +254,54 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", dig
     """
     _refuse_others(path)
     plain, names = plain_names(df)
-    blocks = _blocks(plain, names[ids], _of_ids, T.IntegerType(), "ids-of-blocks")
-    # the vocabulary is as large as its file, whatever the corpus is
-    found = _keys(blocks).join(F.broadcast(pieces(df.sparkSession, path)), "key", "left").select("block", "code", "key", "piece")
-
-    def put(codes: np.ndarray, size: np.ndarray, right: pa.Table) -> list[pa.Array]:
-        spelt = pc.fill_null(pc.binary_join_element_wise(right.column("piece"), "", " "), "").combine_chunks().cast(pa.large_binary())
-        spelt = spelt if isinstance(spelt, pa.Array) else spelt.chunk(0)
-        offsets = np.frombuffer(spelt.buffers()[1], np.int64)[spelt.offset : spelt.offset + len(spelt) + 1] if len(spelt) else np.zeros(1, np.int64)
-        data = np.frombuffer(spelt.buffers()[2], np.uint8) if len(spelt) and spelt.buffers()[2] else np.zeros(0, np.uint8)
-        letters, ends = _gather(codes, offsets[:-1], np.diff(offsets), data)
+    own = [c for c in plain.columns if c != names[ids]]
+    # the vocabulary is as large as its file; the join streams the left side, so batches stay in order
+    joined = _numbered(plain, names[ids]).join(F.broadcast(pieces(df.sparkSession, path)), "key", "left").select(*own, "key", "piece", "codes")
+    new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [(out, T.StringType())]
+    mine = [f"_c{len(df.columns) + k}" for k in range(len(new))]
+    schema = T.StructType([*(joined.schema[c] for c in own), *(T.StructField(c, t) for c, (_, t) in zip(mine, new))])
+
+    def spell(rows: pa.RecordBatch, key: np.ndarray, piece: list[str | None]) -> list[pa.Array]:
+        spelt = [f"{p} ".encode() if p is not None else b"" for p in piece]
+        count = np.array([len(p) for p in spelt], np.int32)
+        coded = rows.column("codes")
+        size = pc.binary_length(coded).to_numpy() // 4
+        codes = np.frombuffer(b"".join(coded.to_pylist()), "<u4")
+        if len(codes) and codes.max() >= len(key):
+            raise ValueError("a batch's ids don't stand before it")
+        letters, ends = _gather(codes, np.cumsum(count) - count, count, np.frombuffer(b"".join(spelt), np.uint8))
         at = _bounds(size, ends)
         texts = [letters[a : max(a, b - 1)].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         if not digests:
             return [pa.array(texts, pa.binary()).cast(pa.string())]
-        values = right.column("key").to_numpy()[codes].astype("<u4") if len(codes) else np.zeros(0, "<u4")
-        first = np.concatenate([[0], np.cumsum(size)]).tolist()
+        values, first = key.astype("<u4")[codes], np.concatenate([[0], np.cumsum(size)]).tolist()
         sha = lambda x: hashlib.sha256(x).hexdigest()
         return [pa.array(size, pa.int64()), pa.array([sha(values[a:b]) for a, b in zip(first[:-1], first[1:])], pa.string()), pa.array(map(sha, texts), pa.string())]
 
-    new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [(out, T.StringType())]
-    own = [f"_c{len(df.columns) + k}" for k in range(len(new))]
-    made = _put_back(blocks, found, [T.StructField(c, t) for c, (_, t) in zip(own, new)], put)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        found: list[str | None] = []
+        spelling = False
+        for batch in batches:
+            is_key = batch.column("codes").is_null().to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(is_key)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if is_key[a]:
+                    if spelling:
+                        keys, found, spelling = [], [], False
+                    keys.append(part.column("key").to_numpy())
+                    found += part.column("piece").to_pylist()
+                    continue
+                spelling = True
+                made = spell(part, np.concatenate(keys) if keys else np.zeros(0, np.int32), found)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *made], names=schema.names)
+
+    made = joined.mapInArrow(run, schema)
     kept = [c for c in df.columns if c != ids and c not in [n for n, _ in new]]
-    return made.select(*(F.col(names[c]).alias(c) for c in kept), *(F.col(c).alias(n) for c, (n, _) in zip(own, new)))
+    return made.select(*(F.col(names[c]).alias(c) for c in kept), *(F.col(c).alias(n) for c, (n, _) in zip(mine, new)))
 
 
 def op11_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
