@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.views import pick
-from .kernels import between, closure, cut_edges, longest_layers, reduced_pairs, shortest_paths, simple_paths, simulate, topological_order  # noqa: F401
+from .entities import _written
+from .kernels import between, closure, cut_edges, longest_layers, path_schemata, reduced_pairs, shortest_paths, simple_paths, simulate, topological_order  # noqa: F401
 
 
 def edge_counts(edges: DataFrame, unique: bool = False) -> DataFrame:
@@ -46,15 +47,22 @@ def roots_and_sinks(edges: DataFrame) -> DataFrame:
 
 def bridge(edges: DataFrame, dropped: Column) -> DataFrame:
     """Remove nodes whose type fulfils ``dropped`` (an expression of column ``type``), joining each way in with each
-    way out; the new relation names both and the node. Removed nodes are not neighbours of each other."""
-    head_gone = edges.withColumn("type", F.col("htype")).where(dropped).drop("type")
-    tail_gone = edges.withColumn("type", F.col("ttype")).where(dropped).drop("type")
+    way out; the new relation names both and the node. Where removed nodes follow each other, the way goes on through
+    all of them, none twice; a round of the search is a join by graph and node."""
+    gone = lambda kind: edges.withColumn("type", F.col(kind)).where(dropped).drop("type")
     kept = edges.withColumn("type", F.col("htype")).where(~dropped).withColumn("type", F.col("ttype")).where(~dropped).drop("type")
-    joined = tail_gone.alias("a").join(head_gone.alias("b"), (F.col("a.moa_id") == F.col("b.moa_id")) & (F.col("a.tail") == F.col("b.head")))
-    new = joined.select(
-        "a.moa_id", "a.head", "a.htype", F.concat_ws(" :: ", "a.relation", "a.tail", "b.relation").alias("relation"), "b.tail", "b.ttype"
-    )
-    return kept.unionByName(new).distinct()
+    out = gone("htype").select("moa_id", F.col("head").alias("by"), F.col("relation").alias("r"), F.col("tail").alias("to"), F.col("ttype").alias("type")).withColumn("gone", dropped)
+    ways = edges.withColumn("type", F.col("ttype")).where(dropped).withColumn("type", F.col("htype")).where(~dropped).drop("type")
+    front = ways.select("moa_id", "head", "htype", F.array("relation").alias("label"), "tail", F.array("tail").alias("seen"))
+    inner = bool(out.where("gone").limit(1).count())
+    while True:
+        joined = front.join(out, (front["moa_id"] == out["moa_id"]) & (front["tail"] == out["by"])).select(front["moa_id"], "head", "htype", F.array_append(F.array_append("label", F.col("tail")), F.col("r")).alias("label"), "to", "type", "gone", "seen")
+        joined = _written(joined, "ways") if inner else joined
+        new = joined.where("NOT gone").select("moa_id", "head", "htype", F.array_join("label", " :: ").alias("relation"), F.col("to").alias("tail"), F.col("type").alias("ttype"))
+        kept = kept.unionByName(new)
+        front = joined.where("gone AND NOT array_contains(seen, to)").select("moa_id", "head", "htype", "label", F.col("to").alias("tail"), F.array_append("seen", F.col("to")).alias("seen"))
+        if not inner or not front.limit(1).count():
+            return kept.distinct()
 
 
 def simulatable(edges: DataFrame, signs: dict[str, int]) -> DataFrame:

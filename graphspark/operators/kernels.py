@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 #: Edges of whole graphs that are worked on at once.
 BATCH_EDGES = 200_000
@@ -315,20 +315,29 @@ def shortest_paths(edges: DataFrame, from_types: list[str], to_types: list[str]
         follow: dict[int, list[int]] = {}
         for x, y in zip(g.pair_u.tolist(), g.pair_v.tolist()):
             follow.setdefault(y, []).append(x)
-        distance = {(x, y): d for x, y, d in zip(a.tolist(), b.tolist(), far.tolist())}
         wanted = g.is_type(*to_types) if to_types else np.ones(g.n, bool)
-        before: dict[tuple[int, int], list[str]] = {}
-
-        def path(x: int, y: int) -> list[str]:
-            if (x, y) not in before:
-                d = distance[x, y]
-                ways = [[names[x]]] if d == 1 else [path(x, z) for z in follow[y] if distance.get((x, z)) == d - 1 and z != x]
-                before[x, y] = [*min(ways), names[y]]
-            return before[x, y]
-
         some = wanted[b] & (far >= least) & (far <= (most or g.n))
-        rows = [path(x, y) for x, y in zip(a[some].tolist(), b[some].tolist())]
-        ids = g.ids.take(pa.array(g.graph[a[some]]))
+        rows, order = [], np.lexsort((far, a))
+        head = np.flatnonzero(np.diff(a[order], prepend=-1))
+        for at in np.split(order, head[1:]):
+            if not some[at].any():
+                continue
+            # by distance: a node's place among those as far is that of its path, so the least way in is known by its place
+            x, before, place = int(a[at[0]]), {}, {}
+            ends = np.flatnonzero(np.diff(far[at], prepend=0))
+            for far_off, layer in enumerate(np.split(at, ends[1:]), 1):
+                now = b[layer].tolist()
+                for y in now:
+                    before[y] = x if far_off == 1 else min((z for z in follow[y] if z in place), key=place.__getitem__)
+                ranked = sorted(now, key=lambda y: (place.get(before[y], 0), names[y]))
+                place = {y: k for k, y in enumerate(ranked) if y != x}
+            for y in b[at][some[at]].tolist():
+                path, z = [names[y]], before[y]
+                while z != x:
+                    path.append(names[z])
+                    z = before[z]
+                rows.append([*path, names[x]][::-1])
+        ids = g.ids.take(pa.array(g.graph[a[order[some[order]]]]))
         return [ids, pa.array(rows, pa.list_(pa.string()))]
 
     return over_graphs(edges, "path array<string>", kernel)
@@ -383,3 +392,59 @@ def simple_paths(edges: DataFrame, from_type: str, to_type: str | None = None, t
         return [g.ids.take(pa.array(at)), pa.array(paths, pa.list_(pa.string())), pa.array(types, pa.list_(pa.string()))]
 
     return over_graphs(edges, "path array<string>, types array<string>", kernel)
+
+
+def path_schemata(edges: DataFrame, from_type: str, to_type: str | None = None, through: list[str] | None = None) -> DataFrame:
+    """(moa_id, types, paths): how many of ``simple_paths`` have a sequence of types, without listing them.
+
+    Without cycles every walk is a simple path, so counts are summed along the edges, by node and sequence of types:
+    2^60 paths cost no more than their 120 steps. Graphs with cycles are listed path by path. ``paths`` is decimal(38,0).
+    """
+
+    def kernel(g: Graphs):
+        may = g.is_type(*through) if through else np.ones(g.n, bool)
+        inside = may[g.pair_u] & may[g.pair_v]
+        step = g._next(g.pair_u[inside], g.pair_v[inside])
+        cyclic = np.zeros(len(g.ids), bool)
+        known = np.zeros(g.n, bool)
+        known[np.concatenate(g.layers() or [np.zeros(0, np.int64)])] = True
+        cyclic[g.graph[~known]] = True
+        types = g.type.to_pylist()
+        names = {t: k for k, t in enumerate(dict.fromkeys(types))}
+        kind = np.array([names[t] for t in types], np.int64)
+        ends = g.is_type(to_type) if to_type else None
+        first = np.flatnonzero(g.is_type(from_type) & may)
+        found: dict[tuple[int, tuple[str, ...]], int] = {}
+
+        def add(graph: list[int], sequence: list[tuple[str, ...]], paths: list[int]) -> None:
+            for key, n in zip(zip(graph, sequence), paths):
+                found[key] = found.get(key, 0) + n
+
+        node = first[~cyclic[g.graph[first]]]
+        texts = [(t,) for t in names]
+        seq, paths, steps = kind[node], np.ones(len(node), object), 0
+        while len(node):
+            place, after = step(node)
+            stop = ends[node] if ends is not None else np.bincount(place, minlength=len(node)) == 0
+            if steps:
+                add(g.graph[node[stop]].tolist(), [texts[k] for k in seq[stop].tolist()], paths[stop].tolist())
+            key, seq = np.unique(seq[place] * len(names) + kind[after], return_inverse=True)
+            texts = [(*texts[k // len(names)], types_of[k % len(names)]) for types_of in [list(names)] for k in key.tolist()]
+            key, same = np.unique(after * max(1, len(texts)) + seq, return_inverse=True)
+            more = np.zeros(len(key), object)
+            np.add.at(more, same, paths[place])
+            node, seq, paths, steps = key // max(1, len(texts)), key % max(1, len(texts)), more, steps + 1
+        now = first[cyclic[g.graph[first]]][:, None]
+        while len(now):
+            place, after = step(now[:, -1])
+            free = (now[place] != after[:, None]).all(1)
+            place, after = place[free], after[free]
+            stop = ends[now[:, -1]] if ends is not None else np.bincount(place, minlength=len(now)) == 0
+            listed = now[stop] if now.shape[1] > 1 else now[:0]
+            add(g.graph[listed[:, 0]].tolist(), [tuple(types[k] for k in path) for path in listed.tolist()], [1] * len(listed))
+            now = np.concatenate([now[place], after[:, None]], 1)
+        at = pa.array([graph for graph, _ in found], pa.int64())
+        return [g.ids.take(at), pa.array([list(t) for _, t in found], pa.list_(pa.string())), pa.array([str(n) for n in found.values()], pa.string())]
+
+    counted = over_graphs(edges, "types array<string>, paths string", kernel)
+    return counted.withColumn("paths", F.col("paths").cast("decimal(38,0)"))

@@ -295,7 +295,7 @@ def _(spark, d):
 
 @query("top_schemata", f"{RMOA}, {PATH_SQL}, c AS (SELECT array_to_string(types, '>') AS schema, count(*) AS n FROM p WHERE types[-1] = 'Priority' GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, schema LIMIT 3) SELECT schema, n, round(100.0 * sum(n) OVER (ORDER BY n DESC, schema) / (SELECT sum(n) FROM c), 6) AS running_pct FROM t")
 def _(spark, d):
-    c = g.simple_paths(moa_edges(spark, d), "Customer", "Priority").groupBy(F.array_join("types", ">").alias("schema")).agg(F.count("*").alias("n"))
+    c = g.path_schemata(moa_edges(spark, d), "Customer", "Priority").groupBy(F.array_join("types", ">").alias("schema")).agg(F.sum("paths").cast("long").alias("n"))
     c = c.withColumn("all", F.sum("n").over(Window.partitionBy()))
     t = c.orderBy(F.desc("n"), "schema").limit(3)
     w = Window.orderBy(F.desc("n"), "schema").rowsBetween(Window.unboundedPreceding, 0)
@@ -304,8 +304,8 @@ def _(spark, d):
 
 @query("schema_constrained", f"{RMOA}, {PATH_SQL} SELECT array_to_string(types, '>') AS schema, count(*) AS n FROM p WHERE len(types) > 2 AND types[-1] = 'Nation' AND len(list_filter(types, lambda x: NOT list_contains(['Customer', 'Part', 'Supplier', 'Nation'], x))) = 0 GROUP BY 1")
 def _(spark, d):
-    p = g.simple_paths(moa_edges(spark, d), "Customer", "Nation", through=["Customer", "Part", "Supplier", "Nation"])
-    return p.where(F.size("types") > 2).groupBy(F.array_join("types", ">").alias("schema")).agg(F.count("*").alias("n"))
+    p = g.path_schemata(moa_edges(spark, d), "Customer", "Nation", through=["Customer", "Part", "Supplier", "Nation"])
+    return p.where(F.size("types") > 2).groupBy(F.array_join("types", ">").alias("schema")).agg(F.sum("paths").cast("long").alias("n"))
 
 
 CLOSURE_SQL = "step AS (SELECT DISTINCT moa_id, head, tail FROM moa_edge), r AS (SELECT moa_id, head, tail, 1 AS distance FROM step UNION SELECT r.moa_id, r.head, s.tail, distance + 1 FROM r JOIN step s ON r.moa_id = s.moa_id AND r.tail = s.head), reach AS (SELECT moa_id, head, tail, min(distance) AS distance FROM r GROUP BY 1, 2, 3)"
