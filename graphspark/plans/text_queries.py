@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import models, text as t
+from ..functions import harness, models, text as t
 from ..operators import entities, graphs as g, matching as m, synthesis as syn
+from ..sources.files import scratch_path
 from ..sources.views import moa_edges, table
 from .registry import query
 
@@ -422,3 +423,12 @@ def _(spark, d):
     t.register(spark)
     table(spark, d, "supplier").createOrReplaceTempView("graphspark_supplier")
     return spark.sql("SELECT s_suppkey, qualified_node('Supplier', s_name, CAST(s_suppkey AS STRING)) AS node, yes_no('Yes.') AS said, compound_ids(CAST(s_nationkey AS STRING))[0] AS id, g.tail FROM graphspark_supplier, LATERAL graph_lines('a | b | c') AS g")
+
+
+@query("prompts_asked_once", "WITH p AS (SELECT conv_id, 'Is this answer complete?' || chr(10) || text AS p FROM conversations WHERE role = 'assistant'), a AS (SELECT p, CASE WHEN length(p) % 2 = 1 THEN 'YES' ELSE 'NO' END AS verdict FROM (SELECT DISTINCT p FROM p)) SELECT verdict, count(*) AS turns, count(DISTINCT p) AS prompts FROM p LEFT JOIN a USING (p) GROUP BY 1")
+def _(spark, d):
+    """Every distinct prompt of the conversations' answers is asked once, in chunks that would survive a restart; equal prompts share the answer."""
+    turns = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", F.concat(F.lit("Is this answer complete?\n"), "text").alias("p"))
+    asked = harness.ask_once(turns, "p", scratch_path(spark, "answers"), chunk=50_000)
+    verdict = F.substring_index("answer", "\n", 1)
+    return asked.rows.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("turns"), F.count_distinct("p").alias("prompts"))

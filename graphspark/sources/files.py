@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import asdict, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .versions import append_run, cached, runs_to_do  # noqa: F401
+
 GRAPH = "graph struct<_id string, disease string, disease_mesh string, drug string, drug_mesh string, drugbank string>, nodes array<struct<id string, label string, name string>>, links array<struct<source string, target string, key string>>"
 KG = "relation string, display_relation string, x_index long, x_id string, x_type string, x_name string, x_source string, y_index long, y_id string, y_type string, y_name string, y_source string"
 SAMPLE = "drug_id string, drug_name string, disease_id string, disease_name string, is_negative_sample boolean, query_type string, edit_link_info map<string,string>"
@@ -194,33 +196,6 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-def cached(spark: SparkSession, path: str, options: dict, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
-    """A table built with these options: read if it is there with equal ones, else built and written."""
-    want = json.dumps(options, sort_keys=True)
-    if not rebuild:
-        try:
-            if spark.read.text(f"{path}/options").first()[0] == want:
-                return spark.read.parquet(f"{path}/data")
-        except Exception as e:  # nothing there yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    build().write.mode("overwrite").parquet(f"{path}/data")
-    spark.createDataFrame([(want,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/options")
-    return spark.read.parquet(f"{path}/data")
-
-
-def append_run(df: DataFrame, path: str, task: str, run: int) -> None:
-    """One run of a task in a log that is only added to."""
-    df.withColumns({"task": F.lit(task), "run": F.lit(run)}).write.mode("append").partitionBy("task").parquet(path)
-
-
-def runs_to_do(spark: SparkSession, path: str, expected: dict[str, int]) -> DataFrame:
-    want = spark.createDataFrame(list(expected.items()), "task string, expected int")
-    done = spark.read.parquet(path).groupBy("task").agg(F.count_distinct("run").alias("done"))
-    left = want.join(done, "task", "left")
-    return left.select("task", F.greatest(F.col("expected") - F.coalesce("done", F.lit(0)), F.lit(0)).alias("remaining"))
-
-
 def _cells(df: DataFrame, rows: int) -> tuple[list[tuple[str, ...]], int]:
     """The first rows as text, and how many there are at all."""
     data = [tuple("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) for r in df.limit(rows + 1).collect()]
