@@ -2,22 +2,23 @@
 
 Only the histogram of lengths (at most ``capacity`` counts) reaches the driver.
 A pattern says how many pieces of each length one sequence holds; the program
-asks for the fewest sequences whose patterns cover the histogram.
-
-1. Multiplicative weights: every length has a price, at first its length (more
-   for long ones by ``lean``, as they are harder to place), which falls
-   exponentially in the covered part of its count. In each round a bounded
-   knapsack dynamic program prices the patterns, and one table of it gives, for
-   every length from the longest down, the best pattern that holds this length.
-2. Rounding goes along: a pattern is used a whole number of times, as often as
-   what is left of its lengths allows, and the next round prices what remains.
-   What is left after ``ROUNDS`` rounds is filled by best fit (the longest
-   piece, then the longest that still fits).
-3. The prices of a round, over the best pattern's price, are a dual solution: a
-   lower bound. Where the plan is above it by more than ``GAP``, the next of
-   ``WEIGHTS`` is tried, and at last a simplex method over patterns of the same
-   knapsack (at most ``PIVOTS`` pivots), rounded down, best fit for the rest;
-   the plan of fewest sequences stays.
+asks for the least total of patterns, each taken any fraction of times, that
+covers the histogram.
+
+1. Multiplicative weights: a length's weight is the exponential of how far its
+   coverage so far is behind (or ahead of) its share. In each round one knapsack
+   dynamic program prices all patterns by these weights, and its table gives, for
+   each length that is behind, the best pattern that holds this length. It is
+   taken, by the fraction that catches up, if its price is within a slack of the
+   best pattern's: only (nearly) best answers count, so lengths that fit badly
+   wait until their weight has grown. What is behind at the end is made up for.
+2. The weights of a round over the best pattern's price are a dual solution, so
+   they give a lower bound. Phases of more and more rounds begin with the weights
+   of the one before and end once the fractional total is within ``GAP`` of it.
+3. Rounding: every pattern its whole number of times, then, in the order of the
+   fractions left, once more where all of its pieces are left. What remains is a
+   smaller histogram with a program of its own; after ``RESIDUALS`` of these best
+   fit (the longest piece, then the longest that still fits) places the rest.
 4. Pieces of a length are numbered without gaps from partition counts, and the
    plan turns (length, number) into a sequence and an offset.
 
@@ -43,10 +44,11 @@ from .bpe_codec import library_encoder, rank_file
 from .common import cut, documents, in_batches, unused
 
 CAPACITY = 2048
-#: Rounds of the multiplicative weights method; the lean of first prices towards long pieces, and the rate at which prices fall.
-ROUNDS, WEIGHTS = 300, ((1.0, 0.05), (0.0, 0.05), (0.0, 4.0))
-#: The part of the lower bound that a plan may exceed it by before more is tried, and pivots of the simplex method then.
-GAP, PIVOTS = 0.005, 400
+#: Phases: rounds, the rate at which weights grow or fall for each round that a length is behind or ahead, and how far a
+#: pattern's price may be below the best.
+PHASES = ((8, 0.15, 0.01), (16, 0.15, 0.01), (24, 0.5, 0.0005), (32, 0.15, 0.01), (64, 0.5, 0.0005))
+#: Tables of patterns in a round, as lengths run out; the part by which the fractional total may exceed its bound; programs for what rounding leaves.
+TABLES, GAP, RESIDUALS = 8, 0.002, 1
 
 # --------------------------------------------------------------------------
 # The plan
@@ -91,58 +93,127 @@ class Knapsack:
         return out
 
 
-def _fill(length: np.ndarray, left: np.ndarray, count: np.ndarray, capacity: int) -> np.ndarray:
-    """Add to a pattern the longest pieces that still fit and are left."""
-    count = count.copy()
-    room = capacity - int(length @ count)
-    n = int(np.searchsorted(length, room, "right"))
-    while n:
-        free = np.flatnonzero(left[:n] > count[:n])
-        if not len(free):
-            break
-        k = int(free[-1])
-        add = min(room // int(length[k]), int(left[k] - count[k]))
-        count[k] += add
-        room -= add * int(length[k])
-        n = min(k, int(np.searchsorted(length, room, "right")))
-    return count
+Runs = list[tuple[dict[int, int], int]]
 
 
-Runs = list[tuple[dict[int, int], int]]
+Pattern = tuple[tuple[int, int], ...]
 
 
-def _weighted(length: np.ndarray, count: np.ndarray, capacity: int, rounds: int, lean: float, rate: float) -> tuple[Runs, np.ndarray, float]:
-    """(pattern, times) by multiplicative weights, what is left of the counts, and the best lower bound that the prices give."""
-    left, runs, bound = count.copy(), [], 0.0
+@dataclass
+class Fractional:
+    """A solution of the program: how often each pattern (place of a length, pieces) is taken, and a lower bound of any solution's total."""
 
-    def use(pattern: dict[int, int], live: np.ndarray) -> bool:
-        at, n = live[list(pattern)], np.array(list(pattern.values()))
-        times = int((left[at] // n).min())
-        if not times:
-            return False
-        left[at] -= n * times
-        runs.append((dict(zip(at.tolist(), n.tolist())), times))
-        return True
+    taken: dict[Pattern, float]
+    bound: float
 
-    for _ in range(rounds):
-        live = np.flatnonzero(left)
-        if not len(live):
+    @property
+    def total(self) -> float:
+        return sum(self.taken.values())
+
+
+class Table:
+    """The best pattern for every room, of lengths that may be taken any number of times."""
+
+    def __init__(self, length: np.ndarray, price: np.ndarray, capacity: int):
+        self.length, self.best, self.choice = length, np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        upto = np.searchsorted(length, np.arange(capacity + 1), "right")
+        for room in range(1, capacity + 1):
+            self.best[room] = self.best[room - 1]
+            if n := upto[room]:
+                worth = self.best[room - length[:n]] + price[:n]
+                k = int(worth.argmax())
+                if worth[k] > self.best[room] + 1e-12:
+                    self.best[room], self.choice[room] = worth[k], k
+
+    def pattern(self, room: int) -> dict[int, int]:
+        """Pieces of each length (by place) in the best pattern for a room."""
+        out: dict[int, int] = {}
+        while room > 0:
+            k = int(self.choice[room])
+            if k < 0:
+                room -= 1
+                continue
+            out[k] = out.get(k, 0) + 1
+            room -= int(self.length[k])
+        return out
+
+
+def fractional(length: np.ndarray, count: np.ndarray, capacity: int, phases: tuple[tuple[int, float, float], ...] = PHASES, gap: float = GAP) -> Fractional:
+    """The configuration program by multiplicative weights; lengths ascend, counts are positive.
+
+    The width of a step is bounded: no length is covered beyond its count.
+    """
+    weight, most = np.log(length / capacity), count.astype(float)  # at first patterns are worth what they fill
+    best, bound = None, 0.0
+    for rounds, rate, slack in phases:
+        begin, left, taken = weight, most.copy(), {}
+        for t in range(1, rounds + 1):
+            price = np.exp(weight - weight.max())
+            top = float(Table(length, price, capacity).best[capacity])
+            bound = max(bound, float(price @ count) / top)
+            due = most * (1 - t / rounds)  # what may be left after this round
+            late = np.flatnonzero(left > due + 1e-9)[::-1]
+            least = (1 - slack) * top if t < rounds else 0.0  # in the last round all is taken
+            for _ in range(TABLES):
+                live = np.flatnonzero(left > 1e-9)
+                table, again = Table(length[live], price[live], capacity), []
+                for k in late.tolist():
+                    if left[k] <= due[k] + 1e-9:
+                        continue
+                    items = [(int(live[j]), n) for j, n in table.pattern(capacity - int(length[k])).items()]
+                    pattern = dict(items)
+                    pattern[k] = pattern.get(k, 0) + 1
+                    if sum(price[j] * n for j, n in pattern.items()) < least:
+                        continue  # it waits until its weight has grown
+                    times = min((left[k] - due[k]) / pattern[k], min(left[j] / n for j, n in pattern.items()))
+                    if times > 1e-12:
+                        key = tuple(sorted(pattern.items()))
+                        taken[key] = taken.get(key, 0.0) + times
+                        for j, n in pattern.items():
+                            left[j] = max(0.0, left[j] - times * n)
+                    if left[k] > due[k] + 1e-9:
+                        again.append(k)
+                late = np.array(again, np.int64)
+                if not len(late):
+                    break
+            weight = begin - rate * np.clip((due - left) / most * rounds, -40, 40)
+        for k in np.flatnonzero(left > 1e-9)[::-1].tolist():  # alone with others that are left
+            while left[k] > 1e-9:
+                pattern, room = {k: 1}, capacity - int(length[k])
+                for j in np.flatnonzero(left > 1e-9)[::-1].tolist():
+                    if (n := min(room // int(length[j]), int(np.ceil(left[j] - 1e-9)) - pattern.get(j, 0))) > 0:
+                        pattern[j] = pattern.get(j, 0) + n
+                        room -= n * int(length[j])
+                times = min(max(left[j] / n, 1e-9) for j, n in pattern.items())
+                key = tuple(sorted(pattern.items()))
+                taken[key] = taken.get(key, 0.0) + times
+                for j, n in pattern.items():
+                    left[j] = max(0.0, left[j] - times * n)
+        now = Fractional(taken, bound)
+        if best is None or now.total < best.total:
+            best = now
+        best.bound = bound
+        if best.total <= bound * (1 + gap):
             break
-        here = length[live]
-        price = here * (1 + lean * here / capacity) * np.exp(-rate * (1 - left[live] / count[live]))
-        sack = Knapsack(here, price, left[live], capacity)
-        if len(live) == len(length):  # prices of all lengths; bounded patterns only lower the price of the best
-            free = (Knapsack(here, price, count, capacity) if runs else sack).best[capacity]
-            bound = max(bound, float(price @ count) / float(free))
-        used = False
-        for k in range(len(live) - 1, -1, -1):
-            if left[live[k]]:
-                pattern = sack.pattern(capacity - int(here[k]))
-                pattern[k] = pattern.get(k, 0) + 1
-                used |= use(pattern, live)
-        if not used:  # every such pattern holds more of its length than there is
-            use(sack.pattern(capacity), live)
-    return runs, left, bound
+    return best
+
+
+def _rounded(taken: dict[Pattern, float], left: np.ndarray) -> Runs:
+    """Patterns by whole numbers, as far as their pieces are left; ``left`` is lowered."""
+    runs: Runs = []
+
+    def use(pattern: Pattern, most: int) -> None:
+        times = min(most, *(int(left[k]) // n for k, n in pattern))
+        if times > 0:
+            for k, n in pattern:
+                left[k] -= times * n
+            runs.append((dict(pattern), times))
+
+    for pattern, x in sorted(taken.items(), key=lambda p: (-p[1], p[0])):
+        use(pattern, int(x + 1e-9))
+    for pattern, x in sorted(taken.items(), key=lambda p: (-(p[1] % 1), p[0])):
+        use(pattern, 1)
+    return runs
 
 
 @dataclass
@@ -151,7 +222,8 @@ class Plan:
     from ``sequence`` on, ``each`` to one, the first of these at ``offset``.
 
     of_program: sequences that come from the program's patterns, the others from
-    best fit; bound: no plan has fewer sequences.
+    best fit; bound: no plan has fewer sequences; fractional: the program's total
+    before rounding.
     """
 
     length: np.ndarray
@@ -162,6 +234,7 @@ class Plan:
     sequences: int
     of_program: int = 0
     bound: int = 0
+    fractional: float = 0.0
 
     def place(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = self.length.astype(np.int64) << 44 | self.first
@@ -207,37 +280,42 @@ def _generated(length: np.ndarray, count: np.ndarray, capacity: int) -> tuple[Ru
 
 
 def _best_fit(length: np.ndarray, left: np.ndarray, capacity: int) -> Runs:
-    """Sequences for what is left: the longest piece, then the longest that still fits."""
+    """Sequences for what is left: the longest piece, then what of the rest fills its sequence best."""
     left, runs = left.copy(), []
     while left.any():
-        top = int(np.flatnonzero(left)[-1])
-        pattern = np.zeros(len(length), np.int64)
-        pattern[top] = 1
-        pattern = _fill(length, left, pattern, capacity)
-        used = np.flatnonzero(pattern)
-        times = max(1, int((left[used] // pattern[used]).min()))
-        left -= times * pattern
-        runs.append((dict(zip(used.tolist(), pattern[used].tolist())), times))
+        live = np.flatnonzero(left)
+        here = length[live]
+        room = capacity - int(here[-1])
+        pattern = {len(live) - 1: 1}
+        if n := int(np.searchsorted(here, room, "right")):
+            most = left[live[:n]] - (np.arange(n) == len(live) - 1)
+            for k, m in Knapsack(here[:n], here[:n].astype(float), most, room).pattern(room).items():
+                pattern[k] = pattern.get(k, 0) + m
+        at, m = live[list(pattern)], np.array(list(pattern.values()))
+        times = int((left[at] // m).min())
+        left[at] -= times * m
+        runs.append((dict(zip(at.tolist(), m.tolist())), times))
     return runs
 
 
-def solve(length: np.ndarray, count: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
+def solve(length: np.ndarray, count: np.ndarray, capacity: int = CAPACITY, phases: tuple[tuple[int, float, float], ...] = PHASES) -> Plan:
     """A plan for a histogram of lengths."""
     order = np.argsort(length)
     length, count = np.asarray(length, np.int64)[order], np.asarray(count, np.int64)[order]
     sequences = lambda r: sum(times for _, times in r)
     runs: Runs = []
-    rest: Runs = []
-    bound = float(max(-(-int(length @ count) // capacity), count[2 * length > capacity].sum()))
-    tries = [lambda w=weights: _weighted(length, count, capacity, rounds, *w) for weights in WEIGHTS] + [lambda: _generated(length, count, capacity)]
-    for attempt in tries if len(length) else []:
-        new, left, low = attempt()
-        new_rest = _best_fit(length, left, capacity)
-        bound = max(bound, low)
-        if not runs or sequences(new) + sequences(new_rest) < sequences(runs) + sequences(rest):
-            runs, rest = new, new_rest
-        if sequences(runs) + sequences(rest) <= np.ceil(bound * (1 + GAP) - 1e-6):
+    bound, total, left = float(max(-(-int(length @ count) // capacity), count[2 * length > capacity].sum())), 0.0, count.copy()
+    for turn in range(1 + RESIDUALS):
+        live = np.flatnonzero(left)
+        if not len(live):
             break
+        solution = fractional(length[live], left[live], capacity, phases if not turn else phases[:1])
+        if not turn:
+            bound, total = max(bound, solution.bound), solution.total
+        rest = left[live]
+        runs += [({int(live[k]): n for k, n in pattern.items()}, times) for pattern, times in _rounded(solution.taken, rest)]
+        left[live] = rest
+    rest = _best_fit(length, left, capacity)
     rows = []
     given = np.zeros(len(length), np.int64)
     at = 0
@@ -249,7 +327,7 @@ def solve(length: np.ndarray, count: np.ndarray, capacity: int = CAPACITY, round
             offset += pattern[k] * int(length[k])
         at += times
     table = np.array(sorted(rows), np.int64).reshape(-1, 5)
-    return Plan(*table.T.copy(), sequences=at, of_program=sequences(runs), bound=int(np.ceil(bound - 1e-6)))
+    return Plan(*table.T.copy(), sequences=at, of_program=sequences(runs), bound=int(np.ceil(bound - 1e-6)), fractional=total)
 
 
 # --------------------------------------------------------------------------

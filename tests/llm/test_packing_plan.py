@@ -43,3 +43,46 @@ def test_knapsack_finds_the_best_admissible_pattern():
             found = sack.pattern(room)
             assert abs(sack.best[room] - best) < 1e-6 and abs(sum(price[k] * m for k, m in found.items()) - best) < 1e-6
             assert all(m <= most[k] for k, m in found.items()) and sum(length[k] * m for k, m in found.items()) <= room
+
+
+CONSTANT = tuple((rounds, 0.0, slack) for rounds, _, slack in packing.PHASES)
+
+
+def test_weights_close_the_gap_that_constant_prices_leave():
+    """Pieces that don't fill sequences: what they fill is not what they are worth."""
+    length, count = np.array([340, 700, 1100]), np.array([900, 700, 500])
+    solved, constant = packing.fractional(length, count, 2048), packing.fractional(length, count, 2048, CONSTANT)
+    assert solved.bound <= solved.total <= 1.01 * solved.bound
+    assert constant.total > 1.1 * constant.bound and constant.total > 1.02 * solved.total
+    plan, worse = packing.solve(length, count), packing.solve(length, count, phases=CONSTANT)
+    assert plan.sequences < worse.sequences and plan.of_program >= 0.95 * plan.sequences
+
+
+def test_a_fractional_solution_covers_all_counts():
+    rng = np.random.default_rng(3)
+    length, count = np.unique(rng.integers(1, 120, 900), return_counts=True)
+    found = packing.fractional(length, count, 128)
+    covered = np.zeros(len(length))
+    for pattern, times in found.taken.items():
+        assert times > 0 and sum(length[k] * n for k, n in pattern) <= 128
+        for k, n in pattern:
+            covered[k] += n * times
+    assert (covered >= count - 1e-6).all() and found.bound <= found.total + 1e-6 <= 1.05 * found.bound
+
+
+def test_a_table_has_the_best_pattern_for_every_room():
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        length = np.sort(rng.choice(np.arange(2, 15), 3, replace=False))
+        price = rng.random(3) * length
+        table = packing.Table(length, price, 30)
+        for room in range(31):
+            best = max(price @ c for c in np.ndindex(16, 16, 16) if length @ c <= room)
+            pattern = table.pattern(room)
+            assert abs(table.best[room] - best) < 1e-9 and abs(sum(price[k] * n for k, n in pattern.items()) - best) < 1e-9
+            assert sum(length[k] * n for k, n in pattern.items()) <= room
+
+
+def test_best_fit_looks_for_full_sequences():
+    runs = packing._best_fit(np.array([3, 5, 6, 7]), np.array([1, 2, 1, 1]), 10)
+    assert len(runs) == 3  # 7 + 3, 6, 5 + 5
