@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import graphs as g, knowledge as kg, sampling
+from ..operators import graphs as g, knowledge as kg, reachability, sampling
 from ..operators.quantiles import group_quantiles
 from ..sources.views import INVERSE, KG_SQL, MOA_SQL, SIGNS, kg_edges, moa_edges, pick, table
 from .registry import query
@@ -311,6 +311,20 @@ def _(spark, d):
 CLOSURE_SQL = "step AS (SELECT DISTINCT moa_id, head, tail FROM moa_edge), r AS (SELECT moa_id, head, tail, 1 AS distance FROM step UNION SELECT r.moa_id, r.head, s.tail, distance + 1 FROM r JOIN step s ON r.moa_id = s.moa_id AND r.tail = s.head), reach AS (SELECT moa_id, head, tail, min(distance) AS distance FROM r GROUP BY 1, 2, 3)"
 
 
+@query("path_probes", f"""{RMOA}, {CLOSURE_SQL}, q AS (SELECT DISTINCT l_orderkey AS moa_id, 'P:' || l_partkey AS head, unnest(['S:' || l_suppkey, 'N:' || (l_suppkey % 25), 'P:' || l_partkey, 'N:99']) AS tail FROM lineitem),
+  a AS (SELECT q.*, EXISTS (SELECT 1 FROM step s WHERE s.moa_id = q.moa_id AND s.head = q.head AND s.tail = q.tail) AS has_edge, q.head = q.tail OR EXISTS (SELECT 1 FROM reach r WHERE r.moa_id = q.moa_id AND r.head = q.head AND r.tail = q.tail) AS has_path FROM q)
+  SELECT split_part(tail, ':', 1) AS kind, has_edge, has_path, count(*) AS n FROM a GROUP BY 1, 2, 3""")
+def _(spark, d):
+    """Whether a part leads to its supplier, to a nation, and to itself: probes of each graph's edges and labels."""
+    e = moa_edges(spark, d)
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), c.cast("string"))
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    tails = F.array(name("S", supplier), name("N", supplier % 25), name("P", part), F.lit("N:99"))
+    q = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("moa_id"), name("P", part).alias("head"), F.explode(tails).alias("tail")).distinct()
+    probed = reachability.has_path(reachability.has_edge(q, e), reachability.labels(e))
+    return probed.groupBy(F.split_part("tail", F.lit(":"), F.lit(1)).alias("kind"), "has_edge", "has_path").agg(F.count("*").alias("n"))
+
+
 @query("transitive_closure", f"{RMOA}, {CLOSURE_SQL} SELECT moa_id, head, tail FROM reach")
 def _(spark, d):
     return g.closure(moa_edges(spark, d)).select("moa_id", "head", "tail")

@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from graphspark.operators import graphs as g
+from graphspark.operators import graphs as g, reachability
 
 SCHEMA = "moa_id long, head string, htype string, relation string, tail string, ttype string"
 KIND = {"D": "Drug", "M": "Protein", "N": "Protein", "X": "Disease"}
@@ -94,3 +94,31 @@ def test_schemata_are_those_of_listed_paths(spark):
         got = {(x.moa_id, tuple(x.types)): int(x.paths) for x in g.path_schemata(e, "Drug", to, through).collect()}
         assert got == dict(want)
     assert g.path_schemata(e.limit(0), "Drug").count() == 0
+
+
+def test_probes_are_those_of_the_closure(spark):
+    """Random graphs, with and without cycles, against the closure; nodes that aren't there."""
+    r = random.Random(13)
+    nodes = ["D1", "D2", *(f"M{k}" for k in range(8)), "X1", "X2"]
+    e = None
+    for moa in range(10):
+        rows = {(*(sorted(r.sample(nodes, 2)) if moa % 2 else r.sample(nodes, 2)), "r") for _ in range(8 + 2 * moa)} | ({("M1", "M1", "r")} if moa == 4 else set())
+        part = edges(spark, *((h, rel, t) for h, t, rel in rows), moa=moa)
+        e = part if e is None else e.unionAll(part)
+    reach = {(x.moa_id, x.head, x.tail) for x in g.closure(e).select("moa_id", "head", "tail").collect()}
+    there = {(x.moa_id, x.head, x.tail) for x in e.collect()}
+    known = {(m, n) for m, h, t in there for n in (h, t)}
+    pairs = [(moa, h, t, "x") for moa in range(11) for h in [*nodes, "none", None] for t in [*nodes, "none", None]]
+    df = spark.createDataFrame(pairs, "moa_id long, head string, tail string, note string")
+    got = {(x.moa_id, x.head, x.tail): (x.has_edge, x.has_path) for x in reachability.has_path(reachability.has_edge(df, e), reachability.labels(e)).collect()}
+    assert len(got) == len(pairs)
+    for moa, h, t, _ in pairs:
+        want = (moa, h, t) in reach or (h == t and (moa, h) in known)
+        assert got[moa, h, t] == ((moa, h, t) in there, want), (moa, h, t)
+
+
+def test_labels_of_a_long_chain(spark):
+    """One interval for each node of a chain of 5,000."""
+    rows = [("D", "r", "M1")] + [(f"M{k}", "r", f"M{k + 1}") for k in range(1, 5000)]
+    found = reachability.labels(edges(spark, *rows)).collect()
+    assert len(found) == 5001 and all(len(x.reaches) == 2 for x in found)
