@@ -18,25 +18,42 @@ KG = "relation string, display_relation string, x_index long, x_id string, x_typ
 SAMPLE = "drug_id string, drug_name string, disease_id string, disease_name string, is_negative_sample boolean, query_type string, edit_link_info map<string,string>"
 
 
+def _yaml_record(text: str) -> list:
+    """The record of a stretch between starts of records: none where it holds only marks and comments."""
+    import yaml
+
+    lines = text.split("\n")
+    while lines and (not lines[0].strip() or lines[0].startswith(("---", "#", "%"))):
+        lines.pop(0)
+    if not lines:
+        return []
+    body = "\n".join(lines)
+    return yaml.load(body if body.startswith("- ") else f"- {body}", getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or []
+
+
 def read_corpus(spark: SparkSession, path: str, deprecated: str | None = None) -> DataFrame:
     """Graph records from YAML or JSON lists; ids in the headerless file ``deprecated`` go.
 
-    A file is parsed whole by one task (YAML has no split points); many files are read by many tasks.
+    In a YAML list "- " at the start of a line always begins a record, so files are read by byte ranges, a record by the
+    task in whose range it begins: one large file is read by many tasks. A JSON file is parsed whole by one task.
     """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frame(records: list) -> pd.DataFrame:
+        return pd.DataFrame({k: [r.get(k) for r in records if r] for k in ("graph", "nodes", "links")})
+
+    def from_yaml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, data in zip(pdf.path, pdf.content):
-                if name.endswith(".json"):
-                    records = json.loads(data)
-                else:
-                    import yaml
+            yield frame([r for text in pdf.value for r in _yaml_record(text)])
 
-                    records = yaml.safe_load(data)
-                yield pd.DataFrame({k: [r.get(k) for r in records] for k in ("graph", "nodes", "links")})
+    def from_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for data in pdf.content:
+                yield frame(json.loads(data))
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    out = files.mapInPandas(parse, GRAPH)
+    is_json = F.lower("_metadata.file_name").endswith(".json")
+    stretches = spark.read.option("lineSep", "\n- ").text(path).where(~is_json).select("value")
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("content")
+    out = stretches.mapInPandas(from_yaml, GRAPH).unionAll(whole.mapInPandas(from_json, GRAPH))
     if deprecated:
         ids = spark.read.text(deprecated).select(F.trim("value").alias("id"))
         out = out.join(ids, F.col("graph._id") == ids.id, "left_anti")
