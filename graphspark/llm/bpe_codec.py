@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,15 +46,46 @@ def rank_encoder(path: str) -> bytebpe.PieceEncoder:
     return _cache[key]
 
 
-def library_encoder(path: str) -> bytebpe.PieceEncoder:
+class LibraryEncoder:
+    """Ids of whole texts as the library gives them: added tokens in a text are found first, what stands between is encoded by pieces."""
+
+    def __init__(self, tokenizer):
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("an added token takes white space or whole words")
+        self._id = {t.content: i for i, t in added.items()}
+        self._find = re.compile("|".join(re.escape(t) for t in sorted(self._id, key=len, reverse=True)) or "(?!)")
+        self._pieces = bytebpe.PieceEncoder(bytebpe.library_merge(tokenizer))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has."""
+        if not any(t and self._find.search(t) for t in texts):
+            return self._pieces.encode(texts)
+        parts, after, owner = [], [], []  # a stretch of text, the added token behind it (or -1), the text it is from
+        for k, text in enumerate(texts):
+            at = 0
+            for m in self._find.finditer(text or ""):
+                parts.append(text[at : m.start()])
+                after.append(self._id[m[0]])
+                at = m.end()
+                owner.append(k)
+            parts.append((text or "")[at:])
+            after.append(-1)
+            owner.append(k)
+        ids, count = self._pieces.encode(parts)
+        token = np.array(after, np.int32)
+        ids = np.insert(ids, np.cumsum(count)[token >= 0], token[token >= 0])
+        return ids, np.bincount(owner, count + (token >= 0), len(texts)).astype(np.int64)
+
+
+def library_encoder(path: str) -> LibraryEncoder:
     """A process's encoder by the tokenizers library and one of its files."""
     key = f"library {path}"
     if key not in _cache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _cache[key] = bytebpe.PieceEncoder(bytebpe.library_merge(tokenizer))
+        _cache[key] = LibraryEncoder(tokenizer)
         _cache[f"{key} itself"] = tokenizer
     return _cache[key]
 
@@ -134,14 +166,16 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = spelling_of(ranks_path)
-        if "decimal" not in _cache:
-            _cache["decimal"] = Spelling({i: b"%d," % i for i in range(1 << 16)})
+        if (decimal := f"decimal {ranks_path}") not in _cache:
+            _cache[decimal] = Spelling({i: b"%d," % i for i in range(len(spell.length))})
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 rows = []
                 for i, e in zip(part.column(ids), part.column(ends)):
                     one = i.values.to_numpy() if i.is_valid else np.zeros(0, np.int32)
+                    if len(one) and not 0 <= one.min() <= one.max() < len(spell.length):
+                        raise ValueError("an id is not of the vocabulary")
                     data, end = spell(one)
                     if not np.array_equal(end, e.values.to_numpy() if e.is_valid else end):
                         raise ValueError("the offsets don't fit the ids")
@@ -151,7 +185,7 @@ def decode(
                     sha = lambda x: hashlib.sha256(x).hexdigest()
                     columns += [
                         pa.array([len(i) for i, _ in rows], pa.int64()),
-                        pa.array([sha(_cache["decimal"](i)[0][:-1]) for i, _ in rows]),
+                        pa.array([sha(_cache[decimal](i)[0][:-1]) for i, _ in rows]),
                         pa.array([sha(d) for _, d in rows]),
                     ]
                 else:

@@ -191,7 +191,6 @@ def library_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -235,3 +234,25 @@ def test_op8(spark, sf, rows):
     texts = dict(rows)
     assert "a.b@c.example.com" not in got[17] and "555-7713" not in got[17] and re.search(r"\(\d{3}\) \d{3}-\d{4}", got[17])
     assert all(got[i] == texts[i] for i in got if i not in (17,) and not re.search(r"\d{4}|@", texts[i] or ""))
+
+
+@pytest.mark.parametrize("text", ["ab <|endoftext|> cd", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a<|endoftext|>", "<|endoftext| >", "", None])
+def test_added_tokens_are_the_librarys(text):
+    encoder = bpe_codec.library_encoder(bpe_codec.rank_file("byte_bpe_50k.json"))
+    want = [library_ids(t)[:-1].tolist() for t in (text, "plain it's", text)]
+    ids, count = encoder.encode([text, "plain it's", text])
+    assert ids.tolist() == sum(want, []) and count.tolist() == [len(w) for w in want]
+
+
+def test_vocabularies_above_65536(spark, tmp_path):
+    """Every two bytes are a piece: ids up to 65,791."""
+    path = tmp_path / "pairs.tiktoken"
+    pieces = [bytes([a]) for a in range(256)] + [bytes([a, b]) for a in range(256) for b in range(256)]
+    path.write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % i for i, p in enumerate(pieces)))
+    ids = [65_791, 65_700, 0]
+    data = b"".join(pieces[i] for i in ids)
+    df = spark.createDataFrame([(1, ids, [2, 4, 5])], "n int, ids array<int>, ends array<int>")
+    r = bpe_codec.decode(df, str(path), digests=True).first()
+    assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (3, hashlib.sha256(b"65791,65700,0").hexdigest(), hashlib.sha256(data).hexdigest())
+    with pytest.raises(Exception, match="not of the vocabulary"):
+        bpe_codec.decode(spark.createDataFrame([(1, [65_792], [2])], df.schema), str(path), digests=True).collect()
