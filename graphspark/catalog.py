@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import answer_queries, graph_queries, session_queries, synthesis_queries, text_queries  # noqa: F401
+from .plans import answer_queries, graph_queries, report_queries, session_queries, synthesis_queries, text_queries  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 
 import pandas as pd
@@ -167,6 +169,27 @@ def json_list(c: Column) -> Column:
     return F.from_json(F.regexp_extract(c, "(?s)(\\[.*?\\])", 1), "array<string>")
 
 
+def json_list_between(c: Column, start: str, end: str, several: bool = False) -> Column:
+    """Strings of the JSON list between two marks; with ``several``, those of all such lists, one after another.
+
+    White space around the list doesn't matter. Null where there are no marks or no list between them.
+    """
+    mark = lambda m: re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", m)
+    pattern = F.lit(f"(?s){mark(start)}\\s*(\\[.*?\\])\\s*{mark(end)}")
+    lists = F.filter(F.transform(F.regexp_extract_all(c, pattern, F.lit(1)), lambda x: F.from_json(x, "array<string>")), lambda x: x.isNotNull())
+    return F.when(F.size(lists) > 0, F.flatten(lists) if several else F.get(lists, 0))
+
+
+def node_to_drug_id(c: Column) -> Column:
+    """"DrugBank:DB09130" as "DB:DB09130"; null where it is no such node."""
+    return F.when(c.startswith("DrugBank:"), F.concat(F.lit("DB:"), F.substring_index(c, ":", -1)))
+
+
+def drug_id_to_node(c: Column) -> Column:
+    """"DB:DB09130" as "DrugBank:DB09130"; null where it is no such id."""
+    return F.when(c.startswith("DB:"), F.concat(F.lit("DrugBank:"), F.substring_index(c, ":", -1)))
+
+
 def parse_name(c: Column) -> Column:
     """(main, alternates, examples) of names like "Long Name (LN) (e.g. A, B)"."""
     examples = F.regexp_extract(c, "\\(e\\.g\\.,? ([^)]*)\\)", 1)

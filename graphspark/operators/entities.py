@@ -118,6 +118,29 @@ def lookup(mentions: DataFrame, mention: str, entities: DataFrame, key: str, nam
     return asked.join(found, "_asked").drop("_asked")
 
 
+# In which order an entity is looked for.
+ORDER = ("id", "name", "alternate", "normalised")
+
+
+def find(mentions: DataFrame, mention: str, entities: DataFrame, key: str, name: str, alternates: str) -> DataFrame:
+    """``mentions`` with ``found`` (the entity's key) and ``how``: the entity whose id is the mention, else the one of that
+    name, else of that alternate name, else of that normalised name or alternate; of several the least key. Null where none is.
+
+    Distinct mentions are joined once, with all four kinds of names as one key.
+    """
+    others = F.coalesce(alternates, F.array().cast("array<string>"))
+    known = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("text"))
+    every = lambda kind, c: F.transform(c, lambda x: known(kind, x))
+    names = F.concat(F.array(known(0, F.col(key).cast("string")), known(1, F.col(name))), every(2, others), every(3, F.transform(F.concat(F.array(name), others), t.normalize_name)))
+    index = entities.select(F.col(key).alias("_key"), F.inline(names)).where("text <> ''").groupBy("kind", "text").agg(F.min("_key").alias("_key"))
+    asked = mentions.select(F.col(mention).alias("_asked")).where("_asked IS NOT NULL").distinct()
+    wanted = F.array(*(known(k, F.col("_asked")) for k in range(3)), known(3, t.normalize_name(F.col("_asked"))))
+    best = asked.select("_asked", F.inline(wanted)).join(index, ["kind", "text"]).groupBy("_asked").agg(F.min(F.struct("kind", "_key")).alias("_best"))
+    how = F.get(F.array(*map(F.lit, ORDER)), F.col("_best.kind"))
+    joined = mentions.join(best, mentions[mention] == best["_asked"], "left")
+    return joined.select(*mentions.columns, F.col("_best._key").alias("found"), how.alias("how"))
+
+
 def upserted(rows: DataFrame, name: Column, order: str, values: dict[str, Column]) -> DataFrame:
     """(name, values, n): one entity for each name, with the first known (not null) value of each kind by ``order``, and its number of rows.
 

@@ -21,6 +21,31 @@ def nodes_of_types(edges: DataFrame, types: list[str]) -> DataFrame:
     return nodes(edges).where(F.col("type").isin(types))
 
 
+def node_table(edges: DataFrame, total: str = "TOTAL") -> DataFrame:
+    """(type, n, pct): distinct nodes by type with their share, and a row for all."""
+    counts = nodes(edges).groupBy("type").agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("n")).select(F.lit(total).alias("type"), "n", F.lit(100.0).alias("pct"))
+    share = counts.join(F.broadcast(whole.select(F.col("n").alias("all"))), F.lit(True))  # one row
+    return share.select("type", "n", F.round(100.0 * F.col("n") / F.col("all"), 6).alias("pct")).unionByName(whole)
+
+
+def displayed_counts(edges: DataFrame, display: Column, relation: list[str] | None = None, xtype: str | None = None) -> DataFrame:
+    """(relation, display, xtype, ytype, n_rows, n_edges): edge counts with the relation's name for display (an expression), optionally of some relations and one type."""
+    rows = edges.withColumn("display", display)
+    if relation is not None:
+        rows = rows.where(F.col("relation").isin(relation))
+    if xtype is not None:
+        rows = rows.where(F.col("xtype") == xtype)
+    each = rows.groupBy("relation", "display", "xtype", "ytype", "x", "y").agg(F.count("*").alias("k"))
+    return each.groupBy("relation", "display", "xtype", "ytype").agg(F.sum("k").alias("n_rows"), F.count("*").alias("n_edges"))
+
+
+def names_holding(rows: DataFrame, key: str, names: Column, text: str) -> DataFrame:
+    """(key, names, first): rows one of whose names holds the text in any case, with the first that does."""
+    hit = F.filter(names, lambda x: F.contains(F.lower(x), F.lit(text.lower())))
+    return rows.select(key, names.alias("names"), F.get(hit, 0).alias("first")).where("first IS NOT NULL")
+
+
 def end_types(edges: DataFrame, relation: str) -> DataFrame:
     """(side, type, n): the types at either end of a relation, with the number of distinct nodes."""
     e = edges.where(F.col("relation") == relation)
