@@ -57,22 +57,63 @@ def exclusions(edges: DataFrame, ends: DataFrame, targets: DataFrame, protein_ty
     return found.distinct()
 
 
+def _elsewhere(rows: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """``rows`` (with ``target_disease``) with ``n``: how many sources of another disease have these keys; ``counts``: (keys, disease, n)."""
+    every = counts.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    own = counts.withColumnsRenamed({"disease": "target_disease", "n": "_own"})
+    return rows.join(every, keys).join(own, [*keys, "target_disease"], "left").withColumn("n", F.col("_all") - F.coalesce("_own", F.lit(0))).drop("_all", "_own")
+
+
 def eligible_sources(edges: DataFrame, ends: DataFrame, targets: DataFrame, protein_type: str, indications: DataFrame | None = None) -> DataFrame:
-    """(target_moa, protein, sources): how many graphs may be joined to each target. All pairs are counted, none is built."""
-    out = exclusions(edges, ends, targets, protein_type, indications).groupBy("target_moa", "protein").agg(F.count("*").alias("out"))
-    same = ends.groupBy("disease").agg(F.count("*").alias("same"))
+    """(target_moa, protein, sources): how many graphs may be joined to each target.
+
+    Neither pairs nor exclusions are listed. A source has one drug, so those out by their drug are sums of counts by drug;
+    those out by holding the protein are a count by protein; those out by both, sums of counts by drug and protein.
+    """
+    diseases = ends.select(F.col("moa_id").alias("target_moa"), F.col("disease").alias("target_disease"))
+    t = targets.select(F.col("moa_id").alias("target_moa"), "protein").distinct().join(diseases, "target_moa")
+    nodes = nodes_of(edges, "moa_id")
+    holds = nodes.where(F.col("type") == protein_type).select("moa_id", F.col("node").alias("protein")).distinct().join(ends, "moa_id")
+    by_drug = ends.groupBy("drug", "disease").agg(F.count("*").alias("n"))
+    by_protein = holds.groupBy("protein", "disease").agg(F.count("*").alias("n"))
+    by_both = holds.groupBy("drug", "protein", "disease").agg(F.count("*").alias("n"))
+    # drugs that are nodes of a target, but for those that its disease has an indication of
+    drugs = nodes.select(F.col("moa_id").alias("target_moa"), F.col("node").alias("drug")).distinct().join(ends.select("drug").distinct(), "drug", "left_semi")
+    drugs = drugs.join(diseases, "target_moa")
+    known = None if indications is None else indications.select("drug", F.col("disease").alias("target_disease")).distinct()
+    if known is not None:
+        drugs = drugs.join(known, ["drug", "target_disease"], "left_anti")
+    out = [
+        t.join(_elsewhere(drugs, ["drug"], by_drug).groupBy("target_moa").agg(F.sum("n").alias("n")), "target_moa").select("target_moa", "protein", "n"),
+        _elsewhere(t, ["protein"], by_protein).select("target_moa", "protein", "n"),
+        _elsewhere(drugs.join(t.select("target_moa", "protein"), "target_moa"), ["drug", "protein"], by_both).select("target_moa", "protein", -F.col("n")),
+    ]
+    if known is not None:
+        of_disease = _elsewhere(known, ["drug"], by_drug).groupBy("target_disease").agg(F.sum("n").alias("n"))
+        wanted = known.join(by_both.select("drug", "protein").distinct(), "drug").join(t.select("target_disease", "protein").distinct(), ["target_disease", "protein"], "left_semi")
+        of_protein = _elsewhere(wanted, ["drug", "protein"], by_both).groupBy("target_disease", "protein").agg(F.sum("n").alias("n"))
+        out += [t.join(of_disease, "target_disease").select("target_moa", "protein", "n"), t.join(of_protein, ["target_disease", "protein"]).select("target_moa", "protein", -F.col("n"))]
+    rows = out[0]
+    for o in out[1:]:
+        rows = rows.unionAll(o)
+    summed = rows.groupBy("target_moa", "protein").agg(F.sum("n").alias("out"))
+    same = ends.groupBy(F.col("disease").alias("target_disease")).agg(F.count("*").alias("same"))
     every = ends.agg(F.count("*").alias("every"))  # one row
-    t = targets.select(F.col("moa_id").alias("target_moa"), "protein").distinct().join(ends.select(F.col("moa_id").alias("target_moa"), "disease"), "target_moa")
-    counted = t.join(same, "disease").join(out, ["target_moa", "protein"], "left").crossJoin(F.broadcast(every))
+    counted = t.join(same, "target_disease").join(summed, ["target_moa", "protein"], "left").crossJoin(F.broadcast(every))
     return counted.select("target_moa", "protein", (F.col("every") - F.col("same") - F.coalesce("out", F.lit(0))).alias("sources"))
 
 
 def admissible(samples: DataFrame, edges: DataFrame, ends: DataFrame, protein_type: str, indications: DataFrame | None = None) -> DataFrame:
-    """Samples (target_moa, protein, source_moa, ...) whose source may be joined to the target."""
+    """Samples (target_moa, protein, source_moa, ...) whose source may be joined to the target: three look-ups for each sample."""
     s = samples.join(ends.select(F.col("moa_id").alias("target_moa"), F.col("disease").alias("_td")), "target_moa")
-    s = s.join(ends.select(F.col("moa_id").alias("source_moa"), F.col("disease").alias("_sd")), "source_moa").where("_td <> _sd").drop("_td", "_sd")
-    named = samples.select(F.col("target_moa").alias("moa_id"), "protein")
-    return s.join(exclusions(edges, ends, named, protein_type, indications), ["target_moa", "protein", "source_moa"], "left_anti").select(*samples.columns)
+    s = s.join(ends.select(F.col("moa_id").alias("source_moa"), F.col("disease").alias("_sd"), F.col("drug").alias("_drug")), "source_moa").where("_td <> _sd")
+    nodes = nodes_of(edges, "moa_id")
+    s = s.join(nodes.select(F.col("moa_id").alias("target_moa"), F.col("node").alias("_drug")).distinct(), ["target_moa", "_drug"], "left_anti")
+    holds = nodes.where(F.col("type") == protein_type).select(F.col("moa_id").alias("source_moa"), F.col("node").alias("protein")).distinct()
+    s = s.join(holds, ["source_moa", "protein"], "left_anti")
+    if indications is not None:
+        s = s.join(indications.select(F.col("drug").alias("_drug"), F.col("disease").alias("_td")).distinct(), ["_drug", "_td"], "left_anti")
+    return s.select(*samples.columns)
 
 
 def new_relation(source_level: Column, target_level: Column, in_relation: Column, signs: dict[str, int], inverse: dict[str, str]) -> Column:
