@@ -56,6 +56,19 @@ def _(spark, d):
     return syn.eligible_sources(e, _ends(e), _targets(e), "Part")
 
 
+INDICATION_SQL = """ind AS (SELECT DISTINCT 'C:' || o_custkey AS drug, 'Y:' || o_orderpriority AS disease FROM orders WHERE o_totalprice > 300000),
+  outs_ind AS (SELECT target_moa, protein, source_moa FROM outs UNION SELECT tgt.target_moa, protein, e.moa_id FROM tgt JOIN ind ON ind.disease = tgt.td JOIN ends e ON e.drug = ind.drug WHERE e.disease <> tgt.td)"""
+
+
+@query("eligible_with_indications", f"{MOA}, {NODE_SQL}, {ENDS_SQL}, {TARGET_SQL}, {OUT_SQL}, {INDICATION_SQL}, o AS (SELECT target_moa, protein, count(*) AS n FROM outs_ind GROUP BY 1, 2), same AS (SELECT disease, count(*) AS n FROM ends GROUP BY 1) SELECT tgt.target_moa, tgt.protein, (SELECT count(*) FROM ends) - same.n - coalesce(o.n, 0) AS sources FROM tgt JOIN same ON td = disease LEFT JOIN o ON o.target_moa = tgt.target_moa AND o.protein = tgt.protein")
+def _(spark, d):
+    """The same without sources whose drug is known to be indicated for the target's disease."""
+    e = moa_edges(spark, d)
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    known = table(spark, d, "orders").where("o_totalprice > 300000").select(name("C", "o_custkey").alias("drug"), name("Y", "o_orderpriority").alias("disease"))
+    return syn.eligible_sources(e, _ends(e), _targets(e), "Part", known)
+
+
 SAMPLE_SQL = f"""{TARGET_SQL}, {OUT_SQL}, nxt AS (SELECT o_orderkey AS target_moa, lead(o_orderkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS source_moa FROM orders),
   least_part AS (SELECT moa_id AS source_moa, min(node) AS source_node FROM node WHERE type = 'Part' GROUP BY 1),
   samp AS (SELECT nxt.target_moa, protein, in_relation, nxt.source_moa, source_node FROM target JOIN nxt ON target.moa_id = nxt.target_moa JOIN least_part USING (source_moa)
