@@ -74,7 +74,7 @@ def _refuse_others(path: str) -> None:
 def _bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """Write a table in the shared folder in buckets by ``column`` and read it again: joins on the column don't shuffle it."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))  # Spark's bound for buckets
     df.write.format("parquet").option("compression", "zstd").option("path", scratch(spark, name)).bucketBy(buckets, column).saveAsTable(table)
     return spark.table(table)
 

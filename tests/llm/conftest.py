@@ -42,4 +42,5 @@ def empty_sf(spark, odd, sf, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
     odd.limit(0).write.parquet(f"{path}/documents.parquet")
     spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return path
