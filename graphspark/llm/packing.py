@@ -16,7 +16,7 @@ covers the histogram.
    they give a lower bound. Phases of more and more rounds begin with the weights
    of the one before and end once the fractional total is within ``GAP`` of it.
 3. Rounding: every pattern its whole number of times, then, in the order of the
-   fractions left, once more where all of its pieces are left. What remains is a
+   fractions left, once more where all of its pieces are left and it fills no less than the mean. What remains is a
    smaller histogram with a program of its own; after ``RESIDUALS`` of these best
    fit (the longest piece, then the longest that still fits) places the rest.
 4. Pieces of a length are numbered without gaps from partition counts, and the
@@ -198,9 +198,11 @@ def fractional(length: np.ndarray, count: np.ndarray, capacity: int, phases: tup
     return best
 
 
-def _rounded(taken: dict[Pattern, float], left: np.ndarray) -> Runs:
-    """Patterns by whole numbers, as far as their pieces are left; ``left`` is lowered."""
+def _rounded(length: np.ndarray, taken: dict[Pattern, float], left: np.ndarray) -> Runs:
+    """Patterns by whole numbers, as far as their pieces are left; ``left`` is lowered. Fractions are rounded up for patterns that fill no less than the mean."""
     runs: Runs = []
+    fill = {pattern: sum(int(length[k]) * n for k, n in pattern) for pattern in taken}
+    mean = sum(x * fill[p] for p, x in taken.items()) / max(sum(taken.values()), 1e-12)
 
     def use(pattern: Pattern, most: int) -> None:
         times = min(most, *(int(left[k]) // n for k, n in pattern))
@@ -212,7 +214,8 @@ def _rounded(taken: dict[Pattern, float], left: np.ndarray) -> Runs:
     for pattern, x in sorted(taken.items(), key=lambda p: (-p[1], p[0])):
         use(pattern, int(x + 1e-9))
     for pattern, x in sorted(taken.items(), key=lambda p: (-(p[1] % 1), p[0])):
-        use(pattern, 1)
+        if fill[pattern] >= mean * (1 - 1e-9):
+            use(pattern, 1)
     return runs
 
 
@@ -313,7 +316,7 @@ def solve(length: np.ndarray, count: np.ndarray, capacity: int = CAPACITY, phase
         if not turn:
             bound, total = max(bound, solution.bound), solution.total
         rest = left[live]
-        runs += [({int(live[k]): n for k, n in pattern.items()}, times) for pattern, times in _rounded(solution.taken, rest)]
+        runs += [({int(live[k]): n for k, n in pattern.items()}, times) for pattern, times in _rounded(length[live], solution.taken, rest)]
         left[live] = rest
     rest = _best_fit(length, left, capacity)
     rows = []

@@ -63,7 +63,7 @@ def test_packing_reaches_the_bound():
     for size, high in ((4000, 2048), (3000, 900), (500, 60), (1, 5)):
         lengths = rng.integers(1, high + 1, size)
         values, counts = np.unique(lengths, return_counts=True)
-        plan = packing.solve(values, counts, rounds=60)
+        plan = packing.solve(values, counts)
         bound = max(math.ceil(lengths.sum() / 2048), (lengths > 1024).sum())
         assert bound <= plan.sequences <= bound * 1.04 + 1
     assert packing.solve(np.array([], int), np.array([], int)).sequences == 0
