@@ -154,7 +154,11 @@ def _(spark, d):
         F.struct(F.col("tail").alias("node"), F.col("ttype").alias("type"), F.col("htype").alias("other"), F.col("head").alias("o")),
     )
     nb = moa_edges(spark, d).select("moa_id", F.inline(ways)).distinct()
-    return nb.groupBy("type", "other").agg(F.count_distinct("moa_id", "node").alias("nodes"), F.count_distinct("moa_id").alias("graphs"), F.count_distinct("node").alias("unique_nodes"), F.count("*").alias("neighbours"))
+    # by graph first, where its edges are; a graph counts at the first of its nodes
+    each = nb.groupBy("moa_id", "type", "other", "node").agg(F.count("*").alias("k"))
+    each = each.withColumn("first", F.row_number().over(Window.partitionBy("moa_id", "type", "other").orderBy("node")) == 1)
+    nodes = each.groupBy("type", "other", "node").agg(F.count("*").alias("nodes"), F.count_if("first").alias("graphs"), F.sum("k").alias("k"))
+    return nodes.groupBy("type", "other").agg(F.sum("nodes").alias("nodes"), F.sum("graphs").alias("graphs"), F.count("node").alias("unique_nodes"), F.sum("k").alias("neighbours"))
 
 
 @query("drug_report", f"{MOA}, {NODE_SQL}, {ENDS_SQL}, o AS (SELECT drug, ttype, count(DISTINCT (e.moa_id, tail)) AS n FROM ends JOIN moa_edge e ON e.moa_id = ends.moa_id AND e.head = drug GROUP BY 1, 2), p AS (SELECT drug, count(*) AS graphs, count(DISTINCT disease) AS diseases FROM ends GROUP BY 1) SELECT p.*, ttype, n FROM p LEFT JOIN o USING (drug)")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 FLAG_RELATION = {"A": "increases activity of", "N": "decreases activity of", "R": "positively regulates"}
 STATUS_RELATION = {"F": "negatively correlated with", "O": "positively correlated with"}
 UNKNOWN_LINE = 7
+#: Order lines of a partition of the order graphs.
+LINES = 100_000
 SIGNS = {
     "increases activity of": 1,
     "decreases activity of": -1,
@@ -42,25 +44,33 @@ def pick(mapping: dict, key: Column) -> Column:
 
 
 def moa_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(moa_id, head, htype, relation, tail, ttype), distinct; all edges of a graph come from one shuffle by order."""
+    """(moa_id, head, htype, relation, tail, ttype), distinct; all edges of a graph are in one partition.
+
+    Lines and orders are dealt by order into a number of partitions that grows with the lines, so that a task holds no more
+    of them in a larger table. What follows by graph (distinct edges, nodes, kernels) stays in these partitions. Edges are
+    made distinct as keys and get their names afterwards.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     nations = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
-    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
-    c, p, s, n, y = name("C:", "o_custkey"), name("P:", "l_partkey"), name("S:", "l_suppkey"), name("N:", "s_nationkey"), name("Y:", "o_orderpriority")
+    parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES))
+    rows = lines.join(nations, F.col("l_suppkey") == F.col("s_suppkey")).repartition(parts, "l_orderkey").join(orders.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    text = lambda c: F.col(c).cast("string")
     to_part = F.when(F.col("l_linenumber") == UNKNOWN_LINE, "has metabolite").otherwise(pick(FLAG_RELATION, F.col("l_returnflag")))
     to_supplier = pick(STATUS_RELATION, F.col("l_linestatus"))
-    edge = lambda h, ht, r, t, tt: F.struct(
-        h.alias("head"), F.lit(ht).alias("htype"), r.alias("relation"), t.alias("tail"), F.lit(tt).alias("ttype")
-    )
+    edge = lambda kind, r, h, t: F.struct(F.lit(kind).alias("kind"), r.alias("relation"), h.alias("h"), t.alias("t"))
     edges = F.array(
-        edge(c, "Customer", to_part, p, "Part"),
-        edge(p, "Part", to_supplier, s, "Supplier"),
-        edge(s, "Supplier", F.lit("located in"), n, "Nation"),
-        edge(n, "Nation", F.lit("manifestation of"), y, "Priority"),
+        edge(0, to_part, text("o_custkey"), text("l_partkey")),
+        edge(1, to_supplier, text("l_partkey"), text("l_suppkey")),
+        edge(2, F.lit("located in"), text("l_suppkey"), text("s_nationkey")),
+        edge(3, F.lit("manifestation of"), text("s_nationkey"), text("o_orderpriority")),
+    )
+    found = rows.select(F.col("l_orderkey").alias("moa_id"), F.explode(edges).alias("e")).select("moa_id", "e.*").distinct()
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("kind") + 1)
+    heads, tails = ("Customer", "Part", "Supplier", "Nation"), ("Part", "Supplier", "Nation", "Priority")
+    return found.select(
+        "moa_id", F.concat(of("CPSN"), F.lit(":"), "h").alias("head"), of(heads).alias("htype"), "relation", F.concat(of("PSNY"), F.lit(":"), "t").alias("tail"), of(tails).alias("ttype")
     )
-    return rows.select(F.col("o_orderkey").alias("moa_id"), F.explode(edges).alias("e")).select("moa_id", "e.*").repartition("moa_id").distinct()
 
 
 MOA_SQL = """
