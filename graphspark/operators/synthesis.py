@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.views import pick
+from .entities import _written
 from .graphs import closure, nodes_of, simulate
 
 
@@ -67,22 +68,24 @@ def _elsewhere(rows: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame
 def eligible_sources(edges: DataFrame, ends: DataFrame, targets: DataFrame, protein_type: str, indications: DataFrame | None = None) -> DataFrame:
     """(target_moa, protein, sources): how many graphs may be joined to each target.
 
-    Neither pairs nor exclusions are listed. A source has one drug, so those out by their drug are sums of counts by drug;
+    Neither pairs nor exclusions are listed, and what is read more than once is written once. A source has one drug, so those out by their drug are sums of counts by drug;
     those out by holding the protein are a count by protein; those out by both, sums of counts by drug and protein.
     """
+    ends = _written(ends, "ends")
     diseases = ends.select(F.col("moa_id").alias("target_moa"), F.col("disease").alias("target_disease"))
-    t = targets.select(F.col("moa_id").alias("target_moa"), "protein").distinct().join(diseases, "target_moa")
+    t = _written(targets.select(F.col("moa_id").alias("target_moa"), "protein").distinct().join(diseases, "target_moa"), "targets")
     nodes = nodes_of(edges, "moa_id")
     holds = nodes.where(F.col("type") == protein_type).select("moa_id", F.col("node").alias("protein")).distinct().join(ends, "moa_id")
+    by_both = _written(holds.groupBy("drug", "protein", "disease").agg(F.count("*").alias("n")), "held")
     by_drug = ends.groupBy("drug", "disease").agg(F.count("*").alias("n"))
-    by_protein = holds.groupBy("protein", "disease").agg(F.count("*").alias("n"))
-    by_both = holds.groupBy("drug", "protein", "disease").agg(F.count("*").alias("n"))
+    by_protein = by_both.groupBy("protein", "disease").agg(F.sum("n").alias("n"))
     # drugs that are nodes of a target, but for those that its disease has an indication of
     drugs = nodes.select(F.col("moa_id").alias("target_moa"), F.col("node").alias("drug")).distinct().join(ends.select("drug").distinct(), "drug", "left_semi")
     drugs = drugs.join(diseases, "target_moa")
     known = None if indications is None else indications.select("drug", F.col("disease").alias("target_disease")).distinct()
     if known is not None:
         drugs = drugs.join(known, ["drug", "target_disease"], "left_anti")
+    drugs = _written(drugs, "drugs")
     out = [
         t.join(_elsewhere(drugs, ["drug"], by_drug).groupBy("target_moa").agg(F.sum("n").alias("n")), "target_moa").select("target_moa", "protein", "n"),
         _elsewhere(t, ["protein"], by_protein).select("target_moa", "protein", "n"),
