@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as t
 from ..operators import graphs as g, knowledge as kg, synthesis as syn
-from ..sources.views import INVERSE, SIGNS, kg_edges, moa_edges, table
+from ..sources.views import INVERSE, SIGNS, kg_edges, moa_edges, order_parts, table
 from .graph_queries import CLOSURE_SQL, EDITABLE_SQL, KG, LEVEL_SQL, MOA, NODE_SQL, RMOA, _editable
 from .registry import query
 
@@ -78,19 +78,17 @@ SAMPLE_SQL = f"""{TARGET_SQL}, {OUT_SQL}, nxt AS (SELECT o_orderkey AS target_mo
     FROM samp JOIN sign ON relation = in_relation JOIN lv a ON a.moa_id = source_moa AND a.node = source_node JOIN lv b ON b.moa_id = target_moa AND b.node = protein WHERE a.level * b.level <> 0)"""
 
 
-def _samples(spark, d, e):
-    """For each target the next order of its day as source, by its least part, where the exclusions allow it."""
-    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+def _samples(spark, d):
+    """For each target the next order of its day as source, by its least part, where the exclusions allow it; with the new graphs' edges."""
+    parts = order_parts(spark, d)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate").repartition(parts, "o_orderdate")
     nxt = orders.select(F.col("o_orderkey").alias("target_moa"), F.lead("o_orderkey").over(Window.partitionBy("o_orderdate").orderBy("o_orderkey")).alias("source_moa"))
-    part = e.where("ttype = 'Part'").select("moa_id", F.col("tail").alias("n")).unionByName(e.where("htype = 'Part'").select("moa_id", F.col("head").alias("n")))
-    least = part.groupBy(F.col("moa_id").alias("source_moa")).agg(F.min("n").alias("source_node"))
-    s = _targets(e).withColumnRenamed("moa_id", "target_moa").join(nxt, "target_moa").join(least, "source_moa")
-    return syn.with_relations(syn.admissible(s, e, _ends(e), "Part"), e, SIGNS, INVERSE, "Customer")
+    return syn.linked(moa_edges(spark, d), nxt, SIGNS, INVERSE, "Customer", "Priority", "Part", ["Customer", "Part"], parts)
 
 
 @query("add_link_samples", f"{MOA}, {LEVEL_SQL}, {ENDS_SQL}, {SAMPLE_SQL} SELECT * FROM drawn")
 def _(spark, d):
-    return _samples(spark, d, moa_edges(spark, d))
+    return _samples(spark, d).drop("edges")
 
 
 @query("add_link_graphs", f"""{RMOA}, {LEVEL_SQL}, {ENDS_SQL}, {SAMPLE_SQL}, {CLOSURE_SQL}, rr AS (SELECT moa_id, head, tail FROM reach UNION SELECT moa_id, node, node FROM node),
@@ -100,10 +98,9 @@ def _(spark, d):
     UNION SELECT name, source_node, new_relation, protein FROM named)
   SELECT name, count(*) AS edges, count(DISTINCT head) AS heads, count(DISTINCT tail) AS tails, min(relation) AS least FROM ways GROUP BY 1""")
 def _(spark, d):
-    e = moa_edges(spark, d)
-    s = _samples(spark, d, e).withColumn("name", F.concat_ws("|", "target_moa", "protein", "in_relation", "source_moa"))
-    new = syn.synthesised(s, e, _ends(e), "name")
-    return new.groupBy("name").agg(F.count("*").alias("edges"), F.count_distinct("head").alias("heads"), F.count_distinct("tail").alias("tails"), F.min("relation").alias("least"))
+    ends = lambda c: F.size(F.array_distinct(F.col(f"edges.{c}"))).cast("long")
+    name = F.concat_ws("|", "target_moa", "protein", "in_relation", "source_moa").alias("name")
+    return _samples(spark, d).select(name, F.size("edges").cast("long").alias("edges"), ends("head").alias("heads"), ends("tail").alias("tails"), F.array_min("edges.relation").alias("least"))
 
 
 @query("sample_graph_join", f"{MOA}, {NODE_SQL}, {ENDS_SQL} SELECT event_id, user_id AS source_moa_id, moa_id IS NULL AS unknown, drug AS moa_drug, disease AS moa_disease FROM events LEFT JOIN ends ON moa_id = user_id")

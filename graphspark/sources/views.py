@@ -43,6 +43,11 @@ def pick(mapping: dict, key: Column) -> Column:
     return out
 
 
+def order_parts(spark: SparkSession, sf_dir: str) -> int:
+    """The number of partitions of the order graphs."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // LINES))
+
+
 def moa_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(moa_id, head, htype, relation, tail, ttype), distinct; all edges of a graph are in one partition.
 
@@ -53,7 +58,7 @@ def moa_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     nations = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES))
+    parts = order_parts(spark, sf_dir)
     rows = lines.join(nations, F.col("l_suppkey") == F.col("s_suppkey")).repartition(parts, "l_orderkey").join(orders.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     text = lambda c: F.col(c).cast("string")
     to_part = F.when(F.col("l_linenumber") == UNKNOWN_LINE, "has metabolite").otherwise(pick(FLAG_RELATION, F.col("l_returnflag")))

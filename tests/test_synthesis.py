@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphspark import catalog
 from graphspark.operators import synthesis as syn
 
 SCHEMA = "moa_id long, head string, htype string, relation string, tail string, ttype string"
@@ -45,3 +47,30 @@ def test_counted_and_listed_exclusions_agree(spark, corpus, indications):
     for x in syn.admissible(samples, e, ends, "Protein", known).collect():
         kept[x.target_moa, x.protein] = kept.get((x.target_moa, x.protein), 0) + 1
     assert kept == {k: n for k, n in want.items() if n}
+
+
+def test_whole_samples_are_those_found_one_by_one(spark, corpus):
+    e = corpus[0].withColumn("relation", F.when(F.crc32(F.concat_ws("|", "moa_id", "head", "tail").cast("binary")) % 3 == 0, "down").otherwise("up"))
+    ring = [(100, "D0", "Drug", "up", "P0", "Protein"), (100, "P0", "Protein", "up", "P1", "Protein"), (100, "P1", "Protein", "up", "P0", "Protein"), (100, "P1", "Protein", "down", "X1", "Disease")]
+    e = e.unionAll(spark.createDataFrame([*ring, (101, "D1", "Drug", "up", "P5", "Protein"), (102, None, "Drug", "up", "P5", "Protein")], SCHEMA))
+    signs, inverse, froms = {"up": 1, "down": -1}, {"up": "down", "down": "up"}, ["Drug", "Chemical"]
+    ids = e.selectExpr("moa_id AS target_moa").distinct()
+    pairs = ids.crossJoin(ids.withColumnRenamed("target_moa", "source_moa")).unionAll(spark.createDataFrame([(7, None), (7, 999)], "a long, b long"))
+    ends = syn.ends(e, "Drug", "Disease")
+    least = syn.nodes_of(e, "moa_id").where("type = 'Protein'").groupBy(F.col("moa_id").alias("source_moa")).agg(F.min("node").alias("source_node"))
+    s = syn.targets(e, "Protein", froms, inverse).withColumnRenamed("moa_id", "target_moa").join(pairs, "target_moa").join(least, "source_moa")
+    s = syn.with_relations(syn.admissible(s, e, ends, "Protein"), e, signs, inverse, "Drug")
+    key = ["target_moa", "protein", "in_relation", "source_moa", "source_node", "source_level", "target_level", "new_relation"]
+    want = {tuple(x[c] for c in key): set() for x in s.collect()}
+    for x in syn.synthesised(s.withColumn("key", F.struct(*key)), e, ends, "key").collect():
+        want[tuple(x.key)].add(tuple(x)[1:])
+    got = syn.linked(e, pairs, signs, inverse, "Drug", "Disease", "Protein", froms, 3).collect()
+    assert len(got) == len(want) > 100 and {tuple(x[c] for c in key): {tuple(y) for y in x.edges} for x in got} == want
+    assert all(len(x.edges) == len(set(x.edges)) for x in got)
+
+
+@pytest.mark.parametrize("name", ["add_link_samples", "add_link_graphs"])
+def test_the_lines_are_read_once_for_each_side(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("[l_orderkey#") and sum("FileScan" in x and "l_orderkey" in x for x in plan.split("\n")) == 2
+    assert sum("Exchange" in x and "hashpartitioning(l_orderkey" in x for x in plan.split("\n")) <= 2
