@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.views import pick
 from .entities import _written
-from .kernels import between, closure, cut_edges, longest_layers, path_schemata, reduced_pairs, shortest_paths, simple_paths, simulate, topological_order  # noqa: F401
+from .kernels import between, closure, cut_edges, end_distances, longest_layers, path_schemata, reduced_pairs, shortest_paths, simple_paths, simulate, topological_order  # noqa: F401
 
 
 def edge_counts(edges: DataFrame, unique: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ def _targets(e):
 
 @query("graph_ends", f"{MOA}, {NODE_SQL}, {ENDS_SQL} SELECT * FROM ends")
 def _(spark, d):
-    return _ends(moa_edges(spark, d))
+    return _ends(moa_edges(spark, d, repeated=True))
 
 
 @query("graph_by_id", f"{MOA}, {NODE_SQL}, {ENDS_SQL} SELECT moa_edge.* FROM moa_edge JOIN ends USING (moa_id) WHERE moa_id = 7 OR (drug = 'C:10' AND disease LIKE 'Y:1%')")
@@ -83,7 +83,7 @@ def _samples(spark, d):
     parts = order_parts(spark, d)
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate").repartition(parts, "o_orderdate")
     nxt = orders.select(F.col("o_orderkey").alias("target_moa"), F.lead("o_orderkey").over(Window.partitionBy("o_orderdate").orderBy("o_orderkey")).alias("source_moa"))
-    return syn.linked(moa_edges(spark, d), nxt, SIGNS, INVERSE, "Customer", "Priority", "Part", ["Customer", "Part"], parts)
+    return syn.linked(moa_edges(spark, d, repeated=True), nxt, SIGNS, INVERSE, "Customer", "Priority", "Part", ["Customer", "Part"], parts)
 
 
 @query("add_link_samples", f"{MOA}, {LEVEL_SQL}, {ENDS_SQL}, {SAMPLE_SQL} SELECT * FROM drawn")
@@ -168,15 +168,16 @@ def _(spark, d):
 
 @query("required_types_distance", f"{RMOA}, {NODE_SQL}, {ENDS_SQL}, {CLOSURE_SQL} SELECT ends.moa_id, distance FROM ends JOIN reach r ON r.moa_id = ends.moa_id AND r.head = drug AND r.tail = disease WHERE distance >= 4 AND (SELECT count(DISTINCT type) FROM node n WHERE n.moa_id = ends.moa_id AND type IN ('Supplier', 'Nation')) = 2")
 def _(spark, d):
-    e = moa_edges(spark, d)
-    has = g.nodes_of(e, "moa_id").where(F.col("type").isin("Supplier", "Nation")).groupBy("moa_id").agg(F.count_distinct("type").alias("k")).where("k = 2").select("moa_id")
-    far = g.closure(e).join(_ends(e).select("moa_id", F.col("drug").alias("head"), F.col("disease").alias("tail")), ["moa_id", "head", "tail"])
-    return far.where("distance >= 4").join(has, "moa_id", "left_semi").select("moa_id", F.col("distance").cast("long").alias("distance"))
+    e = moa_edges(spark, d, repeated=True)
+    among = lambda t: F.bool_or((F.col("htype") == t) | (F.col("ttype") == t))
+    has = e.groupBy("moa_id").agg((among("Supplier") & among("Nation")).alias("ok")).where("ok").select("moa_id")
+    far = g.end_distances(e, "Customer", "Priority").where("distance >= 4").repartition(order_parts(spark, d), "moa_id")
+    return far.join(has, "moa_id", "left_semi").select("moa_id", F.col("distance").cast("long").alias("distance"))
 
 
 @query("named_shortest_paths", f"{RMOA}, step AS (SELECT DISTINCT moa_id, head, htype, tail FROM moa_edge), w AS (SELECT moa_id, head, tail, [head, tail] AS path FROM step WHERE htype = 'Customer' UNION ALL SELECT w.moa_id, w.head, s.tail, list_append(path, s.tail) FROM w JOIN step s ON w.moa_id = s.moa_id AND w.tail = s.head), b AS (SELECT *, row_number() OVER (PARTITION BY moa_id, head, tail ORDER BY len(path), path) AS k FROM w WHERE tail LIKE 'S:%' OR tail LIKE 'N:%') SELECT moa_id, array_to_string(path, ' > ') AS path FROM b WHERE k = 1")
 def _(spark, d):
-    p = g.shortest_paths(moa_edges(spark, d), ["Customer"], ["Supplier", "Nation"], least=2)
+    p = g.shortest_paths(moa_edges(spark, d, repeated=True), ["Customer"], ["Supplier", "Nation"], least=2)
     return p.select("moa_id", F.array_join("path", " > ").alias("path"))
 
 

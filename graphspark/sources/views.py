@@ -48,34 +48,40 @@ def order_parts(spark: SparkSession, sf_dir: str) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // LINES))
 
 
-def moa_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def moa_edges(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFrame:
     """(moa_id, head, htype, relation, tail, ttype), distinct; all edges of a graph are in one partition.
 
     Lines and orders are dealt by order into a number of partitions that grows with the lines, so that a task holds no more
     of them in a larger table. What follows by graph (distinct edges, nodes, kernels) stays in these partitions. Edges are
-    made distinct as keys and get their names afterwards.
+    made distinct as numbers and get their names afterwards. With ``repeated`` they may come more than once, for what
+    counts each once itself (kernels, nodes).
     """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     nations = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     parts = order_parts(spark, sf_dir)
     rows = lines.join(nations, F.col("l_suppkey") == F.col("s_suppkey")).repartition(parts, "l_orderkey").join(orders.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    text = lambda c: F.col(c).cast("string")
-    to_part = F.when(F.col("l_linenumber") == UNKNOWN_LINE, "has metabolite").otherwise(pick(FLAG_RELATION, F.col("l_returnflag")))
-    to_supplier = pick(STATUS_RELATION, F.col("l_linestatus"))
-    edge = lambda kind, r, h, t: F.struct(F.lit(kind).alias("kind"), r.alias("relation"), h.alias("h"), t.alias("t"))
+    relations = ["has metabolite", *FLAG_RELATION.values(), *STATUS_RELATION.values(), "located in", "manifestation of"]
+    number = {r: k + 1 for k, r in enumerate(relations)}
+    coded = lambda mapping, c: pick({k: number[r] for k, r in mapping.items()}, F.col(c)).cast("int")
+    to_part = F.when(F.col("l_linenumber") == UNKNOWN_LINE, number["has metabolite"]).otherwise(coded(FLAG_RELATION, "l_returnflag"))
+    none, key = F.lit(None).cast("string"), lambda c: F.col(c).cast("long")
+    edge = lambda kind, r, h, t, named=none: F.struct(F.lit(kind).alias("kind"), r.alias("r"), h.alias("h"), t.alias("t"), named.alias("named"))
     edges = F.array(
-        edge(0, to_part, text("o_custkey"), text("l_partkey")),
-        edge(1, to_supplier, text("l_partkey"), text("l_suppkey")),
-        edge(2, F.lit("located in"), text("l_suppkey"), text("s_nationkey")),
-        edge(3, F.lit("manifestation of"), text("s_nationkey"), text("o_orderpriority")),
+        edge(0, to_part, key("o_custkey"), key("l_partkey")),
+        edge(1, coded(STATUS_RELATION, "l_linestatus"), key("l_partkey"), key("l_suppkey")),
+        edge(2, F.lit(number["located in"]), key("l_suppkey"), key("s_nationkey")),
+        edge(3, F.lit(number["manifestation of"]), key("s_nationkey"), F.lit(None).cast("long"), F.col("o_orderpriority")),
     )
-    found = rows.select(F.col("l_orderkey").alias("moa_id"), F.explode(edges).alias("e")).select("moa_id", "e.*").distinct()
-    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("kind") + 1)
+    found = rows.select(F.col("l_orderkey").alias("moa_id"), F.inline(edges))
+    found = found if repeated else found.distinct()
+    of = lambda values, k: F.element_at(F.array(*map(F.lit, values)), k)
+    kind, text = F.col("kind") + 1, lambda c: F.col(c).cast("string")
     heads, tails = ("Customer", "Part", "Supplier", "Nation"), ("Part", "Supplier", "Nation", "Priority")
     return found.select(
-        "moa_id", F.concat(of("CPSN"), F.lit(":"), "h").alias("head"), of(heads).alias("htype"), "relation", F.concat(of("PSNY"), F.lit(":"), "t").alias("tail"), of(tails).alias("ttype")
-    )
+        "moa_id", F.concat(of("CPSN", kind), F.lit(":"), text("h")).alias("head"), of(heads, kind).alias("htype"), of(relations, F.col("r")).alias("relation"),
+        F.concat(of("PSNY", kind), F.lit(":"), F.when(F.col("kind") == 3, F.col("named")).otherwise(text("t"))).alias("tail"), of(tails, kind).alias("ttype"),
+    )
 
 
 MOA_SQL = """

@@ -1,5 +1,7 @@
 """The order graphs lie in more partitions where there are more lines, and what follows by graph stays in them."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,3 +29,16 @@ def test_counts_are_the_same_in_many_partitions(spark, monkeypatch, name):
     want = sorted(map(tuple, query(spark, SF).collect()))
     monkeypatch.setattr(views, "LINES", 300)
     assert sorted(map(tuple, query(spark, SF).collect())) == want
+
+
+def test_repeated_edges_are_the_same_edges(spark):
+    rows = lambda **p: sorted(map(tuple, views.moa_edges(spark, SF, **p).distinct().collect()))
+    assert rows(repeated=True) == rows() == sorted(map(tuple, views.moa_edges(spark, SF).collect()))
+
+
+@pytest.mark.parametrize("name", ["distance_dilution", "valid_simulatable", "topological_text", "required_types_distance"])
+def test_rows_of_graphs_are_dealt_in_many_partitions_after_a_kernel(spark, monkeypatch, name):
+    monkeypatch.setattr(views, "LINES", 300)
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for keys, n in re.findall(r"hashpartitioning\(([^)]*), (\d+)\)", plan) if "moa_id" in keys or "orderkey" in keys]
+    assert dealt and set(dealt) == {views.order_parts(spark, SF)} and dealt[0] > 4
