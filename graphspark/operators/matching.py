@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.models import ask
 from .entities import _written
-from .kernels import closure, reduced_pairs
+from .kernels import closure, match_packed, packed_graphs, reduced_pairs
 
 
 def ngrams(c: Column, low: int, high: int) -> Column:
@@ -266,7 +266,12 @@ def match_graphs(pairs: DataFrame, ref: DataFrame, target: DataFrame, mapping: D
     out = _written(out, "sizes")
     out = out.join(consistent, "pair", "left").fillna(0, ["n_nodes_ref", "n_nodes_target", "n_edges_ref", "n_edges_target", "n_nodes_matched", "n_inner_matched", "n_prompt_nodes", "n_prompt_matched", "n_edges_ref_reduced", "n_edges_consistent"])
     out = _written(out, "counts")
-    has_ends = F.col("rd").isNotNull() & F.col("td").isNotNull()
+    return _ratios(out.withColumn("has_ends", F.col("rd").isNotNull() & F.col("td").isNotNull()), forced)
+
+
+def _ratios(out: DataFrame, forced: bool) -> DataFrame:
+    """Scores from counts; ``has_ends``: both graphs have their ends."""
+    has_ends = F.col("has_ends")
     looked = F.col("n_nodes_matched") > 1
     if forced:
         looked = looked & ~(has_ends & (F.col("n_nodes_matched") <= 2) & (F.col("n_nodes_ref") > 2))
@@ -281,6 +286,31 @@ def match_graphs(pairs: DataFrame, ref: DataFrame, target: DataFrame, mapping: D
     )
 
 
+def matched_pairs(pairs: DataFrame, edges: DataFrame, candidates: DataFrame, root_type: str, sink_type: str, scored: list[str], named: list[str], parts: int, homomorphic: bool = False) -> DataFrame:
+    """The mapping and the counts of each pair of graphs of ``edges``, whole, in two passes over the edges.
+
+    What ``synthesis.ends``, ``greedy_mapping`` with forced ends and ``match_graphs`` find one by one. pairs: (pair, ref_id,
+    target_id), ``pair`` unique and target_id not null; candidates: (pair, target_id, ref, target, score) for nodes of the types
+    ``scored``, nodes of other types are paired by equal names. Edges that are dealt by moa_id into ``parts`` partitions stay
+    where they are: each reference goes to its target's partition as one row, and nothing else is shuffled.
+    """
+    fields = "nodes types u v drug disease n_nodes n_edges".split()
+    asked = pairs.where("ref_id IS NOT NULL").select(F.col("ref_id").alias("moa_id"), F.struct("pair", "target_id").alias("item"))
+    packed = packed_graphs(edges, asked.repartition(parts, "moa_id"), root_type, sink_type).select(F.col("item.target_id").alias("moa_id"), F.col("item.pair").alias("pair"), *fields)
+    none = {"drug": F.lit(-1), "disease": F.lit(-1), "n_nodes": F.lit(0), "n_edges": F.lit(0)}
+    empty = pairs.where("ref_id IS NULL").select(F.col("target_id").alias("moa_id"), "pair", *(none.get(c, F.lit(None)).cast(packed.schema[c].dataType).alias(c) for c in fields))
+    given = {"ref": "string", "target": "string", "score": "double"}
+    item = lambda here: F.struct("pair", *(F.col(c) if c in here else F.lit(None).cast(packed.schema[c].dataType).alias(c) for c in fields), *(F.col(c).cast(t).alias(c) if c in here else F.lit(None).cast(t).alias(c) for c, t in given.items())).alias("item")
+    refs = packed.unionByName(empty).repartition(parts, "moa_id").select("moa_id", item(fields))
+    near = candidates.where("ref IS NOT NULL AND target IS NOT NULL AND score IS NOT NULL").withColumnRenamed("target_id", "moa_id").select("moa_id", item(list(given)))
+    return match_packed(edges, refs.unionAll(near), root_type, sink_type, scored, named, FORCED, homomorphic)
+
+
+def pair_scores(matched: DataFrame, forced: bool = True) -> DataFrame:
+    """The scores of ``match_graphs`` from the counts of ``matched_pairs``."""
+    return _ratios(matched, forced)
+
+
 # --------------------------------------------------------------------------
 # Options
 
