@@ -159,24 +159,25 @@ def synthesised(samples: DataFrame, edges: DataFrame, ends: DataFrame, key: str)
 
 
 def linked(
-    edges: DataFrame, pairs: DataFrame, signs: dict[str, int], inverse: dict[str, str], root_type: str, sink_type: str, protein_type: str, from_types: list[str], parts: int
+    edges: DataFrame, pairs: DataFrame, signs: dict[str, int], inverse: dict[str, str], root_type: str, sink_type: str, protein_type: str, from_types: list[str], parts: int, ways: bool = True
 ) -> DataFrame:
     """Samples of pairs of graphs (target_moa, source_moa), whole: each link from the source's least protein to one of the target's.
 
     What ``ends``, ``targets``, ``admissible``, ``with_relations`` and ``synthesised`` find one by one, here in two passes over
     the edges, which stay where they are if they are dealt by moa_id into ``parts`` partitions: each source's drug, proteins and
     way go to its target's partition, and nothing else is shuffled. Rows: (target_moa, protein, in_relation, source_moa,
-    source_node, source_level, target_level, new_relation, edges), where ``edges`` lists the new graph's edges, each once.
+    source_node, source_level, target_level, new_relation, edges), where ``edges`` lists the new graph's edges, each once; without ``ways`` it is left out, and no
+    way is looked for.
     """
     asked = pairs.where("source_moa IS NOT NULL AND target_moa IS NOT NULL").distinct().repartition(parts, "source_moa")
-    sources = link_sources(edges, asked.select(F.col("source_moa").alias("moa_id"), F.struct("target_moa").alias("item")), signs, root_type, sink_type, protein_type)
-    sources = sources.where("level <> 0").select(F.col("item.target_moa").alias("moa_id"), F.struct(F.col("moa_id").alias("source_moa"), "drug", "disease", "node", "level", "held", "way").alias("item"))
-    found = link_targets(edges, sources.repartition(parts, "moa_id"), signs, root_type, sink_type, protein_type, from_types, list(inverse))
+    sources = link_sources(edges, asked.select(F.col("source_moa").alias("moa_id"), F.struct("target_moa").alias("item")), signs, root_type, sink_type, protein_type, ways)
+    sources = sources.where("level <> 0").select(F.col("item.target_moa").alias("moa_id"), F.struct(F.col("moa_id").alias("source_moa"), "drug", "disease", "node", "level", "held", *(["way"] if ways else [])).alias("item"))
+    found = link_targets(edges, sources.repartition(parts, "moa_id"), signs, root_type, sink_type, protein_type, from_types, list(inverse), ways)
     found = found.where("NOT array_contains(item.held, protein)").withColumn("new_relation", new_relation(F.col("item.level"), F.col("level"), F.col("in_relation"), signs, inverse)).where("new_relation IS NOT NULL")
     link = F.struct(F.col("item.node").alias("head"), F.lit(protein_type).alias("htype"), F.col("new_relation").alias("relation"), F.col("protein").alias("tail"), F.lit(protein_type).alias("ttype"))
     return found.select(
         F.col("moa_id").alias("target_moa"), "protein", "in_relation", "item.source_moa", F.col("item.node").alias("source_node"), F.col("item.level").alias("source_level"),
-        F.col("level").alias("target_level"), "new_relation", F.array_distinct(F.concat("item.way", "way", F.array(link))).alias("edges"),
+        F.col("level").alias("target_level"), "new_relation", *([F.array_distinct(F.concat("item.way", "way", F.array(link))).alias("edges")] if ways else []),
     )
 
 

@@ -78,17 +78,17 @@ SAMPLE_SQL = f"""{TARGET_SQL}, {OUT_SQL}, nxt AS (SELECT o_orderkey AS target_mo
     FROM samp JOIN sign ON relation = in_relation JOIN lv a ON a.moa_id = source_moa AND a.node = source_node JOIN lv b ON b.moa_id = target_moa AND b.node = protein WHERE a.level * b.level <> 0)"""
 
 
-def _samples(spark, d):
-    """For each target the next order of its day as source, by its least part, where the exclusions allow it; with the new graphs' edges."""
+def _samples(spark, d, ways=True):
+    """For each target the next order of its day as source, by its least part, where the exclusions allow it; with ``ways`` also the new graphs' edges."""
     parts = order_parts(spark, d)
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate").repartition(parts, "o_orderdate")
     nxt = orders.select(F.col("o_orderkey").alias("target_moa"), F.lead("o_orderkey").over(Window.partitionBy("o_orderdate").orderBy("o_orderkey")).alias("source_moa"))
-    return syn.linked(moa_edges(spark, d, repeated=True), nxt, SIGNS, INVERSE, "Customer", "Priority", "Part", ["Customer", "Part"], parts)
+    return syn.linked(moa_edges(spark, d, repeated=True), nxt, SIGNS, INVERSE, "Customer", "Priority", "Part", ["Customer", "Part"], parts, ways)
 
 
 @query("add_link_samples", f"{MOA}, {LEVEL_SQL}, {ENDS_SQL}, {SAMPLE_SQL} SELECT * FROM drawn")
 def _(spark, d):
-    return _samples(spark, d).drop("edges")
+    return _samples(spark, d, ways=False)
 
 
 @query("add_link_graphs", f"""{RMOA}, {LEVEL_SQL}, {ENDS_SQL}, {SAMPLE_SQL}, {CLOSURE_SQL}, rr AS (SELECT moa_id, head, tail FROM reach UNION SELECT moa_id, node, node FROM node),

@@ -67,6 +67,13 @@ def test_whole_samples_are_those_found_one_by_one(spark, corpus):
     got = syn.linked(e, pairs, signs, inverse, "Drug", "Disease", "Protein", froms, 3).collect()
     assert len(got) == len(want) > 100 and {tuple(x[c] for c in key): {tuple(y) for y in x.edges} for x in got} == want
     assert all(len(x.edges) == len(set(x.edges)) for x in got)
+    bare = syn.linked(e, pairs, signs, inverse, "Drug", "Disease", "Protein", froms, 3, ways=False)
+    assert bare.columns == key and {tuple(x) for x in bare.collect()} == set(want)
+
+
+def test_samples_alone_look_for_no_way(spark):
+    plan = catalog.queries()["add_link_samples"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "way" not in plan and "edges" not in plan
 
 
 @pytest.mark.parametrize("name", ["add_link_samples", "add_link_graphs"])
