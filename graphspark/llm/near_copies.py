@@ -1,21 +1,21 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash, each link verified exactly.
-
-SimHash fingerprints of texts of similarity 0.8 differ in about 10 of 64 bits
-(up to 20), too many for pigeonhole blocks that still tell texts apart (a block
-would have 3 to 6 bits); so this stage takes the shingles, hashes and components
-of the SimHash operator, and other keys.
+"""Near copies by SimHash and the Jaccard similarity of word shingles: each link of fingerprints or MinHash keys is verified exactly.
 
 1. A text is its set of distinct XXH64 values of word shingles. Texts with one
    set (``digest``) are one class; only classes go on.
-2. ``BANDS`` keys of a class each hash the minima of ``ROWS`` permutations. A
-   pair of similarity s shares a key but for (1 - s^ROWS)^BANDS: 1.1e-4 at 0.8,
-   7e-7 at 0.85.
-3. Classes that keys connect are a candidate group (star components). The texts
+2. Classes whose SimHash fingerprints (of the set) differ in at most
+   ``DISTANCE`` bits are candidates, found by the SimHash operator's links: none
+   of these pairs is missed.
+3. Fingerprints of texts of similarity 0.8 differ in about 10 of 64 bits (up to
+   20), too many for pigeonhole blocks that still tell texts apart (a block would
+   have 3 to 6 bits). So there are further candidates: ``BANDS`` keys of a class
+   each hash the minima of ``ROWS`` permutations. A pair of similarity s shares a
+   key but for (1 - s^ROWS)^BANDS: 1.1e-4 at 0.8, 7e-7 at 0.85.
+4. Classes that either connects are a candidate group (star components). The texts
    of a group meet once, whatever number of keys they share, and their sets are
    compared exactly: a search goes from each linked set to the sets not yet
    reached, so a group of near copies costs no pair of each two. A group of more
    than ``GROUP_SHINGLES`` shingles is dealt in chunks, and pairs of chunks are compared.
-4. Components come from the verified links alone.
+5. Components come from the verified links alone.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null, empty
 and wordless texts are one class and link to no other; repeated rows are members
@@ -31,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import cut, in_batches, join_in_parts, plain_names
-from .simhash import components, shingle_hashes
+from .simhash import _weigh, components, links, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints of candidates may differ.
+DISTANCE = 4
 #: Classes that share a key and are joined in one place; those of a larger group are dealt in parts.
 KEY_ROWS = 10_000
 BANDS, ROWS = 30, 6
@@ -68,13 +70,13 @@ def band_keys(values: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """Add ``digest`` (of the set of shingles), ``n`` (its size) and ``keys``, and leave the text out."""
+    """Add ``digest`` (of the set of shingles), ``n`` (its size), ``fp`` (its SimHash fingerprint) and ``keys``, and leave the text out."""
     import xxhash
 
     kept = [c for c in df.columns if c != text]
     schema = T.StructType(
         [df.schema[c] for c in kept]
-        + [T.StructField("digest", T.LongType(), False), T.StructField("n", T.LongType(), False), T.StructField("keys", T.ArrayType(T.LongType(), False), False)]
+        + [T.StructField("digest", T.LongType(), False), T.StructField("n", T.LongType(), False), T.StructField("fp", T.LongType(), False), T.StructField("keys", T.ArrayType(T.LongType(), False), False)]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,14 +87,25 @@ def signatures(df: DataFrame, text: str = "text", words: int = WORDS) -> DataFra
             some = size > 0
             keys = band_keys(values, size[some]).view(np.int64).ravel() if some.any() else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
-            new = [pa.array(digest.view(np.int64)), pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=[*kept, "digest", "n", "keys"])
+            fp = _weigh(values, np.concatenate([[0], ends]))
+            new = [pa.array(digest.view(np.int64)), pa.array(size), pa.array(fp.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=[*kept, "digest", "n", "fp", "keys"])
 
     return df.select(*kept, text).mapInArrow(run, schema)
 
 
+def fingerprint_links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b) of digests that connect all classes whose fingerprints differ in at most ``distance`` bits; a class without words has none."""
+    some = classes.where("n > 0").select("digest", "fp")
+    least = cut(some.groupBy("fp").agg(F.min("digest").alias("b")), "fingerprints")
+    same = join_in_parts(some, least, "fp", "digest").select(F.col("digest").alias("a"), "b").where("a <> b")
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("b").alias(f"of_{c}"))
+    near = join_in_parts(join_in_parts(links(least, distance), of("a"), "a", "b"), of("b"), "b", "a")
+    return same.unionByName(near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+
+
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(digest, group): classes that shared keys connect, those with no other left out."""
+    """(digest, group): classes that fingerprints or shared keys connect, those with no other left out."""
     keyed = classes.select("digest", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("rows")).where("rows > 1")
     least = cut(least, "shared-keys")
@@ -100,7 +113,7 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     shared = keyed.join(least.where(F.col("rows") <= KEY_ROWS), "key")
     if large.limit(1).count():
         shared = shared.unionByName(join_in_parts(keyed, large, "key", "digest"))
-    found = components(shared.select(F.col("digest").alias("a"), "b"), "candidates")
+    found = components(shared.select(F.col("digest").alias("a"), "b").unionByName(fingerprint_links(classes)), "candidates")
     pairs = found.select(F.col("node").alias("digest"), F.col("root").alias("group"))
     return pairs.unionByName(found.select(F.col("root").alias("digest"), F.col("root").alias("group")).distinct())
 
@@ -149,7 +162,7 @@ def verified_links(texts: DataFrame, words: int = WORDS, similarity: float = SIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
-        for batch in in_batches(batches, "text", 4_000_000):
+        for batch in in_batches(batches, "text", 1_000_000):
             values, size = shingle_sets(batch.column("text"), words)
             held.append((*(batch.column(c).to_numpy() for c in ("key", "digest")), values, size))
             total += len(values)
@@ -179,8 +192,8 @@ def keep_one(
     id_column, text = names[id_column], names[text]
     marked = cut(signatures(df.select(id_column, text, F.xxhash64(text).alias("_h")), text, words), "signatures")
     least = F.min(F.struct(F.col(id_column).isNull().alias("_null"), F.col(id_column).alias("_id"), F.col("_h").alias("_k"))).alias("least")
-    classes = cut(marked.groupBy("digest").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    groups = cut(candidate_groups(classes).join(classes.drop("keys"), "digest"), "groups")
+    classes = cut(marked.groupBy("digest").agg(least, *(F.first(c).alias(c) for c in ("n", "fp", "keys"))), "classes")
+    groups = cut(candidate_groups(classes).join(classes.drop("fp", "keys"), "digest"), "groups")
     chunks = groups.groupBy("group").agg(F.ceil(F.sum("n") / group_shingles).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64(F.lit(1), "digest"), F.col("chunks")).cast("int")
     dealt = groups.join(chunks, "group").select("group", "digest", "least.*", own.alias("s"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("t"))

@@ -373,7 +373,7 @@ def cut_pieces(
         encoder = library_encoder(tokenizer_path)
         pid = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in in_batches(batches, text, 8_000_000):
+        for batch in in_batches(batches, text, 2_000_000):
             found, count = encoder.encode(batch.column(text).to_pylist())
             ids = np.insert(found, np.cumsum(count), end_id).astype("<u4")  # the end id after each text
             count = count + 1

@@ -158,7 +158,7 @@ def fit(
     sample = _sample(docs, labels, id_column, text, label, sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_batches(batches, "t", 4_000_000):
+        for batch in in_batches(batches, "t", 1_000_000):
             row, bucket = term_buckets(batch.column("t").to_pylist())
             y = batch.column("y").to_numpy()[row]
             key, n = np.unique(bucket * 2 + y, return_counts=True)
@@ -186,7 +186,7 @@ def fit(
     bucket = np.array(sorted(r.bucket for r in best.collect()), np.int64)
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_batches(batches, "t", 4_000_000):
+        for batch in in_batches(batches, "t", 1_000_000):
             row, at = _chosen_inputs(batch.column("t").to_pylist(), bucket)
             offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at.astype(np.int32)))
@@ -203,7 +203,7 @@ def score(df: DataFrame, machine: Machine, text: str = "text", out: str = "score
     schema = T.StructType([df.schema[c] for c in columns] + [T.StructField(out, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_batches(batches, text, 4_000_000):
+        for batch in in_batches(batches, text, 1_000_000):
             row, at = _chosen_inputs(batch.column(text).to_pylist(), machine.bucket)
             found = machine.score(row, at, batch.num_rows)
             yield pa.RecordBatch.from_arrays(

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphspark.llm import near_copies
@@ -58,3 +59,12 @@ def test_large_keys_are_dealt_in_parts(spark, copies, monkeypatch):
     monkeypatch.setattr(near_copies, "KEY_ROWS", 2)
     df = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == plain_kept(copies)
+
+
+def test_close_fingerprints_are_candidates_without_a_shared_key(spark, copies):
+    df = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
+    classes = near_copies.signatures(df).groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "fp"))).withColumn("keys", F.array().cast("array<long>"))
+    rows, group = classes.collect(), {r.digest: r.group for r in near_copies.candidate_groups(classes).collect()}
+    close = [(a.digest, b.digest) for k, a in enumerate(rows) for b in rows[:k] if a.n and b.n and ((a.fp ^ b.fp) & (1 << 64) - 1).bit_count() <= 4]
+    assert close and all(group[a] == group[b] for a, b in close)
+    assert set(group) == {d for pair in close for d in pair}
