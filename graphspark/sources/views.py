@@ -56,20 +56,21 @@ def moa_edges(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataF
     made distinct as numbers and get their names afterwards. With ``repeated`` they may come more than once, for what
     counts each once itself (kernels, nodes).
     """
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    nations = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    parts = order_parts(spark, sf_dir)
-    rows = lines.join(nations, F.col("l_suppkey") == F.col("s_suppkey")).repartition(parts, "l_orderkey").join(orders.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     relations = ["has metabolite", *FLAG_RELATION.values(), *STATUS_RELATION.values(), "located in", "manifestation of"]
     number = {r: k + 1 for k, r in enumerate(relations)}
     coded = lambda mapping, c: pick({k: number[r] for k, r in mapping.items()}, F.col(c)).cast("int")
     to_part = F.when(F.col("l_linenumber") == UNKNOWN_LINE, number["has metabolite"]).otherwise(coded(FLAG_RELATION, "l_returnflag"))
+    # a task that deals lines holds all of its split: keys and numbers of relations only
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", to_part.alias("to_part"), coded(STATUS_RELATION, "l_linestatus").alias("to_supplier"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    nations = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    parts = order_parts(spark, sf_dir)
+    rows = lines.join(nations, F.col("l_suppkey") == F.col("s_suppkey")).drop("s_suppkey").repartition(parts, "l_orderkey").join(orders.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     none, key = F.lit(None).cast("string"), lambda c: F.col(c).cast("long")
     edge = lambda kind, r, h, t, named=none: F.struct(F.lit(kind).alias("kind"), r.alias("r"), h.alias("h"), t.alias("t"), named.alias("named"))
     edges = F.array(
-        edge(0, to_part, key("o_custkey"), key("l_partkey")),
-        edge(1, coded(STATUS_RELATION, "l_linestatus"), key("l_partkey"), key("l_suppkey")),
+        edge(0, F.col("to_part"), key("o_custkey"), key("l_partkey")),
+        edge(1, F.col("to_supplier"), key("l_partkey"), key("l_suppkey")),
         edge(2, F.lit(number["located in"]), key("l_suppkey"), key("s_nationkey")),
         edge(3, F.lit(number["manifestation of"]), key("s_nationkey"), F.lit(None).cast("long"), F.col("o_orderpriority")),
     )

@@ -42,3 +42,18 @@ def test_rows_of_graphs_are_dealt_in_many_partitions_after_a_kernel(spark, monke
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     dealt = [int(n) for keys, n in re.findall(r"hashpartitioning\(([^)]*), (\d+)\)", plan) if "moa_id" in keys or "orderkey" in keys]
     assert dealt and set(dealt) == {views.order_parts(spark, SF)} and dealt[0] > 4
+
+
+def test_lines_are_dealt_as_numbers(spark):
+    plan = views.moa_edges(spark, SF, repeated=True)._jdf.queryExecution().optimizedPlan()
+    found = []
+
+    def walk(node):
+        if node.nodeName() == "RepartitionByExpression":
+            found.append([(f.name(), f.dataType().typeName()) for f in (node.schema().apply(k) for k in range(node.schema().length()))])
+        for k in range(node.children().length()):
+            walk(node.children().apply(k))
+
+    walk(plan)
+    (lines,) = [x for x in found if "l_orderkey" in dict(x)]
+    assert len(lines) == 6 and {kind for _, kind in lines} <= {"long", "integer"}
