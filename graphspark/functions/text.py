@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -139,6 +140,11 @@ def node_text(c: Column, types: dict[str, str] | None = None) -> Column:
 _NODE = "^[^:|]+: \\S.*$"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def edge_line(c: Column) -> Column:
     """(head, relation, tail) of "head | relation | tail", fewer than three parts give null.
 
@@ -147,21 +153,29 @@ def edge_line(c: Column) -> Column:
     written); without any the first part is the head and the last the tail. What remains, joined by " + ", is the
     relation. "Disease: new disease" as head is the tail.
     """
-    parts = F.filter(F.transform(F.split(c, "\\s*\\|\\s*"), lambda x: F.trim(x)), lambda x: F.lit(True))
-    n = F.size(parts)
-    places = F.filter(F.transform(parts, lambda x, k: F.when(x.rlike(_NODE), k)), lambda k: k.isNotNull())
-    found, one = F.size(places), F.get(places, 0)
-    late = (found == 1) & (one > 1)
-    head = F.when(late | (found == 0), F.lit(0)).otherwise(one)
-    tail = F.when(found == 0, n - 1).otherwise(F.element_at(places, -1))
-    rest = F.filter(F.transform(parts, lambda x, k: F.when((k != head) & (k != tail), x)), lambda x: x.isNotNull())
-    relation = F.when(late, F.get(parts, 1)).otherwise(F.array_join(rest, " + "))
-    a, b = F.get(parts, head), F.get(parts, tail)
-    swap = a.rlike("(?i)^disease: new disease$")
-    return F.when(
-        n >= 3,
-        F.struct(F.when(swap, b).otherwise(a).alias("head"), relation.alias("relation"), F.when(swap, a).otherwise(b).alias("tail")),
-    )
+
+    def of_parts(parts: Column) -> Column:
+        places = F.filter(F.transform(parts, lambda x, k: F.when(x.rlike(_NODE), k)), lambda k: k.isNotNull())
+        return _let(places, lambda places: of_places(parts, places))
+
+    def of_places(parts: Column, places: Column) -> Column:
+        found, one = F.size(places), F.get(places, 0)
+        late = (found == 1) & (one > 1)
+        head = F.when(late | (found == 0), F.lit(0)).otherwise(one)
+        tail = F.when(found == 0, F.size(parts) - 1).otherwise(F.element_at(places, -1))
+        return _let(F.struct(head.alias("head"), tail.alias("tail"), late.alias("late")), lambda at: of_ends(parts, at))
+
+    def of_ends(parts: Column, at: Column) -> Column:
+        rest = F.filter(F.transform(parts, lambda x, k: F.when((k != at["head"]) & (k != at["tail"]), x)), lambda x: x.isNotNull())
+        relation = F.when(at["late"], F.get(parts, 1)).otherwise(F.array_join(rest, " + "))
+        a, b = F.get(parts, at["head"]), F.get(parts, at["tail"])
+        swap = a.rlike("(?i)^disease: new disease$")
+        return F.when(
+            F.size(parts) >= 3,
+            F.struct(F.when(swap, b).otherwise(a).alias("head"), relation.alias("relation"), F.when(swap, a).otherwise(b).alias("tail")),
+        )
+
+    return _let(F.transform(F.split(c, "\\s*\\|\\s*"), lambda x: F.trim(x)), of_parts)
 
 
 def json_list(c: Column) -> Column:

@@ -150,44 +150,57 @@ def upserted(rows: DataFrame, name: Column, order: str, values: dict[str, Column
     return rows.groupBy(name.alias("name")).agg(*(first(c).alias(k) for k, c in values.items()), F.count("*").alias("n"))
 
 
-def graphs_from_text(answers: DataFrame, key: str, text: str, types: dict[str, str] | None = None, root_name: Column | None = None, sink: tuple[str, str] = ("Disease", "new disease"), gate: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(edges, ends) of the graphs that answers describe, a line "Type: name | relation | Type: name" for each edge.
+def answer_graphs(answers: DataFrame, key: str, text: str, types: dict[str, str] | None = None, root_name: Column | None = None, sink: tuple[str, str] = ("Disease", "new disease"), gate: bool = True) -> DataFrame:
+    """(key, root, sink, edges) of the graphs that answers describe, a line "Type: name | relation | Type: name" for each edge;
+    ``edges`` lists (head, htype, hname, relation, tail, ttype, tname).
 
     With ``gate`` an answer counts from its first line YES on; without one, or with NO first, it has no graph. Nodes are
     numbered within their type as they appear ("Drug.1"). The root is the only node without a way in; of several (or
     none) the only drug of the name ``root_name``. The sink is the only other node without a way out; of several the only
     one that has the type and name of ``sink``, else a new node of that type and name, to which all of them lead.
+
+    Each line is read once, and all steps go by the key: one shuffle, and none where answers are dealt by it.
     """
-    lines = answers.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"), (root_name if root_name is not None else F.lit(None).cast("string")).alias("_root"))
+    root_name = root_name if root_name is not None else F.lit(None).cast("string")
+    lines = answers.where(F.col(key).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"), root_name.alias("_root"))
     if gate:
-        said = lines.withColumn("_said", t.yes_no(F.trim("line"))).where("_said IS NOT NULL")
-        first = said.groupBy(key).agg(F.min(F.struct("pos", "_said")).alias("f")).where("f._said = 'YES'").select(key, F.col("f.pos").alias("_from"))
-        lines = lines.join(first, key).where("pos > _from")
-    parsed = lines.select(key, "pos", "_root", t.edge_line(F.col("line")).alias("e")).where("e IS NOT NULL")
+        said = lines.withColumn("_said", t.yes_no(F.trim("line")))
+        first = F.min(F.when(F.col("_said").isNotNull(), F.struct("pos", "_said"))).over(Window.partitionBy(key))
+        lines = said.withColumn("_first", first).where("_first._said = 'YES' AND pos > _first.pos").drop("_said", "_first")
+    # as many parts as edge_line asks for: a look at its result would read the line twice
+    parsed = lines.where(F.size(F.split("line", "\\|")) >= 3).select(key, "pos", "_root", t.edge_line(F.col("line")).alias("e"))
     each = parsed.select(key, "pos", "_root", t.node_text(F.col("e.head"), types).alias("h"), "e.relation", t.node_text(F.col("e.tail"), types).alias("t"))
-    seen = F.inline(F.array(F.struct(F.col("h").alias("node"), (F.col("pos") * 2).alias("at")), F.struct(F.col("t").alias("node"), (F.col("pos") * 2 + 1).alias("at"))))
-    first = each.select(key, seen).groupBy(key, "node").agg(F.min("at").alias("at"))
-    number = F.row_number().over(Window.partitionBy(key, "node.type").orderBy("at"))
-    ids = first.select(key, "node", F.concat("node.type", F.lit("."), number.cast("string")).alias("id"))
-    named = lambda c, i: ids.select(key, F.col("node").alias(c), F.col("id").alias(i))
-    edges = each.join(named("h", "head"), [key, "h"]).join(named("t", "tail"), [key, "t"])
-    edges = edges.select(key, "head", F.col("h.type").alias("htype"), F.col("h.name").alias("hname"), "relation", "tail", F.col("t.type").alias("ttype"), F.col("t.name").alias("tname"), "_root").distinct()
-    ways = F.inline(F.array(F.struct(F.col("head").alias("id"), F.col("htype").alias("type"), F.col("hname").alias("name"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("tail").alias("id"), F.col("ttype").alias("type"), F.col("tname").alias("name"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
-    degree = edges.select(key, "_root", ways).groupBy(key, "id", "type", "name").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.first("_root").alias("_root"))
+    at = lambda c, k: F.struct(F.col(c).alias("node"), F.col(f"{c}.type").alias("kind"), (F.col("pos") * 2 + k).alias("at"), F.lit(k).alias("side"))
+    seen = each.select(key, "_root", "h", "relation", "t", F.inline(F.array(at("h", 0), at("t", 1))))
+    first = seen.withColumn("first", F.min("at").over(Window.partitionBy(key, "node")))
+    numbered = first.withColumn("number", F.dense_rank().over(Window.partitionBy(key, "kind").orderBy("first", "node")))
+    of = lambda k: F.max(F.when(F.col("side") == k, F.col("number")))
+    distinct = numbered.groupBy(key, "_root", "h", "relation", "t").agg(of(0).alias("hn"), of(1).alias("tn"))
+    named = lambda c, n: F.concat(F.col(f"{c}.type"), F.lit("."), F.col(n).cast("string"))
+    edges = distinct.select(key, "_root", named("h", "hn").alias("head"), F.col("h.type").alias("htype"), F.col("h.name").alias("hname"), "relation", named("t", "tn").alias("tail"), F.col("t.type").alias("ttype"), F.col("t.name").alias("tname"))
+    edge = F.struct("head", "htype", "hname", "relation", "tail", "ttype", "tname")
+    way = lambda c, k, o: F.struct(F.col(k).alias("id"), F.col(f"{c}type").alias("type"), F.col(f"{c}name").alias("name"), F.lit(o).alias("o"), F.lit(1 - o).alias("i"), F.when(F.lit(o == 1), edge).alias("edge"))
+    ways = edges.select(key, "_root", F.inline(F.array(way("h", "head", 1), way("t", "tail", 0))))
+    degree = ways.groupBy(key, "id", "type", "name").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.first("_root").alias("_root"), F.collect_list("edge").alias("edges"))
     drug = (F.col("type") == "Drug") & (F.lower("name") == F.lower("_root"))
     only = lambda c: F.when(F.size(c) == 1, F.get(c, 0))
     sets = degree.groupBy(key).agg(
         F.collect_list(F.when(F.col("i") == 0, F.col("id"))).alias("roots"), F.collect_list(F.when(drug & (F.col("i") == 0), F.col("id"))).alias("named_roots"), F.collect_list(F.when(drug, F.col("id"))).alias("drugs"),
-        F.collect_list(F.when((F.col("o") == 0) & (F.col("i") > 0), F.col("id"))).alias("sinks"),
+        F.collect_list(F.when((F.col("o") == 0) & (F.col("i") > 0), F.struct(F.col("id").alias("head"), F.col("type").alias("htype"), F.col("name").alias("hname")))).alias("sinks"),
         F.collect_list(F.when((F.col("o") == 0) & (F.col("i") > 0) & F.contains(F.lower("type"), F.lit(sink[0].lower())) & (F.lower("name") == sink[1].lower()), F.col("id"))).alias("named_sinks"),
-        F.count_if(F.col("type") == sink[0]).alias("_n"), F.max(F.when((F.col("type") == sink[0]) & (F.col("name") == sink[1]), F.col("id"))).alias("_there"),
+        F.count_if(F.col("type") == sink[0]).alias("_n"), F.max(F.when((F.col("type") == sink[0]) & (F.col("name") == sink[1]), F.col("id"))).alias("_there"), F.flatten(F.collect_list("edges")).alias("edges"),
     )
     new = F.coalesce("_there", F.concat(F.lit(f"{sink[0]}."), (F.col("_n") + 1).cast("string")))
     root = F.when(F.size("roots") == 1, F.get("roots", 0)).when(F.size("roots") == 0, only(F.col("drugs"))).otherwise(only(F.col("named_roots")))
-    end = F.when(F.size("sinks") == 1, F.get("sinks", 0)).when(F.size("sinks") > 1, F.coalesce(only(F.col("named_sinks")), new))
-    chosen = sets.select(key, root.alias("root"), end.alias("sink"), "sinks", ((F.size("sinks") > 1) & (F.size("named_sinks") != 1)).alias("_more"))
-    ends = chosen.select(key, "root", "sink")
-    by_id = degree.select(key, F.col("id").alias("head"), F.col("type").alias("htype"), F.col("name").alias("hname"))
-    more = chosen.where("_more").select(key, F.explode("sinks").alias("head"), "sink").where("head <> sink").join(by_id, [key, "head"])
-    more = more.select(key, "head", "htype", "hname", F.lit("associated with").alias("relation"), F.col("sink").alias("tail"), F.lit(sink[0]).alias("ttype"), F.lit(sink[1]).alias("tname"))
-    return edges.drop("_root").unionByName(more), ends
+    end = F.when(F.size("sinks") == 1, F.get("sinks", 0)["head"]).when(F.size("sinks") > 1, F.coalesce(only(F.col("named_sinks")), new))
+    chosen = sets.select(key, root.alias("root"), end.alias("sink"), "sinks", "edges", ((F.size("sinks") > 1) & (F.size("named_sinks") != 1)).alias("_more"))
+    to_sink = F.transform(F.filter("sinks", lambda x: x["head"] != F.col("sink")), lambda x: F.struct(
+        x["head"].alias("head"), x["htype"].alias("htype"), x["hname"].alias("hname"), F.lit("associated with").alias("relation"), F.col("sink").alias("tail"), F.lit(sink[0]).alias("ttype"), F.lit(sink[1]).alias("tname")
+    ))
+    return chosen.select(key, "root", "sink", F.when(F.col("_more"), F.concat("edges", to_sink)).otherwise(F.col("edges")).alias("edges"))
+
+
+def graphs_from_text(answers: DataFrame, key: str, text: str, types: dict[str, str] | None = None, root_name: Column | None = None, sink: tuple[str, str] = ("Disease", "new disease"), gate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(edges, ends) of ``answer_graphs``: a row for each edge, and (key, root, sink)."""
+    graphs = answer_graphs(answers, key, text, types, root_name, sink, gate)
+    return graphs.select(key, F.inline("edges")), graphs.select(key, "root", "sink")

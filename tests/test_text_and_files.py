@@ -215,3 +215,33 @@ def test_graphs_from_answers(spark):
     edges, ends = entities.graphs_from_text(df, "k", "text", {"Gene": "Protein"}, F.col("drug"))
     assert {tuple(r) for r in ends.collect()} == {(1, "Drug.1", "Disease.3"), (5, "Drug.1", "Disease.1")}
     assert {(r.head, r.relation, r.tail) for r in edges.where("k = 1").collect()} == {("Drug.1", "r", "Protein.1"), ("Protein.1", "s", "Disease.1"), ("Protein.1", "s", "Disease.2"), ("Chemical.1", "t", "Protein.1"), ("Disease.1", "associated with", "Disease.3"), ("Disease.2", "associated with", "Disease.3")}
+
+
+def test_lines_of_answers_are_read_once_where_they_are_dealt(spark):
+    from graphspark import catalog
+    from graphspark.functions import text as t
+
+    plan = catalog.queries()["graphs_from_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "hashpartitioning" in x]
+    assert len(dealt) == 2 and all("l_orderkey" in x or "o_orderkey" in x for x in dealt)
+    assert sum("FileScan" in x and "l_orderkey" in x for x in plan.split("\n")) == 1
+    line = spark.range(1).select(t.edge_line(F.lit("a | r | b")).alias("e"))._jdf.queryExecution().analyzed().toString()
+    assert line.lower().count("split(") == 1 and line.lower().count("rlike") == 3
+
+
+def test_graphs_of_answers_without_a_gate(spark):
+    from graphspark.operators import entities
+
+    answers = [
+        (1, "NO\nDrug: a | r | Gene: p\nDrug: a | r | Gene: p\nGene: p | s | Gene: p\nDrug: b | r | Gene: p"),
+        (2, "Drug: a | r | Disease: x\nDrug: b | r | disease: New Disease"), (None, "Drug: a | r | Gene: p"), (3, "a | b"), (4, None),
+    ]
+    df = spark.createDataFrame(answers, "k int, text string")
+    graphs = {x.k: x for x in entities.answer_graphs(df, "k", "text", {"Gene": "Protein"}, F.lit("B"), gate=False).collect()}
+    of = lambda k: sorted((e.head, e.relation, e.tail) for e in graphs[k].edges)
+    assert set(graphs) == {1, 2} and of(1) == [("Drug.1", "r", "Protein.1"), ("Drug.2", "r", "Protein.1"), ("Protein.1", "s", "Protein.1")]
+    assert graphs[2].sink == "disease.1" and of(2) == [("Drug.1", "r", "Disease.1"), ("Drug.2", "r", "disease.1")]
+    assert (graphs[1].root, graphs[1].sink) == ("Drug.2", None) and graphs[2].root == "Drug.2"
+    edges, ends = entities.graphs_from_text(df, "k", "text", {"Gene": "Protein"}, F.lit("B"), gate=False)
+    assert edges.columns == ["k", "head", "htype", "hname", "relation", "tail", "ttype", "tname"] and edges.count() == len(graphs[1].edges) + len(graphs[2].edges)
+    assert {tuple(x) for x in ends.collect()} == {(x.k, x.root, x.sink) for x in graphs.values()}
