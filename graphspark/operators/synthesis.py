@@ -59,52 +59,101 @@ def exclusions(edges: DataFrame, ends: DataFrame, targets: DataFrame, protein_ty
     return found.distinct()
 
 
-def _elsewhere(rows: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
-    """``rows`` (with ``target_disease``) with ``n``: how many sources of another disease have these keys; ``counts``: (keys, disease, n)."""
-    every = counts.groupBy(*keys).agg(F.sum("n").alias("_all"))
-    own = counts.withColumnsRenamed({"disease": "target_disease", "n": "_own"})
-    return rows.join(every, keys).join(own, [*keys, "target_disease"], "left").withColumn("n", F.col("_all") - F.coalesce("_own", F.lit(0))).drop("_all", "_own")
+#: Graphs of one drug that are worked on in one place; those of a drug with more are dealt by protein as well.
+DRUG_GRAPHS = 20_000
 
 
-def eligible_sources(edges: DataFrame, ends: DataFrame, targets: DataFrame, protein_type: str, indications: DataFrame | None = None) -> DataFrame:
-    """(target_moa, protein, sources): how many graphs may be joined to each target.
+def packed_ends(edges: DataFrame, root_type: str, sink_type: str, protein_type: str, from_types: list[str], inverse: dict[str, str]) -> DataFrame:
+    """(moa_id, drug, disease, nodes, held, proteins): what ``ends`` and ``targets`` find, with the nodes' names and the proteins
+    of each graph, in one row for each that has both ends; edges may be repeated."""
+    of = lambda f, t: [f(F.when(F.col(kind) == t, F.col(c))) for c, kind in (("head", "htype"), ("tail", "ttype"))]
+    ok = (F.col("ttype") == protein_type) & F.col("htype").isin(from_types) & F.col("relation").isin(list(inverse))
+    packed = edges.groupBy("moa_id").agg(
+        F.least(*of(F.min, root_type)).alias("drug"), F.least(*of(F.min, sink_type)).alias("disease"), F.array_union(F.collect_set("head"), F.collect_set("tail")).alias("nodes"),
+        F.array_union(*of(F.collect_set, protein_type)).alias("held"), F.collect_set(F.when(ok, F.struct(F.col("tail").alias("protein")))).alias("proteins"),
+    )
+    return packed.where("drug IS NOT NULL AND disease IS NOT NULL")
 
-    Neither pairs nor exclusions are listed, and what is read more than once is written once. A source has one drug, so those out by their drug are sums of counts by drug;
-    those out by holding the protein are a count by protein; those out by both, sums of counts by drug and protein.
+
+def eligible_counts(graphs: DataFrame, indications: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """(target_moa, protein, sources): how many graphs may be joined to each target; ``graphs`` are ``packed_ends``.
+
+    Neither pairs nor exclusions are listed. Whole graphs go to their drugs (one row each, the graphs as sources and as
+    targets), where sources out by their drug, but for those that hold the protein as well, are counted; then one row for
+    each target goes to its protein and disease, where those out by the protein are. Sources out by an indication are a
+    number for each disease and, of those with the protein, one for each protein and disease. Drugs that are nodes of other
+    drugs' graphs are looked for among the distinct names. ``parts`` are the partitions of the drugs.
     """
-    ends = _written(ends, "ends")
-    diseases = ends.select(F.col("moa_id").alias("target_moa"), F.col("disease").alias("target_disease"))
-    t = _written(targets.select(F.col("moa_id").alias("target_moa"), "protein").distinct().join(diseases, "target_moa"), "targets")
-    nodes = nodes_of(edges, "moa_id")
-    holds = nodes.where(F.col("type") == protein_type).select("moa_id", F.col("node").alias("protein")).distinct().join(ends, "moa_id")
-    by_both = _written(holds.groupBy("drug", "protein", "disease").agg(F.count("*").alias("n")), "held")
-    by_drug = ends.groupBy("drug", "disease").agg(F.count("*").alias("n"))
-    by_protein = by_both.groupBy("protein", "disease").agg(F.sum("n").alias("n"))
-    # drugs that are nodes of a target, but for those that its disease has an indication of
-    drugs = nodes.select(F.col("moa_id").alias("target_moa"), F.col("node").alias("drug")).distinct().join(ends.select("drug").distinct(), "drug", "left_semi")
-    drugs = drugs.join(diseases, "target_moa")
-    known = None if indications is None else indications.select("drug", F.col("disease").alias("target_disease")).distinct()
-    if known is not None:
-        drugs = drugs.join(known, ["drug", "target_disease"], "left_anti")
-    drugs = _written(drugs, "drugs")
-    out = [
-        t.join(_elsewhere(drugs, ["drug"], by_drug).groupBy("target_moa").agg(F.sum("n").alias("n")), "target_moa").select("target_moa", "protein", "n"),
-        _elsewhere(t, ["protein"], by_protein).select("target_moa", "protein", "n"),
-        _elsewhere(drugs.join(t.select("target_moa", "protein"), "target_moa"), ["drug", "protein"], by_both).select("target_moa", "protein", -F.col("n")),
-    ]
-    if known is not None:
-        of_disease = _elsewhere(known, ["drug"], by_drug).groupBy("target_disease").agg(F.sum("n").alias("n"))
-        wanted = known.join(by_both.select("drug", "protein").distinct(), "drug").join(t.select("target_disease", "protein").distinct(), ["target_disease", "protein"], "left_semi")
-        of_protein = _elsewhere(wanted, ["drug", "protein"], by_both).groupBy("target_disease", "protein").agg(F.sum("n").alias("n"))
-        out += [t.join(of_disease, "target_disease").select("target_moa", "protein", "n"), t.join(of_protein, ["target_disease", "protein"]).select("target_moa", "protein", -F.col("n"))]
-    rows = out[0]
-    for o in out[1:]:
-        rows = rows.unionAll(o)
-    summed = rows.groupBy("target_moa", "protein").agg(F.sum("n").alias("out"))
-    same = ends.groupBy(F.col("disease").alias("target_disease")).agg(F.count("*").alias("same"))
-    every = ends.agg(F.count("*").alias("every"))  # one row
-    counted = t.join(same, "target_disease").join(summed, ["target_moa", "protein"], "left").crossJoin(F.broadcast(every))
-    return counted.select("target_moa", "protein", (F.col("every") - F.col("same") - F.coalesce("out", F.lit(0))).alias("sources"))
+    none = F.array().cast("array<string>")
+    n = parts or graphs.sparkSession.sparkContext.defaultParallelism
+    mine = F.coalesce(F.array_contains("nodes", F.col("drug")), F.lit(False))
+    held = F.coalesce("held", none)
+    rest = F.array_except(F.array_except(F.coalesce("nodes", none), held), F.array("drug"))
+    g = _written(graphs.select("moa_id", "drug", "disease", mine.alias("mine"), held.alias("held"), rest.alias("rest"), F.coalesce("proteins", F.array().cast("array<struct<protein:string>>")).alias("proteins")), "packed")
+    sources, targets = g.where("disease IS NOT NULL"), g.where("disease IS NOT NULL").withColumnRenamed("disease", "target_disease")
+    # of each drug: its graphs by disease, and its indications
+    drugs = sources.groupBy("drug", "disease").agg(F.count("*").alias("n")).groupBy("drug").agg(F.sum("n").alias("graphs"), F.collect_list(F.struct("disease", "n")).alias("by_disease"))
+    known = F.lit(None).cast("array<string>").alias("known")
+    if indications is not None:
+        drugs = drugs.join(indications.groupBy("drug").agg(F.collect_set("disease").alias("known")), "drug", "left")
+        known = "known"
+    drugs = _written(drugs.select("drug", "graphs", "by_disease", known).withColumn("known", F.coalesce("known", none)), "drugs")
+    own = lambda disease: F.coalesce(F.get(F.filter("by_disease", lambda x: x["disease"] == disease), 0)["n"], F.lit(0))
+    # of each disease: its graphs, and those of others whose drug is indicated for it
+    same = drugs.select(F.inline("by_disease")).groupBy(F.col("disease").alias("target_disease")).agg(F.sum("n").alias("same"))
+    indicated = drugs.select("graphs", "by_disease", F.explode("known").alias("target_disease")).withColumn("n", F.col("graphs") - own(F.col("target_disease"))).groupBy("target_disease").agg(F.sum("n").alias("indicated"))
+    every = g.agg(F.count("*").alias("every"))  # one row
+    diseases = _written(same.join(indicated, "target_disease", "left").crossJoin(F.broadcast(every)), "diseases")
+    # drugs in the graphs of others
+    names = g.select("drug", F.explode(F.concat("held", "rest")).alias("name"))
+    other = F.col("name") != F.col("drug")
+    # a semi-join would go before the distinct names, and shuffle all of them
+    marked = names.where(other | F.col("drug").isNull()).select("name", F.lit(1).alias("node"), F.lit(0).alias("drug")).unionAll(drugs.where("drug IS NOT NULL").select("drug", F.lit(0), F.lit(1)))
+    abroad = _written(marked.groupBy("name").agg(F.max("node").alias("node"), F.max("drug").alias("drug")).where("node = 1 AND drug = 1").select("name"), "abroad")
+    asked = targets.select("drug", "mine", "moa_id", "target_disease", "proteins")
+    if several := not abroad.isEmpty():
+        guests = targets.withColumn("name", F.explode(F.concat("held", "rest"))).where(other | F.col("drug").isNull()).join(abroad, "name")
+        asked = asked.unionAll(guests.select(F.col("name").alias("drug"), F.lit(True).alias("mine"), "moa_id", "target_disease", "proteins"))
+    hot = F.broadcast(drugs.where(F.col("graphs") > DRUG_GRAPHS).select("drug", F.ceil(F.col("graphs") / DRUG_GRAPHS).alias("buckets")))
+    bucket = lambda p: F.pmod(F.xxhash64(p), F.col("buckets"))
+    dealt = lambda df, c, of: df.join(hot, "drug", "left").withColumn("_b", F.when(F.col("buckets").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("bucket"), F.col(c).alias("in")))).otherwise(
+        F.transform(c, lambda x: F.struct(bucket(of(x)).alias("bucket"), F.array(x).alias("in"))))).drop(c, "buckets").select("*", F.inline("_b")).drop("_b").withColumnRenamed("in", c).repartition(n, "drug", "bucket")
+    info = drugs.join(hot, "drug", "left").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("buckets", F.lit(1)) - 1))).drop("buckets").repartition(n, "drug", "bucket")
+    sources = dealt(sources.select("drug", "disease", "held"), "held", lambda x: x)
+    asked = dealt(asked, "proteins", lambda x: F.coalesce(x["protein"], F.lit(""))).join(info, ["drug", "bucket"], "left")
+    # sources and targets of a drug and a protein side by side: those with the protein that are out by their drug already
+    out = F.when(F.col("mine") & F.col("graphs").isNotNull() & ~F.array_contains("known", F.col("target_disease")), F.col("graphs") - own(F.col("target_disease")))
+    rows = asked.select("drug", "bucket", "moa_id", "target_disease", out.alias("out"), F.inline("proteins")).select("drug", "bucket", "protein", F.col("target_disease").alias("disease"), "moa_id", "out", F.lit(0).alias("n"))
+    each = sources.select("drug", "bucket", F.explode("held").alias("protein"), "disease").withColumns({"moa_id": F.lit(None).cast(g.schema["moa_id"].dataType), "out": F.lit(None).cast("long"), "n": F.lit(1)})
+    both, key = rows.unionAll(each.select(*rows.columns)), ["drug", "bucket", "protein"]
+    both = both.withColumn("_own", F.sum("n").over(Window.partitionBy(*key, "disease"))).withColumn("_all", F.sum("n").over(Window.partitionBy(*key))).where("moa_id IS NOT NULL")
+    by_drug = both.select("moa_id", "protein", F.col("disease").alias("target_disease"), F.coalesce(F.col("out") - (F.col("_all") - F.col("_own")), F.lit(0)).alias("out"))
+    if several:
+        by_drug = by_drug.groupBy("moa_id", "protein", "target_disease").agg(F.sum("out").alias("out"))
+    # sources with the protein: of the disease, of others, and of others by an indication for it
+    counts = "array<struct<target_disease:string,own:int,known_n:int>>"
+    count = lambda disease, own, known: F.struct(disease.alias("target_disease"), F.lit(own).alias("own"), F.lit(known).alias("known_n"))
+    if indications is not None:
+        sources = sources.join(info.select("drug", "bucket", "known"), ["drug", "bucket"], "left")
+        more = F.transform(F.filter(F.coalesce("known", none), lambda x: x != F.col("disease")), lambda x: count(x, 0, 1)).cast(counts)
+    else:
+        more = F.array().cast(counts)
+    holds = sources.select(F.explode("held").alias("protein"), F.concat(F.array(count(F.col("disease"), 1, 0)), more).alias("_c")).select("protein", F.inline("_c"))
+    unheld = targets.select(F.explode(F.array_except(F.transform("proteins", lambda x: x["protein"]), "held")).alias("protein"), "target_disease").where("protein IS NOT NULL")
+    holds = holds.unionAll(unheld.select("protein", "target_disease", F.lit(0), F.lit(0))).groupBy("protein", "target_disease").agg(F.sum("own").alias("own"), F.sum("known_n").alias("known_n"))
+    held_out = F.sum("own").over(Window.partitionBy("protein")) - F.col("own") - F.col("known_n")
+    by_protein = holds.select("protein", "target_disease", held_out.alias("held_out"))
+    counted = by_drug.join(by_protein, ["protein", "target_disease"], "left").join(diseases, "target_disease")
+    gone = F.when(F.col("protein").isNotNull(), F.col("out") + F.coalesce("held_out", F.lit(0)) + F.coalesce("indicated", F.lit(0))).otherwise(F.lit(0))
+    return counted.select(F.col("moa_id").alias("target_moa"), "protein", (F.col("every") - F.col("same") - gone).alias("sources"))
+
+
+def eligible_sources(edges: DataFrame, ends: DataFrame, targets: DataFrame, protein_type: str, indications: DataFrame | None = None) -> DataFrame:
+    """(target_moa, protein, sources): ``eligible_counts`` of graphs with these ends and targets."""
+    nodes = nodes_of(edges, "moa_id").groupBy("moa_id").agg(F.collect_set("node").alias("nodes"), F.collect_set(F.when(F.col("type") == protein_type, F.col("node"))).alias("held"))
+    proteins = targets.groupBy("moa_id").agg(F.collect_set(F.struct("protein")).alias("proteins"))
+    graphs = ends.select("moa_id", "drug", "disease").join(nodes, "moa_id", "left").join(proteins, "moa_id", "left")
+    return eligible_counts(graphs, indications)
 
 
 def admissible(samples: DataFrame, edges: DataFrame, ends: DataFrame, protein_type: str, indications: DataFrame | None = None) -> DataFrame:

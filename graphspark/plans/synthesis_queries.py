@@ -25,6 +25,10 @@ def _targets(e):
     return syn.targets(e, "Part", ["Customer", "Part"], INVERSE)
 
 
+def _packed(spark, d):
+    return syn.packed_ends(moa_edges(spark, d, repeated=True), "Customer", "Priority", "Part", ["Customer", "Part"], INVERSE)
+
+
 @query("graph_ends", f"{MOA}, {NODE_SQL}, {ENDS_SQL} SELECT * FROM ends")
 def _(spark, d):
     return _ends(moa_edges(spark, d, repeated=True))
@@ -52,8 +56,7 @@ def _(spark, d):
 
 @query("eligible_sources", f"{MOA}, {NODE_SQL}, {ENDS_SQL}, {TARGET_SQL}, {OUT_SQL}, o AS (SELECT target_moa, protein, count(*) AS n FROM outs GROUP BY 1, 2), same AS (SELECT disease, count(*) AS n FROM ends GROUP BY 1) SELECT tgt.target_moa, tgt.protein, (SELECT count(*) FROM ends) - same.n - coalesce(o.n, 0) AS sources FROM tgt JOIN same ON td = disease LEFT JOIN o ON o.target_moa = tgt.target_moa AND o.protein = tgt.protein")
 def _(spark, d):
-    e = moa_edges(spark, d)
-    return syn.eligible_sources(e, _ends(e), _targets(e), "Part")
+    return syn.eligible_counts(_packed(spark, d), parts=order_parts(spark, d))
 
 
 INDICATION_SQL = """ind AS (SELECT DISTINCT 'C:' || o_custkey AS drug, 'Y:' || o_orderpriority AS disease FROM orders WHERE o_totalprice > 300000),
@@ -63,10 +66,9 @@ INDICATION_SQL = """ind AS (SELECT DISTINCT 'C:' || o_custkey AS drug, 'Y:' || o
 @query("eligible_with_indications", f"{MOA}, {NODE_SQL}, {ENDS_SQL}, {TARGET_SQL}, {OUT_SQL}, {INDICATION_SQL}, o AS (SELECT target_moa, protein, count(*) AS n FROM outs_ind GROUP BY 1, 2), same AS (SELECT disease, count(*) AS n FROM ends GROUP BY 1) SELECT tgt.target_moa, tgt.protein, (SELECT count(*) FROM ends) - same.n - coalesce(o.n, 0) AS sources FROM tgt JOIN same ON td = disease LEFT JOIN o ON o.target_moa = tgt.target_moa AND o.protein = tgt.protein")
 def _(spark, d):
     """The same without sources whose drug is known to be indicated for the target's disease."""
-    e = moa_edges(spark, d)
     name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     known = table(spark, d, "orders").where("o_totalprice > 300000").select(name("C", "o_custkey").alias("drug"), name("Y", "o_orderpriority").alias("disease"))
-    return syn.eligible_sources(e, _ends(e), _targets(e), "Part", known)
+    return syn.eligible_counts(_packed(spark, d), known, order_parts(spark, d))
 
 
 SAMPLE_SQL = f"""{TARGET_SQL}, {OUT_SQL}, nxt AS (SELECT o_orderkey AS target_moa, lead(o_orderkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS source_moa FROM orders),

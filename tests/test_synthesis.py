@@ -49,6 +49,42 @@ def test_counted_and_listed_exclusions_agree(spark, corpus, indications):
     assert kept == {k: n for k, n in want.items() if n}
 
 
+@pytest.mark.parametrize("indications", [False, True])
+def test_graphs_of_frequent_drugs_are_dealt_by_protein(spark, corpus, monkeypatch, indications):
+    """The same counts where each drug has more graphs than are worked on in one place, with ends that are no nodes, proteins that no graph holds, and nulls."""
+    e, ends, targets, known = corpus
+    ends = ends.where("moa_id <> 5").unionAll(spark.createDataFrame([(5, "D0", "X9"), (50, "D1", "X1"), (51, "D1", None)], ends.schema))
+    targets = targets.unionAll(spark.createDataFrame([(1, "P99"), (2, "D3"), (50, "P1"), (51, "P1"), (60, "P1"), (3, None)], targets.schema))
+    known = known.unionAll(spark.createDataFrame([("D1", "X9"), (None, "X1"), ("D1", None)], known.schema)) if indications else None
+    out = {}
+    for x in syn.exclusions(e, ends, targets, "Protein", known).collect():
+        out[x.target_moa, x.protein] = out.get((x.target_moa, x.protein), 0) + 1
+    of = {x.moa_id: x.disease for x in ends.collect()}
+    want = {(t.moa_id, t.protein): sum(d != of[t.moa_id] for d in of.values()) - (out.get((t.moa_id, t.protein), 0) if t.protein else 0) for t in targets.collect() if of.get(t.moa_id)}
+    for most in (20_000, 2):
+        monkeypatch.setattr(syn, "DRUG_GRAPHS", most)
+        got = syn.eligible_sources(e, ends, targets, "Protein", known).collect()
+        assert len(got) == len(want) and {(x.target_moa, x.protein): x.sources for x in got} == want
+
+
+def test_packed_ends_are_ends_and_targets(spark, corpus):
+    e = corpus[0].unionAll(corpus[0].limit(9)).unionAll(spark.createDataFrame([(70, "D1", "Drug", "up", "P1", "Protein")], SCHEMA))
+    froms, inverse = ["Drug", "Protein"], {"up": "down"}
+    packed = syn.packed_ends(e, "Drug", "Disease", "Protein", froms, inverse).collect()
+    assert {(x.moa_id, x.drug, x.disease) for x in packed} == {tuple(x) for x in syn.ends(e, "Drug", "Disease").collect()}
+    assert {(x.moa_id, p.protein) for x in packed for p in x.proteins} == {(x.moa_id, x.protein) for x in syn.targets(e, "Protein", froms, inverse).collect() if x.moa_id != 70}
+    nodes = {tuple(x) for x in syn.nodes_of(e, "moa_id").collect() if x.moa_id != 70}
+    assert {(x.moa_id, n) for x in packed for n in x.nodes} == {x[:2] for x in nodes} and {(x.moa_id, n) for x in packed for n in x.held} == {x[:2] for x in nodes if x[2] == "Protein"}
+
+
+@pytest.mark.parametrize("name", ["eligible_sources", "eligible_with_indications"])
+def test_graphs_are_packed_in_one_pass_over_the_lines(spark, monkeypatch, name):
+    written = []
+    monkeypatch.setattr(syn, "_written", lambda df, label, f=syn._written: written.append(df) or f(df, label))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in [catalog.queries()[name](spark, "/root/testdata/sf0.001"), *written]]
+    assert sum("FileScan" in line and "l_orderkey" in line for plan in plans for line in plan.split("\n")) == 1
+
+
 def test_whole_samples_are_those_found_one_by_one(spark, corpus):
     e = corpus[0].withColumn("relation", F.when(F.crc32(F.concat_ws("|", "moa_id", "head", "tail").cast("binary")) % 3 == 0, "down").otherwise("up"))
     ring = [(100, "D0", "Drug", "up", "P0", "Protein"), (100, "P0", "Protein", "up", "P1", "Protein"), (100, "P1", "Protein", "up", "P0", "Protein"), (100, "P1", "Protein", "down", "X1", "Disease")]
